@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from probity.llm import mixing
+from probity.llm import decontaminate, jaccard_join, mixing
 
-QUERIES = {"op6_mixing": mixing.op6_mixing}
-ORACLE = {**mixing.ORACLE}
+QUERIES = {
+    "op6_mixing": mixing.op6_mixing,
+    "op7_benchmark_decontamination": decontaminate.op7_benchmark_decontamination,
+    "op8_ngram_jaccard_join": jaccard_join.op8_ngram_jaccard_join,
+}
+ORACLE = {**mixing.ORACLE, **decontaminate.ORACLE, **jaccard_join.ORACLE}
