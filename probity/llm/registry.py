@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from probity.llm import decontaminate, jaccard_join, mixing
+from probity.llm import decontaminate, jaccard_join, mixing, secret_scan
 
 QUERIES = {
     "op6_mixing": mixing.op6_mixing,
     "op7_benchmark_decontamination": decontaminate.op7_benchmark_decontamination,
     "op8_ngram_jaccard_join": jaccard_join.op8_ngram_jaccard_join,
+    "op10_secret_scan": secret_scan.op10_secret_scan,
 }
 ORACLE = {**mixing.ORACLE, **decontaminate.ORACLE, **jaccard_join.ORACLE}
