@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from probity.llm import decontaminate, embedding_dedup, jaccard_join, mixing, secret_scan
+from probity.llm import decontaminate, embedding_dedup, jaccard_join, mixing, secret_scan, warc_index
 
 QUERIES = {
+    "op1_warc_index_merge": warc_index.op1_warc_index_merge,
     "op6_mixing": mixing.op6_mixing,
     "op7_benchmark_decontamination": decontaminate.op7_benchmark_decontamination,
     "op8_ngram_jaccard_join": jaccard_join.op8_ngram_jaccard_join,
     "op9_embedding_near_dedup": embedding_dedup.op9_embedding_near_dedup,
     "op10_secret_scan": secret_scan.op10_secret_scan,
 }
-ORACLE = {**mixing.ORACLE, **decontaminate.ORACLE, **jaccard_join.ORACLE}
+ORACLE = {**warc_index.ORACLE, **mixing.ORACLE, **decontaminate.ORACLE, **jaccard_join.ORACLE}
