@@ -225,7 +225,7 @@ def verified_edges(docs: DataFrame, members: DataFrame, words: int, similarity:
                 kept = part.take(pa.array(fits))
                 yield pa.RecordBatch.from_arrays([kept.column("m_a"), kept.column("cluster"), kept.column("blocks"), kept.column("block"), data], names=["m_a", "cluster", "blocks", "block", "data"])
 
-    fetched = docs.select("doc_id", "text").join(members, F.col("doc_id") == F.col("fetch_id")).mapInArrow(sets, "m_a long, cluster long, blocks int, block int, data binary")
+    fetched = docs.select("doc_id", "text").join(members.hint("merge"), F.col("doc_id") == F.col("fetch_id")).mapInArrow(sets, "m_a long, cluster long, blocks int, block int, data binary")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     spread = fetched.withColumn("other", other).select("m_a", "cluster", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), "data")
     total = members.agg(F.coalesce(F.sum("m_n"), F.lit(0))).first()[0]
