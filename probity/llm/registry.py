@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from probity.llm import decontaminate, embedding_dedup, jaccard_join, mixing, quality_qda, secret_scan, token_packing, warc_index
+from probity.llm import decontaminate, embedding_dedup, jaccard_join, mixing, quality_qda, secret_scan, token_packing, toxicity, warc_index
 
 QUERIES = {
     "op1_warc_index_merge": warc_index.op1_warc_index_merge,
+    "op3_toxicity": toxicity.op3_toxicity,
     "op4_quality_classifier": quality_qda.op4_quality_classifier,
     "op5_token_packing": token_packing.op5_token_packing,
     "op6_mixing": mixing.op6_mixing,
