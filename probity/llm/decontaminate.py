@@ -74,11 +74,13 @@ class Windows:
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
         near = np.minimum(np.searchsorted(self.prefixes, h), len(self.prefixes) - 1)
         at = np.flatnonzero(self.prefixes[near] == h)
+        if not len(at):
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
         starts, windows = [], []
         most = 1 << 21
         ends = np.cumsum(self.prefix_count[near[at]])
-        cut = [0, *np.searchsorted(ends, np.arange(most, ends[-1] if len(ends) else 0, most)).tolist(), len(at)]
-        row_of = np.searchsorted(first, np.arange(len(h)), "right") - 1 if len(at) else None
+        cut = [0, *np.searchsorted(ends, np.arange(most, ends[-1], most)).tolist(), len(at)]
+        row_of = np.searchsorted(first, np.arange(len(h)), "right") - 1
         for lo, hi in zip(cut, cut[1:], strict=False):
             pos, prefix = at[lo:hi], near[at[lo:hi]]
             n = self.prefix_count[prefix]
