@@ -118,9 +118,9 @@ def draws(cut: DataFrame, most: int = MOST, seed: int = 20_261, slots_per_shard:
     return slots.select("src", "slot", "epoch", F.col("x").alias("idx"), F.pmod(F.col("slot") * 48_271 % PRIME * 16_807 % PRIME, shards).alias("shard"))
 
 
-def planned(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = MOST, block: int = BLOCK):
+def planned(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = MOST, block: int = BLOCK):
     """The laid-out rows, their pieces and the sources' table; sizes and targets are written once."""
-    sizes = materialise(sized(docs), "sizes")
+    sizes = materialise(sizes, "sizes")
     sources = materialise(slot_counts(source_targets(sizes, weights, share, most), block), "sources")
     rows = laid_out(sizes, sources)
     return rows, pieces(rows, block), sources
@@ -133,7 +133,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = MOST
     order. Rows that repeat a doc_id are laid out and counted each on its own. An empty table gives an
     empty result. Other columns are not read.
     """
-    rows, cut, sources = planned(docs, weights, share, most, block)
+    rows, cut, sources = planned(sized(docs), weights, share, most, block)
     drawn = draws(cut, most, block=block).groupBy(F.col("src").alias("d_src"), F.col("idx").alias("d_idx")).agg(F.count("*").alias("times"))
     met = cut.select("src", "start", "idx", "overlap").join(drawn, (F.col("src") == F.col("d_src")) & (F.col("idx") == F.col("d_idx")))
     taken = met.groupBy(F.col("src").alias("t_src"), F.col("start").alias("t_start")).agg(F.sum(F.col("times") * F.col("overlap")).alias("taken"))
@@ -147,18 +147,18 @@ def mixed_texts(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: in
     """The mix as rows with the columns of ``docs``: one for each document and epoch that draws from it.
 
     A document drawn whole keeps its text; of one drawn in part, the words drawn are joined by single
-    blanks in their order. doc_id is a key here: of rows that repeat one, one
-    stands. Documents without words are kept once, as they are.
+    blanks in their order. Documents without words are kept once, as they are. doc_id is a key here:
+    where rows repeat one, the longest (then the last source) is laid out and all are cut as it is.
     """
-    docs = docs.dropDuplicates(["doc_id"])
-    rows, cut, _ = planned(docs, weights, share, most, block)
+    one = sized(docs).groupBy("doc_id").agg(F.max(F.struct("size", "source")).alias("row")).select("doc_id", "row.source", "row.size")
+    rows, cut, _ = planned(one, weights, share, most, block)
     drawn = draws(cut, most, block=block).select(F.col("src").alias("d_src"), F.col("idx").alias("d_idx"), "epoch")
     met = cut.select("doc_id", "size", "src", "start", "idx", "overlap").join(drawn, (F.col("src") == F.col("d_src")) & (F.col("idx") == F.col("d_idx")))
     at = F.greatest(F.lit(0), F.col("idx") * block - F.col("start"))
     by_doc = met.groupBy(F.col("doc_id").alias("m_id"), "epoch").agg(F.max("size").alias("m_size"), F.sum("overlap").alias("m_taken"), F.sort_array(F.collect_list(F.struct(at.cast("int").alias("at"), F.col("overlap").cast("int").alias("n")))).alias("cuts"))
     empty = rows.filter(F.col("size") == 0).select(F.col("doc_id").alias("m_id"), F.lit(0).alias("epoch"), F.lit(0).cast("long").alias("m_size"), F.lit(0).cast("long").alias("m_taken"), F.array().cast("array<struct<at:int,n:int>>").alias("cuts"))
     met = by_doc.unionByName(empty)
-    out = docs.join(met, F.col("doc_id").eqNullSafe(F.col("m_id")))
+    out = docs.join(met.hint("merge"), F.col("doc_id").eqNullSafe(F.col("m_id")))
     words = F.regexp_extract_all("text", F.lit(f"({WORD})"), F.lit(1))
     some = F.array_join(F.flatten(F.transform("cuts", lambda c: F.slice(F.col("words"), c["at"] + 1, c["n"]))), " ")
     out = out.withColumn("whole", F.col("m_taken") == F.col("m_size")).withColumn("words", F.when(~F.col("whole"), words))

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from probity.llm import decontaminate, embedding_dedup, jaccard_join, mixing, quality_qda, secret_scan, token_packing, toxicity, warc_index
+import corpus_pipeline
+from probity.llm import decontaminate, embedding_dedup, jaccard_join, mixing, quality_qda, secret_scan, suffix_dedup, token_packing, toxicity, warc_index
 
 QUERIES = {
     "op1_warc_index_merge": warc_index.op1_warc_index_merge,
+    "op2_suffix_array_dedup": suffix_dedup.op2_suffix_array_dedup,
     "op3_toxicity": toxicity.op3_toxicity,
     "op4_quality_classifier": quality_qda.op4_quality_classifier,
     "op5_token_packing": token_packing.op5_token_packing,
@@ -14,5 +16,6 @@ QUERIES = {
     "op8_ngram_jaccard_join": jaccard_join.op8_ngram_jaccard_join,
     "op9_embedding_near_dedup": embedding_dedup.op9_embedding_near_dedup,
     "op10_secret_scan": secret_scan.op10_secret_scan,
+    "pipeline": corpus_pipeline.run,
 }
 ORACLE = {**warc_index.ORACLE, **mixing.ORACLE, **decontaminate.ORACLE, **jaccard_join.ORACLE}
