@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE: dict[str, str] = {}
+from probity.plans import corpus, evidence
+
+QUERIES: dict = {**corpus.QUERIES, **evidence.QUERIES}
+ORACLE: dict[str, str] = {**corpus.ORACLE, **evidence.ORACLE}
