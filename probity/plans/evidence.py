@@ -171,10 +171,10 @@ def _(s, d):
     return m.latest_observation(view(s, d, "observations"), "sensor", "event_id", ["ts", "signal"])
 
 
-@query("ewma_baseline", """WITH RECURSIVE o AS (SELECT sensor, date_trunc('hour', ts) AS at, count(*)::DOUBLE AS signal, bool_or(hard) AS hard FROM observations GROUP BY ALL), k AS (SELECT *, row_number() OVER (PARTITION BY sensor ORDER BY at) - 1 AS n FROM o),
- e AS (SELECT sensor, at, signal, hard, n, 0.0::DOUBLE AS z, signal AS mean, 0.0::DOUBLE AS var FROM k WHERE n = 0 UNION ALL
-  SELECT k.sensor, k.at, k.signal, k.hard, k.n, CASE WHEN k.n >= 8 THEN (k.signal - e.mean) / greatest(sqrt(e.var), 1.0::DOUBLE) ELSE 0.0::DOUBLE END, (1 - 0.2::DOUBLE) * e.mean + 0.2::DOUBLE * k.signal, (1 - 0.2::DOUBLE) * e.var + 0.2::DOUBLE * (k.signal - e.mean) * (k.signal - e.mean) FROM e JOIN k ON k.sensor = e.sensor AND k.n = e.n + 1)
- SELECT sensor, at, signal, round(z, 6) AS z, round(mean, 6) AS mean, round(var, 6) AS var, CASE WHEN hard THEN 'ALERT' WHEN n < 8 THEN 'CALIBRATING' WHEN z >= 4 THEN 'ALERT' WHEN z >= 2 THEN 'ELEVATED' ELSE 'NOMINAL' END AS status FROM e""")
+@query("ewma_baseline", """WITH RECURSIVE o AS (SELECT sensor, date_trunc('hour', ts) AS "at", count(*)::DOUBLE AS signal, bool_or(hard) AS hard FROM observations GROUP BY ALL), k AS (SELECT *, row_number() OVER (PARTITION BY sensor ORDER BY "at") - 1 AS n FROM o),
+ e AS (SELECT sensor, "at", signal, hard, n, 0.0::DOUBLE AS z, signal AS mean, 0.0::DOUBLE AS var FROM k WHERE n = 0 UNION ALL
+  SELECT k.sensor, k."at", k.signal, k.hard, k.n, CASE WHEN k.n >= 8 THEN (k.signal - e.mean) / greatest(sqrt(e.var), 1.0::DOUBLE) ELSE 0.0::DOUBLE END, (1 - 0.2::DOUBLE) * e.mean + 0.2::DOUBLE * k.signal, (1 - 0.2::DOUBLE) * e.var + 0.2::DOUBLE * (k.signal - e.mean) * (k.signal - e.mean) FROM e JOIN k ON k.sensor = e.sensor AND k.n = e.n + 1)
+ SELECT sensor, "at", signal, round(z, 6) AS z, round(mean, 6) AS mean, round(var, 6) AS var, CASE WHEN hard THEN 'ALERT' WHEN n < 8 THEN 'CALIBRATING' WHEN z >= 4 THEN 'ALERT' WHEN z >= 2 THEN 'ELEVATED' ELSE 'NOMINAL' END AS status FROM e""")
 def _(s, d):
     hourly = view(s, d, "observations").groupBy("sensor", F.date_trunc("hour", "ts").alias("at")).agg(F.count("*").cast("double").alias("signal"), F.bool_or("hard").alias("hard"))
     return m.baselines(hourly, "sensor").withColumn("at", F.col("at").cast("timestamp_ntz"))
