@@ -8,8 +8,9 @@ that occur once are done. Under an anchor with equal stretches only, all are rep
 The distinct stretches under every other anchor go, by anchor, to buckets of bounded size. A bucket cuts
 its stretches into shards and has each shard's suffixes sorted and its transform; the transforms are
 merged by refining their interleave: a round moves every suffix by the symbol before it, which sorts the
-whole by one more symbol and never compares suffixes. Where neighbours first part in round t their
-common prefix is t long; suffixes that have not parted after ``length`` rounds are repeated intervals.
+whole by one more symbol and never compares suffixes. A symbol is ``STEP`` bytes. Where neighbours first
+part in round t their common prefix is t symbols and less than one more; suffixes that have not parted
+after ``length`` bytes of rounds are repeated intervals.
 
 An anchor with more distinct stretches than a bucket holds (a passage in a large share of all texts)
 is settled by counting its windows' 128-bit hashes in the shuffle, with partial sums.
@@ -31,7 +32,8 @@ from probity.storage import materialise
 LENGTH = 200
 ANCHOR = 64
 PIECE = 8 << 20  # bytes of one text that are anchored at once
-BUCKET_BYTES = 1 << 20  # of stretches that one task merges
+BUCKET_BYTES = 1 << 18  # of stretches that one task merges
+STEP = 8  # bytes that a round of the merge moves by; a symbol of the transforms
 SHARD_BYTES = 1 << 16
 END = 0xFF  # never a byte of UTF-8
 _PLACE = U((1 << 24) - 1)
@@ -91,61 +93,67 @@ def occurrences(docs: DataFrame, length: int) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, key long, start long, run long, anchor long, name long")
 
 
-def sorted_suffixes(text: np.ndarray, depth: int) -> np.ndarray:
-    """Order of a shard's suffixes by their first ``depth`` symbols or more, by doubling."""
-    rank, done = text.astype(np.int64), 1
-    order = np.argsort(rank, kind="stable")
-    while done < depth:
-        after = np.zeros(len(rank), dtype=np.int64)
-        after[:-done] = rank[done:] + 1
-        both = rank * (len(rank) + 258) + after
-        order = np.argsort(both, kind="stable")
-        change = np.concatenate(([0], both[order[1:]] != both[order[:-1]]))
-        rank[order] = np.cumsum(change)
-        done *= 2
-        if rank[order[-1]] == len(rank) - 1:
-            break
-    return order
+def step_codes(text: np.ndarray, ends: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The ``STEP`` bytes from each place on as one number; each string is read round, closed by its ends."""
+    code = np.zeros(len(text), dtype=U)
+    at = np.arange(len(text))
+    first = np.repeat(ends - sizes, sizes)
+    size = np.repeat(sizes, sizes)
+    for k in range(STEP):
+        code = (code << U(8)) | text[first + (at - first + k) % size].astype(U)
+    return code
 
 
 def transform(strings: list[np.ndarray], depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """A shard's transform: suffix order (places in the joined text), symbol before each, step back of each.
+    """A shard's transform over symbols of ``STEP`` bytes.
 
-    Every string is closed by ``END``; stepping back from its start leads to its own end.
+    Returns the suffix order (places in the joined text), the symbol before each suffix and the entry to
+    which a step back over it leads. Every string is closed by ``STEP`` times ``END``; a step back over
+    its start leads into its own end. Suffixes are sorted by ``depth`` bytes or more, by doubling.
     """
-    sizes = np.array([len(s) + 1 for s in strings])
-    text = np.concatenate([x for s in strings for x in (s, [END])]).astype(np.uint8)
-    order = sorted_suffixes(text, depth)
-    before = np.arange(-1, len(text) - 1)
-    heads = np.concatenate(([0], np.cumsum(sizes)[:-1]))
-    before[heads] = heads + sizes - 1
-    rank = np.empty(len(text), dtype=np.int64)
-    rank[order] = np.arange(len(text))
-    return order, text[before[order]], rank[before[order]]
+    sizes = np.array([len(s) + STEP for s in strings])
+    ends = np.cumsum(sizes)
+    closing = np.full(STEP, END, dtype=np.uint8)
+    text = np.concatenate([x for s in strings for x in (s, closing)])
+    code = step_codes(text, ends, sizes)
+    at = np.arange(len(text))
+    first, size = np.repeat(ends - sizes, sizes), np.repeat(sizes, sizes)
+    rank = np.unique(code, return_inverse=True)[1].astype(np.int64)
+    order, done = np.argsort(rank, kind="stable"), STEP
+    while done < depth and rank[order[-1]] < len(rank) - 1:
+        both = rank * len(rank) + rank[first + (at - first + done) % size]
+        order = np.argsort(both, kind="stable")
+        rank[order] = np.cumsum(np.concatenate(([0], both[order[1:]] != both[order[:-1]])))
+        done *= 2
+    before = first + (at - first - STEP) % size
+    place = np.empty(len(text), dtype=np.int32)
+    place[order] = np.arange(len(text), dtype=np.int32)
+    return order, code[before[order]], place[before[order]]
 
 
 def merged(shards: list[tuple[np.ndarray, np.ndarray, np.ndarray]], depth: int) -> tuple[np.ndarray, np.ndarray]:
     """Merge transforms by interleave refinement.
 
     Returns the merged order, as places in the shards laid end to end, and each entry's common prefix
-    with the one before it, ``depth`` standing for that or more.
+    with the one before it in bytes, in steps of ``STEP``, ``depth`` standing for that or more.
     """
-    sizes = [len(order) for order, _, _ in shards]
-    base = np.concatenate(([0], np.cumsum(sizes)[:-1]))
-    symbol = np.concatenate([b for _, b, _ in shards])
+    base = np.concatenate(([0], np.cumsum([len(order) for order, _, _ in shards])[:-1])).astype(np.int32)
+    symbol = np.unique(np.concatenate([b for _, b, _ in shards]), return_inverse=True)[1].astype(np.uint32)
     back = np.concatenate([step + b for (_, _, step), b in zip(shards, base, strict=True)])
     places = np.concatenate([order + b for (order, _, _), b in zip(shards, base, strict=True)])
-    interleave = np.arange(len(symbol))  # of the shards' entries; each shard's own order never changes
+    low, high = (symbol & np.uint32(0xFFFF)).astype(np.uint16), (symbol >> np.uint32(16)).astype(np.uint16)
+    interleave = np.arange(len(symbol), dtype=np.int32)  # of the shards' entries; each shard's own order never changes
     block = np.zeros(len(symbol), dtype=np.int32)
     common = np.full(len(symbol), depth, dtype=np.int16)
     common[:1] = 0
-    for t in range(depth):
-        by = symbol[interleave]
-        move = np.argsort(by, kind="stable")
-        by, block = by[move], block[move]
+    for t in range(0, depth, STEP):
+        move = np.argsort(low[interleave], kind="stable")  # by halves of the symbol, which numpy sorts by counting
+        move = move[np.argsort(high[interleave[move]], kind="stable")]
+        entries, block = interleave[move], block[move]
+        by = symbol[entries]
         parted = np.concatenate(([False], (by[1:] != by[:-1]) | (block[1:] != block[:-1])))
         common[parted & (common == depth)] = t
-        interleave = back[interleave[move]]
+        interleave = back[entries]
         block = np.cumsum(parted, dtype=np.int32)
         if block[-1] == len(block) - 1:
             break
@@ -153,11 +161,11 @@ def merged(shards: list[tuple[np.ndarray, np.ndarray, np.ndarray]], depth: int)
 
 
 def repeated_windows(strings: list[np.ndarray], length: int = LENGTH, shard_bytes: int = SHARD_BYTES) -> list[np.ndarray]:
-    """For each string the starts of its windows that also start elsewhere in ``strings``."""
+    """For each string the starts of its windows that also start elsewhere in ``strings``; ``length`` is a multiple of ``STEP``."""
     shards, own, held = [], [], 0
     for s in strings:
         own.append(s)
-        held += len(s) + 1
+        held += len(s) + STEP
         if held >= shard_bytes:
             shards.append(transform(own, length))
             own, held = [], 0
@@ -166,12 +174,12 @@ def repeated_windows(strings: list[np.ndarray], length: int = LENGTH, shard_byte
     place, common = merged(shards, length)
     same = common >= length  # with the entry before
     again = same | np.append(same[1:], False)
-    sizes = np.array([len(s) + 1 for s in strings])
+    sizes = np.array([len(s) + STEP for s in strings])
     ends = np.cumsum(sizes)
     at = np.sort(place[again])
     which = np.searchsorted(ends, at, "right")
     offset = at - (ends - sizes)[which]
-    fits = offset + length <= sizes[which] - 1
+    fits = offset + length <= sizes[which] - STEP
     which, offset = which[fits], offset[fits]
     cut = np.searchsorted(which, np.arange(len(strings) + 1))
     return [offset[cut[i] : cut[i + 1]] for i in range(len(strings))]

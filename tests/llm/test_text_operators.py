@@ -110,15 +110,15 @@ def test_suffix_dedup_equals_brute_force(spark, texts, bucket_bytes):
 
 def test_merge_of_transforms_sorts_suffixes():
     rng = np.random.default_rng(1)
-    strings = [rng.integers(97, 100, n).astype(np.uint8) for n in (50, 31, 80, 7)]
-    shards = [suffix_dedup.transform(strings[:2], 12), suffix_dedup.transform(strings[2:], 12)]
-    order, common = suffix_dedup.merged(shards, 12)
-    rows = [s.tobytes()[k:] + b"\xff" + s.tobytes()[:k] for s in strings for k in range(len(s) + 1)]
-    cut = [rows[i][:12] for i in order]
-    assert cut == sorted(cut)
+    strings = [rng.integers(97, 99, n).astype(np.uint8) for n in (50, 31, 80, 7)]
+    strings.append(strings[0][5:45])
+    shards = [suffix_dedup.transform(strings[:2], 24), suffix_dedup.transform(strings[2:], 24)]
+    order, common = suffix_dedup.merged(shards, 24)
+    rows = [(s.tobytes() + b"\xff" * 8)[k:] + (s.tobytes() + b"\xff" * 8)[:k] for s in strings for k in range(len(s) + 8)]
+    cut = [(rows[i] * 4)[:24] for i in order]
+    assert cut == sorted(cut) and sorted(order.tolist()) == list(range(len(rows)))
     for i in range(1, len(cut)):
-        shared = next((k for k in range(12) if cut[i][k : k + 1] != cut[i - 1][k : k + 1]), 12)
-        assert common[i] == shared
+        assert common[i] == next((k for k in (0, 8, 16) if cut[i][k : k + 8] != cut[i - 1][k : k + 8]), 24)
 
 
 def test_packing_round_trip_and_best_fit(spark, texts):
