@@ -129,6 +129,12 @@ def _(s, d):
     return r.contributor_register(view(s, d, "submissions"))
 
 
+GOVERNANCE = """WITH p AS (SELECT analysis_id AS f_id, count(*) AS n_evidence, count(*) FILTER (severity = 'CRITICAL' AND acknowledged_at IS NULL) AS critical_open, count(*) FILTER (category = 'MOD-BACKDOOR') AS n_backdoor FROM findings GROUP BY analysis_id),
+ x AS (SELECT analysis_id, risk_score AS risk, analysis_id % 97 = 0 AS malicious, status = 'ANALYSIS FAILED' AS failed, coalesce(n_backdoor, 0) >= 4 AS backdoor, coalesce(critical_open, 0) > 0 AS critical, engine = 'fallback' AS gap, coalesce(n_evidence, 0) = 0 AS nothing FROM analyses LEFT JOIN p ON analysis_id = f_id)
+ SELECT analysis_id, CASE WHEN malicious OR failed OR backdoor OR critical OR risk >= 70 THEN 'QUARANTINE' WHEN risk >= 30 OR gap OR nothing THEN 'REVIEW' ELSE 'ACCEPT' END AS decision,
+ concat_ws(',', CASE WHEN malicious THEN 'MALICIOUS_SERIALIZATION' END, CASE WHEN failed THEN 'INFERENCE_INTEGRITY_FAILURE' END, CASE WHEN backdoor THEN 'BACKDOOR_CONFIRMED' END, CASE WHEN critical THEN 'CRITICAL_FINDING' END, CASE WHEN risk >= 30 THEN 'COMPOSITE_RISK' END, CASE WHEN gap THEN 'COVERAGE_GAP' END, CASE WHEN nothing THEN 'NO_EVIDENCE' END) AS rules FROM x"""
+
+
 def asset_evidence(s, d):
     """One row an analysis with what the decision rules read."""
     a, fi = view(s, d, "analyses"), view(s, d, "findings")
@@ -137,10 +143,7 @@ def asset_evidence(s, d):
     return met.select("analysis_id", F.col("risk_score").alias("risk"), (F.col("analysis_id") % 97 == 0).alias("malicious"), (F.col("status") == "ANALYSIS FAILED").cast("int").alias("failed_records"), (F.col("n_backdoor") >= 4).alias("backdoor"), "critical_open", (F.col("engine") == "fallback").alias("coverage_gap"), "n_evidence")
 
 
-@query("governance", """WITH p AS (SELECT analysis_id AS f_id, count(*) AS n_evidence, count(*) FILTER (severity = 'CRITICAL' AND acknowledged_at IS NULL) AS critical_open, count(*) FILTER (category = 'MOD-BACKDOOR') AS n_backdoor FROM findings GROUP BY analysis_id),
- x AS (SELECT analysis_id, risk_score AS risk, analysis_id % 97 = 0 AS malicious, status = 'ANALYSIS FAILED' AS failed, coalesce(n_backdoor, 0) >= 4 AS backdoor, coalesce(critical_open, 0) > 0 AS critical, engine = 'fallback' AS gap, coalesce(n_evidence, 0) = 0 AS nothing FROM analyses LEFT JOIN p ON analysis_id = f_id)
- SELECT analysis_id, CASE WHEN malicious OR failed OR backdoor OR critical OR risk >= 70 THEN 'QUARANTINE' WHEN risk >= 30 OR gap OR nothing THEN 'REVIEW' ELSE 'ACCEPT' END AS decision,
- concat_ws(',', CASE WHEN malicious THEN 'MALICIOUS_SERIALIZATION' END, CASE WHEN failed THEN 'INFERENCE_INTEGRITY_FAILURE' END, CASE WHEN backdoor THEN 'BACKDOOR_CONFIRMED' END, CASE WHEN critical THEN 'CRITICAL_FINDING' END, CASE WHEN risk >= 30 THEN 'COMPOSITE_RISK' END, CASE WHEN gap THEN 'COVERAGE_GAP' END, CASE WHEN nothing THEN 'NO_EVIDENCE' END) AS rules FROM x""")
+@query("governance", GOVERNANCE)
 def _(s, d):
     return r.governance(asset_evidence(s, d)).select("analysis_id", "decision", "rules")
 
