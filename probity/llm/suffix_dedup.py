@@ -8,9 +8,9 @@ that occur once are done. Under an anchor with equal stretches only, all are rep
 The distinct stretches under every other anchor go, by anchor, to buckets of bounded size. A bucket cuts
 its stretches into shards and has each shard's suffixes sorted and its transform; the transforms are
 merged by refining their interleave: a round moves every suffix by the symbol before it, which sorts the
-whole by one more symbol and never compares suffixes. A symbol is ``STEP`` bytes. Where neighbours first
-part in round t their common prefix is t symbols and less than one more; suffixes that have not parted
-after ``length`` bytes of rounds are repeated intervals.
+whole by one more symbol and never compares suffixes. A symbol is ``STEP`` bytes. What has not parted
+after a round has one more symbol as its common prefix; suffixes that have not parted after ``length``
+bytes are repeated intervals.
 
 An anchor with more distinct stretches than a bucket holds (a passage in a large share of all texts)
 is settled by counting its windows' 128-bit hashes in the shuffle, with partial sums.
@@ -93,71 +93,68 @@ def occurrences(docs: DataFrame, length: int) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, key long, start long, run long, anchor long, name long")
 
 
-def step_codes(text: np.ndarray, ends: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """The ``STEP`` bytes from each place on as one number; each string is read round, closed by its ends."""
-    code = np.zeros(len(text), dtype=U)
-    at = np.arange(len(text))
-    first = np.repeat(ends - sizes, sizes)
-    size = np.repeat(sizes, sizes)
-    for k in range(STEP):
-        code = (code << U(8)) | text[first + (at - first + k) % size].astype(U)
-    return code
+Transform = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
 
 
-def transform(strings: list[np.ndarray], depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def transform(strings: list[np.ndarray], depth: int) -> Transform:
     """A shard's transform over symbols of ``STEP`` bytes.
 
-    Returns the suffix order (places in the joined text), the symbol before each suffix and the entry to
-    which a step back over it leads. Every string is closed by ``STEP`` times ``END``; a step back over
-    its start leads into its own end. Suffixes are sorted by ``depth`` bytes or more, by doubling.
+    Returns the suffix order (places in the joined text), the symbol before each suffix, the entry to
+    which a step back over it leads, and whether ``depth`` bytes of its string stand before it. Every
+    string is closed by ``STEP`` times ``END``. Suffixes are sorted by ``depth`` bytes or more, by
+    doubling. What stands before a text's first bytes is never asked for.
     """
     sizes = np.array([len(s) + STEP for s in strings])
-    ends = np.cumsum(sizes)
     closing = np.full(STEP, END, dtype=np.uint8)
     text = np.concatenate([x for s in strings for x in (s, closing)])
-    code = step_codes(text, ends, sizes)
-    at = np.arange(len(text))
-    first, size = np.repeat(ends - sizes, sizes), np.repeat(sizes, sizes)
-    rank = np.unique(code, return_inverse=True)[1].astype(np.int64)
-    order, done = np.argsort(rank, kind="stable"), STEP
-    while done < depth and rank[order[-1]] < len(rank) - 1:
-        both = rank * len(rank) + rank[first + (at - first + done) % size]
-        order = np.argsort(both, kind="stable")
-        rank[order] = np.cumsum(np.concatenate(([0], both[order[1:]] != both[order[:-1]])))
+    n = len(text)
+    wide = np.concatenate((text, np.zeros(STEP, dtype=np.uint8))).astype(U)
+    code = np.zeros(n, dtype=U)
+    for k in range(STEP):
+        code = (code << U(8)) | wide[k : k + n]
+    rank = np.unique(code, return_inverse=True)[1].astype(np.int64) + 1
+    order, done = np.argsort(rank), STEP
+    while done < depth and rank[order[-1]] < n:
+        both = rank * (n + 1)
+        both[:-done] += rank[done:]
+        order = np.argsort(both)
+        rank[order] = np.cumsum(np.concatenate(([1], both[order[1:]] != both[order[:-1]])))
         done *= 2
-    before = first + (at - first - STEP) % size
-    place = np.empty(len(text), dtype=np.int32)
-    place[order] = np.arange(len(text), dtype=np.int32)
-    return order, code[before[order]], place[before[order]]
+    before = np.maximum(order - STEP, 0)
+    place = np.empty(n, dtype=np.int32)
+    place[order] = np.arange(n, dtype=np.int32)
+    offset = np.arange(n) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    return order, code[before], place[before], ((offset >= depth) & (offset <= np.repeat(sizes, sizes) - STEP))[order]
 
 
-def merged(shards: list[tuple[np.ndarray, np.ndarray, np.ndarray]], depth: int) -> tuple[np.ndarray, np.ndarray]:
+def merged(shards: list[Transform], depth: int) -> tuple[np.ndarray, np.ndarray]:
     """Merge transforms by interleave refinement.
 
-    Returns the merged order, as places in the shards laid end to end, and each entry's common prefix
-    with the one before it in bytes, in steps of ``STEP``, ``depth`` standing for that or more.
+    Returns the merged order of all suffixes that are windows of ``depth`` bytes, as places in the shards
+    laid end to end, and whether each one's common prefix with the one before it is ``depth`` or more.
+    After t bytes of rounds the interleave holds only suffixes that are windows when all is done, those
+    with depth - t bytes of their string before them; each of its blocks has a common prefix of t.
     """
-    base = np.concatenate(([0], np.cumsum([len(order) for order, _, _ in shards])[:-1])).astype(np.int32)
-    symbol = np.unique(np.concatenate([b for _, b, _ in shards]), return_inverse=True)[1].astype(np.uint32)
-    back = np.concatenate([step + b for (_, _, step), b in zip(shards, base, strict=True)])
-    places = np.concatenate([order + b for (order, _, _), b in zip(shards, base, strict=True)])
+    base = np.concatenate(([0], np.cumsum([len(order) for order, *_ in shards])[:-1])).astype(np.int32)
+    symbol = np.unique(np.concatenate([b for _, b, _, _ in shards]), return_inverse=True)[1].astype(np.uint32)
+    back = np.concatenate([step + b for (_, _, step, _), b in zip(shards, base, strict=True)])
+    places = np.concatenate([order + b for (order, *_), b in zip(shards, base, strict=True)])
     low, high = (symbol & np.uint32(0xFFFF)).astype(np.uint16), (symbol >> np.uint32(16)).astype(np.uint16)
-    interleave = np.arange(len(symbol), dtype=np.int32)  # of the shards' entries; each shard's own order never changes
-    block = np.zeros(len(symbol), dtype=np.int32)
-    common = np.full(len(symbol), depth, dtype=np.int16)
-    common[:1] = 0
-    for t in range(0, depth, STEP):
+    # of the shards' entries; each shard's own order never changes
+    interleave = np.flatnonzero(np.concatenate([fits for *_, fits in shards])).astype(np.int32)
+    block = np.zeros(len(interleave), dtype=np.int32)
+    parted = np.zeros(len(interleave), dtype=bool)
+    for _ in range(0, depth, STEP):
         move = np.argsort(low[interleave], kind="stable")  # by halves of the symbol, which numpy sorts by counting
         move = move[np.argsort(high[interleave[move]], kind="stable")]
         entries, block = interleave[move], block[move]
         by = symbol[entries]
-        parted = np.concatenate(([False], (by[1:] != by[:-1]) | (block[1:] != block[:-1])))
-        common[parted & (common == depth)] = t
+        parted[1:] = (by[1:] != by[:-1]) | (block[1:] != block[:-1])
         interleave = back[entries]
         block = np.cumsum(parted, dtype=np.int32)
-        if block[-1] == len(block) - 1:
-            break
-    return places[interleave], common
+    same = ~parted
+    same[:1] = False
+    return places[interleave], same
 
 
 def repeated_windows(strings: list[np.ndarray], length: int = LENGTH, shard_bytes: int = SHARD_BYTES) -> list[np.ndarray]:
@@ -171,16 +168,13 @@ def repeated_windows(strings: list[np.ndarray], length: int = LENGTH, shard_byte
             own, held = [], 0
     if own:
         shards.append(transform(own, length))
-    place, common = merged(shards, length)
-    same = common >= length  # with the entry before
+    place, same = merged(shards, length)
     again = same | np.append(same[1:], False)
     sizes = np.array([len(s) + STEP for s in strings])
     ends = np.cumsum(sizes)
     at = np.sort(place[again])
     which = np.searchsorted(ends, at, "right")
     offset = at - (ends - sizes)[which]
-    fits = offset + length <= sizes[which] - STEP
-    which, offset = which[fits], offset[fits]
     cut = np.searchsorted(which, np.arange(len(strings) + 1))
     return [offset[cut[i] : cut[i + 1]] for i in range(len(strings))]
 

@@ -108,17 +108,16 @@ def test_suffix_dedup_equals_brute_force(spark, texts, bucket_bytes):
         assert (got[i].n_bytes, got[i].n_removed, got[i].n_spans, got[i].kept_sha256) == (len(b), int(g.sum()), runs, hashlib.sha256(kept).hexdigest())
 
 
-def test_merge_of_transforms_sorts_suffixes():
+def test_merge_of_transforms_orders_windows():
     rng = np.random.default_rng(1)
     strings = [rng.integers(97, 99, n).astype(np.uint8) for n in (50, 31, 80, 7)]
     strings.append(strings[0][5:45])
     shards = [suffix_dedup.transform(strings[:2], 24), suffix_dedup.transform(strings[2:], 24)]
-    order, common = suffix_dedup.merged(shards, 24)
-    rows = [(s.tobytes() + b"\xff" * 8)[k:] + (s.tobytes() + b"\xff" * 8)[:k] for s in strings for k in range(len(s) + 8)]
-    cut = [(rows[i] * 4)[:24] for i in order]
-    assert cut == sorted(cut) and sorted(order.tolist()) == list(range(len(rows)))
-    for i in range(1, len(cut)):
-        assert common[i] == next((k for k in (0, 8, 16) if cut[i][k : k + 8] != cut[i - 1][k : k + 8]), 24)
+    order, same = suffix_dedup.merged(shards, 24)
+    text = b"".join(s.tobytes() + b"\xff" * 8 for s in strings)
+    cut = [text[i : i + 24] for i in order]
+    assert cut == sorted(cut) and sorted(order.tolist()) == [i for i in range(len(text) - 23) if 255 not in text[i : i + 24]]
+    assert same.tolist() == [i > 0 and cut[i] == cut[i - 1] for i in range(len(cut))]
 
 
 def test_packing_round_trip_and_best_fit(spark, texts):
