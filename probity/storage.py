@@ -8,6 +8,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+_made: dict[str, str] = {}  # of local sessions that name no folder, by application
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder named by ``spark.checkpoint.dir``; in local mode without it, a new temporary folder."""
     conf = spark.sparkContext.getConf()
@@ -16,9 +19,10 @@ def shared_dir(spark: SparkSession) -> str:
         return named.rstrip("/")
     if not conf.get("spark.master", "local").startswith("local["):
         raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    made = f"file://{tempfile.mkdtemp(prefix='spark-')}"
-    spark.conf.set("spark.checkpoint.dir", made)
-    return made
+    app = spark.sparkContext.applicationId
+    if app not in _made:
+        _made[app] = f"file://{tempfile.mkdtemp(prefix='spark-')}"
+    return _made[app]
 
 
 def new_path(spark: SparkSession, name: str) -> str:
