@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from probity.operators import annotations as a
 from probity.operators import models as mod
+from probity.operators import provenance as prov
 from probity.operators import reports as rep
 from probity.operators import risk as r
 from probity.plans import corpus, evidence
@@ -108,3 +109,23 @@ def _(s, d):
     li = s.read.parquet(f"{d}/lineitem.parquet")
     value = F.concat((F.col("l_linenumber") - 2).cast("string"), F.lit(" 0.5  0.5 "), F.when(F.col("l_quantity") > 45, "1.5").otherwise("0.1"), F.lit(" "), F.when(F.col("l_discount") == 0, "0").otherwise("0.2"))
     return a.yolo_defects(li.select(F.col("l_orderkey").alias("path"), F.col("l_linenumber").alias("line_no"), value.alias("value")), 5)
+
+
+def sealed_records(s, d):
+    """Events as records whose hash binds every field; every seventh has a bad signature."""
+    e = s.read.parquet(f"{d}/events.parquet")
+    text = lambda c: F.col(c).cast("string")
+    rows = e.select(
+        text("event_id").alias("record_id"), text("user_id").alias("input_hash"), F.lit("model").alias("model_identifier"), F.md5("event_type").alias("model_hash"), F.col("props").alias("config_json"),
+        F.col("event_type").alias("prediction"), F.lit(None).cast("double").alias("confidence"), F.lit(None).cast("timestamp").alias("ts"), F.concat(F.lit("n"), text("event_id")).alias("nonce"),
+    )
+    return rows.withColumn("record_hash", prov.bound_digest()).withColumn("signature_valid", F.col("record_id").cast("long") % 7 != 0)
+
+
+@query("sealed_records", """SELECT CAST(event_id AS VARCHAR) AS record_id, CASE WHEN event_id % 10 = 3 THEN 'TAMPERED' WHEN event_id % 7 = 0 THEN 'FORGED' ELSE 'VERIFIED' END AS status,
+ CASE WHEN event_id % 10 = 3 THEN CASE WHEN event_id % 20 = 3 THEN 'input_hash,prediction' ELSE 'prediction' END ELSE '' END AS altered, FALSE AS unsigned FROM events""")
+def _(s, d):
+    sealed = sealed_records(s, d)
+    number = F.col("record_id").cast("long")
+    shown = sealed.drop("record_hash", "signature_valid").withColumns({"prediction": F.when(number % 10 == 3, "forged").otherwise(F.col("prediction")), "input_hash": F.when(number % 20 == 3, "other").otherwise(F.col("input_hash"))})
+    return prov.verified(sealed, shown)
