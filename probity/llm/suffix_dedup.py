@@ -77,7 +77,7 @@ def occurrences(docs: DataFrame, length: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, buf, offs in parts(batch):
+            for part, buf, offs in parts(batch, most_bytes=1 << 19):
                 for lo in range(0, max(1, len(buf)), PIECE):  # more than one for a single long text only
                     piece = buf[lo : lo + PIECE + length - 1]
                     ends = offs if len(buf) <= PIECE else np.array([0, len(piece)])
