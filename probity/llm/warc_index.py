@@ -14,6 +14,7 @@ global order. Ranges cut inside a URL's history where it is long.
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import re
 from collections.abc import Iterator
@@ -61,8 +62,11 @@ def capture_records(pages: DataFrame, revisit_least: int = REVISIT_LEAST, start:
     return met.select("page_id", "url", "date", "digest", "length", F.when(F.col("page_id") < F.col("last"), F.col("last")).alias("refers_to"), "payload")
 
 
-def write_warc(records: DataFrame, path: str, records_per_file: int = RECORDS_PER_FILE) -> None:
-    """Write ``capture_records`` as WARC/1.1 files under ``path``. Revisits carry no block."""
+def write_warc(records: DataFrame, path: str, records_per_file: int = RECORDS_PER_FILE, compression: str = "gzip") -> None:
+    """Write ``capture_records`` as WARC/1.1 files under ``path``. Revisits carry no block.
+
+    With gzip a file is one compressed stream; offsets in the index are those of the plain stream.
+    """
     urn = lambda c: F.concat(F.lit("<urn:page:"), F.coalesce(c.cast("string"), F.lit("null")), F.lit(">"))
     is_revisit = F.col("refers_to").isNotNull()
     head = F.concat_ws(
@@ -79,7 +83,7 @@ def write_warc(records: DataFrame, path: str, records_per_file: int = RECORDS_PE
         F.concat(F.lit("Content-Length: "), F.when(is_revisit, 0).otherwise(F.col("length"))),
     )
     block = F.when(is_revisit, "").otherwise(F.col("payload"))
-    records.select(F.concat(head, F.lit(END), block).alias("value")).write.option("lineSep", END).option("maxRecordsPerFile", records_per_file).text(path)
+    records.select(F.concat(head, F.lit(END), block).alias("value")).write.option("lineSep", END).option("maxRecordsPerFile", records_per_file).option("compression", compression).text(path)
 
 
 def url_key(url: str | None) -> str:
@@ -122,7 +126,7 @@ def read_warc(spark, path: str, payloads: bool = False) -> DataFrame:
         for batch in batches:
             for name, data in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
                 rows = []
-                raw = memoryview(data.as_buffer())
+                raw = memoryview(gzip.decompress(data.as_buffer()) if name.endswith(".gz") else data.as_buffer())
                 for head, at, block in parsed(raw):
                     kind = head["WARC-Type"]
                     url = head.get("WARC-Target-URI")
