@@ -33,13 +33,15 @@ def simhash64(rows: DataFrame, key: str, text: str, words: int = 3) -> DataFrame
     return votes.select(key, bits.alias("fingerprint"))
 
 
-def near_pairs(prints: DataFrame, radius: int = DEFAULT.hamming) -> DataFrame:
+def near_pairs(prints: DataFrame, radius: int = DEFAULT.hamming, content: tuple[str, ...] = ()) -> DataFrame:
     """Pairs of distinct fingerprints within ``radius`` bits. Columns: id, fingerprint.
 
     The 64 bits are cut into radius + 1 bands, one of which two near fingerprints share (pigeonhole).
-    Equal fingerprints go as one, their least id; pairs meet once, in the first band they share.
+    Equal fingerprints go as one, their least id; pairs meet once, in the first band they share. With
+    columns of ``content`` only rows equal in these too go as one. ``near_links`` and ``near_clusters``
+    put the rows that went as one back.
     """
-    one = prints.groupBy("fingerprint").agg(F.min("id").alias("id"))
+    one = prints.groupBy("fingerprint", *content).agg(F.min("id").alias("id"))
     n = radius + 1
     edges = [64 * k // n for k in range(n + 1)]
 
@@ -57,12 +59,65 @@ def near_pairs(prints: DataFrame, radius: int = DEFAULT.hamming) -> DataFrame:
     return met.withColumn("distance", distance).filter((F.col("distance") <= radius) & ~earlier).select("a", "b", "distance")
 
 
+def with_copies(pairs: DataFrame, copies: DataFrame) -> DataFrame:
+    """``pairs``, and the closest pair of each copy's original with the copy (id, original) in its place."""
+    rest = [c for c in pairs.columns if c not in ("a", "b")]
+    ends = [pairs.select(F.col(x).alias("node"), F.struct("distance", F.col(y).alias("other"), *[c for c in rest if c != "distance"]).alias("pair")) for x, y in (("a", "b"), ("b", "a"))]
+    closest = ends[0].union(ends[1]).groupBy("node").agg(F.min("pair").alias("pair"))
+    met = copies.join(closest, F.col("original") == F.col("node"))
+    return pairs.unionByName(met.select(F.least("id", "pair.other").alias("a"), F.greatest("id", "pair.other").alias("b"), *[F.col(f"pair.{c}").alias(c) for c in rest]))
+
+
+def near_links(prints: DataFrame, radius: int = DEFAULT.hamming) -> DataFrame:
+    """``near_pairs`` and as many more that every near copy has one. Columns: id, fingerprint, sha256.
+
+    Rows of one fingerprint and unequal content are near copies too. They are linked by two stars: to the
+    first row of the least content, and that content's own rows to a row of the greatest. Rows of one
+    fingerprint and one content are exact copies; each takes the closest pair of its original. So no
+    link joins equal content, links hang together as all pairs do, and no group's pairs are listed.
+    """
+    prints = materialise(prints, "prints")
+    pairs = materialise(near_pairs(prints, radius), "pairs")
+    ends = prints.groupBy(F.col("fingerprint").alias("g")).agg(F.min("id").alias("original"), F.min(F.struct("sha256", "id")).alias("low"), F.max(F.struct("sha256", (-F.col("id")).alias("minus"))).alias("high"))
+    met = prints.join(ends, F.col("fingerprint") == F.col("g"))
+    varied = F.col("low.sha256") != F.col("high.sha256")
+    hub = F.when(F.col("sha256") != F.col("low.sha256"), F.col("low.id")).when(F.col("id") != F.col("low.id"), -F.col("high.minus"))
+    stars = met.filter(varied).withColumn("hub", hub).filter("hub is not null").select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b"), F.lit(0).alias("distance"))
+    copies = met.filter(~varied & (F.col("id") != F.col("original"))).select("id", "original")
+    return with_copies(pairs, copies).unionByName(stars)
+
+
+def near_clusters(prints: DataFrame, radius: int = DEFAULT.hamming) -> DataFrame:
+    """sample_id, cluster and redundant of every near copy, exact copies of near copies among them.
+
+    Columns: id, fingerprint, sha256. Components are sought over one row a fingerprint; its other rows
+    are joined back by equality. A fingerprint near no other is a cluster if its contents differ.
+    """
+    prints = materialise(prints, "prints")
+    near = cut_clusters(near_pairs(prints, radius)).select(F.col("sample_id").alias("node"), "cluster")
+    groups = prints.groupBy(F.col("fingerprint").alias("g")).agg(F.min("id").alias("original"), (F.min("sha256") != F.max("sha256")).alias("varied"))
+    groups = groups.join(near, F.col("original") == F.col("node"), "left").filter("varied or node is not null").select("g", F.coalesce("cluster", "original").alias("cluster"))
+    return prints.join(groups, F.col("fingerprint") == F.col("g")).select(F.col("id").alias("sample_id"), "cluster", (F.col("id") != F.col("cluster")).alias("redundant"))
+
+
+def near_vectors(rows: DataFrame, radius: int = DEFAULT.hamming, cosine: float = DEFAULT.cosine) -> DataFrame:
+    """Confirmed pairs of distinct vectors, and one for each exact copy of a vector that has any.
+
+    Columns: id, fingerprint, v. Vectors of one fingerprint are compared unless they are equal.
+    """
+    rows = materialise(rows, "vectors")
+    pairs = materialise(confirmed_pairs(near_pairs(rows, radius, ("v",)), rows.select("id", "v"), cosine), "pairs")
+    first = rows.groupBy(F.col("fingerprint").alias("g"), F.col("v").alias("g_v")).agg(F.min("id").alias("original"), F.count("*").alias("n")).filter("n > 1")
+    copies = rows.join(first, (F.col("fingerprint") == F.col("g")) & (F.col("v") == F.col("g_v"))).filter("id <> original").select("id", "original")
+    return with_copies(pairs, copies)
+
+
 def confirmed_pairs(pairs: DataFrame, vectors: DataFrame, cosine: float = DEFAULT.cosine) -> DataFrame:
     """Pairs whose vectors (id, v as array of double) have ``cosine`` or more."""
     va, vb = (vectors.select(F.col("id").alias(f"i{k}"), F.col("v").alias(f"v{k}")) for k in ("a", "b"))
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda s, p: s + p)
     met = pairs.join(va, F.col("a") == F.col("ia")).join(vb, F.col("b") == F.col("ib"))
-    similarity = dot(F.col("va"), F.col("vb")) / F.sqrt(dot(F.col("va"), F.col("va")) * dot(F.col("vb"), F.col("vb")))
+    similarity = F.try_divide(dot(F.col("va"), F.col("vb")), F.sqrt(dot(F.col("va"), F.col("va")) * dot(F.col("vb"), F.col("vb"))))
     return met.select("a", "b", "distance", similarity.alias("similarity")).filter(F.col("similarity") >= cosine)
 
 

@@ -73,7 +73,8 @@ def _(s, d):
 
 
 def prints(s, d):
-    return dup.simhash64(table(s, d, "documents"), "doc_id", "text").select(F.col("doc_id").alias("id"), "fingerprint")
+    content = view(s, d, "samples").select("sample_id", "sha256")
+    return dup.simhash64(table(s, d, "documents"), "doc_id", "text").join(content, F.col("doc_id") == F.col("sample_id")).select(F.col("doc_id").alias("id"), "fingerprint", "sha256")
 
 
 PAIRS = f"SELECT x.id AS a, y.id AS b, bit_count(xor(x.u, y.u)) AS distance FROM one x JOIN one y ON x.id < y.id WHERE bit_count(xor(x.u, y.u)) <= 5"
@@ -81,19 +82,19 @@ PAIRS = f"SELECT x.id AS a, y.id AS b, bit_count(xor(x.u, y.u)) AS distance FROM
 
 @query("near_duplicate_pairs", f"WITH one AS (SELECT u, min(doc_id) AS id FROM ({SIMHASH}) GROUP BY u) {PAIRS}")
 def _(s, d):
-    return dup.near_pairs(prints(s, d))
+    return dup.near_links(prints(s, d))
 
 
 @query("duplicate_clusters", f"""WITH RECURSIVE one AS (SELECT u, min(doc_id) AS id FROM ({SIMHASH}) GROUP BY u), e AS ({PAIRS}), g AS (SELECT a, b FROM e UNION SELECT b, a FROM e), reach AS (SELECT a AS node, a AS seen FROM g UNION SELECT reach.node, g.b FROM reach JOIN g ON g.a = reach.seen)
  SELECT node AS sample_id, min(seen) AS cluster, node <> min(seen) AS redundant FROM reach GROUP BY node""")
 def _(s, d):
-    return dup.cut_clusters(dup.near_pairs(prints(s, d)))
+    return dup.near_clusters(prints(s, d))
 
 
 @query("near_flooding", f"""WITH RECURSIVE one AS (SELECT u, min(doc_id) AS id FROM ({SIMHASH}) GROUP BY u), e AS ({PAIRS}), g AS (SELECT a, b FROM e UNION SELECT b, a FROM e), reach AS (SELECT a AS node, a AS seen FROM g UNION SELECT reach.node, g.b FROM reach JOIN g ON g.a = reach.seen),
  c AS (SELECT node FROM reach GROUP BY node HAVING node <> min(seen)) SELECT contributor, count(*) AS n, count(node) AS near, round(count(node) / count(*), 6) AS share, count(node) / count(*) >= 0.02 AS floods FROM samples LEFT JOIN c ON sample_id = node GROUP BY contributor""")
 def _(s, d):
-    return dup.flooding(dup.cut_clusters(dup.near_pairs(prints(s, d))), view(s, d, "samples"))
+    return dup.flooding(dup.near_clusters(prints(s, d)), view(s, d, "samples"))
 
 
 def exact_clusters(s, d):
@@ -274,8 +275,7 @@ def _(s, d):
     bits = F.lit(0).cast("long")
     for k in range(64):
         bits = bits.bitwiseOR(F.when(F.element_at("v", k + 1) > 0, F.lit(1 << k if k < 63 else -(1 << 63)).cast("long")).otherwise(F.lit(0).cast("long")))
-    pairs = dup.near_pairs(rows.select("id", bits.alias("fingerprint")))
-    return dup.confirmed_pairs(pairs, rows).withColumn("similarity", F.round("similarity", 6))
+    return dup.near_vectors(rows.select("id", bits.alias("fingerprint"), "v")).withColumn("similarity", F.round("similarity", 6))
 
 
 @query("trigger_responses", """WITH p AS (SELECT trigger_name, count(*) AS n, count(*) FILTER (pred <> clean_pred) AS flips FROM responses GROUP BY trigger_name), t AS (SELECT trigger_name, pred AS target, count(*) AS hits, row_number() OVER (PARTITION BY trigger_name ORDER BY count(*) DESC, pred) AS q FROM responses WHERE pred <> clean_pred GROUP BY trigger_name, pred),

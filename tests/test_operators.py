@@ -168,3 +168,22 @@ def test_lockout_backoff(spark):
     rows = [("u", False, T0 + datetime.timedelta(seconds=i)) for i in range(6)] + [("v", False, T0)]
     out = monitoring.lockouts(spark.createDataFrame(rows, "identifier string, successful boolean, attempted_at timestamp"), F.lit(T0 + datetime.timedelta(seconds=30))).collect()
     assert [(r.identifier, r.lock_seconds, r.locked) for r in out] == [("u", 60, True)]
+
+
+def test_equal_fingerprints_of_unequal_content_are_near_copies(spark):
+    rows = [(1, 7, "x"), (2, 7, "x"), (3, 7, "y"), (4, 0xFFF << 40, "p"), (5, 0xFFF << 40, "p"), (6, (0xFFF << 40) + 1, "q"), (7, -99, "z"), (8, -99, "z"), *[(100 + i, 0x5555 << 30, f"c{i}") for i in range(50)]]
+    prints = spark.createDataFrame(rows, "id long, fingerprint long, sha256 string")
+    near = {(i, j): ((f ^ g) & (1 << 64) - 1).bit_count() for i, f, c in rows for j, g, e in rows if i < j and c != e and ((f ^ g) & (1 << 64) - 1).bit_count() <= 5}
+    links = {(r.a, r.b): r.distance for r in duplicates.near_links(prints).collect()}
+    assert links.items() <= near.items() and {x for e in links for x in e} == {x for e in near for x in e}
+    want = {1: 1, 2: 1, 3: 1, 4: 4, 5: 4, 6: 4, **{100 + i: 100 for i in range(50)}}
+    assert {r.sample_id: r.cluster for r in duplicates.near_clusters(prints).collect()} == want
+    assert {r.sample_id: r.cluster for r in duplicates.clusters(duplicates.near_links(prints)).collect()} == want
+    owners = spark.createDataFrame([(i, "flooder" if i > 99 else "other") for i, _, _ in rows], "sample_id long, contributor string")
+    assert {r.contributor: (r.near, r.floods) for r in duplicates.flooding(duplicates.near_clusters(prints), owners).collect()} == {"flooder": (49, True), "other": (4, True)}
+
+
+def test_vectors_of_equal_signs_are_compared(spark):
+    rows = [(1, 3, [1.0, 1.0, 0.0]), (2, 3, [1.0, 0.9, 0.0]), (3, 3, [1.0, 0.9, 0.0]), (4, 3, [0.01, 1.0, 0.0]), (5, 0, [0.0, 0.0, 0.0]), (6, 0, [-1.0, -1.0, -1.0])]
+    got = {(r.a, r.b) for r in duplicates.near_vectors(spark.createDataFrame(rows, "id long, fingerprint long, v array<double>")).collect()}
+    assert got == {(1, 2), (1, 3)}
