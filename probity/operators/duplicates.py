@@ -126,6 +126,18 @@ def clusters(pairs: DataFrame) -> DataFrame:
     return connected_components(pairs.select("a", "b")).select(F.col("node").alias("sample_id"), F.col("component").alias("cluster"), (F.col("node") != F.col("component")).alias("redundant"))
 
 
+def all_clusters(samples: DataFrame, near: DataFrame) -> DataFrame:
+    """``samples`` in a cluster of near or of exact copies, with cluster, its least sample.
+
+    ``near`` is of ``near_clusters`` and holds all exact copies of what it holds, so an exact group lies
+    in one of its clusters as a whole or in none.
+    """
+    groups = exact_groups(samples).select(F.col("sha256").alias("g"), "first_id")
+    met = samples.join(near.select(F.col("sample_id").alias("n_id"), F.col("cluster").alias("n_cluster")), F.col("sample_id") == F.col("n_id"), "left")
+    met = met.join(groups, F.col("sha256") == F.col("g"), "left").withColumn("cluster", F.coalesce("n_cluster", "first_id"))
+    return met.filter("cluster is not null").drop("n_id", "n_cluster", "g", "first_id")
+
+
 def flooding(clustered: DataFrame, samples: DataFrame, t: Thresholds = DEFAULT) -> DataFrame:
     """By contributor: samples, near copies charged to it, share, and whether it floods."""
     copies = clustered.filter("redundant").select(F.col("sample_id").alias("c_id"))

@@ -97,15 +97,11 @@ def _(s, d):
     return dup.flooding(dup.near_clusters(prints(s, d)), view(s, d, "samples"))
 
 
-def exact_clusters(s, d):
-    samples = view(s, d, "samples")
-    groups = dup.exact_groups(samples).select(F.col("sha256").alias("g"), F.col("first_id").alias("cluster"))
-    return samples.join(groups, F.col("sha256") == F.col("g")).select("cluster", "path", "sample_id")
 
 
 @query("split_leakage", "WITH g AS (SELECT *, min(sample_id) OVER (PARTITION BY sha256) AS cluster, count(*) OVER (PARTITION BY sha256) AS c FROM samples), x AS (SELECT cluster, CASE WHEN path LIKE '%/validation/%' THEN 'val' WHEN path LIKE '%/test/%' THEN 'test' ELSE 'train' END AS split FROM g WHERE c > 1) SELECT cluster, count(*) AS n, string_agg(DISTINCT split, ',' ORDER BY split) AS splits, count(DISTINCT split) AS n_splits FROM x GROUP BY cluster HAVING count(DISTINCT split) > 1")
 def _(s, d):
-    return dup.leaks(exact_clusters(s, d))
+    return dup.leaks(dup.all_clusters(view(s, d, "samples"), dup.near_clusters(prints(s, d))))
 
 
 @query("evaluation_contamination", """WITH sh AS (SELECT 'd' AS k, doc_id AS id, string_split(lower(text), ' ') AS w FROM documents UNION ALL SELECT 'i', item_id, string_split(lower(text), ' ') FROM benchmark),
@@ -118,7 +114,7 @@ def _(s, d):
 @query("redundant_union", "WITH x AS (SELECT sample_id, label, row_number() OVER (PARTITION BY sha256 ORDER BY sample_id) AS p FROM samples) SELECT sample_id, 'exact' AS kind FROM x WHERE p > 1 UNION ALL SELECT sample_id, 'near' FROM samples WHERE sample_id % 17 = 0")
 def _(s, d):
     samples = view(s, d, "samples")
-    return dup.redundant_union(dup.redundant(samples), samples.filter("sample_id % 17 = 0"))
+    return dup.redundant_union(dup.redundant(samples), dup.near_clusters(prints(s, d)).filter("redundant"))
 
 
 @query("class_imbalance", "SELECT count(*) AS n_classes, max(n) AS max_count, min(n) AS min_count, round(max(n) / min(n), 6) AS ratio, CASE WHEN max(n) / min(n) >= 25 THEN 'HIGH' WHEN max(n) / min(n) > 8 THEN 'MEDIUM' ELSE 'INFO' END AS severity FROM (SELECT label, count(*) AS n FROM samples GROUP BY label)")

@@ -8,6 +8,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from probity.operators import annotations, duplicates, findings, graph, models, monitoring, provenance, risk, shift, vectors
+from probity.plans import corpus
 from probity.sources import manifest
 
 T0 = datetime.datetime(2024, 1, 1)
@@ -187,3 +188,15 @@ def test_vectors_of_equal_signs_are_compared(spark):
     rows = [(1, 3, [1.0, 1.0, 0.0]), (2, 3, [1.0, 0.9, 0.0]), (3, 3, [1.0, 0.9, 0.0]), (4, 3, [0.01, 1.0, 0.0]), (5, 0, [0.0, 0.0, 0.0]), (6, 0, [-1.0, -1.0, -1.0])]
     got = {(r.a, r.b) for r in duplicates.near_vectors(spark.createDataFrame(rows, "id long, fingerprint long, v array<double>")).collect()}
     assert got == {(1, 2), (1, 3)}
+
+
+def test_leaks_and_redundant_samples_have_near_copies(spark, tmp_path):
+    w = [f"w{i}" for i in range(400)]
+    texts = {0: " ".join(w), 2: " ".join([*w, "end"]), 12: "a b c d", 11: "a b c d", 3: "e f g h", 13: "i j", 10: "i j"}
+    texts[21] = texts[2]
+    rows = [(i, t, "en", "s", len(t)) for i, t in texts.items()]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    leaks = {r.cluster: (r.n, r.splits) for r in corpus.QUERIES["split_leakage"](spark, str(tmp_path)).collect()}
+    assert leaks == {0: (3, "test,train,val"), 11: (2, "test,train"), 10: (2, "train,val")}
+    union = {tuple(r) for r in corpus.QUERIES["redundant_union"](spark, str(tmp_path)).collect()}
+    assert union == {(12, "exact"), (13, "exact"), (21, "exact"), (2, "near"), (21, "near")}
