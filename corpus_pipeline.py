@@ -37,8 +37,8 @@ def drop_contaminated(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix_sources(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The words that the mix takes, a row for each document and epoch."""
-    return mixing.mixed_texts(docs)
+    """The words that the mix takes, a row for each document and epoch; rows of an output shard lie in one file."""
+    return mixing.mixed_texts(docs).repartition("shard").select(docs.columns)
 
 
 def pack_tokens(spark, docs: DataFrame, sf_dir: str) -> DataFrame:

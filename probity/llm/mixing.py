@@ -3,9 +3,11 @@
 The words of each source, its documents laid end to end, are packed into blocks of ``block`` words.
 A source with N blocks gets n slots, n being its target over its size times N. Slot j stands for
 epoch ``j div N`` and for the block to which the source's pseudorandom permutation of [0, N) for that
-epoch maps ``j mod N``; blocks and slots meet by block index. Slots fall on output shards by a hash,
-so that the counts of a source over the shards are one multinomial draw; its total is held at n,
-which keeps every source at its target and every block at no more than ``ceil(n / N)`` draws.
+epoch maps ``j mod N``; blocks and slots meet by block index. The mix has one number of output shards.
+Each slot draws its shard evenly, by a seeded hash of source and slot, so that the counts of a source
+over the shards are one multinomial draw, and each shard's counts over the sources are one by target
+weight. A source's total is held at n, which keeps it at its target and every block at no more than
+``ceil(n / N)`` draws; the shards' totals vary as the draws do.
 
 Permutation: swap-or-not. A round with key K pairs x with (K - x) mod N and, by a bit of a hash of
 the larger of the two, takes one or the other. This is a bijection for any N, without tables.
@@ -58,20 +60,21 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, most
     return src.select("source", "src", "source_size", "weight", target.alias("target"))
 
 
-def slot_counts(targets: DataFrame, block: int = BLOCK) -> DataFrame:
-    """``targets`` with n_blocks and n_slots."""
+def slot_counts(targets: DataFrame, block: int = BLOCK, slots_per_shard: int = SLOTS_PER_SHARD) -> DataFrame:
+    """``targets`` with n_blocks, n_slots and n_shards, the shards of the whole mix."""
     n = F.ceil(F.col("source_size") / block).cast("long")
     slots = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size") * n + 0.5)).otherwise(0)
-    return targets.withColumn("n_blocks", n).withColumn("n_slots", slots.cast("long"))
+    shards = F.greatest(F.lit(1), F.ceil(F.sum("n_slots").over(Window.partitionBy()) / slots_per_shard)).cast("long")
+    return targets.withColumn("n_blocks", n).withColumn("n_slots", slots.cast("long")).withColumn("n_shards", shards)
 
 
 def laid_out(sizes: DataFrame, sources: DataFrame, buckets: int = BUCKETS) -> DataFrame:
-    """Every row of ``sizes`` with src, n_blocks, n_slots and start, its first word's place in its source.
+    """Every row of ``sizes`` with src, n_blocks, n_slots, n_shards and start, its first word's place in its source.
 
     A source's documents go in order of (bucket, doc_id, size). Running sums are made inside buckets
     and over the buckets' totals, so that no source is ordered in one task.
     """
-    known = sizes.join(F.broadcast(sources.select(F.col("source").alias("name"), "src", "n_blocks", "n_slots")), F.col("source").eqNullSafe(F.col("name"))).drop("name")
+    known = sizes.join(F.broadcast(sources.select(F.col("source").alias("name"), "src", "n_blocks", "n_slots", "n_shards")), F.col("source").eqNullSafe(F.col("name"))).drop("name")
     known = known.withColumn("bucket", F.pmod(F.coalesce("doc_id", F.lit(-1)) * 7919 % PRIME, F.lit(buckets)))
     inside = Window.partitionBy("src", "bucket").orderBy("doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     before = Window.partitionBy("b_src").orderBy("b_bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -105,23 +108,22 @@ def permuted(slots: DataFrame, seed: int, rounds: int = ROUNDS) -> DataFrame:
     return keyed.withColumn("x", F.aggregate(steps, F.col("x"), _round)).drop("key")
 
 
-def draws(cut: DataFrame, most: int = MOST, seed: int = 20_261, slots_per_shard: int = SLOTS_PER_SHARD, block: int = BLOCK) -> DataFrame:
+def draws(cut: DataFrame, most: int = MOST, seed: int = 20_261, block: int = BLOCK) -> DataFrame:
     """One row a slot: src, slot, epoch, idx (the block drawn), shard.
 
     Slots are made from the blocks, each at the one document that holds its first word, so that a
     source's slots are as spread as its documents.
     """
-    first = cut.filter(F.col("start") <= F.col("idx") * block).select("src", "n_blocks", "n_slots", F.col("idx").alias("x"))
+    first = cut.filter(F.col("start") <= F.col("idx") * block).select("src", "n_blocks", "n_slots", "n_shards", F.col("idx").alias("x"))
     slots = first.withColumn("epoch", F.explode(F.array(*[F.lit(e).cast("long") for e in range(most)]))).withColumn("slot", F.col("x") + F.col("epoch") * F.col("n_blocks"))
     slots = permuted(slots.filter(F.col("slot") < F.col("n_slots")), seed)
-    shards = F.ceil(F.col("n_slots") / slots_per_shard)
-    return slots.select("src", "slot", "epoch", F.col("x").alias("idx"), F.pmod(F.col("slot") * 48_271 % PRIME * 16_807 % PRIME, shards).alias("shard"))
+    return slots.select("src", "slot", "epoch", F.col("x").alias("idx"), F.pmod(F.xxhash64(F.lit(seed), "src", "slot"), F.col("n_shards")).alias("shard"))
 
 
-def planned(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = MOST, block: int = BLOCK):
+def planned(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = MOST, block: int = BLOCK, slots_per_shard: int = SLOTS_PER_SHARD):
     """The laid-out rows, their pieces and the sources' table; sizes and targets are written once."""
     sizes = materialise(sizes, "sizes")
-    sources = materialise(slot_counts(source_targets(sizes, weights, share, most), block), "sources")
+    sources = materialise(slot_counts(source_targets(sizes, weights, share, most), block, slots_per_shard), "sources")
     rows = laid_out(sizes, sources)
     return rows, pieces(rows, block), sources
 
@@ -143,20 +145,24 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = MOST
     return out.join(F.broadcast(named), F.col("src") == F.col("s_src")).select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
 
 
-def mixed_texts(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = MOST, block: int = BLOCK) -> DataFrame:
-    """The mix as rows with the columns of ``docs``: one for each document and epoch that draws from it.
+def mixed_texts(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = MOST, block: int = BLOCK, slots_per_shard: int = SLOTS_PER_SHARD, split: bool = False) -> DataFrame:
+    """The mix as rows with the columns of ``docs`` and shard: one for each document and epoch that draws from it.
 
     A document drawn whole keeps its text; of one drawn in part, the words drawn are joined by single
-    blanks in their order. Documents without words are kept once, as they are. doc_id is a key here:
+    blanks in their order. A row goes to the shard of its first drawn block, so that documents stay
+    whole; with ``split`` there is a row for each shard too, which holds exactly the blocks that the shard
+    drew. Documents without words are kept once, as they are, in shard 0. doc_id is a key here:
     where rows repeat one, the longest (then the last source) is laid out and all are cut as it is.
     """
     one = sized(docs).groupBy("doc_id").agg(F.max(F.struct("size", "source")).alias("row")).select("doc_id", "row.source", "row.size")
-    rows, cut, _ = planned(one, weights, share, most, block)
-    drawn = draws(cut, most, block=block).select(F.col("src").alias("d_src"), F.col("idx").alias("d_idx"), "epoch")
+    rows, cut, _ = planned(one, weights, share, most, block, slots_per_shard)
+    drawn = draws(cut, most, block=block).select(F.col("src").alias("d_src"), F.col("idx").alias("d_idx"), "epoch", "shard")
     met = cut.select("doc_id", "size", "src", "start", "idx", "overlap").join(drawn, (F.col("src") == F.col("d_src")) & (F.col("idx") == F.col("d_idx")))
     at = F.greatest(F.lit(0), F.col("idx") * block - F.col("start"))
-    by_doc = met.groupBy(F.col("doc_id").alias("m_id"), "epoch").agg(F.max("size").alias("m_size"), F.sum("overlap").alias("m_taken"), F.sort_array(F.collect_list(F.struct(at.cast("int").alias("at"), F.col("overlap").cast("int").alias("n")))).alias("cuts"))
-    empty = rows.filter(F.col("size") == 0).select(F.col("doc_id").alias("m_id"), F.lit(0).alias("epoch"), F.lit(0).cast("long").alias("m_size"), F.lit(0).cast("long").alias("m_taken"), F.array().cast("array<struct<at:int,n:int>>").alias("cuts"))
+    keys = [F.col("doc_id").alias("m_id"), "epoch", *([F.col("shard").alias("part")] if split else [])]
+    cuts = F.sort_array(F.collect_list(F.struct(at.cast("int").alias("at"), F.col("overlap").cast("int").alias("n"), "shard")))
+    by_doc = met.groupBy(*keys).agg(F.max("size").alias("m_size"), F.sum("overlap").alias("m_taken"), cuts.alias("cuts")).drop("part")
+    empty = rows.filter(F.col("size") == 0).select(F.col("doc_id").alias("m_id"), F.lit(0).cast("long").alias("epoch"), F.lit(0).cast("long").alias("m_size"), F.lit(0).cast("long").alias("m_taken"), F.array().cast("array<struct<at:int,n:int,shard:bigint>>").alias("cuts"))
     met = by_doc.unionByName(empty)
     out = docs.join(met.hint("merge"), F.col("doc_id").eqNullSafe(F.col("m_id")))
     words = F.regexp_extract_all("text", F.lit(f"({WORD})"), F.lit(1))
@@ -166,7 +172,7 @@ def mixed_texts(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: in
     out = out.withColumn("text", text)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(docs.columns)
+    return out.select(*docs.columns, F.coalesce(F.get("cuts", F.lit(0))["shard"], F.lit(0)).cast("long").alias("shard"))
 
 
 def op6_mixing(spark, sf_dir: str) -> DataFrame:

@@ -234,3 +234,23 @@ def test_empty_tables(spark):
     ):
         assert out.collect() == []
     assert decontaminate.decontaminate(frame(spark, ["a b"]), items).first().n_hit == 0
+
+
+def test_shards_hold_drawn_counts_of_sources(spark):
+    texts = [" ".join(words(40, k)) for k in range(600)]
+    docs = frame(spark, texts, ["a", "b", "c"])
+    _, cut, sources = mixing.planned(mixing.sized(docs), (1, 1, 1), block=4, slots_per_shard=1000)
+    n_slots = {r.src: r.n_slots for r in sources.collect()}
+    drawn = mixing.draws(cut, block=4).groupBy("shard", "src").count().collect()
+    counts = {(r["shard"], r["src"]): r["count"] for r in drawn}
+    shards = -(-sum(n_slots.values()) // 1000)
+    assert {k for k, _ in counts} == set(range(shards)) and shards == 9
+    assert {s: sum(counts[(k, s)] for k in range(shards)) for s in n_slots} == n_slots
+    assert all(abs(n - n_slots[s] / shards) < 5 * (n_slots[s] / shards) ** 0.5 for (_, s), n in counts.items())
+    assert len({tuple(counts[(k, s)] for k in range(shards)) for s in n_slots}) == 3
+    size = {}
+    for r in mixing.mixed_texts(docs, (1, 1, 1), block=4, slots_per_shard=1000, split=True).collect():
+        size[(r["shard"], ord(r["source"]) - 96)] = size.get((r["shard"], ord(r["source"]) - 96), 0) + len(r["text"].split())
+    assert size == {k: 4 * n for k, n in counts.items()}
+    whole = mixing.mixed_texts(docs, (1, 1, 1), block=4, slots_per_shard=1000).collect()
+    assert {r["shard"] for r in whole} == set(range(shards)) and {r["text"] for r in whole} >= set(texts)
