@@ -24,10 +24,8 @@ def drop_toxic(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the least doc_id, and all others."""
-    groups = jaccard_join.jaccard_join(docs, NEAR_WORDS, NEAR_SIMILARITY)
-    kept = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(kept.hint("merge"), F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
+    """Of each group of near duplicates one row, that of the least doc_id, and all others."""
+    return jaccard_join.single(docs, NEAR_WORDS, NEAR_SIMILARITY)
 
 
 def drop_contaminated(spark, docs: DataFrame, sf_dir: str) -> DataFrame:

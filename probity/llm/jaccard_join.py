@@ -20,7 +20,7 @@ from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from probity.llm.textbatch import BLANK_WORDS, U, mix64, parts, shingle_sets, sums_by
@@ -85,17 +85,27 @@ def set_names(rows: np.ndarray, hashes: np.ndarray, n_rows: int) -> tuple[np.nda
     return mix64(a).view(np.int64), mix64(b).view(np.int64)
 
 
-def described(docs: DataFrame, words: int) -> DataFrame:
-    """doc_id, n_shingles and the set's two names, for every row."""
+def described(docs: DataFrame, words: int, carried: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, n_shingles, the set's two names and the columns of ``carried``, for every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, buf, offs in parts(batch):
                 rows, hashes, counts = shingle_sets(buf, offs, words, BLANK_WORDS)
                 a, b = set_names(rows, hashes, part.num_rows)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(counts), pa.array(a), pa.array(b)], names=["doc_id", "n_shingles", "set_a", "set_b"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(counts), pa.array(a), pa.array(b), *[part.column(c) for c in carried]], names=["doc_id", "n_shingles", "set_a", "set_b", *carried])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, set_a long, set_b long")
+    return docs.select("doc_id", "text", *carried).mapInArrow(run, ", ".join(["doc_id long, n_shingles long, set_a long, set_b long", *[f"{c} long" for c in carried]]))
+
+
+def text_hash() -> Column:
+    return F.xxhash64("text")
+
+
+def row_keys(docs: DataFrame) -> tuple[Column, Column]:
+    """Two hashes of all columns of a row, its nulls included; rows equal in both are the same."""
+    known = [F.col(f"`{c}`") for c in docs.columns]
+    return tuple(F.xxhash64(F.lit(k), *known, *[x.isNull() for x in known]) for k in (1, 2))
 
 
 def _stars(sig: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -211,21 +221,25 @@ def linked_in(sizes: np.ndarray, owner: np.ndarray, hashes: np.ndarray, similari
 def verified_edges(docs: DataFrame, members: DataFrame, words: int, similarity: Fraction, cluster_shingles: int) -> DataFrame:
     """Edges between sets that are linked, enough to hold each group together.
 
-    ``members``: fetch_id, m_a, m_b, cluster, blocks, block of every set in a candidate cluster.
+    ``members``: fetch_id, by_text, m_a, m_b, cluster, blocks, block of every set in a candidate cluster.
+    A set is fetched by a doc_id of its own or, where it has none, by a hash of its text (``by_text``).
     """
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()  # rows that share id and text; solve drops those that other tasks fetch
         for batch in batches:
             for part, buf, offs in parts(batch):
                 rows, hashes, counts = shingle_sets(buf, offs, words, BLANK_WORDS)
                 a, b = set_names(rows, hashes, part.num_rows)
                 ends = np.concatenate(([0], np.cumsum(counts)))
                 fits = np.flatnonzero((a == np.asarray(part.column("m_a"))) & (b == np.asarray(part.column("m_b"))))
+                fits = np.array([i for i in fits if (x := int(a[i])) not in seen and not seen.add(x)], dtype=np.int64)
                 data = pa.array([hashes[ends[i] : ends[i + 1]].tobytes() for i in fits], pa.binary())
                 kept = part.take(pa.array(fits))
                 yield pa.RecordBatch.from_arrays([kept.column("m_a"), kept.column("cluster"), kept.column("blocks"), kept.column("block"), data], names=["m_a", "cluster", "blocks", "block", "data"])
 
-    fetched = docs.select("doc_id", "text").join(members.hint("merge"), F.col("doc_id") == F.col("fetch_id")).mapInArrow(sets, "m_a long, cluster long, blocks int, block int, data binary")
+    keyed = docs.select("text", F.coalesce("doc_id", text_hash()).alias("key"), F.col("doc_id").isNull().alias("no_id"))
+    fetched = keyed.join(members.hint("merge"), (F.col("key") == F.col("fetch_id")) & (F.col("no_id") == F.col("by_text"))).mapInArrow(sets, "m_a long, cluster long, blocks int, block int, data binary")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     spread = fetched.withColumn("other", other).select("m_a", "cluster", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), "data")
     total = members.agg(F.coalesce(F.sum("m_n"), F.lit(0))).first()[0]
@@ -242,6 +256,7 @@ def verified_edges(docs: DataFrame, members: DataFrame, words: int, similarity:
         key = np.stack([cluster[order], one[order], two[order]], axis=1)
         head = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]).any(axis=1))))
         for at in np.split(order, head[1:]):
+            at = at[np.unique(name[at], return_index=True)[1]]
             own = [data[i] for i in at]
             sizes = np.array([len(x) for x in own])
             owner = np.repeat(np.arange(len(own)), sizes)
@@ -261,13 +276,18 @@ def jaccard_join(docs: DataFrame, words: int = WORDS, similarity: Fraction = SIM
     text and get the least doc_id that their set reaches. A null doc_id is a row like others and
     never the least unless all are null. Other columns are not read. An empty table gives no rows.
     """
+    return grouped(docs.select("doc_id", "text"), words, similarity, cluster_shingles).select("doc_id", "n_shingles", "component_id")
+
+
+def grouped(docs: DataFrame, words: int = WORDS, similarity: Fraction = SIMILARITY, cluster_shingles: int = CLUSTER_SHINGLES, carried: tuple[str, ...] = ()) -> DataFrame:
+    """``jaccard_join`` with linked, which rows of one group alone share (null without words), and the columns of ``carried``."""
     spark = docs.sparkSession
-    docs = docs.select("doc_id", "text")
     n_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    own = materialise(described(docs, words), "sets")
-    sets = own.filter("n_shingles > 0").groupBy("set_a", "set_b").agg(F.min("doc_id").alias("least"), F.max("n_shingles").alias("n"))
+    hashed = docs.withColumn("text_key", F.when(F.col("doc_id").isNull(), text_hash()))
+    own = materialise(described(hashed, words, ("text_key", *carried)), "sets")
+    sets = own.filter("n_shingles > 0").groupBy("set_a", "set_b").agg(F.min("doc_id").alias("least"), F.max("n_shingles").alias("n"), F.min("text_key").alias("text_key"))
     clusters = connected_components(candidate_edges(docs, words, similarity, n_parts))
-    sized = sets.join(clusters, F.col("set_a") == F.col("node")).select(F.col("least").alias("fetch_id"), F.col("set_a").alias("m_a"), F.col("set_b").alias("m_b"), F.col("n").alias("m_n"), F.col("component").alias("cluster"))
+    sized = sets.join(clusters, F.col("set_a") == F.col("node")).select(F.coalesce("least", "text_key").alias("fetch_id"), F.col("least").isNull().alias("by_text"), F.col("set_a").alias("m_a"), F.col("set_b").alias("m_b"), F.col("n").alias("m_n"), F.col("component").alias("cluster"))
     sized = materialise(sized, "members")
     volume = sized.groupBy(F.col("cluster").alias("v_cluster")).agg(F.sum("m_n").alias("volume"))
     blocks = F.ceil(F.col("volume") * 2 / cluster_shingles).cast("int")
@@ -277,10 +297,22 @@ def jaccard_join(docs: DataFrame, words: int = WORDS, similarity: Fraction = SIM
     # a group's least doc_id, of the sets in it
     reach = sets.select("set_a", "least").join(groups, F.col("set_a") == F.col("node"))
     low = reach.groupBy(F.col("component").alias("low_component")).agg(F.min("least").alias("low"))
-    far = reach.join(low, F.col("component") == F.col("low_component")).select(F.col("set_a").alias("far_a"), "low")
-    near = sets.join(far, F.col("set_a") == F.col("far_a"), "left").select(F.col("set_a").alias("near_a"), F.col("set_b").alias("near_b"), F.least("least", "low").alias("component_id"))
+    far = reach.join(low, F.col("component") == F.col("low_component")).select(F.col("set_a").alias("far_a"), "low", "component")
+    near = sets.join(far, F.col("set_a") == F.col("far_a"), "left").select(F.col("set_a").alias("near_a"), F.col("set_b").alias("near_b"), F.least("least", "low").alias("component_id"), F.coalesce("component", "set_a").alias("linked"))
     out = own.join(near, (F.col("set_a") == F.col("near_a")) & (F.col("set_b") == F.col("near_b")) & (F.col("n_shingles") > 0), "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), "linked", *carried)
+
+
+def single(docs: DataFrame, words: int = WORDS, similarity: Fraction = SIMILARITY) -> DataFrame:
+    """``docs`` with one row of each group, that of the least doc_id (null last), and all rows without words."""
+    a, b = row_keys(docs)
+    keyed = docs.withColumns({"row_a": a, "row_b": b})
+    rows = grouped(keyed, words, similarity, carried=("row_a", "row_b"))
+    first = rows.filter("linked is not null").groupBy("linked").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_a", "row_b")).alias("row"))
+    first = first.select(F.col("row.row_a").alias("kept_a"), F.col("row.row_b").alias("kept_b"), F.lit(1).cast("long").alias("times"))
+    empty = rows.filter("linked is null").groupBy(F.col("row_a").alias("kept_a"), F.col("row_b").alias("kept_b")).agg(F.count("*").alias("times"))
+    met = keyed.dropDuplicates(["row_a", "row_b"]).join(first.union(empty).hint("merge"), (F.col("row_a") == F.col("kept_a")) & (F.col("row_b") == F.col("kept_b")))
+    return met.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times")))).select(docs.columns)
 
 
 def op8_ngram_jaccard_join(spark, sf_dir: str) -> DataFrame:

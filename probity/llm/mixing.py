@@ -18,6 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from probity.llm.jaccard_join import row_keys
 from probity.storage import materialise
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -29,12 +30,13 @@ SLOTS_PER_SHARD = 65_536
 BUCKETS = 256  # parts in which a source's running word count is made
 ROUNDS = 6
 PRIME = 2_147_483_647
+ROW = ("row_a", "row_b", "copy")  # tell rows apart in mixed_texts
 
 
-def sized(docs: DataFrame) -> DataFrame:
-    """doc_id, source and size, the number of words (null: 0), of every row."""
+def sized(docs: DataFrame, *keys: str) -> DataFrame:
+    """doc_id, source, ``keys`` and size, the number of words (null: 0), of every row."""
     words = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD))
-    return docs.select("doc_id", "source", words.cast("long").alias("size"))
+    return docs.select("doc_id", "source", *keys, words.cast("long").alias("size"))
 
 
 def source_targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
@@ -71,12 +73,12 @@ def slot_counts(targets: DataFrame, block: int = BLOCK, slots_per_shard: int = S
 def laid_out(sizes: DataFrame, sources: DataFrame, buckets: int = BUCKETS) -> DataFrame:
     """Every row of ``sizes`` with src, n_blocks, n_slots, n_shards and start, its first word's place in its source.
 
-    A source's documents go in order of (bucket, doc_id, size). Running sums are made inside buckets
+    A source's documents go in order of (bucket, doc_id, size), then of their row keys if they have any. Running sums are made inside buckets
     and over the buckets' totals, so that no source is ordered in one task.
     """
     known = sizes.join(F.broadcast(sources.select(F.col("source").alias("name"), "src", "n_blocks", "n_slots", "n_shards")), F.col("source").eqNullSafe(F.col("name"))).drop("name")
     known = known.withColumn("bucket", F.pmod(F.coalesce("doc_id", F.lit(-1)) * 7919 % PRIME, F.lit(buckets)))
-    inside = Window.partitionBy("src", "bucket").orderBy("doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("src", "bucket").orderBy("doc_id", "size", *[c for c in ROW if c in sizes.columns]).rowsBetween(Window.unboundedPreceding, -1)
     before = Window.partitionBy("b_src").orderBy("b_bucket").rowsBetween(Window.unboundedPreceding, -1)
     totals = known.groupBy(F.col("src").alias("b_src"), F.col("bucket").alias("b_bucket")).agg(F.sum("size").alias("b_size"))
     totals = totals.select("b_src", "b_bucket", F.coalesce(F.sum("b_size").over(before), F.lit(0)).alias("b_start"))
@@ -151,20 +153,25 @@ def mixed_texts(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: in
     A document drawn whole keeps its text; of one drawn in part, the words drawn are joined by single
     blanks in their order. A row goes to the shard of its first drawn block, so that documents stay
     whole; with ``split`` there is a row for each shard too, which holds exactly the blocks that the shard
-    drew. Documents without words are kept once, as they are, in shard 0. doc_id is a key here:
-    where rows repeat one, the longest (then the last source) is laid out and all are cut as it is.
+    drew. Documents without words are kept once, as they are, in shard 0. Every row is laid out and drawn
+    on its own, also where rows repeat a doc_id, have none, or are the same.
     """
-    one = sized(docs).groupBy("doc_id").agg(F.max(F.struct("size", "source")).alias("row")).select("doc_id", "row.source", "row.size")
+    a, b = row_keys(docs)
+    keyed = docs.withColumns({"row_a": a, "row_b": b})
+    # rows that are the same are laid out as copies, and their text is joined back once
+    same = sized(keyed, "row_a", "row_b").groupBy("row_a", "row_b").agg(*[F.first(c).alias(c) for c in ("doc_id", "source", "size")], F.count("*").alias("times"))
+    one = same.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times")))).drop("times")
     rows, cut, _ = planned(one, weights, share, most, block, slots_per_shard)
     drawn = draws(cut, most, block=block).select(F.col("src").alias("d_src"), F.col("idx").alias("d_idx"), "epoch", "shard")
-    met = cut.select("doc_id", "size", "src", "start", "idx", "overlap").join(drawn, (F.col("src") == F.col("d_src")) & (F.col("idx") == F.col("d_idx")))
+    met = cut.select(*ROW, "size", "src", "start", "idx", "overlap").join(drawn, (F.col("src") == F.col("d_src")) & (F.col("idx") == F.col("d_idx")))
     at = F.greatest(F.lit(0), F.col("idx") * block - F.col("start"))
-    keys = [F.col("doc_id").alias("m_id"), "epoch", *([F.col("shard").alias("part")] if split else [])]
+    name = [F.col(c).alias(f"m_{c}") for c in ROW]
+    keys = [*name, "epoch", *([F.col("shard").alias("part")] if split else [])]
     cuts = F.sort_array(F.collect_list(F.struct(at.cast("int").alias("at"), F.col("overlap").cast("int").alias("n"), "shard")))
     by_doc = met.groupBy(*keys).agg(F.max("size").alias("m_size"), F.sum("overlap").alias("m_taken"), cuts.alias("cuts")).drop("part")
-    empty = rows.filter(F.col("size") == 0).select(F.col("doc_id").alias("m_id"), F.lit(0).cast("long").alias("epoch"), F.lit(0).cast("long").alias("m_size"), F.lit(0).cast("long").alias("m_taken"), F.array().cast("array<struct<at:int,n:int,shard:bigint>>").alias("cuts"))
+    empty = rows.filter(F.col("size") == 0).select(*name, F.lit(0).cast("long").alias("epoch"), F.lit(0).cast("long").alias("m_size"), F.lit(0).cast("long").alias("m_taken"), F.array().cast("array<struct<at:int,n:int,shard:bigint>>").alias("cuts"))
     met = by_doc.unionByName(empty)
-    out = docs.join(met.hint("merge"), F.col("doc_id").eqNullSafe(F.col("m_id")))
+    out = keyed.dropDuplicates(["row_a", "row_b"]).join(met.hint("merge"), (F.col("row_a") == F.col("m_row_a")) & (F.col("row_b") == F.col("m_row_b")))
     words = F.regexp_extract_all("text", F.lit(f"({WORD})"), F.lit(1))
     some = F.array_join(F.flatten(F.transform("cuts", lambda c: F.slice(F.col("words"), c["at"] + 1, c["n"]))), " ")
     out = out.withColumn("whole", F.col("m_taken") == F.col("m_size")).withColumn("words", F.when(~F.col("whole"), words))

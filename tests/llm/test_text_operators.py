@@ -254,3 +254,19 @@ def test_shards_hold_drawn_counts_of_sources(spark):
     assert size == {k: 4 * n for k, n in counts.items()}
     whole = mixing.mixed_texts(docs, (1, 1, 1), block=4, slots_per_shard=1000).collect()
     assert {r["shard"] for r in whole} == set(range(shards)) and {r["text"] for r in whole} >= set(texts)
+
+
+def test_null_and_repeated_ids_are_rows_like_others(spark):
+    base, other = words(60, 1), words(60, 2)
+    lines = [(5, " ".join([*base, *other[:6]])), (None, " ".join([*base, *other[:3]])), (None, " ".join([*base, *other[:3]])), (9, " ".join(base)), (None, " ".join(words(50, 3))), (20, " ".join(words(50, 4))), (20, " ".join(words(50, 4))), (20, " ".join(words(70, 5))), (None, None), (None, None), (3, "")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in lines], "doc_id long, text string, lang string, source string, n_chars long")
+    # 5 and 9 share 57 of 63 shingles; with 0.92 only the null row between them links both
+    got = sorted((r.doc_id or -1, r.component_id or -1) for r in jaccard_join.jaccard_join(docs, 4, Fraction(92, 100)).collect())
+    assert got == sorted([(5, 5), (-1, 5), (-1, 5), (9, 5), (-1, -1), (20, 20), (20, 20), (20, 20), (-1, -1), (-1, -1), (3, 3)])
+    kept = jaccard_join.single(docs, 4, Fraction(92, 100))
+    want = [lines[k] for k in (0, 4, 5, 7, 8, 9, 10)]
+    assert kept.columns == docs.columns and sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted(want, key=str)
+    mixed = mixing.mixed_texts(docs, share=1, block=4).collect()
+    n = [len((r.text or "").split()) for r in mixed]
+    assert abs(sum(n) - sum(len((t or "").split()) for _, t in lines)) <= 4 and len(mixed) == len(lines)
+    assert sorted((str(r.doc_id), r.text) for r in mixed if r.text) == sorted((str(i), t) for i, t in lines if t)
