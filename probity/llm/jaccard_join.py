@@ -2,21 +2,30 @@
 
 Sets are banded by size so that two sets of similarity t or more lie in one band or in two that touch.
 A tag covers a band and the one below. Two such sets differ in D elements at most, D known from their
-sizes; the feature domain is cut by a hash into D + 1 + m parts, so at least m + 1 parts hold the same
-elements in both. A signature is the content of one part; a set shows those of the first parts, as many
-as its own size asks for. Parts with fewer than two elements are common by chance: a set that has at
-most m of them leaves them out, which loses no pair, and any other set shows them too.
-
-Sets with a signature in common become one candidate cluster. Only a star of edges per signature is
-needed for that, so a signature that a third of all rows share sends one row for each map task to the
-shuffle, and no pairs of a group are listed. Clusters are then solved exactly; one too large for a task
-is cut into blocks, each pair of blocks is a task, and spanning edges alone come out.
+sizes. A hash cuts the feature domain into parts, each cut again into sub-parts: with fewer than k + 1
+differences allowed a part, D // (k + 1) + 1 + m parts leave at least m + 1 parts in which both sets
+differ in at most k sub-parts, and then all other sub-parts of it hold the same elements in both. A
+signature is the content of a subset of a part's sub-parts, all but k of them; every subset of every
+part is enumerated. Tags of few differences take k = 1 of three sub-parts, wider ones k = 0 of one. Of
+the parts, a set shows the first ones only, as many as its own size asks for.
+
+Signatures of few elements are common by chance. A set leaves out those of fewer than c elements, c
+being the largest number (of at most ``FULL``) for which that touches at most m of its parts. Of two
+near sets take the one with the larger c: at least one of their m + 1 good parts keeps all signatures
+in it, so the signature they share has c elements or more and both show it.
+
+Every signature that several sets show has a leading set, the one of the least name, and makes the
+others members of its ball. All sets with a signature in common are in one ball, so solving the balls
+one by one, exactly and without listing their pairs, finds every link. A ball too large for a task is
+solved in blocks, each with the leading set; what that leaves apart meets in pairs of blocks, but for
+pairs of blocks inside the ball's largest group, which is one already.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from fractions import Fraction
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -29,9 +38,14 @@ from probity.storage import materialise
 
 WORDS = 4
 SIMILARITY = Fraction(85, 100)
-SLACK = 0.12  # m as a share of D + 1
+SLACK = 0.12  # m as a share of the parts
+FULL = 4  # elements that make a signature uncommon enough
+FEW = 64  # differences, below which subsets of sub-parts are enumerated
 FLUSH = 1_500_000  # signatures that a map task holds at once
-CLUSTER_SHINGLES = 2_000_000  # that one task compares
+FLUSH_SETS = 60_000
+PART_SHINGLES = 2_000_000  # whose signatures meet in one task
+BALL_SHINGLES = 1_000_000  # that one task compares
+COUNTED = 1 << 20  # common elements counted at once
 
 
 def bands(similarity: Fraction, most: int = 1 << 40) -> tuple[np.ndarray, np.ndarray]:
@@ -50,32 +64,55 @@ def signatures(rows: np.ndarray, hashes: np.ndarray, counts: np.ndarray, similar
     first, last = bands(similarity, max(1, int(counts.max(initial=1))) * 2)
     apart = 1 - similarity
     num, den = apart.numerator, apart.denominator
-    near = (num * counts) // (den - num)  # D with the set as the smaller one
+    near = (num * counts) // (den - num)  # D with the set as the smaller one; 0: only the same set is near enough
     band = np.searchsorted(first, counts, "right") - 1
-    out_row, out_sig = [], []
+    found = []
     for step in (0, 1):
         tag = np.minimum(band + step, len(last) - 1)
         widest = (2 * num * last[tag]) // (2 * den - num)  # D of any two sets of the tag
-        d = np.minimum(near, widest)
-        spare = np.ceil(slack * (widest + 1)).astype(np.int64) + 1
-        n_parts, shown = widest + 1 + spare, d + 1 + spare
-        shown[(near == 0) | (counts == 0)] = 0  # only the same set is near enough
-        base = np.concatenate(([0], np.cumsum(shown)))
-        part = (mix64(hashes + (U(0x5851F42D4C957F2D) * (tag[rows].astype(U) + U(1)))) % n_parts[rows].astype(U)).astype(np.int64)
-        keep = part < shown[rows]
-        where, h = (base[rows] + part)[keep], mix64(hashes[keep] + U(1))
-        n = np.bincount(where, minlength=base[-1])
-        low = np.bincount(where, weights=(h & U(0xFFFFFFF)).astype(float), minlength=base[-1])
-        high = np.bincount(where, weights=((h >> U(28)) & U(0xFFFFFFF)).astype(float), minlength=base[-1])
-        row = np.repeat(np.arange(len(counts)), shown)
-        weak = n < 2
-        many = np.bincount(row[weak], minlength=len(counts)) > spare
-        sure = ~weak | many[row]
-        place = np.arange(base[-1]) - base[row]
-        sig = mix64(mix64(low.astype(U) + (high.astype(U) << U(32)) + n.astype(U)) + place.astype(U) * U(0xD6E8FEB86659FD93) + tag[row].astype(U) * U(0xA0761D6478BD642F))
-        out_row.append(row[sure])
-        out_sig.append(sig[sure])
-    return np.concatenate(out_row), np.concatenate(out_sig)
+        for k, n_sub in ((1, 3), (0, 1)):
+            own = (near > 0) & ((widest < FEW) == (k > 0))
+            inside = own[rows]
+            at = np.cumsum(own) - 1
+            row, sig = _enumerated(at[rows[inside]], hashes[inside], tag[own], np.minimum(near, widest)[own], widest[own], k, n_sub, slack)
+            found.append((np.flatnonzero(own)[row], sig))
+    return np.concatenate([row for row, _ in found]), np.concatenate([sig for _, sig in found])
+
+
+def _enumerated(rows: np.ndarray, hashes: np.ndarray, tag: np.ndarray, d: np.ndarray, widest: np.ndarray, k: int, n_sub: int, slack: float) -> tuple[np.ndarray, np.ndarray]:
+    """Signatures of sets under one tag each; ``k`` sub-parts of a part's ``n_sub`` may differ."""
+    subsets = list(combinations(range(n_sub), n_sub - k))
+    n_parts = widest // (k + 1) + 1
+    spare = np.ceil(slack * n_parts).astype(np.int64) + 1
+    n_parts, shown = n_parts + spare, d // (k + 1) + 1 + spare
+    base = np.concatenate(([0], np.cumsum(shown)))
+    place = mix64(hashes + (U(0x5851F42D4C957F2D) * (tag[rows].astype(U) + U(1))))
+    part = (place % n_parts[rows].astype(U)).astype(np.int64)
+    keep = part < shown[rows]
+    where = base[rows] + part
+    if n_sub > 1:
+        where = where * n_sub + ((mix64(place) >> U(20)) % U(n_sub)).astype(np.int64)
+    where, h = where[keep], mix64(hashes[keep] + U(1))
+    size = base[-1] * n_sub
+    n = np.bincount(where, minlength=size).reshape(-1, n_sub)
+    # sums of 28 bits are exact in floats
+    low = np.bincount(where, weights=(h & U(0xFFFFFFF)).astype(float), minlength=size).astype(U).reshape(-1, n_sub)
+    high = np.bincount(where, weights=((h >> U(28)) & U(0xFFFFFFF)).astype(float), minlength=size).astype(U).reshape(-1, n_sub)
+    row = np.repeat(np.arange(len(tag)), shown)
+    order = (np.arange(base[-1]) - base[row]).astype(U) * U(len(subsets))
+    held, sigs = [], []
+    for j, own in enumerate(subsets):
+        pick = list(own)
+        count = n[:, pick].sum(axis=1)
+        content = mix64(low[:, pick].sum(axis=1) + (high[:, pick].sum(axis=1) << U(32)) + count.astype(U))
+        held.append(count)
+        sigs.append(mix64(content + (order + U(j)) * U(0xD6E8FEB86659FD93) + tag[row].astype(U) * U(0xA0761D6478BD642F)))
+    fewest = np.minimum.reduce(held)
+    least = np.zeros(len(tag), dtype=np.int64)
+    for c in range(1, FULL + 1):
+        least[np.bincount(row[fewest < c], minlength=len(tag)) <= spare] = c
+    full = [count >= least[row] for count in held]
+    return np.concatenate([row[f] for f in full]), np.concatenate([s[f] for s, f in zip(sigs, full, strict=True)])
 
 
 def set_names(rows: np.ndarray, hashes: np.ndarray, n_rows: int) -> tuple[np.ndarray, np.ndarray]:
@@ -108,44 +145,38 @@ def row_keys(docs: DataFrame) -> tuple[Column, Column]:
     return tuple(F.xxhash64(F.lit(k), *known, *[x.isNull() for x in known]) for k in (1, 2))
 
 
-def _stars(sig: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct signatures with the least node of each, and edges from it to the signature's other nodes."""
+def _stars(sig: np.ndarray, node: np.ndarray) -> np.ndarray:
+    """Distinct pairs (least node, other node) of the nodes that share a signature."""
     order = np.argsort(sig, kind="stable")
     sig, node = sig[order], node[order]
     head = np.flatnonzero(np.concatenate(([True], sig[1:] != sig[:-1])))
-    size = np.diff(np.append(head, len(sig)))
-    least = np.minimum.reduceat(node, head)
-    lead = np.repeat(least, size)
+    lead = np.repeat(np.minimum.reduceat(node, head), np.diff(np.append(head, len(sig))))
     other = lead != node
-    edges = np.unique(np.stack([lead[other], node[other]], axis=1), axis=0)
-    return sig[head], least, edges[:, 0], edges[:, 1]
+    return np.unique(np.stack([lead[other], node[other]], axis=1), axis=0)
 
 
-def _packed(kind: int, part: np.ndarray, x: np.ndarray, y: np.ndarray) -> pa.RecordBatch | None:
-    if not len(x):
-        return None
+def _by_part(sig: np.ndarray, at: np.ndarray, names: np.ndarray, n_parts: int) -> pa.RecordBatch:
+    """Signatures, dealt by value: of each part the signatures, the sets that show them and their names."""
+    part = (sig % U(n_parts)).astype(np.int32)
     order = np.argsort(part, kind="stable")
-    part, both = part[order], np.stack([x.view(np.int64)[order], y[order]], axis=1)
+    part, sig, at = part[order], sig[order], at[order]
     head = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1])))
-    blobs = [both[i:j].tobytes() for i, j in zip(head, [*head[1:], len(part)], strict=True)]
-    return pa.RecordBatch.from_arrays([pa.array(part[head].astype(np.int32)), pa.array([kind] * len(head), pa.int32()), pa.array(blobs, pa.binary())], names=["part", "kind", "data"])
+    blobs = []
+    for i, j in zip(head, [*head[1:], len(part)], strict=True):
+        own, place = np.unique(at[i:j], return_inverse=True)
+        blobs.append((sig[i:j].tobytes(), place.astype(np.uint16).tobytes(), names[own].tobytes()))
+    return pa.RecordBatch.from_arrays([pa.array(part[head]), *(pa.array(x, pa.binary()) for x in zip(*blobs, strict=True))], names=["part", "sigs", "places", "names"])
 
 
-def candidate_edges(docs: DataFrame, words: int, similarity: Fraction, n_parts: int) -> DataFrame:
-    """Edges (a, b) between set names such that sets with a common signature hang together."""
+def candidate_stars(docs: DataFrame, words: int, similarity: Fraction, n_parts: int) -> DataFrame:
+    """lead and node of every set that shares a signature with a set of a lesser name, the lead."""
 
     def show(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()  # sets that this task has shown; forgetting some would only show them again
         sigs: list[np.ndarray] = []
-        nodes: list[np.ndarray] = []
+        places: list[np.ndarray] = []
+        names: list[np.ndarray] = []
         held = 0
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            if held:
-                sig, least, a, b = _stars(np.concatenate(sigs), np.concatenate(nodes))
-                edge_part = mix64(a.view(U) * U(3) + b.view(U)) % U(n_parts)
-                yield from (x for x in (_packed(0, sig % U(n_parts), sig, least), _packed(1, edge_part, a, b)) if x is not None)
-
         for batch in batches:
             for part, buf, offs in parts(batch):
                 rows, hashes, counts = shingle_sets(buf, offs, words, BLANK_WORDS)
@@ -155,78 +186,113 @@ def candidate_edges(docs: DataFrame, words: int, similarity: Fraction, n_parts:
                     if counts[i] and x not in seen:
                         new[i] = True
                         seen.add(x)
-                if len(seen) > 2_000_000:
+                if len(seen) > 500_000:
                     seen.clear()
                 row, sig = signatures(rows, hashes, np.where(new, counts, 0), similarity)
                 sigs.append(sig)
-                nodes.append(name[row])
+                places.append(row + sum(map(len, names)))
+                names.append(name)
                 held += len(sig)
-                if held >= FLUSH:
-                    yield from flush()
-                    sigs, nodes, held = [], [], 0
-        yield from flush()
+                if held >= FLUSH or sum(map(len, names)) >= FLUSH_SETS:
+                    if held:
+                        yield _by_part(np.concatenate(sigs), np.concatenate(places), np.concatenate(names), n_parts)
+                    sigs, places, names, held = [], [], [], 0
+        if held:
+            yield _by_part(np.concatenate(sigs), np.concatenate(places), np.concatenate(names), n_parts)
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def made(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
-
-        held: list[np.ndarray] = []
-        edges: list[np.ndarray] = []
+        sigs: list[np.ndarray] = []
+        nodes: list[np.ndarray] = []
         for batch in batches:
-            for kind, data in zip(batch.column("kind").to_pylist(), batch.column("data"), strict=True):
-                (edges if kind else held).append(np.frombuffer(data.as_buffer(), dtype=np.int64).reshape(-1, 2).copy())
-        if edges:
-            pairs = np.unique(np.concatenate(edges), axis=0)
-            yield made(pairs[:, 0].copy(), pairs[:, 1].copy())
-        if held:
-            both = np.concatenate(held)
-            held.clear()
-            _, _, a, b = _stars(both[:, 0].copy().view(U), both[:, 1].copy())
-            yield made(a, b)
-
-    shown = docs.select("text").mapInArrow(show, "part int, kind int, data binary")
-    return shown.repartition(n_parts, "part").mapInArrow(meet, "a long, b long")
-
-
-def linked_in(sizes: np.ndarray, owner: np.ndarray, hashes: np.ndarray, similarity: Fraction) -> list[tuple[int, int]]:
-    """Spanning edges between sets of similarity or more."""
-    n = len(sizes)
-    order = np.argsort(hashes, kind="stable")
-    h, o = hashes[order], owner[order]
-    change = np.concatenate(([True], h[1:] != h[:-1])) if len(h) else np.zeros(0, bool)
-    column = np.cumsum(change) - 1
-    common = np.bincount(column)[column] > 1 if len(h) else np.zeros(0, bool)
-    column, o = column[common], o[common]
-    _, column = np.unique(column, return_inverse=True)
-    width = (int(column.max(initial=-1)) + 8) // 8
-    bits = np.zeros((n, width), dtype=np.uint8)
-    np.bitwise_or.at(bits, (o, column >> 3), np.left_shift(np.uint8(1), (column & 7).astype(np.uint8)))
-    pad = -width % 8
-    bits = np.pad(bits, ((0, 0), (0, pad))).view(np.uint64)
-    label, edges = np.arange(n), []
+            for s, p, n in zip(*(batch.column(c) for c in ("sigs", "places", "names")), strict=True):
+                sigs.append(np.frombuffer(s.as_buffer(), dtype=U).copy())
+                nodes.append(np.frombuffer(n.as_buffer(), dtype=np.int64)[np.frombuffer(p.as_buffer(), dtype=np.uint16)])
+        if sigs:
+            pairs = _stars(np.concatenate(sigs), np.concatenate(nodes))
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], names=["lead", "node"])
+
+    shown = docs.select("text").mapInArrow(show, "part int, sigs binary, places binary, names binary")
+    return shown.repartition(n_parts, "part").mapInArrow(meet, "lead long, node long").distinct()
+
+
+def linked_in(group: np.ndarray, sizes: np.ndarray, owner: np.ndarray, hashes: np.ndarray, label: np.ndarray, pivot: np.ndarray, left: np.ndarray, right: np.ndarray, similarity: Fraction) -> list[tuple[int, int]]:
+    """Spanning edges between sets of one ``group`` of similarity or more.
+
+    ``label`` names what is one already. ``left`` sets are held against ``right`` ones by counting
+    what they have in common, those apart whose label is their ``pivot``. That loses nothing if a
+    group's left and right sets are the same or its right sets all have the label ``pivot``.
+    """
+    n, label = len(sizes), label.copy()
     num, den = similarity.numerator, similarity.denominator
-    for i in range(n - 1):
-        rest = np.flatnonzero(label[i + 1 :] != label[i]) + i + 1
-        rest = rest[(sizes[rest] * den >= sizes[i] * num) & (sizes[i] * den >= sizes[rest] * num)]
-        for lo in range(0, len(rest), 4096):
-            some = rest[lo : lo + 4096]
-            both = np.bitwise_count(bits[some] & bits[i]).sum(axis=1, dtype=np.int64)
-            for j in some[both * den >= (sizes[some] + sizes[i] - both) * num].tolist():
-                if label[j] != label[i]:
-                    edges.append((i, j))
-                    label[label == label[j]] = label[i]
+    element = mix64(hashes + mix64(group[owner].astype(U) + U(1)))
+    listed = right[owner]
+    order = np.argsort(element[listed], kind="stable")
+    value, holder = element[listed][order], owner[listed][order]
+    head = np.flatnonzero(np.concatenate(([True], value[1:] != value[:-1]))) if len(value) else np.zeros(0, np.int64)
+    value, length = value[head], np.diff(np.append(head, len(holder)))
+    near = np.minimum(np.searchsorted(value, element), max(0, len(value) - 1))
+    met = (value[near] == element) & left[owner] if len(value) else np.zeros(len(element), bool)
+    near, length = near, np.where(met, length[near], 0) if len(value) else np.zeros(len(element), np.int64)
+    ends = np.concatenate(([0], np.cumsum(sizes)))
+    cost = np.concatenate(([0], np.cumsum(length)))
+    cost = cost[ends[1:]] - cost[ends[:-1]]
+    edges: list[tuple[int, int]] = []
+    todo = np.flatnonzero(left)
+    while len(todo):
+        todo = todo[label[todo] != pivot[todo]]
+        take = max(1, int(np.searchsorted(np.cumsum(cost[todo]), COUNTED, "right")))
+        some, todo = todo[:take], todo[take:]
+        at = np.concatenate([np.arange(ends[i], ends[i + 1]) for i in some.tolist()]) if len(some) else np.zeros(0, np.int64)
+        run = length[at]
+        where = np.repeat(head[near[at]], run) + np.arange(run.sum()) - np.repeat(np.cumsum(run) - run, run) if len(head) else np.zeros(0, np.int64)
+        key, both = np.unique(np.repeat(owner[at], run) * n + holder[where], return_counts=True)
+        i, j = key // n, key % n
+        fits = (label[i] != label[j]) & (both * den >= (sizes[i] + sizes[j] - both) * num)
+        for a, b in zip(i[fits].tolist(), j[fits].tolist(), strict=True):
+            if label[a] != label[b]:
+                edges.append((a, b))
+                label[label == (label[a] if label[a] != pivot[a] else label[b])] = label[b] if label[a] != pivot[a] else label[a]
     return edges
 
 
-def verified_edges(docs: DataFrame, members: DataFrame, words: int, similarity: Fraction, cluster_shingles: int) -> DataFrame:
+def solved(table: pa.Table, similarity: Fraction) -> pa.Table:
+    """Edges between linked sets of the groups (ball, one, two) in ``table``; of a pair of blocks, between the two."""
+    name, label = table.column("m_a").to_numpy(), table.column("label").to_numpy()
+    block, main = table.column("block").to_numpy(), table.column("main").to_numpy()
+    keys = [table.column(c).to_numpy() for c in ("ball", "one", "two")]
+    order = np.lexsort((name, *keys))
+    same = np.concatenate(([False], np.logical_and.reduce([k[order][1:] == k[order][:-1] for k in (name, *keys)])))
+    order = order[~same]  # a set can be fetched twice
+    name, label, block, main = (x[order] for x in (name, label, block, main))
+    ball, one, two = (k[order] for k in keys)
+    group = np.cumsum(np.concatenate(([False], (ball[1:] != ball[:-1]) | (one[1:] != one[:-1]) | (two[1:] != two[:-1]))))
+    data = table.column("data").combine_chunks().take(pa.array(order))
+    own = [np.frombuffer(x.as_buffer(), dtype=U) for x in data]
+    sizes = np.array([len(x) for x in own], dtype=np.int64)
+    # labels by group: a set in two balls is two here
+    _, label = np.unique(np.stack([group, label], axis=1), axis=0, return_inverse=True)
+    label = label.reshape(-1)
+    inner = one == two
+    pivot = np.full(len(name), -1, dtype=np.int64)
+    first = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1])))
+    leads = {int(group[i]): int(label[i]) for i in first} | {int(group[i]): int(label[i]) for i in np.flatnonzero(name == ball)}
+    mains = {int(group[i]): int(label[i]) for i in np.flatnonzero(main & ~inner)}
+    for i in range(len(name)):
+        pivot[i] = leads[int(group[i])] if inner[i] else mains.get(int(group[i]), -1)
+    found = linked_in(group, sizes, np.repeat(np.arange(len(own)), sizes), np.concatenate(own), label, pivot, inner | (block == one), inner | (block == two), similarity)
+    return pa.table({"a": pa.array([int(name[i]) for i, _ in found], pa.int64()), "b": pa.array([int(name[j]) for _, j in found], pa.int64())})
+
+
+def verified_edges(docs: DataFrame, placed: DataFrame, words: int, similarity: Fraction) -> DataFrame:
     """Edges between sets that are linked, enough to hold each group together.
 
-    ``members``: fetch_id, by_text, m_a, m_b, cluster, blocks, block of every set in a candidate cluster.
-    A set is fetched by a doc_id of its own or, where it has none, by a hash of its text (``by_text``).
+    ``placed``: fetch_id, by_text, m_a, m_b of a set and bin, ball, one, two, block, label, main of a place
+    where it is compared. A set is fetched by a doc_id of its own or, where it has none, by a hash of
+    its text (``by_text``).
     """
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()  # rows that share id and text; solve drops those that other tasks fetch
+        seen: set[int] = set()  # rows that share id and text; solved drops those that other tasks fetch
         for batch in batches:
             for part, buf, offs in parts(batch):
                 rows, hashes, counts = shingle_sets(buf, offs, words, BLANK_WORDS)
@@ -236,38 +302,54 @@ def verified_edges(docs: DataFrame, members: DataFrame, words: int, similarity:
                 fits = np.array([i for i in fits if (x := int(a[i])) not in seen and not seen.add(x)], dtype=np.int64)
                 data = pa.array([hashes[ends[i] : ends[i + 1]].tobytes() for i in fits], pa.binary())
                 kept = part.take(pa.array(fits))
-                yield pa.RecordBatch.from_arrays([kept.column("m_a"), kept.column("cluster"), kept.column("blocks"), kept.column("block"), data], names=["m_a", "cluster", "blocks", "block", "data"])
+                yield pa.RecordBatch.from_arrays([kept.column("m_a"), kept.column("places"), data], names=["m_a", "places", "data"])
 
+    place = "bin long, ball long, one int, two int, block int, label long, main boolean"
+    per_set = placed.groupBy("fetch_id", "by_text", "m_a", "m_b").agg(F.collect_list(F.struct(*[c.split(" ")[0] for c in place.split(", ")])).alias("places"))
     keyed = docs.select("text", F.coalesce("doc_id", text_hash()).alias("key"), F.col("doc_id").isNull().alias("no_id"))
-    fetched = keyed.join(members.hint("merge"), (F.col("key") == F.col("fetch_id")) & (F.col("no_id") == F.col("by_text"))).mapInArrow(sets, "m_a long, cluster long, blocks int, block int, data binary")
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    spread = fetched.withColumn("other", other).select("m_a", "cluster", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), "data")
+    met = keyed.join(per_set.hint("merge"), (F.col("key") == F.col("fetch_id")) & (F.col("no_id") == F.col("by_text"))).select("text", "m_a", "m_b", "places")
+    fetched = met.mapInArrow(sets, f"m_a long, places array<struct<{place.replace(' ', ':').replace(',:', ',')}>>, data binary")
+    spread = fetched.select("m_a", "data", F.explode("places").alias("p")).select("m_a", "data", "p.*")
+    return spread.groupBy("bin").applyInArrow(lambda table: solved(table, similarity), "a long, b long")
+
+
+def in_blocks(members: DataFrame, ball_shingles: int) -> DataFrame:
+    """``placed`` of the members (ball, m_a, m_n, fetch_id, by_text, m_b), each block with the ball's leading set.
+
+    Small balls share bins by hash; a ball of more than an eighth of ``ball_shingles`` has its own.
+    """
     total = members.agg(F.coalesce(F.sum("m_n"), F.lit(0))).first()[0]
-    bins = int(max(1, total // (cluster_shingles // 8)))
-    spread = spread.withColumn("bin", F.when(F.col("two") == 0, F.pmod(F.xxhash64("cluster"), F.lit(bins))).otherwise(F.xxhash64("cluster", "one", "two")))
-
-    def solve(table: pa.Table) -> pa.Table:
-        cluster = table.column("cluster").to_numpy()
-        one, two = table.column("one").to_numpy(), table.column("two").to_numpy()
-        name = table.column("m_a").to_numpy()
-        data = [np.frombuffer(x.as_buffer(), dtype=U) for x in table.column("data")]
-        found: list[tuple[int, int]] = []
-        order = np.lexsort((two, one, cluster))
-        key = np.stack([cluster[order], one[order], two[order]], axis=1)
-        head = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]).any(axis=1))))
-        for at in np.split(order, head[1:]):
-            at = at[np.unique(name[at], return_index=True)[1]]
-            own = [data[i] for i in at]
-            sizes = np.array([len(x) for x in own])
-            owner = np.repeat(np.arange(len(own)), sizes)
-            found += [(int(name[at[i]]), int(name[at[j]])) for i, j in linked_in(sizes, owner, np.concatenate(own), similarity)]
-        a, b = ([x[k] for x in found] for k in (0, 1))
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
-
-    return spread.groupBy("bin").applyInArrow(solve, "a long, b long")
-
-
-def jaccard_join(docs: DataFrame, words: int = WORDS, similarity: Fraction = SIMILARITY, cluster_shingles: int = CLUSTER_SHINGLES) -> DataFrame:
+    bins = int(max(1, -(-total * 4 // ball_shingles)))
+    volume = members.groupBy(F.col("ball").alias("v_ball")).agg(F.sum("m_n").alias("volume"))
+    sized = members.join(volume, F.col("ball") == F.col("v_ball")).withColumn("blocks", F.ceil(F.col("volume") / ball_shingles).cast("int"))
+    here = F.pmod(F.xxhash64("m_b"), F.col("blocks")).cast("int")
+    everywhere = F.sequence(F.lit(0), F.col("blocks") - 1)
+    spread = sized.withColumn("one", F.explode(F.when(F.col("m_a") == F.col("ball"), everywhere).otherwise(F.array(here))))
+    alone = F.col("volume") * 8 > ball_shingles
+    spread = spread.withColumn("bin", F.when(alone, F.xxhash64("ball", "one")).otherwise(F.pmod(F.xxhash64("ball"), F.lit(bins))))
+    return spread.select("fetch_id", "by_text", "m_a", "m_b", "bin", "ball", "one", F.col("one").alias("two"), F.col("one").alias("block"), F.col("m_a").alias("label"), F.lit(False).alias("main"), "blocks")
+
+
+def across_blocks(members: DataFrame, groups: DataFrame, ball_shingles: int) -> DataFrame:
+    """``placed`` of the balls in several blocks whose sets are not one group yet.
+
+    The ball's largest group, by volume, is cut into blocks of its own, numbered from the others' on;
+    every pair of blocks is compared but for those of the largest group.
+    """
+    named = members.join(groups.select(F.col("node").alias("g_node"), F.col("component").alias("g_label")), F.col("m_a") == F.col("g_node"), "left")
+    named = named.withColumn("label", F.coalesce("g_label", "m_a")).drop("g_node", "g_label")
+    by_label = named.groupBy(F.col("ball").alias("l_ball"), F.col("label").alias("l_label")).agg(F.sum("m_n").alias("volume"))
+    by_ball = by_label.groupBy("l_ball").agg(F.max(F.struct("volume", "l_label")).alias("top"), F.sum("volume").alias("all"), F.count("*").alias("labels"))
+    blocks = lambda v: F.ceil(v * 2 / ball_shingles).cast("int")
+    wanted = by_ball.filter((F.col("all") > ball_shingles) & (F.col("labels") > 1)).select("l_ball", F.col("top.l_label").alias("top"), blocks(F.col("top.volume")).alias("n_main"), blocks(F.col("all") - F.col("top.volume")).alias("n_rest"))
+    met = named.join(wanted, F.col("ball") == F.col("l_ball")).withColumn("main", F.col("label") == F.col("top"))
+    met = met.withColumn("block", F.when(F.col("main"), F.col("n_rest") + F.pmod(F.xxhash64("m_b"), F.col("n_main"))).otherwise(F.pmod(F.xxhash64("m_b"), F.col("n_rest"))).cast("int"))
+    others = F.when(F.col("main"), F.sequence(F.lit(0), F.col("n_rest") - 1)).otherwise(F.sequence(F.lit(0), F.col("n_rest") + F.col("n_main") - 1))
+    met = met.withColumn("other", F.explode(others)).withColumns({"one": F.least("block", "other"), "two": F.greatest("block", "other")})
+    return met.select("fetch_id", "by_text", "m_a", "m_b", F.xxhash64("ball", "one", "two").alias("bin"), "ball", "one", "two", "block", "label", "main")
+
+
+def jaccard_join(docs: DataFrame, words: int = WORDS, similarity: Fraction = SIMILARITY, ball_shingles: int = BALL_SHINGLES) -> DataFrame:
     """doc_id, n_shingles and component_id of every row of ``docs`` (doc_id, text).
 
     Sets hold the distinct ``words``-word shingles of a text; of a text of fewer words, the sequence
@@ -276,24 +358,24 @@ def jaccard_join(docs: DataFrame, words: int = WORDS, similarity: Fraction = SIM
     text and get the least doc_id that their set reaches. A null doc_id is a row like others and
     never the least unless all are null. Other columns are not read. An empty table gives no rows.
     """
-    return grouped(docs.select("doc_id", "text"), words, similarity, cluster_shingles).select("doc_id", "n_shingles", "component_id")
+    return grouped(docs.select("doc_id", "text"), words, similarity, ball_shingles).select("doc_id", "n_shingles", "component_id")
 
 
-def grouped(docs: DataFrame, words: int = WORDS, similarity: Fraction = SIMILARITY, cluster_shingles: int = CLUSTER_SHINGLES, carried: tuple[str, ...] = ()) -> DataFrame:
+def grouped(docs: DataFrame, words: int = WORDS, similarity: Fraction = SIMILARITY, ball_shingles: int = BALL_SHINGLES, carried: tuple[str, ...] = ()) -> DataFrame:
     """``jaccard_join`` with linked, which rows of one group alone share (null without words), and the columns of ``carried``."""
-    spark = docs.sparkSession
-    n_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     hashed = docs.withColumn("text_key", F.when(F.col("doc_id").isNull(), text_hash()))
     own = materialise(described(hashed, words, ("text_key", *carried)), "sets")
+    n_parts = int(max(1, (own.agg(F.coalesce(F.sum("n_shingles"), F.lit(0))).first()[0]) // PART_SHINGLES))
     sets = own.filter("n_shingles > 0").groupBy("set_a", "set_b").agg(F.min("doc_id").alias("least"), F.max("n_shingles").alias("n"), F.min("text_key").alias("text_key"))
-    clusters = connected_components(candidate_edges(docs, words, similarity, n_parts))
-    sized = sets.join(clusters, F.col("set_a") == F.col("node")).select(F.coalesce("least", "text_key").alias("fetch_id"), F.col("least").isNull().alias("by_text"), F.col("set_a").alias("m_a"), F.col("set_b").alias("m_b"), F.col("n").alias("m_n"), F.col("component").alias("cluster"))
-    sized = materialise(sized, "members")
-    volume = sized.groupBy(F.col("cluster").alias("v_cluster")).agg(F.sum("m_n").alias("volume"))
-    blocks = F.ceil(F.col("volume") * 2 / cluster_shingles).cast("int")
-    members = sized.join(volume, F.col("cluster") == F.col("v_cluster")).withColumn("blocks", F.when(F.col("volume") <= cluster_shingles, 1).otherwise(blocks))
-    members = members.withColumn("block", F.pmod(F.xxhash64("m_b"), F.col("blocks")).cast("int")).drop("v_cluster", "volume")
-    groups = connected_components(verified_edges(docs, members, words, similarity, cluster_shingles))
+    stars = materialise(candidate_stars(docs, words, similarity, n_parts), "stars")
+    balls = stars.select(F.col("lead").alias("ball"), "node").union(stars.select("lead", "lead").distinct())
+    members = sets.join(balls, F.col("set_a") == F.col("node")).select("ball", F.coalesce("least", "text_key").alias("fetch_id"), F.col("least").isNull().alias("by_text"), F.col("set_a").alias("m_a"), F.col("set_b").alias("m_b"), F.col("n").alias("m_n"))
+    members = materialise(members, "members")
+    placed = materialise(in_blocks(members, ball_shingles), "placed")
+    edges = materialise(verified_edges(docs, placed.drop("blocks"), words, similarity), "edges")
+    groups = connected_components(edges)
+    if not placed.filter("blocks > 1").isEmpty():
+        groups = connected_components(edges.union(verified_edges(docs, across_blocks(members, groups, ball_shingles), words, similarity)))
     # a group's least doc_id, of the sets in it
     reach = sets.select("set_a", "least").join(groups, F.col("set_a") == F.col("node"))
     low = reach.groupBy(F.col("component").alias("low_component")).agg(F.min("least").alias("low"))
