@@ -1,6 +1,6 @@
 """Token ids, packed into fixed-length rows.
 
-Documents go to shards by a hash of doc_id, enough of them that a shard's text is bounded. A shard is
+Documents go to shards by a hash of doc_id and text, enough of them that a shard's text is bounded. A shard is
 one task: it tokenises its documents, splits those longer than a row into full rows and a rest, and
 packs the pieces by best-fit decreasing. The open row with the least room that still suffices is found
 by a segment tree over capacities. Every packed row holds ids (little-endian, padded), the cumulative
@@ -10,6 +10,8 @@ lengths of its segments and positions that restart with each segment.
 from __future__ import annotations
 
 import base64
+import re
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -22,6 +24,8 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 END_ID = 50_256  # closes every document; free in the vocabulary
 ROW = 2_048
 SHARD_BYTES = 8 << 20
+#: a run of blanks (Unicode's White_Space) too long for the pattern's look-ahead, which a stack holds
+LONG_BLANK = re.compile(r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{10000,}")
 
 
 class CapacityTree:
@@ -80,6 +84,21 @@ def encoding(ranks: bytes, pattern: str):
     return tiktoken.Encoding("packing", pat_str=pattern, mergeable_ranks=pairs, special_tokens={})
 
 
+def tokenised(tokenizer, text: str) -> Iterator[int]:
+    """The ids of ``text``, long runs of blanks cut as the pattern cuts them.
+
+    The pattern takes a run but for its last blank as one piece, the whole run at the end of a text; the
+    last blank goes on with what follows.
+    """
+    at = 0
+    for blank in LONG_BLANK.finditer(text):
+        end = blank.end() - (blank.end() < len(text))
+        yield from tokenizer.encode_ordinary(text[at : blank.start()])
+        yield from tokenizer._encode_single_piece(text[blank.start() : end])
+        at = end
+    yield from tokenizer.encode_ordinary(text[at:])
+
+
 PACKED = "shard long, row int, input_ids binary, cu_seqlens array<int>, position_ids binary, doc_ids array<long>, starts array<int>, n_tokens int"
 
 
@@ -107,7 +126,7 @@ def pack(docs: DataFrame, vocabulary: str = VOCABULARY, pattern: str = PATTERN,
         order = table.sort_by([("doc_id", "ascending"), ("text", "ascending")])
         doc, start, ids = [], [], []
         for name, text in zip(order.column("doc_id").to_pylist(), order.column("text"), strict=True):
-            own = np.array([*tokenizer.encode_ordinary(text.as_py() or ""), end_id], dtype=id_type)
+            own = np.array([*tokenised(tokenizer, text.as_py() or ""), end_id], dtype=id_type)
             for at in range(0, len(own), row):
                 doc.append(name)
                 start.append(at)
@@ -126,8 +145,8 @@ def pack(docs: DataFrame, vocabulary: str = VOCABULARY, pattern: str = PATTERN,
         types = [pa.int64(), pa.int32(), pa.binary(), pa.list_(pa.int32()), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.int32()]
         return pa.table({c: pa.array(x, t) for (c, x), t in zip(out.items(), types, strict=True)})
 
-    placed = docs.select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(shards)).alias("shard"))
-    return placed.groupBy("shard").applyInArrow(run, PACKED)
+    placed = docs.select("doc_id", "text", F.pmod(F.xxhash64("doc_id", "text"), F.lit(shards)).alias("shard"))
+    return placed.repartition(shards, "shard").groupBy("shard").applyInArrow(run, PACKED)
 
 
 def write_packed(packed: DataFrame, path: str) -> None:
