@@ -1,8 +1,9 @@
 """Secret scans weighed by corpus-wide ownership.
 
 Every text is scanned for candidate credentials. Values are hashed, and each hash is counted over the
-whole corpus by distinct repositories and distinct owners: a value that many owners hold is a copied
-example, one that few hold and that looks random is a live-looking credential of its owner. Base kinds
+whole corpus by distinct repositories and distinct owners: a value that many owners or repositories
+hold is a copied example, one that few hold and that looks random is a live-looking credential of its
+owner. Base kinds
 (assign, access, hex) are always reported; of the wider ``random`` candidates those that are
 owner-specific are added. Values leave a task as hashes only.
 """
@@ -12,8 +13,10 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +33,7 @@ RANDOM = re.compile(r"[A-Za-z0-9_-]+")
 ASSIGN_LEAST, ACCESS_LEAST, HEX_LEAST, RANDOM_LEAST = 8, 16, 32, 24
 RANDOM_BITS = 3.5  # of entropy a character
 LIVE_OWNERS = 2  # at most, of a live-looking value
+LIVE_REPOSITORIES = 20  # likewise
 KINDS = ("assign", "access", "hex", "random")
 BASE_KINDS = 3
 ASSIGN_HINTS = ("passw", "secret", "token", "api")
@@ -66,10 +70,13 @@ def hex_spans(text: str) -> list[tuple[int, int, int, str]]:
 
 def random_spans(text: str, base: list[tuple[int, int, int, str]]) -> list[tuple[int, int, int, str]]:
     """Long tokens with a digit, a capital and a small letter and high entropy that touch no base match."""
+    starts = [s for s, *_ in base]  # ascending
+    reach = list(accumulate((e for _, _, e, _ in base), max))
     out = []
     for m in RANDOM.finditer(text):
         v = m[0]
-        if len(v) >= RANDOM_LEAST and re.search("[0-9]", v) and re.search("[A-Z]", v) and re.search("[a-z]", v) and entropy(v) >= RANDOM_BITS and all(m.end() <= s or e <= m.start() for s, _, e, _ in base):
+        before = bisect_left(starts, m.end())
+        if len(v) >= RANDOM_LEAST and re.search("[0-9]", v) and re.search("[A-Z]", v) and re.search("[a-z]", v) and entropy(v) >= RANDOM_BITS and (not before or reach[before - 1] <= m.start()):
             out.append((m.start(), 3, m.end(), v))
     return out
 
@@ -115,16 +122,22 @@ def scanned(docs: DataFrame) -> DataFrame:
 
 
 def ownership(found: DataFrame) -> DataFrame:
-    """For every candidate hash: occurrences, distinct repositories and distinct owners in the corpus."""
-    return found.groupBy(F.col("hash").alias("o_hash")).agg(F.count("*").alias("n_found"), F.countDistinct("repository").alias("repositories"), F.countDistinct("owner").alias("owners"))
+    """For every candidate hash: distinct repositories and distinct owners in the corpus.
+
+    Pairs of a hash and a holder are made distinct before they are counted, so that a hash that all hold
+    is spread over its holders.
+    """
+    held = [found.select("hash", c).distinct().groupBy(F.col("hash").alias(f"{c}_hash")).agg(F.count("*").alias(n)) for c, n in (("repository", "repositories"), ("owner", "owners"))]
+    return held[0].join(held[1], F.col("repository_hash") == F.col("owner_hash")).select(F.col("owner_hash").alias("o_hash"), "repositories", "owners")
 
 
-def scan(docs: DataFrame, repository: str = "doc_id", owner: str = "source", live_owners: int = LIVE_OWNERS) -> DataFrame:
-    """Every row's secrets: doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_live, n_copied.
+def scan(docs: DataFrame, repository: str = "doc_id", owner: str = "source", live_owners: int = LIVE_OWNERS, live_repositories: int = LIVE_REPOSITORIES) -> DataFrame:
+    """Every row's secrets: doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_live, n_copied, most_owners, most_repositories.
 
     ``spans`` lists kind:start:end of base matches and of owner-specific random-looking tokens, by
-    start, then kind. n_live and n_copied count the candidates held by at most ``live_owners`` owners
-    and by more. Null texts are empty and have no spans; rows that repeat a doc_id are scanned each by
+    start, then kind. n_live counts the candidates held by at most ``live_owners`` owners and at most
+    ``live_repositories`` repositories, n_copied the others; most_owners and most_repositories are the
+    most that hold one of the row's candidates (0 without any). Null texts are empty and have no spans; rows that repeat a doc_id are scanned each by
     its own text, and a repeated row counts again in its hash's occurrences but not in distinct
     repositories or owners. A null repository or owner counts as one of its own. An empty table gives
     no rows. Other columns are not read.
@@ -133,19 +146,21 @@ def scan(docs: DataFrame, repository: str = "doc_id", owner: str = "source", liv
     rows = materialise(scanned(docs.select("doc_id", name(repository).alias("repository"), name(owner).alias("owner"), "text")), "scanned")
     found = rows.filter(F.size("found") > 0).select("doc_id", "key", "repository", "owner", F.explode("found").alias("f")).select("doc_id", "key", "repository", "owner", "f.*")
     known = found.join(ownership(found), F.col("hash") == F.col("o_hash"))
-    live = F.col("owners") <= live_owners
+    live = (F.col("owners") <= live_owners) & (F.col("repositories") <= live_repositories)
     kept = F.struct("start", "kind", "end")
     # rows with the same doc_id and text have the same spans
     by_row = known.groupBy(F.col("doc_id").alias("k_id"), F.col("key").alias("k_key")).agg(
         F.sort_array(F.collect_set(F.when((F.col("kind") < BASE_KINDS) | live, kept))).alias("all"),
         F.count_distinct(F.when(live, kept)).alias("n_live"),
         F.count_distinct(F.when(~live, kept)).alias("n_copied"),
+        F.max("owners").alias("most_owners"),
+        F.max("repositories").alias("most_repositories"),
     )
     kind = F.array(*[F.lit(k) for k in KINDS])
     spans = F.array_join(F.transform("all", lambda s: F.concat_ws(":", F.element_at(kind, s["kind"] + 1), s["start"].cast("string"), s["end"].cast("string"))), ",")
     out = rows.join(by_row, F.col("doc_id").eqNullSafe(F.col("k_id")) & (F.col("key") == F.col("k_key")) & (F.size("found") > 0), "left")
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
-    return out.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", F.coalesce(spans, "base_spans").alias("spans"), zero("n_live"), zero("n_copied"))
+    return out.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", F.coalesce(spans, "base_spans").alias("spans"), *map(zero, ("n_live", "n_copied", "most_owners", "most_repositories")))
 
 
 def op10_secret_scan(spark, sf_dir: str) -> DataFrame:
