@@ -23,12 +23,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from probity.llm.textbatch import LOWER, parts
+from probity.storage import materialise
 
 FOLDS, HELD_OUT = 4, 2
 CUT = 0.3
 LABELLED = 20_000  # rows at most, by a hash of doc_id, on which words are weighed
 LEAST_DOCS = 4  # toxic documents that must hold a word or beginning
-LEXICON = 50_000  # words and beginnings at most, the heaviest
 BEGINNINGS = (4, 5, 6)
 LETTERS = 28  # boundary, a to z, any other
 CACHED = 500_000
@@ -53,7 +53,7 @@ def letter_class(char: str) -> int:
 
 _CLASS = np.zeros(256, dtype=np.int64)
 _CLASS[97:123] = np.arange(1, 27)
-_CLASS[128:] = 27
+_CLASS[0xC0:] = 27  # the first byte of a character beyond ASCII; those that follow it are left out
 
 
 def letter_counts(docs: DataFrame) -> DataFrame:
@@ -62,8 +62,11 @@ def letter_counts(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(LETTERS**3, dtype=np.int64)
         for batch in batches:
-            for _, buf, _offs in parts(batch):
-                c = np.concatenate(([0, 0], _CLASS[LOWER[buf]], [0]))
+            for part, buf, offs in parts(batch):
+                whole = (buf & 0xC0) != 0x80
+                row = np.repeat(np.arange(part.num_rows), np.diff(offs))[whole]
+                c = np.zeros(len(row) + 2 * part.num_rows + 2, dtype=np.int64)
+                c[np.arange(len(row)) + 2 * row + 2] = _CLASS[LOWER[buf[whole]]]  # two boundaries before each text
                 total += np.bincount((c[:-2] * LETTERS + c[1:-1]) * LETTERS + c[2:], minlength=LETTERS**3)
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=["gram", "n"])
@@ -206,7 +209,8 @@ def trained(docs: DataFrame, labels: DataFrame, folds: int = FOLDS, held_out: in
     known = known.filter(F.pmod(F.crc32(F.col("l_id").cast("string")), F.lit(folds)) != held_out)
     known = known.orderBy(F.xxhash64("l_id"), "l_id").limit(most)
     # each text once, so that copies do not make a word common
-    texts = docs.select("doc_id", "text").join(F.broadcast(known), F.col("doc_id") == F.col("l_id")).dropDuplicates(["text"])
+    texts = docs.select("doc_id", "text").join(F.broadcast(known), F.col("doc_id") == F.col("l_id")).groupBy("text").agg(F.max("y").alias("y"))
+    texts = materialise(texts, "labelled")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         nested, cache = shared.value.tolist(), {}
@@ -227,12 +231,12 @@ def trained(docs: DataFrame, labels: DataFrame, folds: int = FOLDS, held_out: in
                 yield from flush()
         yield from flush()
 
-    per = texts.mapInArrow(run, "feature string, y int, n long").groupBy("feature").agg(F.sum(F.when(F.col("y") == 1, F.col("n")).otherwise(0)).alias("n1"), F.sum(F.when(F.col("y") == 0, F.col("n")).otherwise(0)).alias("n0")).persist()
+    per = texts.mapInArrow(run, "feature string, y int, n long").groupBy("feature").agg(F.sum(F.when(F.col("y") == 1, F.col("n")).otherwise(0)).alias("n1"), F.sum(F.when(F.col("y") == 0, F.col("n")).otherwise(0)).alias("n0"))
+    per = materialise(per, "features")
     total = per.filter("feature = ''").first()
     all1, all0 = (total.n1, total.n0) if total else (0, 0)
     share = (F.col("n1") + 0.1) * (all0 + 1) / ((F.col("n0") + 0.1) * (all1 + 1))
-    chosen = per.filter("feature <> ''").filter((F.col("n1") >= LEAST_DOCS) & (share > 3)).orderBy(F.desc(share), "feature").limit(LEXICON).collect()
-    per.unpersist()
+    chosen = per.filter("feature <> ''").filter((F.col("n1") >= LEAST_DOCS) & (share > 3)).collect()  # of at most ``most`` texts
     held = {r.feature: (r.n1, r.n0) for r in chosen}
     lexicon = spark.sparkContext.broadcast((held, all1, all0))
 
