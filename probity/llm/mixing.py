@@ -27,7 +27,9 @@ SHARE = 1.5  # of all words
 MOST = 2  # times a source's own size
 BLOCK = 32  # words
 SLOTS_PER_SHARD = 65_536
-BUCKETS = 256  # parts in which a source's running word count is made
+BUCKETS = 256  # parts at least in which a source's running word count is made
+BUCKET_ROWS = 65_536  # of all sources, on average
+PIECE_BLOCKS = 50_000  # of a task that cuts documents into pieces
 ROUNDS = 6
 PRIME = 2_147_483_647
 ROW = ("row_a", "row_b", "copy")  # tell rows apart in mixed_texts
@@ -70,14 +72,14 @@ def slot_counts(targets: DataFrame, block: int = BLOCK, slots_per_shard: int = S
     return targets.withColumn("n_blocks", n).withColumn("n_slots", slots.cast("long")).withColumn("n_shards", shards)
 
 
-def laid_out(sizes: DataFrame, sources: DataFrame, buckets: int = BUCKETS) -> DataFrame:
+def laid_out(sizes: DataFrame, sources: DataFrame, buckets: int) -> DataFrame:
     """Every row of ``sizes`` with src, n_blocks, n_slots, n_shards and start, its first word's place in its source.
 
     A source's documents go in order of (bucket, doc_id, size), then of their row keys if they have any. Running sums are made inside buckets
     and over the buckets' totals, so that no source is ordered in one task.
     """
     known = sizes.join(F.broadcast(sources.select(F.col("source").alias("name"), "src", "n_blocks", "n_slots", "n_shards")), F.col("source").eqNullSafe(F.col("name"))).drop("name")
-    known = known.withColumn("bucket", F.pmod(F.coalesce("doc_id", F.lit(-1)) * 7919 % PRIME, F.lit(buckets)))
+    known = known.withColumn("bucket", F.pmod(F.coalesce("doc_id", F.lit(-1)) % PRIME * 7919 % PRIME, F.lit(buckets)))
     inside = Window.partitionBy("src", "bucket").orderBy("doc_id", "size", *[c for c in ROW if c in sizes.columns]).rowsBetween(Window.unboundedPreceding, -1)
     before = Window.partitionBy("b_src").orderBy("b_bucket").rowsBetween(Window.unboundedPreceding, -1)
     totals = known.groupBy(F.col("src").alias("b_src"), F.col("bucket").alias("b_bucket")).agg(F.sum("size").alias("b_size"))
@@ -123,11 +125,13 @@ def draws(cut: DataFrame, most: int = MOST, seed: int = 20_261, block: int = BLO
 
 
 def planned(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = MOST, block: int = BLOCK, slots_per_shard: int = SLOTS_PER_SHARD):
-    """The laid-out rows, their pieces and the sources' table; sizes and targets are written once."""
+    """The laid-out rows, their pieces and the sources' table; sizes, targets and rows are written once."""
     sizes = materialise(sizes, "sizes")
     sources = materialise(slot_counts(source_targets(sizes, weights, share, most), block, slots_per_shard), "sources")
-    rows = laid_out(sizes, sources)
-    return rows, pieces(rows, block), sources
+    rows = materialise(laid_out(sizes, sources, max(BUCKETS, sizes.count() // BUCKET_ROWS)), "rows")
+    blocks = sources.agg(F.coalesce(F.sum("n_blocks"), F.lit(0))).first()[0]
+    spread = rows.repartition(int(max(1, -(-blocks // PIECE_BLOCKS))), "src", "start")
+    return rows, pieces(spread, block), sources
 
 
 def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = MOST, block: int = BLOCK) -> DataFrame:
@@ -199,8 +203,9 @@ s4 AS (SELECT *, max((CAST(total AS DOUBLE) * CAST({SHARE} AS DOUBLE) - CAST(cap
 s5 AS (SELECT source, src, source_size, least(CAST(2 * source_size AS DOUBLE), weight * level) AS target,
   CAST(ceil(source_size / {float(BLOCK)}) AS BIGINT) AS n_blocks FROM s4),
 s6 AS (SELECT *, CASE WHEN source_size > 0 THEN CAST(floor(target / source_size * n_blocks + CAST(0.5 AS DOUBLE)) AS BIGINT) ELSE 0 END AS n_slots FROM s5),
-r AS (SELECT doc_id, size, s6.*, CAST(coalesce(sum(size) OVER (PARTITION BY src ORDER BY (doc_id * 7919 % {PRIME}) % {BUCKETS}, doc_id, size
-  ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start FROM sizes JOIN s6 ON sizes.source IS NOT DISTINCT FROM s6.source),
+r AS (SELECT doc_id, size, s6.*, CAST(coalesce(sum(size) OVER (PARTITION BY src ORDER BY ((doc_id % {PRIME} * 7919 % {PRIME}) % buckets + buckets) % buckets, doc_id, size
+  ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start FROM sizes JOIN s6 ON sizes.source IS NOT DISTINCT FROM s6.source
+  CROSS JOIN (SELECT greatest({BUCKETS}, count(*) // {BUCKET_ROWS}) AS buckets FROM documents)),
 p AS (SELECT *, least(start + size, (idx + 1) * {BLOCK}) - greatest(start, idx * {BLOCK}) AS overlap
   FROM (SELECT *, unnest(range(start // {BLOCK}, (start + size - 1) // {BLOCK} + 1)) AS idx FROM r WHERE size > 0)),
 x0 AS (SELECT src, n_blocks, idx AS x, (src * 1000003 + epoch * 7368787 + 20261) % {PRIME} AS key
