@@ -16,12 +16,14 @@ from __future__ import annotations
 import base64
 import gzip
 import hashlib
+import io
 import re
 from collections.abc import Iterator
+from typing import IO
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from probity.storage import materialise, new_path
@@ -97,14 +99,20 @@ def url_key(url: str | None) -> str:
     return ",".join(reversed(host.split("."))) + ")" + slash + path
 
 
-def parsed(data: memoryview) -> Iterator[tuple[dict[str, str], int, int]]:
-    """Headers, offset of the record and offset of its block, for every record of a WARC file."""
-    at, raw = 0, bytes(data)
-    while at < len(raw):
-        end = raw.index(b"\r\n\r\n", at)
-        head = dict(line.split(": ", 1) for line in raw[at:end].decode("utf-8", "replace").split("\r\n")[1:] if ": " in line)
-        yield head, at, end + 4
-        at = end + 4 + int(head["Content-Length"]) + 4
+def parsed(stream: IO[bytes]) -> Iterator[tuple[dict[str, str], int, bytes]]:
+    """Headers, offset and block of every record of a WARC file; one record is held at a time."""
+    at = 0
+    while line := stream.readline():
+        head, size = {}, len(line)
+        while (line := stream.readline()) != b"\r\n":
+            size += len(line)
+            name, colon, value = line.decode("utf-8", "replace").rstrip("\r\n").partition(": ")
+            if colon:
+                head[name] = value
+        block = stream.read(int(head["Content-Length"]))
+        stream.read(4)
+        yield head, at, block
+        at += size + 2 + len(block) + 4
 
 
 def page_of(urn: str) -> int | None:
@@ -126,17 +134,17 @@ def read_warc(spark, path: str, payloads: bool = False) -> DataFrame:
         for batch in batches:
             for name, data in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
                 rows = []
-                raw = memoryview(gzip.decompress(data.as_buffer()) if name.endswith(".gz") else data.as_buffer())
-                for head, at, block in parsed(raw):
+                stream = io.BytesIO(data.as_buffer())
+                for head, at, block in parsed(gzip.GzipFile(fileobj=stream) if name.endswith(".gz") else stream):
                     kind = head["WARC-Type"]
                     url = head.get("WARC-Target-URI")
                     url = None if url is None else SAFE.sub(lambda m: chr(int(m[1], 16)), url)
                     digest = head["WARC-Payload-Digest"].removeprefix("sha1:")
                     size = int(head["X-Payload-Length"] if kind == "revisit" else head["Content-Length"])
-                    body = None if kind == "revisit" else bytes(raw[block : block + size])
+                    body = None if kind == "revisit" else block
                     if body is not None and base64.b32encode(hashlib.sha1(body).digest()).decode() != digest:
                         raise ValueError(f"{name} at {at}: the payload does not have its digest")
-                    rows.append((name.rpartition("/")[2], url_key(url), head["WARC-Date"], page_of(head["WARC-Record-ID"]), url, kind, page_of(head["WARC-Refers-To"]) if kind == "revisit" else None, size, digest, at, body))
+                    rows.append((name.rpartition("/")[2], url_key(url), head["WARC-Date"], page_of(head["WARC-Record-ID"]), url, kind, page_of(head["WARC-Refers-To"]) if kind == "revisit" else None, size, digest, at, body if payloads else None))
                 rows.sort(key=order)
                 for lo in range(0, len(rows), 2000):
                     columns = list(zip(*rows[lo : lo + 2000], strict=True))
@@ -199,7 +207,7 @@ class LoserTree:
 
 
 def merged_index(captures: DataFrame, range_captures: int = RANGE_CAPTURES) -> DataFrame:
-    """The captures in global order, with ``range_no`` and ``position`` in the range.
+    """The captures in global order, with ``rank``, their place in it from 1 on.
 
     ``captures`` must be a written table: it is counted and sampled for the ranges first.
     """
@@ -230,7 +238,11 @@ def merged_index(captures: DataFrame, range_captures: int = RANGE_CAPTURES) -> D
         out = out.append_column("range_no", pa.array([TaskContext.get().partitionId()] * len(keys), pa.int32())).append_column("position", pa.array(range(len(keys)), pa.int64()))
         yield from out.to_batches(max_chunksize=5000)
 
-    return spread.mapInArrow(run, CAPTURE + ", range_no int, position long")
+    merged = materialise(spread.mapInArrow(run, CAPTURE + ", range_no int, position long"), "index")
+    sizes = merged.groupBy(F.col("range_no").alias("r_no")).agg(F.count("*").alias("r_size"))  # a row a range
+    before = Window.orderBy("r_no").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.select("r_no", F.coalesce(F.sum("r_size").over(before), F.lit(0)).alias("r_start"))
+    return merged.join(sizes, F.col("range_no") == F.col("r_no")).withColumn("rank", F.col("r_start") + F.col("position") + 1).drop("r_no", "r_start", "range_no", "position")
 
 
 def archived(pages: DataFrame, records_per_file: int = RECORDS_PER_FILE, revisit_least: int = REVISIT_LEAST, range_captures: int = RANGE_CAPTURES) -> DataFrame:
@@ -250,7 +262,7 @@ def archived(pages: DataFrame, records_per_file: int = RECORDS_PER_FILE, revisit
 
 def op1_warc_index_merge(spark, sf_dir: str) -> DataFrame:
     index = archived(spark.read.parquet(f"{sf_dir}/pages.parquet"))
-    return index.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", F.col("key").alias("url_key"), F.col("date").alias("warc_date"))
+    return index.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", F.col("key").alias("url_key"), F.col("date").alias("warc_date"), "rank")
 
 
 # base32 in SQL: the 40 bits of 10 hex digits as 8 letters
@@ -268,5 +280,6 @@ h AS (SELECT *, regexp_replace(regexp_replace(lower(regexp_replace(host0, '^.*@'
 SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, digest AS payload_digest, CASE WHEN page_id < last THEN 'revisit' ELSE 'response' END AS record_type,
   CASE WHEN page_id < last THEN last END AS refers_to,
   coalesce(array_to_string(list_reverse(string_split(host, '.')), ',') || ')' || substr(rest, len(host0) + 1), '') AS url_key,
-  strftime(TIMESTAMP '2020-01-01' + to_seconds(page_id % 2147483648), '%Y-%m-%dT%H:%M:%SZ') AS warc_date FROM h"""
+  strftime(TIMESTAMP '2020-01-01' + to_seconds(page_id % 2147483648), '%Y-%m-%dT%H:%M:%SZ') AS warc_date,
+  row_number() OVER (ORDER BY url_key, warc_date, page_id) AS rank FROM h"""
 }

@@ -63,7 +63,8 @@ def test_warc_round_trip_and_index(spark, tmp_path):
         want = (len(body), base64.b32encode(hashlib.sha1(body).digest()).decode(), "response" if last[h or ""] == i else "revisit", None if last[h or ""] == i else last[h or ""])
         assert (got[i].payload_bytes, got[i].payload_digest, got[i].record_type, got[i].refers_to) == want
         assert got[i].url == urls[i]
-    rows = sorted(got.values(), key=lambda r: (r.range_no, r.position))
+    rows = sorted(got.values(), key=lambda r: r.rank)
+    assert [r.rank for r in rows] == list(range(1, len(rows) + 1))
     assert [(r.key, r.date, r.page_id) for r in rows] == sorted((r.key, r.date, r.page_id) for r in rows)
     path = f"file://{tmp_path}/warc"
     warc_index.write_warc(warc_index.capture_records(pages), path, 3)
