@@ -41,9 +41,9 @@ SIMILARITY = Fraction(85, 100)
 SLACK = 0.12  # m as a share of the parts
 FULL = 4  # elements that make a signature uncommon enough
 FEW = 64  # differences, below which subsets of sub-parts are enumerated
-FLUSH = 1_500_000  # signatures that a map task holds at once
+FLUSH = 600_000  # signatures that a map task holds at once
 FLUSH_SETS = 60_000
-PART_SHINGLES = 2_000_000  # whose signatures meet in one task
+PART_SHINGLES = 1_000_000  # whose signatures meet in one task
 BALL_SHINGLES = 1_000_000  # that one task compares
 COUNTED = 1 << 20  # common elements counted at once
 
@@ -186,7 +186,7 @@ def candidate_stars(docs: DataFrame, words: int, similarity: Fraction, n_parts:
                     if counts[i] and x not in seen:
                         new[i] = True
                         seen.add(x)
-                if len(seen) > 500_000:
+                if len(seen) > 200_000:
                     seen.clear()
                 row, sig = signatures(rows, hashes, np.where(new, counts, 0), similarity)
                 sigs.append(sig)

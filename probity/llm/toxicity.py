@@ -31,7 +31,7 @@ LABELLED = 20_000  # rows at most, by a hash of doc_id, on which words are weigh
 LEAST_DOCS = 4  # toxic documents that must hold a word or beginning
 BEGINNINGS = (4, 5, 6)
 LETTERS = 28  # boundary, a to z, any other
-CACHED = 500_000
+CACHED = 150_000
 
 # what a character may stand for, fixed by common usage
 HIDDEN = {
