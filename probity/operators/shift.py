@@ -2,25 +2,27 @@
 
 from __future__ import annotations
 
-import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from probity.operators.prefix import prefix_sums, quantiles
+from probity.storage import materialise
+
 
 def ks_by_feature(values: DataFrame, alpha: float = 0.01) -> DataFrame:
     """Two-sample Kolmogorov-Smirnov. Columns: comparison_id, feature, side (0 baseline, 1 target), value.
 
-    Values are first counted, so windows run over distinct values of one feature, partitioned by it.
+    Values are first counted; sums then run over distinct values, a feature's spread over tasks.
     """
     keys = ["comparison_id", "feature"]
     counted = values.groupBy(*keys, "value").agg(F.count_if(F.col("side") == 0).alias("x"), F.count_if(F.col("side") == 1).alias("y"))
-    up = Window.partitionBy(*keys).orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
-    whole = Window.partitionBy(*keys)
-    gap = F.abs(F.sum("x").over(up) / F.sum("x").over(whole) - F.sum("y").over(up) / F.sum("y").over(whole))
-    per = counted.select(*keys, "x", "y", gap.alias("gap")).groupBy(*keys).agg(F.max("gap").alias("ks"), F.sum("x").alias("n"), F.sum("y").alias("m"))
+    placed = prefix_sums(counted.filter("value is not null"), keys, "value", ["x", "y"])
+    gap = F.abs((F.col("x_before") + F.col("x")) / F.nullif("x_all", F.lit(0)) - (F.col("y_before") + F.col("y")) / F.nullif("y_all", F.lit(0)))
+    per = placed.select(*keys, "x", "y", gap.alias("gap")).groupBy(*keys).agg(F.max("gap").alias("ks"), F.sum("x").alias("n"), F.sum("y").alias("m"))
     e = F.sqrt(F.col("n") * F.col("m") / (F.col("n") + F.col("m")))
     lam = (e + 0.12 + 0.11 / e) * F.col("ks")
     sign = lambda k: F.when(k % 2 == 1, 1.0).otherwise(-1.0)
@@ -62,70 +64,207 @@ def summary_drift(summaries: DataFrame) -> DataFrame:
 
 def gini(rows: DataFrame, key: str, value: str) -> DataFrame:
     """Gini coefficient of ``value``, moved to a least of zero, for each ``key``. Ranks are by counted values."""
-    counted = rows.groupBy(key, value).agg(F.count("*").alias("c"))
-    low = Window.partitionBy(key)
-    before = Window.partitionBy(key).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    x = (F.col(value) - F.min(value).over(low)).alias("x")
-    placed = counted.select(key, x, "c", F.coalesce(F.sum("c").over(before), F.lit(0)).alias("r"))
+    counted = rows.filter(F.col(value).isNotNull()).groupBy(key, value).agg(F.count("*").alias("c"))
+    low = rows.groupBy(F.col(key).alias("low_key")).agg(F.min(value).alias("low"))
+    placed = prefix_sums(counted, [key], value, ["c"]).join(low, F.col(key).eqNullSafe(F.col("low_key")))
+    x = F.col(value) - F.col("low")
     # equal values at ranks r + 1 to r + c: their ranks sum to c r + c (c + 1) / 2
-    ranks = F.col("c") * F.col("r") + F.col("c") * (F.col("c") + 1) / 2
-    per = placed.groupBy(key).agg(F.sum("c").alias("n"), F.sum(F.col("x") * F.col("c")).alias("total"), F.sum(F.col("x") * ranks).alias("weighted"))
+    ranks = F.col("c") * F.col("c_before") + F.col("c") * (F.col("c") + 1) / 2
+    per = placed.groupBy(key).agg(F.sum("c").alias("n"), F.sum(x * F.col("c")).alias("total"), F.sum(x * ranks).alias("weighted"))
     g = 2 * F.col("weighted") / (F.col("n") * F.col("total")) - (F.col("n") + 1) / F.col("n")
     return per.select(key, F.round(F.when(F.col("total") <= 1e-12, 0.0).otherwise(g), 6).alias("gini"))
 
 
 def mad_outliers(rows: DataFrame, key: str, row_id: str, value: str, cut: float = 3.5) -> DataFrame:
     """Rows whose modified z, 0.6745 (x - median) / MAD, is beyond ``cut`` within their ``key``."""
-    mid = rows.groupBy(F.col(key).alias("m_key")).agg(F.median(value).alias("mid"))
+    mid = quantiles(rows, [key], value, {"mid": 0.5}).select(F.col(key).alias("m_key"), "mid")
     away = rows.join(mid, F.col(key) == F.col("m_key")).select(key, row_id, value, (F.col(value) - F.col("mid")).alias("d"))
-    mad = away.groupBy(F.col(key).alias("d_key")).agg(F.median(F.abs("d")).alias("mad")).filter("mad > 0")
+    mad = quantiles(away.withColumn("far", F.abs("d")), [key], "far", {"mad": 0.5}).select(F.col(key).alias("d_key"), "mad").filter("mad > 0")
     z = 0.6745 * F.col("d") / F.col("mad")
     return away.join(mad, F.col(key) == F.col("d_key")).withColumn("z", z).filter(F.abs("z") > cut).select(key, row_id, F.round("z", 6).alias("z"))
 
 
+PAIR = ["comparison_id", "one", "two"]
+
+
+def block_pairs(vectors: DataFrame, block: int) -> DataFrame:
+    """Rows (comparison_id, id, side, v) once for each pair of blocks that they are compared in.
+
+    A pair is comparison_id, one and two; ``at`` is the row's own block, n the rows of side 0, total all.
+    """
+    n_rows = vectors.groupBy(F.col("comparison_id").alias("n_id")).agg(F.count("*").alias("total"), F.count_if(F.col("side") == 0).alias("n"))
+    placed = vectors.join(n_rows, F.col("comparison_id") == F.col("n_id")).withColumn("blocks", F.ceil(F.col("total") / block).cast("int")).withColumn("at", F.pmod(F.xxhash64("id", "side"), F.col("blocks")).cast("int"))
+    spread = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return spread.select("comparison_id", "id", "side", "v", "n", "total", "at", F.least("at", "other").alias("one"), F.greatest("at", "other").alias("two"))
+
+
+def halves(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, bool]:
+    """The rows of both blocks, their squared distances and whether the blocks are one."""
+    x = np.stack(table.column("v").to_numpy(zero_copy_only=False)).astype(float)
+    at, one, two = table.column("at").to_numpy(), table.column("one")[0].as_py(), table.column("two")[0].as_py()
+    left, right = np.flatnonzero(at == one), np.flatnonzero(at == two)
+    a, b = x[left], x[right]
+    return left, right, np.maximum(0, (a * a).sum(1)[:, None] + (b * b).sum(1)[None] - 2 * a @ b.T) + 0.0, one == two
+
+
+def scales(tasks: DataFrame) -> DataFrame:
+    """g_id and gamma, 1 over the exact median squared distance of all pairs of a comparison.
+
+    Distances are counted by the leading bits of their floats, which are in order as integers; the bins
+    that hold the two middle ranks are then counted by more bits, and once more by all. Each count is
+    made in the tasks of block pairs and leaves them as one row a bin.
+    """
+    state = tasks.select("comparison_id").distinct().select(F.col("comparison_id").alias("s_id"), F.explode(F.array(F.lit(0), F.lit(1))).alias("which"), F.lit(-1).cast("long").alias("parent"), F.lit(None).cast("long").alias("rank"))
+
+    def counter(shift: int, before: int | None):
+        def counts(table: pa.Table) -> pa.Table:
+            left, right, d2, same = halves(table)
+            bits = (d2[np.triu_indices(len(left), 1)] if same else d2.ravel()).view(np.int64)
+            if before is not None:
+                wanted = [table.column(c)[0].as_py() for c in ("p0", "p1")]
+                bits = bits[np.isin(bits >> before, wanted)]
+            value, n = np.unique(bits >> shift, return_counts=True)
+            parent = np.full(len(value), -1) if before is None else value >> (before - shift)
+            return pa.table({"comparison_id": pa.array([table.column("comparison_id")[0].as_py()] * len(value), pa.int64()), "parent": pa.array(parent), "bin": pa.array(value), "c": pa.array(n)})
+
+        return counts
+
+    for shift, before in ((40, None), (20, 40), (0, 20)):
+        bins = state.groupBy("s_id").agg(*[F.max(F.when(F.col("which") == w, F.col("parent"))).alias(f"p{w}") for w in (0, 1)])
+        asked = tasks.join(bins, F.col("comparison_id") == F.col("s_id")).drop("s_id")
+        counted = asked.groupBy(*PAIR).applyInArrow(counter(shift, before), "comparison_id long, parent long, bin long, c long").groupBy("comparison_id", F.col("parent").alias("b_parent"), "bin").agg(F.sum("c").alias("c"))
+        upto = Window.partitionBy("comparison_id", "b_parent").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)  # over the bins of one parent
+        counted = materialise(counted.withColumn("lesser", F.coalesce(F.sum("c").over(upto), F.lit(0))).withColumn("pairs", F.sum("c").over(Window.partitionBy("comparison_id", "b_parent"))), "bins")
+        met = counted.join(state, (F.col("comparison_id") == F.col("s_id")) & (F.col("b_parent") == F.col("parent")))
+        met = met.withColumn("want", F.coalesce("rank", F.floor((F.col("pairs") - 1 + F.col("which")) / 2)))
+        state = met.filter((F.col("lesser") <= F.col("want")) & (F.col("want") < F.col("lesser") + F.col("c"))).select("s_id", "which", F.col("bin").alias("parent"), (F.col("want") - F.col("lesser")).alias("rank"))
+        state = materialise(state, "middles")
+
+    def gammas(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            d2 = pa.array(batch.column("parent").to_numpy().view(np.float64))
+            yield pa.RecordBatch.from_arrays([batch.column("s_id"), d2], names=["g_id", "d2"])
+
+    middles = state.select("s_id", "parent").mapInArrow(gammas, "g_id long, d2 double")
+    return middles.groupBy("g_id").agg((1.0 / F.greatest(F.avg("d2"), F.lit(1e-12))).alias("gamma"))
+
+
+def displacements(vectors: DataFrame, block: int = 512) -> DataFrame:
+    """comparison_id, id and deficit of every row of side 1: how far its mean kernel value to the baseline falls short of the baseline's own."""
+    tasks = block_pairs(vectors, block)
+    tasks = tasks.join(scales(tasks), F.col("comparison_id") == F.col("g_id")).drop("g_id")
+
+    def sums(table: pa.Table) -> pa.Table:
+        left, right, d2, same = halves(table)
+        k = np.exp(-table.column("gamma")[0].as_py() * d2)
+        if same:
+            np.fill_diagonal(k, 0)
+        ids, side = table.column("id").to_numpy(), table.column("side").to_numpy()
+        base = [side[rows] == 0 for rows in (left, right)]
+        far = [np.flatnonzero(~b) for b in base]
+        out_id, out = [ids[left[far[0]]]], [k[far[0]][:, base[1]].sum(axis=1)]
+        if not same:
+            out_id.append(ids[right[far[1]]])
+            out.append(k[base[0]][:, far[1]].sum(axis=0))
+        own = k[base[0]][:, base[1]].sum() * (1 if same else 2)
+        names, values = np.concatenate(out_id), np.concatenate(out)
+        return pa.table({"comparison_id": pa.array([table.column("comparison_id")[0].as_py()] * (len(names) + 1), pa.int64()), "id": pa.array([*names.tolist(), None], pa.int64()), "s": pa.array([*values.tolist(), own], pa.float64()), "n": pa.array([table.column("n")[0].as_py()] * (len(names) + 1), pa.int64())})
+
+    found = tasks.groupBy(*PAIR).applyInArrow(sums, "comparison_id long, id long, s double, n long")
+    per = materialise(found.groupBy("comparison_id", "id").agg(F.sum("s").alias("s"), F.first("n").alias("n")), "affinities")
+    reference = per.filter("id is null").select(F.col("comparison_id").alias("r_id"), (F.col("s") / F.greatest(F.lit(1), F.col("n") * (F.col("n") - 1))).alias("reference"))
+    met = per.filter("id is not null").join(reference, F.col("comparison_id") == F.col("r_id"))
+    return met.select("comparison_id", "id", F.greatest(F.lit(0.0), F.col("reference") - F.col("s") / F.col("n")).alias("deficit"))
+
+
+def leading_share(vectors: DataFrame) -> DataFrame:
+    """comparison_id and explained: the cosine, without sign, of the shift of the means and the leading component within sides.
+
+    The Gram matrix of all rows, centred by their side, is summed in tasks; what is left is one matrix
+    of the vectors' dimension for each comparison.
+    """
+
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[tuple[int, int], np.ndarray] = {}
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x = np.stack(batch.column("v").to_numpy(zero_copy_only=False)).astype(float)
+            which, side = batch.column("comparison_id").to_numpy(), batch.column("side").to_numpy()
+            for key in set(zip(which.tolist(), side.tolist(), strict=True)):
+                own = x[(which == key[0]) & (side == key[1])]
+                flat = np.concatenate(([len(own)], own.sum(axis=0), (own.T @ own).ravel()))
+                total[key] = total[key] + flat if key in total else flat
+        for (c, s), flat in total.items():
+            yield pa.RecordBatch.from_arrays([pa.array([c] * len(flat), pa.int64()), pa.array([s] * len(flat), pa.int32()), pa.array(range(len(flat)), pa.int64()), pa.array(flat)], names=["comparison_id", "side", "at", "x"])
+
+    def solve(table: pa.Table) -> pa.Table:
+        side, at, x = table.column("side").to_numpy(), table.column("at").to_numpy(), table.column("x").to_numpy()
+        both = [x[side == s][np.argsort(at[side == s])] for s in (0, 1)]
+        explained = 0.0
+        if all(map(len, both)):
+            d = int(((4 * len(both[0]) - 3) ** 0.5 - 1) / 2)
+            means = [b[1 : d + 1] / b[0] for b in both]
+            gram = sum(b[d + 1 :].reshape(d, d) - b[0] * np.outer(m, m) for b, m in zip(both, means, strict=True))
+            delta = means[1] - means[0]
+            norm = np.linalg.norm(delta)
+            if norm > 1e-9:
+                explained = float(abs(delta / norm @ np.linalg.eigh(gram)[1][:, -1]))
+        return pa.table({"comparison_id": pa.array([table.column("comparison_id")[0].as_py()], pa.int64()), "explained": pa.array([explained])})
+
+    summed = vectors.select("comparison_id", "side", "v").mapInArrow(parts, "comparison_id long, side int, at long, x double").groupBy("comparison_id", "side", "at").agg(F.sum("x").alias("x"))
+    return summed.groupBy("comparison_id").applyInArrow(solve, "comparison_id long, explained double")
+
+
+def explained_by(vectors: DataFrame, whole: DataFrame, axes: list[int], block: int = 512) -> DataFrame:
+    """comparison_id and explained: the part of MMD squared (``whole`` of ``mmd2``) that goes when the named ``axes`` (from 0) are left out."""
+    rest = vectors.withColumn("v", F.filter("v", lambda x, i: ~i.isin(axes)))
+    left = mmd2(rest, 0, block).select(F.col("comparison_id").alias("l_id"), F.col("mmd2").alias("left"))
+    share = F.least(F.lit(1.0), F.greatest(F.lit(0.0), 1 - F.greatest(F.lit(0.0), F.col("left")) / F.col("mmd2")))
+    return whole.join(left, F.col("comparison_id") == F.col("l_id")).select("comparison_id", F.when(F.col("mmd2") > 1e-9, share).otherwise(0.0).alias("explained"))
+
+
+def shift_metrics(vectors: DataFrame, psi_by: DataFrame, trials: int = 200, block: int = 512, axes: list[int] | None = None) -> DataFrame:
+    """The columns that ``attribution`` reads, of every comparison. ``psi_by``: comparison_id, psi."""
+    whole = materialise(mmd2(vectors, trials, block), "mmd")
+    away = materialise(displacements(vectors, block), "deficits")
+    concentration = gini(away, "comparison_id", "deficit").withColumnRenamed("comparison_id", "c_id")
+    mid = quantiles(away, ["comparison_id"], "deficit", {"mid": 0.5}).select(F.col("comparison_id").alias("m_id"), "mid")
+    far = away.join(mid, F.col("comparison_id") == F.col("m_id")).select("comparison_id", (F.col("deficit") - F.col("mid")).alias("d"), F.abs(F.col("deficit") - F.col("mid")).alias("far"))
+    mad = quantiles(far, ["comparison_id"], "far", {"mad": 0.5}).select(F.col("comparison_id").alias("d_id"), (F.col("mad") + 1e-9).alias("mad"))
+    outliers = far.join(mad, F.col("comparison_id") == F.col("d_id")).groupBy(F.col("comparison_id").alias("o_id")).agg(F.count_if(0.6745 * F.col("d") / F.col("mad") > 3.5).alias("outliers"))
+    explained = (leading_share(vectors) if axes is None else explained_by(vectors, whole, axes, block)).withColumnRenamed("comparison_id", "e_id")
+    met = whole.join(concentration, F.col("comparison_id") == F.col("c_id")).join(outliers, F.col("comparison_id") == F.col("o_id")).join(explained, F.col("comparison_id") == F.col("e_id"))
+    met = met.join(psi_by.select(F.col("comparison_id").alias("p_id"), "psi"), F.col("comparison_id") == F.col("p_id"), "left")
+    return met.select("comparison_id", "mmd2", "p_value", "gini", "outliers", "explained", F.coalesce("psi", F.lit(0.0)).alias("psi"))
+
+
 def attribution(metrics: DataFrame) -> DataFrame:
-    """Cause and score of a shift. Columns: comparison_id, mmd2, p_value, gini, explained, psi."""
+    """Cause, its confidence, score and band of a shift. Columns: comparison_id, mmd2, p_value, gini, explained, psi."""
     x = F.sqrt(F.greatest(F.lit(0.0), F.col("mmd2")))
     raw = (
         F.when(x <= 0.05, x / 0.05 * 20).when(x <= 0.15, 20 + (x - 0.05) / 0.10 * 25).when(x <= 0.30, 45 + (x - 0.15) / 0.15 * 30).otherwise(F.least(F.lit(95.0), 75 + (x - 0.30) * 40))
     )
-    score = F.when(F.col("p_value") >= 0.05, F.least(raw, F.lit(15.0))).otherwise(raw) + F.least(F.lit(15.0), 20 * F.col("psi"))
-    local, lit = F.col("gini") > 0.45, F.col("explained") < 0.4
-    cause = F.when(local & lit, "SUSPICIOUS_MANIPULATION").when(~local & ~lit, "ENVIRONMENTAL_DRIFT").otherwise("MIXED")
-    return metrics.select("comparison_id", cause.alias("cause"), F.round(F.least(F.lit(100.0), F.greatest(F.lit(0.0), score)), 4).alias("score"))
+    weak = F.col("p_value") >= 0.05
+    score = F.when(weak, F.least(raw, F.lit(15.0))).otherwise(raw) + F.least(F.lit(15.0), 20 * F.col("psi"))
+    local, unlit = F.col("gini") > 0.45, F.col("explained") < 0.4
+    cause = F.when(local & unlit, "SUSPICIOUS_MANIPULATION").when(~local & ~unlit, "ENVIRONMENTAL_DRIFT").otherwise("MIXED")
+    sure = F.when(local & unlit, F.least(F.lit(0.9), 0.45 + 0.5 * F.col("gini"))).when(~local & ~unlit, F.least(F.lit(0.9), 0.5 + 0.4 * F.col("explained"))).otherwise(0.5)
+    band = F.when(weak | (x <= 0.05), "LOW").when(x <= 0.15, "MEDIUM").otherwise("HIGH")
+    return metrics.select("comparison_id", cause.alias("cause"), F.round(sure, 6).alias("confidence"), F.round(F.least(F.lit(100.0), F.greatest(F.lit(0.0), score)), 4).alias("score"), band.alias("band"))
 
 
-def mmd2(vectors: DataFrame, trials: int = 200, block: int = 512, pairs_for_scale: int = 10_000_000) -> DataFrame:
+def mmd2(vectors: DataFrame, trials: int = 200, block: int = 512) -> DataFrame:
     """comparison_id, n, m, gamma, mmd2 (unbiased, RBF) and p_value by relabelling.
 
     Columns: comparison_id, id, side, v (array of double). Rows go to blocks; every pair of blocks is a
     task that makes one kernel matrix and, by a matrix product, its sums under the true labels and all
     ``trials`` random ones, which a hash of (trial, id) draws with probability n / (n + m). Each block
     pair is one task's work; only sums leave it. The kernel scale is 1 over the median squared
-    distance, of a hash sample of pairs where there are more than ``pairs_for_scale``.
+    distance of all pairs.
     """
-    n_rows = vectors.groupBy("comparison_id").agg(F.count("*").alias("total"), F.count_if(F.col("side") == 0).alias("n"))
-    placed = vectors.join(n_rows, "comparison_id").withColumn("blocks", F.ceil(F.col("total") / block).cast("int")).withColumn("at", F.pmod(F.xxhash64("id", "side"), F.col("blocks")).cast("int"))
-    spread = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    tasks = spread.select("comparison_id", "id", "side", "v", "n", "total", "at", F.least("at", "other").alias("one"), F.greatest("at", "other").alias("two"))
-    group = ["comparison_id", "one", "two"]
-
-    def halves(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, bool]:
-        x = np.stack(table.column("v").to_numpy(zero_copy_only=False)).astype(float)
-        at, one, two = table.column("at").to_numpy(), table.column("one")[0].as_py(), table.column("two")[0].as_py()
-        left, right = np.flatnonzero(at == one), np.flatnonzero(at == two)
-        a, b = x[left], x[right]
-        return left, right, np.maximum(0, (a * a).sum(1)[:, None] + (b * b).sum(1)[None] - 2 * a @ b.T), one == two
-
-    def distances(table: pa.Table) -> pa.Table:
-        left, right, d2, same = halves(table)
-        total = table.column("total")[0].as_py()
-        d = d2[np.triu_indices(len(left), 1)] if same else d2.ravel()
-        step = max(1, math.ceil(total * total / 2 / pairs_for_scale))
-        d = np.sort(d)[step // 2 :: step]
-        return pa.table({"comparison_id": pa.array([table.column("comparison_id")[0].as_py()] * len(d), pa.int64()), "d2": pa.array(d, pa.float64())})
-
-    scale = tasks.groupBy(*group).applyInArrow(distances, "comparison_id long, d2 double").groupBy(F.col("comparison_id").alias("g_id")).agg((1.0 / F.greatest(F.percentile("d2", 0.5), F.lit(1e-12))).alias("gamma"))
+    tasks = block_pairs(vectors, block)
+    scale = scales(tasks)
 
     def labels(table: pa.Table, rows: np.ndarray) -> np.ndarray:
         """Rows by trials; the first column is the true side 0."""
@@ -150,7 +289,7 @@ def mmd2(vectors: DataFrame, trials: int = 200, block: int = 512, pairs_for_scal
         return pa.table({"comparison_id": pa.array([table.column("comparison_id")[0].as_py()] * (trials + 1), pa.int64()), "trial": pa.array(range(trials + 1), pa.int32()), "xx": pa.array(xx), "yy": pa.array(yy), "xy": pa.array(xy), "nx": pa.array(size), "all": pa.array(np.full(trials + 1, float(len(left) if same else 0)))})
 
     scaled = tasks.join(scale, F.col("comparison_id") == F.col("g_id")).drop("g_id")
-    parts = scaled.groupBy(*group).applyInArrow(sums, "comparison_id long, trial int, xx double, yy double, xy double, nx double, all double")
+    parts = scaled.groupBy(*PAIR).applyInArrow(sums, "comparison_id long, trial int, xx double, yy double, xy double, nx double, all double")
     per = parts.groupBy("comparison_id", "trial").agg(*[F.sum(c).alias(c) for c in ("xx", "yy", "xy", "nx", "all")]).withColumn("ny", F.col("all") - F.col("nx"))
     value = F.col("xx") / (F.col("nx") * (F.col("nx") - 1)) + F.col("yy") / (F.col("ny") * (F.col("ny") - 1)) - 2 * F.col("xy") / (F.col("nx") * F.col("ny"))
     each = per.filter("nx > 1 and ny > 1").select("comparison_id", "trial", "nx", "ny", value.alias("mmd2"))
