@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from probity.storage import materialise
+from probity.storage import discard, materialise
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -24,7 +24,8 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
 def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """node and component (its least node) of every node that an edge (a, b) touches.
 
-    Each round is written to the shared folder, so that lost executors cost one round at most. Nodes
+    Each round is written to the shared folder, so that lost executors cost one round at most, and the
+    round before it is deleted: the folder never holds more than two. Nodes
     whose edges are loops only are left out, as are nulls. Raises if ``most_rounds`` do not suffice.
     """
     edges = materialise(edges.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
@@ -34,8 +35,9 @@ def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
 
     before = mark(edges)
     for _ in range(most_rounds):
-        edges = materialise(_star(_star(edges, True), False), "edges")
+        last, edges = edges, materialise(_star(_star(edges, True), False), "edges")
         now = mark(edges)
+        discard(last)
         if now == before:
             return edges.select(F.col("b").alias("node"), F.col("a").alias("component")).union(edges.select("a", "a").distinct())
         before = now
