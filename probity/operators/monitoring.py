@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from probity.schemas import DEFAULT, Thresholds
@@ -24,23 +25,25 @@ def sensor_counts(events: DataFrame, width: str = "15 minutes", slide: str | Non
 def baselines(observations: DataFrame, key: str, t: Thresholds = DEFAULT) -> DataFrame:
     """EWMA state of each observation: z against the state before it, mean, variance, status.
 
-    Columns: key, at, signal, hard (boolean: a rule that no calibration softens). A key's observations
-    are folded in order of time; a key has one row a sweep.
+    Columns: key (a string), at, signal, hard (boolean: a rule that no calibration softens). A key's
+    observations are folded in order of time; a key has one row a sweep, so its group is small.
     """
-    rows = observations.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("at", "signal", "hard"))).alias("rows"))
     a, warm = t.ewma_alpha, t.ewma_warm
-    start = F.struct(F.lit(0.0).alias("mean"), F.lit(0.0).alias("var"), F.lit(0).alias("n"), F.array().cast("array<struct<at:timestamp,signal:double,z:double,mean:double,var:double,n:int,hard:boolean>>").alias("out"))
-
-    def step(s, x):
-        value = x["signal"].cast("double")
-        off = value - s["mean"]
-        z = F.when(s["n"] >= warm, off / F.greatest(F.sqrt(s["var"]), F.lit(1.0))).otherwise(0.0)
-        mean = F.when(s["n"] == 0, value).otherwise((1 - a) * s["mean"] + a * value)
-        var = F.when(s["n"] == 0, F.lit(0.0)).otherwise((1 - a) * s["var"] + a * off * off)
-        row = F.struct(x["at"].cast("timestamp").alias("at"), value.alias("signal"), z.alias("z"), mean.alias("mean"), var.alias("var"), s["n"].alias("n"), x["hard"].alias("hard"))
-        return F.struct(mean.alias("mean"), var.alias("var"), (s["n"] + 1).alias("n"), F.concat(s["out"], F.array(row)).alias("out"))
-
-    each = rows.select(key, F.explode(F.aggregate("rows", start, step, lambda s: s["out"])).alias("r")).select(key, "r.*")
+
+    def fold(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("at", "ascending"), ("signal", "ascending")])
+        mean = var = 0.0
+        rows = []
+        for n, x in enumerate(table.column("signal").to_pylist()):
+            off = x - mean
+            z = off / max(var**0.5, 1.0) if n >= warm else 0.0
+            mean, var = (x, 0.0) if n == 0 else ((1 - a) * mean + a * x, (1 - a) * var + a * off * off)
+            rows.append((z, mean, var, n))
+        columns = zip(("z", "mean", "var", "n"), zip(*rows, strict=True), (pa.float64(), pa.float64(), pa.float64(), pa.int32()), strict=True)
+        return pa.table({key: table.column(key), "at": table.column("at"), "signal": table.column("signal"), "hard": table.column("hard"), **{name: pa.array(x, kind) for name, x, kind in columns}})
+
+    rows = observations.select(F.col(key).cast("string").alias(key), F.col("at").cast("timestamp").alias("at"), F.col("signal").cast("double").alias("signal"), "hard")
+    each = rows.groupBy(key).applyInArrow(fold, f"`{key}` string, at timestamp, signal double, hard boolean, z double, mean double, var double, n int")
     status = F.when(F.col("hard"), "ALERT").when(F.col("n") < warm, "CALIBRATING").when(F.col("z") >= 4, "ALERT").when(F.col("z") >= 2, "ELEVATED").otherwise("NOMINAL")
     return each.select(key, "at", "signal", F.round("z", 6).alias("z"), F.round("mean", 6).alias("mean"), F.round("var", 6).alias("var"), status.alias("status"))
 
@@ -72,6 +75,35 @@ def retained(rows: DataFrame, order: str, ties: list[str], newest: int) -> DataF
     return rows.orderBy(F.desc(order), *ties).limit(newest)
 
 
-def running_total(rows: DataFrame, key: str, order: list[str], value: str) -> DataFrame:
-    """``rows`` with the sum of ``value`` up to each in its key."""
-    return rows.withColumn("running", F.sum(value).over(Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)))
+def kept_since(rows: DataFrame, time: str, as_of, days: int = 30) -> DataFrame:
+    """The rows of a log of the last ``days`` before ``as_of``."""
+    return rows.filter(F.col(time) >= as_of - F.expr(f"INTERVAL {days} DAYS"))
+
+
+def sensor_readings(attempts: DataFrame, records: DataFrame, findings: DataFrame, analyses: DataFrame, errors: DataFrame, chains: DataFrame, width: str = "15 minutes") -> DataFrame:
+    """window_start, sensor, signal and severity of every window in which one of six sensors has rows.
+
+    ``attempts``: ts, identifier, failed; ``records``: ts, status; ``findings``: ts, category, severity;
+    ``analyses``: ts, engine, status; ``errors``: ts; ``chains``: broken (boolean), which has no time: its
+    one reading has no window. Severity is INFO where no hard rule holds. Logins are counted by
+    identifier first, so that no window's rows meet in one task.
+    """
+    window = F.window("ts", width)["start"].alias("window_start")
+    signal = lambda rows, cond: rows.groupBy(window).agg(F.count_if(cond).alias("signal"))
+    out = lambda rows, name, severity: rows.select("window_start", F.lit(name).alias("sensor"), "signal", severity.alias("severity"))
+    info = F.lit("INFO")
+    login = sensor_counts(attempts, width).select("window_start", F.col("failures").alias("signal"), "worst")
+    bad = F.col("status").isin("TAMPERED", "REPLAYED", "FORGED")
+    critical = F.col("severity") == "CRITICAL"
+    supply = findings.groupBy(window).agg(F.count_if(critical).alias("signal"), F.count_if(critical & (F.col("category").startswith("SEC-") | (F.col("category") == "SUPPLY_CHAIN"))).alias("hostile"))
+    failed = (F.col("engine") == "fallback") | F.contains("status", F.lit("FAIL"))
+    ran = analyses.filter(failed).select("ts").union(errors.select("ts")).groupBy(window).agg(F.count("*").alias("signal"))
+    broken = chains.agg(F.count_if("broken").alias("signal")).select(F.lit(None).cast("timestamp").alias("window_start"), F.when(F.col("signal") > 0, 1).otherwise(0).cast("long").alias("signal"))
+    return (
+        out(login, "auth", F.when(F.col("worst") >= 5, "HIGH").otherwise(info))
+        .union(out(signal(records, bad), "provenance", F.when(F.col("signal") > 0, "HIGH").otherwise(info)))
+        .union(out(broken, "ledger", F.when(F.col("signal") > 0, "CRITICAL").otherwise(info)))
+        .union(out(supply, "supply_chain", F.when(F.col("hostile") > 0, "CRITICAL").when(F.col("signal") > 0, "HIGH").otherwise(info)))
+        .union(out(signal(analyses, F.lit(True)), "traffic", info))
+        .union(out(ran, "operations", F.when(F.col("signal") > 0, "HIGH").otherwise(info)))
+    )

@@ -20,7 +20,6 @@ def _number(x: float) -> str:
         raise ValueError("not a JSON number")
     if x == 0:
         return "0"
-    digits, _, power = f"{x:e}".partition("e")
     digits, power = repr(abs(x)), 0
     if "e" in digits:
         digits, _, exp = digits.partition("e")

@@ -77,6 +77,40 @@ def nonce_verdicts(records: DataFrame) -> DataFrame:
     return late.groupBy("nonce").transformWithStateInPandas(statefulProcessor=NonceGuard(), outputStructType="record_id long, verdict string", outputMode="append", timeMode="eventTime")
 
 
+class BindingGuard(StatefulProcessor):
+    """Verdict of each record of an (input, model) pair against the pair's first prediction, kept for a day of event time."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.first = handle.getValueState("first", "prediction string")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        batch = pd.concat(list(rows)).sort_values(["ts", "record_id"])
+        first = self.first.get()[0] if self.first.exists() else None
+        if first is None:
+            first = batch["prediction"].iloc[0]
+            self.first.update((first,))
+            self.handle.registerTimer(int(batch["ts"].iloc[0].timestamp() * 1000) + 86_400_000)
+        yield pd.DataFrame({"record_id": batch["record_id"], "verdict": ["OK" if p == first else "SUBSTITUTION" for p in batch["prediction"]]})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.first.clear()
+        yield pd.DataFrame([], columns=["record_id", "verdict"])
+
+    def close(self) -> None:
+        pass
+
+
+def binding_verdicts(records: DataFrame) -> DataFrame:
+    """The guard's second stage: record_id and OK or SUBSTITUTION.
+
+    ``records`` (input_hash, model_hash, record_id, prediction, ts) are those that ``nonce_verdicts`` found
+    OK: a rejected record binds nothing.
+    """
+    late = records.withWatermark("ts", "24 hours")
+    return late.groupBy("input_hash", "model_hash").transformWithStateInPandas(statefulProcessor=BindingGuard(), outputStructType="record_id long, verdict string", outputMode="append", timeMode="eventTime")
+
+
 class Baseline(StatefulProcessor):
     """EWMA mean and variance of a sensor; a row is scored against the state before it."""
 
