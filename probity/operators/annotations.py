@@ -2,24 +2,49 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def coco_defects(images: DataFrame, categories: DataFrame, annotations: DataFrame) -> DataFrame:
-    """annotation_id, defect and severity; an annotation may have several.
+def coco_defects(images: DataFrame, categories: DataFrame, annotations: DataFrame, files: DataFrame | None = None) -> DataFrame:
+    """annotation_id, image_id, defect and severity; an annotation may have several.
 
-    ``images``: id; ``categories``: id; ``annotations``: annotation_id, image_id, category_id, w, h.
+    ``images``: id and, with ``files`` (name), file_name; ``categories``: id; ``annotations``:
+    annotation_id, image_id, category_id, w, h and x, y if there are any. Ids may be text: one that is
+    no integer is a defect, and nothing refers to it. What targets no declared image is dangling and
+    judged no further but for repeated ids. Declared images whose file is absent are named by image_id.
     """
-    known = annotations.join(images.select(F.col("id").alias("i_id")).distinct(), F.col("image_id") == F.col("i_id"), "left").join(categories.select(F.col("id").alias("c_id")).distinct(), F.col("category_id") == F.col("c_id"), "left")
+    whole = lambda c: F.col(c).cast("string").try_cast("long")
+    odd = lambda c: F.col(c).isNotNull() & whole(c).isNull()
+    known = annotations.join(images.select(whole("id").alias("i_id")).distinct(), whole("image_id") == F.col("i_id"), "left").join(categories.select(whole("id").alias("c_id")).distinct(), whole("category_id") == F.col("c_id"), "left")
     twice = annotations.groupBy(F.col("annotation_id").alias("t_id")).agg(F.count("*").alias("copies"))
     known = known.join(twice, F.col("annotation_id") == F.col("t_id"), "left")
+    outside = F.lit(False)
+    for c in ("x", "y"):
+        if c in annotations.columns:
+            outside = outside | (F.col(c) < 0)
+    box = F.coalesce((F.col("w") <= 0) | (F.col("h") <= 0) | outside, F.lit(True))
     rule = lambda cond, name, severity: F.when(cond, F.struct(F.lit(name).alias("defect"), F.lit(severity).alias("severity")))
+    there = F.col("i_id").isNotNull()
     found = F.array_compact(F.array(
-        rule(F.col("i_id").isNull(), "dangling-annotation", "HIGH"), rule(F.col("c_id").isNull(), "undeclared-category", "HIGH"),
-        rule(F.col("copies") > 1, "duplicate-annotation-id", "MEDIUM"), rule(F.coalesce((F.col("w") <= 0) | (F.col("h") < 0), F.lit(True)), "invalid-bbox", "MEDIUM"),
+        rule(~there, "dangling-annotation", "HIGH"), rule(there & odd("category_id"), "non-integer-id", "HIGH"), rule(there & ~odd("category_id") & F.col("category_id").isNotNull() & F.col("c_id").isNull(), "undeclared-category", "HIGH"),
+        rule(F.col("copies") > 1, "duplicate-annotation-id", "MEDIUM"), rule(there & box, "invalid-bbox", "MEDIUM"),
     ))
-    return known.select("annotation_id", "image_id", F.explode(found).alias("d")).select("annotation_id", "image_id", "d.*")
+    out = known.select("annotation_id", F.col("image_id").cast("string").alias("image_id"), F.explode(found).alias("d")).select("annotation_id", "image_id", "d.*")
+    nothing = F.lit(None).cast(annotations.schema["annotation_id"].dataType).alias("annotation_id")
+    named = lambda rows, c, defect, severity: rows.select(nothing, c.cast("string").alias("image_id"), F.lit(defect).alias("defect"), F.lit(severity).alias("severity"))
+    out = out.union(named(images.filter(odd("id")), F.col("id"), "non-integer-id", "HIGH")).union(named(categories.filter(odd("id")), F.lit(None), "non-integer-id", "HIGH"))
+    if files is not None:
+        base = F.element_at(F.split(F.translate("file_name", "\\", "/"), "/"), -1)
+        absent = images.filter(whole("id").isNotNull() & (F.col("file_name") != "")).join(files.select(F.col("name").alias("f_name")).distinct(), base == F.col("f_name"), "left_anti")
+        out = out.union(named(absent, F.col("id"), "missing-image", "MEDIUM"))
+    return out
+
+
+def orphan_labels(labels: DataFrame, images: DataFrame) -> DataFrame:
+    """Label files whose name, without folder and extension, no image has. Columns: path."""
+    stem = lambda c: F.regexp_replace(F.element_at(F.split(c, "/"), -1), r"\.[^.]*$", "")
+    return labels.join(images.select(stem(F.col("path")).alias("i_stem")).distinct(), stem(F.col("path")) == F.col("i_stem"), "left_anti")
 
 
 def majority_label(annotations: DataFrame) -> DataFrame:
@@ -33,7 +58,7 @@ def folder_labels(paths: DataFrame) -> DataFrame:
     """Label of each sample by its parent folder; FLAT layout where fewer than two labels occur."""
     named = paths.select("sample_id", F.element_at(F.split("path", "/"), -2).alias("label"))
     layout = named.agg(F.when(F.count_distinct("label") < 2, "FLAT").otherwise("FOLDERS").alias("layout"))
-    return named.join(F.broadcast(layout), F.lit(True))  # one row, on every row
+    return named.withColumn("layout", layout.scalar())
 
 
 def unlabelled(samples: DataFrame, labels: DataFrame) -> DataFrame:
@@ -63,7 +88,7 @@ def contributor_resolution(samples: DataFrame, manifest: DataFrame, most: int =
     half = F.count("*") / 2
     tops = F.count_distinct("by_top")
     chosen = rows.agg(F.when(F.count("by_manifest") >= half, "MANIFEST").when(F.count("by_hint") >= half, "HINTED_FOLDER").when((tops >= 2) & (tops <= most), "TOP_FOLDER").otherwise("SINGLE_SOURCE").alias("strategy"))
-    met = rows.join(F.broadcast(chosen), F.lit(True))
+    met = rows.withColumn("strategy", chosen.scalar())
     pick = F.when(F.col("strategy") == "MANIFEST", F.col("by_manifest")).when(F.col("strategy") == "HINTED_FOLDER", F.col("by_hint")).when(F.col("strategy") == "TOP_FOLDER", F.col("by_top")).otherwise("SINGLE_SOURCE")
     return met.select("sample_id", F.coalesce(pick, F.lit("UNATTRIBUTED")).alias("contributor"), "strategy")
 
@@ -82,9 +107,3 @@ def yolo_defects(lines: DataFrame, n_classes: int) -> DataFrame:
         .when(outside, "coordinates-out-of-range").when((box[2] <= 0) | (box[3] <= 0), "degenerate-box")
     )
     return lines.select("path", "line_no", fault.alias("defect")).filter("defect is not null")
-
-
-def first_labels(rows: DataFrame, key: str, order: str, label: str) -> DataFrame:
-    """The first label of each key by ``order``."""
-    w = Window.partitionBy(key).orderBy(order, label)
-    return rows.withColumn("place", F.row_number().over(w)).filter("place = 1").select(key, label)

@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from probity.operators.prefix import quantiles
 from probity.schemas import DEFAULT, Thresholds
 from probity.storage import materialise
 
@@ -54,10 +55,25 @@ def nearest(vectors: DataFrame, k: int = DEFAULT.neighbours, block: int = 1024)
     return found.withColumn("place", place).filter(F.col("place") <= k)
 
 
-def label_suspects(vectors: DataFrame, neighbours: DataFrame, t: Thresholds = DEFAULT) -> DataFrame:
+def comparable(vectors: DataFrame, t: Thresholds = DEFAULT) -> DataFrame:
+    """The rows whose labels neighbours can judge: classes of half a neighbourhood or more.
+
+    None at all where there are fewer than two neighbourhoods of rows, or fewer than two such classes.
+    Columns: label and any.
+    """
+    everything = Window.partitionBy()  # over the labels
+    sizes = vectors.groupBy(F.col("label").alias("v_label")).agg(F.count("*").alias("v_n"))
+    large = F.col("v_n") >= t.neighbours // 2
+    sizes = sizes.withColumns({"v_total": F.sum("v_n").over(everything), "v_large": F.sum(large.cast("int")).over(everything)})
+    sizes = sizes.filter(large & (F.col("v_total") >= 2 * t.neighbours) & (F.col("v_large") >= 2))
+    return vectors.join(sizes.select("v_label"), F.col("label") == F.col("v_label"), "left_semi")
+
+
+def label_suspects(vectors: DataFrame, neighbours: DataFrame, t: Thresholds = DEFAULT, backbone: float = 1.0) -> DataFrame:
     """Rows whose neighbours agree on another label. Columns of ``vectors``: id, label.
 
     own: share of neighbours with the row's label; the commonest label, ties by name, is the projected.
+    Confidence grows with margin and disagreement and is scaled by the trust in the vectors, ``backbone``.
     """
     label = lambda key, name: vectors.select(F.col("id").alias(key), F.col("label").alias(name))
     near = neighbours.join(label("n_id", "n_label"), F.col("other") == F.col("n_id"))
@@ -67,7 +83,8 @@ def label_suspects(vectors: DataFrame, neighbours: DataFrame, t: Thresholds = DE
     own = F.coalesce(F.try_element_at("by", F.col("label")), F.lit(0)) / F.col("of")
     share = F.col("top.c") / F.col("of")
     out = met.select("id", "label", (-F.col("top.neg")).alias("projected"), (1 - own).alias("disagreement"), (share - own).alias("margin"))
-    return out.filter((F.col("disagreement") >= t.disagreement) & (F.col("margin") >= t.margin) & (F.col("projected") != F.col("label")))
+    out = out.filter((F.col("disagreement") >= t.disagreement) & (F.col("margin") >= t.margin) & (F.col("projected") != F.col("label")))
+    return out.withColumn("confidence", F.least(F.lit(0.99), 0.5 + 0.5 * F.col("margin") + 0.2 * (F.col("disagreement") - t.disagreement)) * backbone)
 
 
 def label_flows(suspects: DataFrame, vectors: DataFrame) -> DataFrame:
@@ -130,5 +147,5 @@ def mahalanobis(vectors: DataFrame, t: Thresholds = DEFAULT) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column("id"), b.column("label"), pa.array(np.sqrt(least))], names=["id", "label", "distance"])
 
     scored = materialise(vectors.select("id", "label", "v").mapInArrow(score, f"id long, label {vectors.schema['label'].dataType.simpleString()}, distance double"), "distances")
-    cut = scored.agg(F.percentile("distance", t.ood_percentile).alias("cut"))
-    return scored.join(F.broadcast(cut), F.col("distance") >= F.col("cut"), "left").select("id", "label", "distance", F.col("cut").isNotNull().alias("flagged"))
+    cut = quantiles(scored.select(F.lit(0).alias("all"), "distance"), ["all"], "distance", {"cut": t.ood_percentile}).select("cut")
+    return scored.withColumn("flagged", F.coalesce(F.col("distance") >= cut.scalar(), F.lit(False)))

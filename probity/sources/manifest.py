@@ -60,18 +60,36 @@ def manifest_faults(manifest: DataFrame, t: Thresholds = DEFAULT) -> DataFrame:
     return rows.select("archive_id", "entry_no", "fault", total.alias("accepted_bytes"), ((total > t.archive_bytes) | (F.count("*").over(up) > t.archive_entries)).alias("aborted"))
 
 
-MAGIC = (("89504E47", "png"), ("FFD8FF", "jpeg"), ("47494638", "gif"), ("424D", "bmp"), ("504B0304", "zip"), ("25504446", "pdf"), ("3C21444F", "html"), ("3C68746D", "html"))
+MAGIC = (("89504E47", "png"), ("FFD8FF", "jpeg"), ("47494638", "gif"), ("424D", "bmp"), ("504B0304", "zip"), ("25504446", "pdf"), ("3C21444F", "html"), ("3C68746D", "html"), ("49492A00", "tiff"), ("4D4D002A", "tiff"))
+RIFF, WEBP = "52494646", "57454250"  # a RIFF container says at byte 9 what it holds
 
 
 def sniffed(content: Column) -> Column:
     """Format by the first bytes (of a binary column), or ``unknown``."""
     head = F.hex(F.substring(content, 1, 12))
-    out = F.lit("unknown")
+    out = F.when(head.startswith(RIFF) & (F.substring(head, 17, 8) == WEBP), "webp").otherwise("unknown")
     for magic, name in reversed(MAGIC):
         out = F.when(head.startswith(magic), name).otherwise(out)
     return out
 
 
+#: extensions that name a format otherwise than itself
+NAMED = {"jpg": "jpeg", "tif": "tiff", "htm": "html"}
+
+
+def format_mismatches(files: DataFrame) -> DataFrame:
+    """Files whose extension declares another known format than their first bytes. Columns: path, content (binary).
+
+    Unknown bytes and extensions that name none of the formats in ``MAGIC`` are not judged.
+    """
+    declared = extension(F.col("path"))
+    for short, name in NAMED.items():
+        declared = F.when(declared == short, name).otherwise(declared)
+    known = [*dict.fromkeys(name for _, name in MAGIC), "webp"]
+    rows = files.withColumns({"declared": declared, "format": sniffed(F.col("content"))})
+    return rows.filter(F.col("declared").isin(*known) & (F.col("format") != "unknown") & (F.col("declared") != F.col("format"))).drop("content")
+
+
 def violations(rows: DataFrame, rules: dict[str, Column], key: list[str]) -> DataFrame:
     """One row for each row and rule that it breaks; a rule that is null is broken."""
     broken = F.array_compact(F.array(*[F.when(~F.coalesce(ok, F.lit(False)), F.lit(name)) for name, ok in rules.items()]))
