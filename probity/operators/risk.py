@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from probity.functions.scoring import clamp, decision
-from probity.schemas import DEFECT_WEIGHTS
+from probity.schemas import DEFAULT, DEFECT_WEIGHTS
 
 
 def capped(part: Column, whole: Column, slope: float, cap: float) -> Column:
@@ -82,6 +82,26 @@ def governance(assets: DataFrame) -> DataFrame:
     return assets.withColumns({"decision": decided, "rules": fired})
 
 
+def decided(evidence: DataFrame) -> DataFrame:
+    """Decision and the rules that gave it, of an owner's or the platform's evidence.
+
+    Columns as for ``governance``. Overrides name themselves only; else the band of the risk does, with
+    coverage gap and missing evidence where they ask for review.
+    """
+    overrides = [
+        F.when(F.col("malicious"), F.lit("MALICIOUS_SERIALIZATION")), F.when(F.col("failed_records") > 0, F.lit("INFERENCE_INTEGRITY_FAILURE")),
+        F.when(F.col("backdoor"), F.lit("BACKDOOR_CONFIRMED")), F.when(F.col("critical_open") > 0, F.lit("CRITICAL_FINDING")),
+    ]
+    review = [
+        F.when(F.col("risk") >= DEFAULT.accept_below, F.lit("COMPOSITE_RISK in [30, 70)")), F.when(F.col("coverage_gap"), F.lit("COVERAGE_GAP")), F.when(F.col("n_evidence") == 0, F.lit("NO_EVIDENCE")),
+    ]
+    rows = evidence.withColumns({"over": F.array_compact(F.array(*overrides)), "ask": F.array_compact(F.array(*review))})
+    high = F.col("risk") >= DEFAULT.quarantine_from
+    fired = F.when(F.size("over") > 0, F.col("over")).when(high, F.array(F.lit("COMPOSITE_RISK >= 70"))).when(F.size("ask") > 0, F.col("ask")).otherwise(F.array(F.lit("COMPOSITE_RISK < 30")))
+    verdict = F.when((F.size("over") > 0) | high, "QUARANTINE").when(F.size("ask") > 0, "REVIEW").otherwise("ACCEPT")
+    return rows.withColumns({"decision": verdict, "rules": F.array_join(fired, ",")}).drop("over", "ask")
+
+
 def contributor_profile(samples: DataFrame, defects: DataFrame) -> DataFrame:
     """Counts of each kind of defect and the risk of every contributor.
 
