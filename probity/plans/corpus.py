@@ -77,29 +77,33 @@ def prints(s, d):
     return dup.simhash64(table(s, d, "documents"), "doc_id", "text").join(content, F.col("doc_id") == F.col("sample_id")).select(F.col("doc_id").alias("id"), "fingerprint", "sha256")
 
 
-PAIRS = f"SELECT x.id AS a, y.id AS b, bit_count(xor(x.u, y.u)) AS distance FROM one x JOIN one y ON x.id < y.id WHERE bit_count(xor(x.u, y.u)) <= 5"
+PRINTS = f"p AS (SELECT doc_id, u, sha256 FROM ({SIMHASH}) JOIN samples ON sample_id = doc_id), f AS (SELECT u, min(doc_id) AS id, min(sha256) <> max(sha256) AS varied FROM p GROUP BY u), e AS (SELECT x.id AS a, y.id AS b, bit_count(xor(x.u, y.u)) AS distance FROM f x JOIN f y ON x.id < y.id WHERE bit_count(xor(x.u, y.u)) <= 5)"
+#: clusters of all rows, the copies of a fingerprint among them
+CLUSTERS = f"""WITH RECURSIVE {PRINTS}, g AS (SELECT a, b FROM e UNION SELECT b, a FROM e), reach AS (SELECT a AS node, a AS seen FROM g UNION SELECT reach.node, g.b FROM reach JOIN g ON g.a = reach.seen), least_of AS (SELECT node, min(seen) AS cluster FROM reach GROUP BY node),
+ k AS (SELECT f.u, coalesce(c.cluster, f.id) AS cluster FROM f LEFT JOIN least_of c ON c.node = f.id WHERE varied OR c.node IS NOT NULL), near AS (SELECT doc_id AS sample_id, cluster, doc_id <> cluster AS redundant FROM p JOIN k USING (u))"""
 
 
-@query("near_duplicate_pairs", f"WITH one AS (SELECT u, min(doc_id) AS id FROM ({SIMHASH}) GROUP BY u) {PAIRS}")
+@query("near_duplicate_pairs", f"""WITH {PRINTS}, s AS (SELECT u, min(sha256) AS lo, max(sha256) AS hi FROM p GROUP BY u), l AS (SELECT p.u, lo, hi, min(doc_id) FILTER (sha256 = lo) AS lo_id, min(doc_id) FILTER (sha256 = hi) AS hi_id, min(doc_id) AS original FROM p JOIN s USING (u) GROUP BY ALL),
+ st AS (SELECT doc_id, CASE WHEN sha256 <> lo THEN lo_id WHEN doc_id <> lo_id THEN hi_id END AS hub FROM p JOIN l USING (u) WHERE lo <> hi),
+ cl AS (SELECT node, min(row(distance, other)) AS best FROM (SELECT a AS node, b AS other, distance FROM e UNION ALL SELECT b, a, distance FROM e) GROUP BY node),
+ co AS (SELECT doc_id, best[1] AS distance, best[2] AS other FROM p JOIN l USING (u) JOIN cl ON node = original WHERE lo = hi AND doc_id <> original)
+ SELECT a, b, distance FROM e UNION ALL SELECT least(doc_id, hub), greatest(doc_id, hub), 0 FROM st WHERE hub IS NOT NULL UNION ALL SELECT least(doc_id, other), greatest(doc_id, other), distance FROM co""")
 def _(s, d):
     return dup.near_links(prints(s, d))
 
 
-@query("duplicate_clusters", f"""WITH RECURSIVE one AS (SELECT u, min(doc_id) AS id FROM ({SIMHASH}) GROUP BY u), e AS ({PAIRS}), g AS (SELECT a, b FROM e UNION SELECT b, a FROM e), reach AS (SELECT a AS node, a AS seen FROM g UNION SELECT reach.node, g.b FROM reach JOIN g ON g.a = reach.seen)
- SELECT node AS sample_id, min(seen) AS cluster, node <> min(seen) AS redundant FROM reach GROUP BY node""")
+@query("duplicate_clusters", CLUSTERS + " SELECT * FROM near")
 def _(s, d):
     return dup.near_clusters(prints(s, d))
 
 
-@query("near_flooding", f"""WITH RECURSIVE one AS (SELECT u, min(doc_id) AS id FROM ({SIMHASH}) GROUP BY u), e AS ({PAIRS}), g AS (SELECT a, b FROM e UNION SELECT b, a FROM e), reach AS (SELECT a AS node, a AS seen FROM g UNION SELECT reach.node, g.b FROM reach JOIN g ON g.a = reach.seen),
- c AS (SELECT node FROM reach GROUP BY node HAVING node <> min(seen)) SELECT contributor, count(*) AS n, count(node) AS near, round(count(node) / count(*), 6) AS share, count(node) / count(*) >= 0.02 AS floods FROM samples LEFT JOIN c ON sample_id = node GROUP BY contributor""")
+@query("near_flooding", CLUSTERS + """, c AS (SELECT sample_id AS node FROM near WHERE redundant) SELECT contributor, count(*) AS n, count(node) AS near, round(count(node) / count(*), 6) AS share, count(node) / count(*) >= 0.02 AS floods FROM samples LEFT JOIN c ON sample_id = node GROUP BY contributor""")
 def _(s, d):
     return dup.flooding(dup.near_clusters(prints(s, d)), view(s, d, "samples"))
 
 
-
-
-@query("split_leakage", "WITH g AS (SELECT *, min(sample_id) OVER (PARTITION BY sha256) AS cluster, count(*) OVER (PARTITION BY sha256) AS c FROM samples), x AS (SELECT cluster, CASE WHEN path LIKE '%/validation/%' THEN 'val' WHEN path LIKE '%/test/%' THEN 'test' ELSE 'train' END AS split FROM g WHERE c > 1) SELECT cluster, count(*) AS n, string_agg(DISTINCT split, ',' ORDER BY split) AS splits, count(DISTINCT split) AS n_splits FROM x GROUP BY cluster HAVING count(DISTINCT split) > 1")
+@query("split_leakage", CLUSTERS + """, ex AS (SELECT sha256, min(sample_id) AS first_id FROM samples GROUP BY sha256 HAVING count(*) > 1), m AS (SELECT coalesce(n.cluster, ex.first_id) AS cluster, path FROM samples LEFT JOIN near n USING (sample_id) LEFT JOIN ex USING (sha256) WHERE coalesce(n.cluster, ex.first_id) IS NOT NULL),
+ x AS (SELECT cluster, CASE WHEN path LIKE '%/validation/%' THEN 'val' WHEN path LIKE '%/test/%' THEN 'test' ELSE 'train' END AS split FROM m) SELECT cluster, count(*) AS n, string_agg(DISTINCT split, ',' ORDER BY split) AS splits, count(DISTINCT split) AS n_splits FROM x GROUP BY cluster HAVING count(DISTINCT split) > 1""")
 def _(s, d):
     return dup.leaks(dup.all_clusters(view(s, d, "samples"), dup.near_clusters(prints(s, d))))
 
@@ -111,7 +115,7 @@ def _(s, d):
     return dup.contaminated_items(table(s, d, "documents"), table(s, d, "benchmark"))
 
 
-@query("redundant_union", "WITH x AS (SELECT sample_id, label, row_number() OVER (PARTITION BY sha256 ORDER BY sample_id) AS p FROM samples) SELECT sample_id, 'exact' AS kind FROM x WHERE p > 1 UNION ALL SELECT sample_id, 'near' FROM samples WHERE sample_id % 17 = 0")
+@query("redundant_union", CLUSTERS + ", x AS (SELECT sample_id, row_number() OVER (PARTITION BY sha256 ORDER BY sample_id) AS p FROM samples) SELECT sample_id, 'exact' AS kind FROM x WHERE x.p > 1 UNION ALL SELECT sample_id, 'near' FROM near WHERE redundant")
 def _(s, d):
     samples = view(s, d, "samples")
     return dup.redundant_union(dup.redundant(samples), dup.near_clusters(prints(s, d)).filter("redundant"))
@@ -139,11 +143,15 @@ def _(s, d):
     return a.contributor_resolution(samples, known)
 
 
-@query("coco_defects", """WITH t AS (SELECT annotation_id, count(*) AS c FROM annotations GROUP BY annotation_id), x AS (SELECT n.annotation_id, annotated AS image_id, annotated NOT IN (SELECT o_orderkey FROM orders) AS dangling, category_id >= 900 AS undeclared, c > 1 AS twice, w <= 0 OR h < 0 AS box FROM annotations n JOIN t USING (annotation_id))
- SELECT annotation_id, image_id, 'dangling-annotation' AS defect, 'HIGH' AS severity FROM x WHERE dangling UNION ALL SELECT annotation_id, image_id, 'undeclared-category', 'HIGH' FROM x WHERE undeclared UNION ALL SELECT annotation_id, image_id, 'duplicate-annotation-id', 'MEDIUM' FROM x WHERE twice UNION ALL SELECT annotation_id, image_id, 'invalid-bbox', 'MEDIUM' FROM x WHERE box""")
+@query("coco_defects", """WITH t AS (SELECT annotation_id, count(*) AS c FROM annotations GROUP BY annotation_id), x AS (SELECT n.annotation_id, CAST(annotated AS VARCHAR) AS image_id, annotated NOT IN (SELECT o_orderkey FROM orders) AS dangling, category_id >= 900 AS undeclared, c > 1 AS twice, w <= 0 OR h <= 0 AS box FROM annotations n JOIN t USING (annotation_id))
+ SELECT annotation_id, image_id, 'dangling-annotation' AS defect, 'HIGH' AS severity FROM x WHERE dangling UNION ALL SELECT annotation_id, image_id, 'undeclared-category', 'HIGH' FROM x WHERE undeclared AND NOT dangling UNION ALL SELECT annotation_id, image_id, 'duplicate-annotation-id', 'MEDIUM' FROM x WHERE twice UNION ALL SELECT annotation_id, image_id, 'invalid-bbox', 'MEDIUM' FROM x WHERE box AND NOT dangling
+ UNION ALL SELECT NULL, concat('x', CAST(o_orderkey AS VARCHAR)), 'non-integer-id', 'HIGH' FROM orders WHERE o_orderkey % 1000 = 3 UNION ALL SELECT NULL, CAST(o_orderkey AS VARCHAR), 'missing-image', 'MEDIUM' FROM orders WHERE o_orderkey % 200 = 5""")
 def _(s, d):
     rows = view(s, d, "annotations").drop("image_id").withColumnRenamed("annotated", "image_id")
-    return a.coco_defects(table(s, d, "orders").select(F.col("o_orderkey").alias("id")), rows.filter("category_id < 900").select(F.col("category_id").alias("id")), rows)
+    orders = table(s, d, "orders").select(F.col("o_orderkey").cast("string").alias("id"), F.concat(F.lit("images\\"), F.col("o_orderkey").cast("string"), F.lit(".jpg")).alias("file_name"))
+    images = orders.union(orders.filter("id % 1000 = 3").select(F.concat(F.lit("x"), "id"), F.lit("")))
+    files = orders.filter("id % 200 <> 5").select(F.concat("id", F.lit(".jpg")).alias("name"))
+    return a.coco_defects(images, rows.filter("category_id < 900").select(F.col("category_id").alias("id")), rows, files)
 
 
 @query("majority_label", "SELECT image_id, category_id, n FROM (SELECT image_id, category_id, count(*) AS n, row_number() OVER (PARTITION BY image_id ORDER BY count(*) DESC, category_id) AS p FROM annotations GROUP BY image_id, category_id) WHERE p = 1")
@@ -223,6 +231,8 @@ def vectors(s, d):
 KNN = """WITH v AS (SELECT vec_id AS id, CASE WHEN vec_id % 25 = 0 THEN (label + 1) % 10 ELSE label END AS label, embedding::DOUBLE[] AS v FROM embeddings),
  s AS (SELECT a.id, b.id AS other, list_inner_product(a.v, b.v) / sqrt(list_inner_product(a.v, a.v) * list_inner_product(b.v, b.v)) AS similarity FROM v a JOIN v b ON a.id <> b.id),
  k AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY similarity DESC, other) AS place FROM s) WHERE place <= 15) """
+SUSPECTS = KNN + """, c AS (SELECT k.id, n.label AS l, count(*) AS c FROM k JOIN v n ON n.id = k.other GROUP BY ALL), t AS (SELECT c.id, sum(c.c) AS total, max(row(c.c, -c.l)) AS top, sum(CASE WHEN c.l = v.label THEN c.c ELSE 0 END) AS own FROM c JOIN v ON v.id = c.id GROUP BY c.id),
+ z AS (SELECT v.id, v.label, -(top[2]) AS projected, 1 - own / total AS disagreement, top[1] / total - own / total AS margin FROM t JOIN v ON v.id = t.id), su AS (SELECT id, label, projected, round(disagreement, 6) AS disagreement, round(margin, 6) AS margin, round(least(0.99::DOUBLE, 0.5::DOUBLE + 0.5::DOUBLE * margin + 0.2::DOUBLE * (disagreement - 0.85::DOUBLE)), 6) AS confidence FROM z WHERE disagreement >= 0.85 AND margin >= 0.4 AND projected <> label)"""
 
 
 @query("nearest_neighbours", KNN + "SELECT id, other, round(similarity, 6) AS similarity, place FROM k")
@@ -230,17 +240,20 @@ def _(s, d):
     return vec.nearest(vectors(s, d)).withColumn("similarity", F.round("similarity", 6))
 
 
-@query("label_suspects", KNN + """, c AS (SELECT k.id, n.label AS l, count(*) AS c FROM k JOIN v n ON n.id = k.other GROUP BY ALL), t AS (SELECT c.id, sum(c.c) AS total, max(row(c.c, -c.l)) AS top, sum(CASE WHEN c.l = v.label THEN c.c ELSE 0 END) AS own FROM c JOIN v ON v.id = c.id GROUP BY c.id),
- z AS (SELECT v.id, v.label, -(top[2]) AS projected, 1 - own / total AS disagreement, top[1] / total - own / total AS margin FROM t JOIN v ON v.id = t.id) SELECT id, label, projected, round(disagreement, 6) AS disagreement, round(margin, 6) AS margin FROM z WHERE disagreement >= 0.85 AND margin >= 0.4 AND projected <> label""")
+def suspects(s, d):
+    v = vec.comparable(vectors(s, d))
+    return v, vec.label_suspects(v, vec.nearest(v))
+
+
+@query("label_suspects", SUSPECTS + " SELECT * FROM su")
 def _(s, d):
-    v = vectors(s, d)
-    return vec.label_suspects(v, vec.nearest(v)).withColumns({"disagreement": F.round("disagreement", 6), "margin": F.round("margin", 6)})
+    return suspects(s, d)[1].withColumns({c: F.round(c, 6) for c in ("disagreement", "margin", "confidence")})
 
 
-@query("label_flows")
+@query("label_flows", SUSPECTS + ", fl AS (SELECT label, projected, count(*) AS n FROM su GROUP BY ALL), cn AS (SELECT label, count(*) AS class_n FROM v GROUP BY label) SELECT label, projected, n, round(n / sum(n) OVER (), 6) AS concentration, round(n / class_n, 6) AS share, n >= 8 AND n / sum(n) OVER () >= 0.6 AND n / class_n >= 0.03 AS systematic FROM fl JOIN cn USING (label)")
 def _(s, d):
-    v = vectors(s, d)
-    return vec.label_flows(vec.label_suspects(v, vec.nearest(v)), v)
+    v, found = suspects(s, d)
+    return vec.label_flows(found, v)
 
 
 @query("mahalanobis_outliers")
@@ -263,9 +276,11 @@ def copies(s, d):
 
 
 @query("near_duplicate_vectors", """WITH p AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v FROM embeddings UNION ALL SELECT vec_id + 1000000, list_concat([embedding[1]::DOUBLE * 0.5::DOUBLE], embedding[2:]::DOUBLE[]) FROM embeddings WHERE vec_id % 50 = 0 UNION ALL SELECT vec_id + 2000000, list_concat([-embedding[1]::DOUBLE], embedding[2:]::DOUBLE[]) FROM embeddings WHERE vec_id % 50 = 0),
- f AS (SELECT min(id) AS id, bits FROM (SELECT id, list_transform(v, lambda x: CASE WHEN x > 0 THEN 1 ELSE 0 END) AS bits FROM p) GROUP BY bits),
- z AS (SELECT a.id AS a, b.id AS b, list_sum(list_transform(range(1, 65), lambda i: CASE WHEN a.bits[i] <> b.bits[i] THEN 1 ELSE 0 END)) AS distance FROM f a JOIN f b ON a.id < b.id)
- SELECT a, b, CAST(distance AS INTEGER) AS distance, round(list_inner_product(x.v, y.v) / sqrt(list_inner_product(x.v, x.v) * list_inner_product(y.v, y.v)), 6) AS similarity FROM z JOIN p x ON x.id = a JOIN p y ON y.id = b WHERE distance <= 5 AND list_inner_product(x.v, y.v) / sqrt(list_inner_product(x.v, x.v) * list_inner_product(y.v, y.v)) >= 0.98""")
+ q AS (SELECT id, v, list_transform(v, lambda x: CASE WHEN x > 0 THEN 1 ELSE 0 END) AS bits FROM p), f AS (SELECT min(id) AS id, bits, v FROM q GROUP BY bits, v),
+ z AS (SELECT a.id AS a, b.id AS b, CAST(list_sum(list_transform(range(1, 65), lambda i: CASE WHEN a.bits[i] <> b.bits[i] THEN 1 ELSE 0 END)) AS INTEGER) AS distance, list_inner_product(a.v, b.v) / sqrt(list_inner_product(a.v, a.v) * list_inner_product(b.v, b.v)) AS similarity FROM f a JOIN f b ON a.id < b.id),
+ e AS (SELECT * FROM z WHERE distance <= 5 AND similarity >= 0.98), cl AS (SELECT node, min(row(distance, other, similarity)) AS best FROM (SELECT a AS node, b AS other, distance, similarity FROM e UNION ALL SELECT b, a, distance, similarity FROM e) GROUP BY node),
+ co AS (SELECT q.id, best FROM q JOIN f ON q.bits = f.bits AND q.v = f.v JOIN cl ON cl.node = f.id WHERE q.id <> f.id)
+ SELECT a, b, distance, round(similarity, 6) AS similarity FROM e UNION ALL SELECT least(id, best[2]), greatest(id, best[2]), best[1], round(best[3], 6) FROM co""")
 def _(s, d):
     rows = copies(s, d)
     bits = F.lit(0).cast("long")
@@ -274,25 +289,12 @@ def _(s, d):
     return dup.near_vectors(rows.select("id", bits.alias("fingerprint"), "v")).withColumn("similarity", F.round("similarity", 6))
 
 
-@query("trigger_responses", """WITH p AS (SELECT trigger_name, count(*) AS n, count(*) FILTER (pred <> clean_pred) AS flips FROM responses GROUP BY trigger_name), t AS (SELECT trigger_name, pred AS target, count(*) AS hits, row_number() OVER (PARTITION BY trigger_name ORDER BY count(*) DESC, pred) AS q FROM responses WHERE pred <> clean_pred GROUP BY trigger_name, pred),
- c AS (SELECT trigger_name, clean_pred AS target, count(*) AS prior_n FROM responses GROUP BY ALL), x AS (SELECT p.*, t.target, coalesce(hits, 0) AS hits, coalesce(prior_n, 0) AS prior_n FROM p LEFT JOIN t ON t.trigger_name = p.trigger_name AND q = 1 LEFT JOIN c ON c.trigger_name = p.trigger_name AND c.target = t.target),
- y AS (SELECT *, flips / n AS rate, CASE WHEN flips > 0 THEN hits / flips ELSE 0 END AS conc, hits / n / greatest(prior_n / n, 0.1::DOUBLE) AS lift FROM x)
- SELECT trigger_name, n, flips, target, round(rate, 6) AS flip_rate, round(conc, 6) AS concentration, round(lift, 6) AS lift, CASE WHEN rate >= 0.5 AND conc >= 0.85 AND lift >= 3 THEN 'STRONG' WHEN rate >= 0.3 AND conc >= 0.7 AND lift >= 2 THEN 'SUSPICIOUS' WHEN rate >= 0.3 THEN 'SENSITIVE' ELSE 'STABLE' END AS verdict FROM y""")
-def _(s, d):
-    return mod.trigger_responses(view(s, d, "responses"), 10)
-
-
 @query("mask_anomalies", """WITH m AS (SELECT *, median(l1_norm) OVER p AS mid, count(*) OVER p AS c FROM masks WINDOW p AS (PARTITION BY model)), e AS (SELECT *, abs(l1_norm - mid) AS dist FROM m WHERE c >= 3), g AS (SELECT *, median(dist) OVER (PARTITION BY model) AS mad FROM e),
  h AS (SELECT *, CASE WHEN mad > 0 THEN dist / (1.4826::DOUBLE * mad) ELSE 0 END AS idx, l1_norm / mid AS ratio FROM g) SELECT model, cls, round(idx, 6) AS anomaly_index, round(ratio, 6) AS l1_ratio, attack_success >= 0.85 AND (ratio <= 0.35 OR (idx > 2 AND ratio <= 0.55)) AS flagged FROM h""")
 def _(s, d):
     return mod.mask_anomalies(view(s, d, "masks"))
 
 
-@query("tensor_statistics", "SELECT tensor, count(*) AS n, round(avg(x), 6) AS mean, round(stddev_pop(x), 6) AS std, round(min(x), 6) AS low, round(max(x), 6) AS high, round(count(*) FILTER (x = 0) / count(*), 6) AS zero_share, 0::BIGINT AS non_finite FROM tensors GROUP BY tensor")
-def _(s, d):
-    return mod.tensor_statistics(view(s, d, "tensors"))
-
-
 @query("dataset_risk", f"""WITH def AS ({DEFECTS}), x AS (SELECT contributor, count(DISTINCT s.sample_id) AS n, count(*) FILTER (kind = 'trigger') AS trig, count(*) FILTER (kind = 'label') AS lab, count(*) FILTER (kind = 'exact') AS exa FROM samples s LEFT JOIN def USING (sample_id) GROUP BY contributor)
  SELECT contributor, round(0.5::DOUBLE * least(100.0::DOUBLE, least(45.0::DOUBLE, trig / n * 1500) + CASE WHEN lab >= 8 THEN least(25.0::DOUBLE, lab / n * 250) ELSE least(8.0::DOUBLE, lab / n * 40) END + least(15.0::DOUBLE, exa / n * 60)) + 5, 4) AS risk FROM x""")
 def _(s, d):

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from probity.plans import corpus, evidence, reporting
+from probity.plans import assurance, corpus, evidence, reporting
 
-QUERIES: dict = {**corpus.QUERIES, **evidence.QUERIES, **reporting.QUERIES}
-ORACLE: dict[str, str] = {**corpus.ORACLE, **evidence.ORACLE, **reporting.ORACLE}
+QUERIES: dict = {**corpus.QUERIES, **evidence.QUERIES, **reporting.QUERIES, **assurance.QUERIES}
+ORACLE: dict[str, str] = {**corpus.ORACLE, **evidence.ORACLE, **reporting.ORACLE, **assurance.ORACLE}
