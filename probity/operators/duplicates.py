@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,37 +30,108 @@ def simhash64(rows: DataFrame, key: str, text: str, words: int = 3) -> DataFrame
     tokens = rows.select(key, F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), " ").alias("w")).filter(F.size("w") >= words)
     shingles = tokens.select(key, F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - words + 1), lambda i: F.array_join(F.slice("w", i, words), " ")))).alias("s"))
     hashed = shingles.select(key, F.conv(F.substring(F.md5(F.col("s").cast("binary")), 1, 16), 16, -10).cast("long").alias("h"))
-    votes = hashed.groupBy(key).agg(*[F.sum(F.shiftrightunsigned("h", b).bitwiseAND(1) * 2 - 1).alias(f"b{b}") for b in range(64)])
+    # a sum counts two bits, the upper one in its upper half
+    votes = hashed.groupBy(key).agg(F.count("*").alias("n"), *[F.sum(F.shiftrightunsigned("h", b).bitwiseAND((1 << 32) + 1)).alias(f"b{b}") for b in range(32)])
     bits = F.lit(0).cast("long")
     for b in range(64):
-        bits = bits.bitwiseOR(F.when(F.col(f"b{b}") > 0, F.lit(1 << b if b < 63 else -(1 << 63)).cast("long")).otherwise(F.lit(0).cast("long")))
+        count = F.shiftrightunsigned(f"b{b - 32}", 32) if b >= 32 else F.col(f"b{b}").bitwiseAND((1 << 32) - 1)
+        bits = bits.bitwiseOR(F.when(count * 2 > F.col("n"), F.lit(1 << b if b < 63 else -(1 << 63)).cast("long")).otherwise(F.lit(0).cast("long")))
     return votes.select(key, bits.alias("fingerprint"))
 
 
-def near_pairs(prints: DataFrame, radius: int = DEFAULT.hamming, content: tuple[str, ...] = ()) -> DataFrame:
+def _pieces(x: Column, blocks: int) -> list[Column]:
+    """The bits of ``x`` cut into ``blocks``."""
+    edges = [64 * k // blocks for k in range(blocks + 1)]
+    return [F.shiftrightunsigned(x, lo).bitwiseAND((1 << (hi - lo)) - 1) for lo, hi in zip(edges, edges[1:], strict=False)]
+
+
+def blocks_for(n: int, radius: int) -> int:
+    """Into how many blocks bits are cut so that a key of all but ``radius`` of them tells ``n`` fingerprints apart, by chance."""
+    blocks = radius + 1
+    while blocks < 2 * radius and 64 * (blocks - radius) // blocks < n.bit_length():
+        blocks += 1
+    return blocks
+
+
+def keyed(one: DataFrame, radius: int, blocks: int) -> DataFrame:
+    """``one`` (id, fingerprint) once for each choice of ``blocks`` - ``radius`` blocks: ``choice`` and ``bits``.
+
+    Two fingerprints within ``radius`` bits agree on at least that many blocks (pigeonhole), so they
+    share a key.
+    """
+    bits = _pieces(F.col("fingerprint"), blocks)
+    width = -(-64 // blocks)
+    chosen = []
+    for choice in combinations(range(blocks), blocks - radius):
+        key = F.lit(0).cast("long")
+        for k in choice:
+            key = F.shiftleft(key, width).bitwiseOR(bits[k])
+        chosen.append(key)
+    return one.select("id", "fingerprint", F.posexplode(F.array(*chosen)).alias("choice", "bits"))
+
+
+def near_pairs(prints: DataFrame, radius: int = DEFAULT.hamming, content: tuple[str, ...] = (), blocks: int | None = None) -> DataFrame:
     """Pairs of distinct fingerprints within ``radius`` bits. Columns: id, fingerprint.
 
-    The 64 bits are cut into radius + 1 bands, one of which two near fingerprints share (pigeonhole).
-    Equal fingerprints go as one, their least id; pairs meet once, in the first band they share. With
+    Fingerprints meet on keys of ``keyed``; the more there are, the more bits a key has. A pair counts
+    once, under the first blocks that it agrees on. Equal fingerprints go as one, their least id. With
     columns of ``content`` only rows equal in these too go as one. ``near_links`` and ``near_clusters``
     put the rows that went as one back.
     """
-    one = prints.groupBy("fingerprint", *content).agg(F.min("id").alias("id"))
-    n = radius + 1
-    edges = [64 * k // n for k in range(n + 1)]
-
-    def band(x: Column, k: int) -> Column:
-        return F.shiftrightunsigned(x, edges[k]).bitwiseAND((1 << (edges[k + 1] - edges[k])) - 1)
-
-    banded = one.select("id", "fingerprint", F.posexplode(F.array(*[band(F.col("fingerprint"), k) for k in range(n)])).alias("band", "bits"))
-    a = banded.select(F.col("id").alias("a"), F.col("fingerprint").alias("fa"), "band", "bits")
-    b = banded.select(F.col("id").alias("b"), F.col("fingerprint").alias("fb"), F.col("band").alias("band_b"), F.col("bits").alias("bits_b"))
-    met = a.join(b, (F.col("band") == F.col("band_b")) & (F.col("bits") == F.col("bits_b")) & (F.col("a") < F.col("b")))
-    earlier = F.lit(False)
-    for k in range(n - 1):
-        earlier = earlier | ((F.col("band") > k) & (band(F.col("fa"), k) == band(F.col("fb"), k)))
+    one = materialise(prints.groupBy("fingerprint", *content).agg(F.min("id").alias("id")).select("id", "fingerprint"), "fingerprints")
+    blocks = blocks or blocks_for(one.count(), radius)
+    rows = keyed(one, radius, blocks)
+    a = rows.select(F.col("id").alias("a"), F.col("fingerprint").alias("fa"), "choice", "bits")
+    b = rows.select(F.col("id").alias("b"), F.col("fingerprint").alias("fb"), F.col("choice").alias("choice_b"), F.col("bits").alias("bits_b"))
     distance = F.bit_count(F.col("fa").bitwiseXOR(F.col("fb")))
-    return met.withColumn("distance", distance).filter((F.col("distance") <= radius) & ~earlier).select("a", "b", "distance")
+    met = a.join(b, (F.col("choice") == F.col("choice_b")) & (F.col("bits") == F.col("bits_b")) & (F.col("a") < F.col("b"))).withColumn("distance", distance).filter(F.col("distance") <= radius)
+    same = F.array_compact(F.array(*[F.when(x == y, F.lit(k)) for k, (x, y) in enumerate(zip(_pieces(F.col("fa"), blocks), _pieces(F.col("fb"), blocks), strict=True))]))
+    named = F.array(*[F.array(*map(F.lit, choice)) for choice in combinations(range(blocks), blocks - radius)])
+    return met.filter(F.slice(same, 1, blocks - radius) == F.get(named, F.col("choice"))).select("a", "b", "distance")
+
+
+def near_edges(prints: DataFrame, radius: int = DEFAULT.hamming, block: int = 8192) -> DataFrame:
+    """Edges a, b that hold together what pairs of distinct fingerprints within ``radius`` bits hold together.
+
+    Columns: id, fingerprint. The fingerprints under one key are compared in a task, in pairs of blocks
+    where they are more than ``block``, and only edges that join what is apart leave it; so a group
+    of near copies gives an edge a member, not its pairs.
+    """
+    one = materialise(prints.groupBy("fingerprint").agg(F.min("id").alias("id")).select("id", "fingerprint"), "fingerprints")
+    rows = keyed(one, radius, blocks_for(one.count(), radius))
+    sizes = rows.groupBy(F.col("choice").alias("s_choice"), F.col("bits").alias("s_bits")).agg(F.count("*").alias("n")).filter("n > 1")
+    met = rows.join(sizes, (F.col("choice") == F.col("s_choice")) & (F.col("bits") == F.col("s_bits"))).withColumn("blocks", F.ceil(F.col("n") / block).cast("int"))
+    met = met.withColumn("at", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    tasks = met.select("id", "fingerprint", "choice", "bits", "at", F.least("at", "other").alias("one"), F.greatest("at", "other").alias("two"), "blocks")
+    few = F.pmod(F.xxhash64("choice", "bits"), F.lit(4096))  # small keys share a group
+    tasks = tasks.withColumn("bin", F.when(F.col("blocks") == 1, few).otherwise(F.xxhash64("choice", "bits", "one", "two")))
+
+    def solve(table: pa.Table) -> pa.Table:
+        columns = [table.column(c).to_numpy() for c in ("choice", "bits", "one", "two")]
+        ids, prints, at = (table.column(c).to_numpy() for c in ("id", "fingerprint", "at"))
+        order = np.lexsort((at, *columns))
+        ids, prints, at = ids[order], prints[order].view(np.uint64), at[order]
+        columns = [c[order] for c in columns]
+        change = np.logical_or.reduce([c[1:] != c[:-1] for c in columns]) if len(ids) > 1 else np.zeros(0, bool)
+        head = np.flatnonzero(np.concatenate(([True], change)))
+        found: list[tuple[int, int]] = []
+        for i, j in zip(head.tolist(), [*head[1:].tolist(), len(ids)], strict=True):
+            own, x, side = ids[i:j], prints[i:j], at[i:j]
+            inner = columns[2][i] == columns[3][i]
+            label = np.arange(j - i)
+            for k in range(j - i if inner else int((side == side[0]).sum())):
+                far = label != label[k]
+                if not inner:
+                    far &= side != side[0]
+                rest = np.flatnonzero(far)
+                for r in rest[np.bitwise_count(x[rest] ^ x[k]) <= radius].tolist():
+                    if label[r] != label[k]:
+                        found.append((int(own[k]), int(own[r])))
+                        label[label == label[r]] = label[k]
+        a, b = ([x[k] for x in found] for k in (0, 1))
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return tasks.groupBy("bin").applyInArrow(solve, "a long, b long").distinct()
 
 
 def with_copies(pairs: DataFrame, copies: DataFrame) -> DataFrame:
@@ -94,7 +169,7 @@ def near_clusters(prints: DataFrame, radius: int = DEFAULT.hamming) -> DataFrame
     are joined back by equality. A fingerprint near no other is a cluster if its contents differ.
     """
     prints = materialise(prints, "prints")
-    near = cut_clusters(near_pairs(prints, radius)).select(F.col("sample_id").alias("node"), "cluster")
+    near = clusters(near_edges(prints, radius)).select(F.col("sample_id").alias("node"), "cluster")
     groups = prints.groupBy(F.col("fingerprint").alias("g")).agg(F.min("id").alias("original"), (F.min("sha256") != F.max("sha256")).alias("varied"))
     groups = groups.join(near, F.col("original") == F.col("node"), "left").filter("varied or node is not null").select("g", F.coalesce("cluster", "original").alias("cluster"))
     return prints.join(groups, F.col("fingerprint") == F.col("g")).select(F.col("id").alias("sample_id"), "cluster", (F.col("id") != F.col("cluster")).alias("redundant"))
@@ -170,7 +245,7 @@ def leaks(members: DataFrame) -> DataFrame:
 def contaminated_items(docs: DataFrame, items: DataFrame, words: int = 8) -> DataFrame:
     """Evaluation items found in documents: shared distinct ``words``-word shingles of each pair.
 
-    Items' shingles are few; documents' shingles are kept only where an item has them before they shuffle.
+    Shingles meet by a 64-bit hash; the join is by it alone, however many items there are.
     """
 
     def shingled(rows: DataFrame, key: str) -> DataFrame:
@@ -191,8 +266,3 @@ def fingerprint_statistics(samples: DataFrame) -> DataFrame:
 def redundant_union(exact: DataFrame, near: DataFrame) -> DataFrame:
     """Both kinds of redundant samples; one that is both counts twice, as ``kind`` shows."""
     return exact.select("sample_id", F.lit("exact").alias("kind")).unionByName(near.select("sample_id", F.lit("near").alias("kind")))
-
-
-def cut_clusters(pairs: DataFrame) -> DataFrame:
-    """``clusters`` of pairs that are written first, where pairs are costly to make again."""
-    return clusters(materialise(pairs, "pairs"))

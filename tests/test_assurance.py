@@ -8,7 +8,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from probity.operators import annotations, coverage, emitters, models, monitoring, prefix, shift
+from probity.operators import annotations, coverage, duplicates, emitters, models, monitoring, prefix, shift
+from probity.operators.graph import connected_components
 from probity.sources import manifest
 from probity.streaming import monitor
 from tests.test_streaming import drained, streamed
@@ -148,3 +149,27 @@ def test_binding_guard_keeps_the_first_prediction(spark, tmp_path):
     batches = [[("i", "m", 1, "cat", at(0)), ("i", "n", 2, "dog", at(0))], [("i", "m", 3, "dog", at(1)), ("i", "m", 4, "cat", at(2))]]
     got = {r.record_id: r.verdict for r in drained(monitor.binding_verdicts(streamed(spark, tmp_path, batches, schema)), "bindings")}
     assert got == {1: "OK", 2: "OK", 3: "SUBSTITUTION", 4: "OK"}
+
+
+def test_fingerprints_meet_on_every_cut_of_their_bits(spark):
+    rng = np.random.default_rng(9)
+    prints = []
+    for _ in range(12):
+        centre = int(rng.integers(0, 1 << 63))
+        for _ in range(12):
+            x = centre
+            for bit in rng.choice(64, int(rng.integers(0, 4)), replace=False):
+                x ^= 1 << int(bit)
+            prints.append(x - (1 << 64) if x >> 63 else x)
+    first = {}
+    for i, x in enumerate(prints):
+        first.setdefault(x, i)
+    want = {(min(i, j), max(i, j)): bin((x ^ y) & ((1 << 64) - 1)).count("1") for x, i in first.items() for y, j in first.items() if i < j and bin((x ^ y) & ((1 << 64) - 1)).count("1") <= 5}
+    frame = spark.createDataFrame(list(enumerate(prints)), "id long, fingerprint long")
+    for blocks in (6, 8, 10):
+        assert {(r.a, r.b): r.distance for r in duplicates.near_pairs(frame, blocks=blocks).collect()} == want
+    whole = {r.node: r.component for r in connected_components(spark.createDataFrame(list(want), "a long, b long")).collect()}
+    for block in (8192, 5):
+        edges = duplicates.near_edges(frame, block=block)
+        assert {r.node: r.component for r in connected_components(edges).collect()} == whole
+    assert duplicates.near_edges(frame.limit(0)).collect() == []
