@@ -20,7 +20,8 @@ from probity.operators.graph import connected_components
 from probity.storage import materialise
 
 COSINE = 0.9
-SAMPLE = 20_000  # vectors on which the centres are fitted
+SAMPLE = 20_000  # vectors at most on which the centres are fitted
+SAMPLE_BYTES = 128 << 20  # of doubles at most, likewise
 MOST_CELLS = 4_096
 PROBES = 4
 BLOCK = 1_024  # vectors of a block
@@ -126,7 +127,7 @@ def near_dedup(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "em
 
     centres = {}
     for row in distinct.groupBy("dim").agg(F.count("*").alias("n")).orderBy(F.desc("n")).limit(64).collect():
-        some = distinct.filter(F.col("dim") == row.dim).orderBy(F.xxhash64("name")).limit(sample).select("v").toArrow()
+        some = distinct.filter(F.col("dim") == row.dim).orderBy(F.xxhash64("name")).limit(max(1, min(sample, SAMPLE_BYTES // (8 * max(1, row.dim))))).select("v").toArrow()
         centres[row.dim] = spherical_kmeans(unit(some), min(k, some.num_rows))
     held = spark.sparkContext.broadcast(centres)
 

@@ -78,7 +78,7 @@ def laid_out(sizes: DataFrame, sources: DataFrame, buckets: int) -> DataFrame:
     A source's documents go in order of (bucket, doc_id, size), then of their row keys if they have any. Running sums are made inside buckets
     and over the buckets' totals, so that no source is ordered in one task.
     """
-    known = sizes.join(F.broadcast(sources.select(F.col("source").alias("name"), "src", "n_blocks", "n_slots", "n_shards")), F.col("source").eqNullSafe(F.col("name"))).drop("name")
+    known = sizes.join(sources.select(F.col("source").alias("name"), "src", "n_blocks", "n_slots", "n_shards"), F.col("source").eqNullSafe(F.col("name"))).drop("name")
     known = known.withColumn("bucket", F.pmod(F.coalesce("doc_id", F.lit(-1)) % PRIME * 7919 % PRIME, F.lit(buckets)))
     inside = Window.partitionBy("src", "bucket").orderBy("doc_id", "size", *[c for c in ROW if c in sizes.columns]).rowsBetween(Window.unboundedPreceding, -1)
     before = Window.partitionBy("b_src").orderBy("b_bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -148,7 +148,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = MOST
     named = sources.select(F.col("src").alias("s_src"), "source_size", "target")
     # a document without words can start where another starts
     out = rows.join(taken, (F.col("src") == F.col("t_src")) & (F.col("start") == F.col("t_start")) & (F.col("size") > 0), "left")
-    return out.join(F.broadcast(named), F.col("src") == F.col("s_src")).select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+    return out.join(named, F.col("src") == F.col("s_src")).select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
 
 
 def mixed_texts(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = MOST, block: int = BLOCK, slots_per_shard: int = SLOTS_PER_SHARD, split: bool = False) -> DataFrame:
