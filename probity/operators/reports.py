@@ -46,6 +46,33 @@ def replaced(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     return old.join(again, F.col(key) == F.col("saved_key"), "left_anti").unionByName(new)
 
 
+def upserted(old: DataFrame, new: DataFrame, findings: DataFrame, key: str) -> DataFrame:
+    """Assets after a save: the new row of each ``key`` stands for the old, and a status that findings ask for is derived.
+
+    A ``key`` with a critical finding (``findings``: key, severity) is quarantined, one with any other is
+    assessed; the rest keep their own. Saving twice changes nothing.
+    """
+    worst = findings.groupBy(F.col(key).alias("w_key")).agg(F.bool_or(F.col("severity") == "CRITICAL").alias("critical"))
+    rows = replaced(old, new, key).join(worst, F.col(key) == F.col("w_key"), "left")
+    status = F.when(F.col("critical"), "QUARANTINED").when(F.col("w_key").isNotNull(), "ASSESSED").otherwise(F.col("status"))
+    return rows.withColumn("status", status).select(old.columns)
+
+
+def purged(tables: dict[str, DataFrame], owner: str | None = None) -> tuple[dict[str, DataFrame], DataFrame]:
+    """Tables without demo rows (of ``owner`` only, if named), and how many rows of each go. Columns: is_demo, owner_id.
+
+    Rows whose flag or owner is null stay.
+    """
+    goes = F.coalesce(F.col("is_demo"), F.lit(False))
+    if owner is not None:
+        goes = goes & F.coalesce(F.col("owner_id") == owner, F.lit(False))
+    counts = None
+    for name, df in tables.items():
+        one = df.agg(F.count_if(goes).alias("removed"), F.count_if(~goes).alias("kept")).select(F.lit(name).alias("table_name"), "removed", "kept")
+        counts = one if counts is None else counts.union(one)
+    return {name: df.filter(~goes) for name, df in tables.items()}, counts
+
+
 def emitted(profiles: DataFrame, t: Thresholds = DEFAULT) -> DataFrame:
     """Findings of contributor profiles, by rule, each with its detector's threshold.
 

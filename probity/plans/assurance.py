@@ -13,7 +13,9 @@ from probity.operators import emitters as em
 from probity.operators import findings as f
 from probity.operators import models as mod
 from probity.operators import monitoring as m
+from probity.operators import pixels as px
 from probity.operators import provenance as prov
+from probity.operators import reports as rep
 from probity.operators import risk as r
 from probity.operators import shift as sh
 from probity.plans import corpus, evidence
@@ -273,3 +275,63 @@ def _(s, d):
 def _(s, d):
     e = table(s, d, "events")
     return e.select("event_id", F.sha2(prov.canonical_json(F.to_json(F.struct(F.col("user_id").alias("user"), "event_type"))), 256).alias("digest"))
+
+
+def pictures(s, d):
+    """Embeddings of 64 numbers as grey images of 8 x 8."""
+    e = table(s, d, "embeddings")
+    return e.select(F.col("vec_id").alias("id"), F.col("embedding").alias("pixels"), F.lit(8).alias("h"), F.lit(8).alias("w"), "label")
+
+
+@query("average_hashes", "SELECT vec_id AS id, CASE WHEN u >= 9223372036854775808::UBIGINT THEN (u - 9223372036854775808::UBIGINT)::BIGINT + (-9223372036854775808) ELSE u::BIGINT END AS ahash FROM (SELECT vec_id, bit_or(CASE WHEN x > mean THEN (1::UBIGINT << (64 - i)::UBIGINT) ELSE 0::UBIGINT END) AS u FROM (SELECT vec_id, list_sum(embedding::DOUBLE[]) / 64 AS mean, unnest(embedding::DOUBLE[]) AS x, unnest(range(1, 65)) AS i FROM embeddings) GROUP BY vec_id)")
+def _(s, d):
+    return pictures(s, d).select("id", px.average_hash(F.col("pixels")).alias("ahash"))
+
+
+@query("image_hashes")
+def _(s, d):
+    return px.image_hashes(pictures(s, d))
+
+
+@query("trigger_candidates")
+def _(s, d):
+    images = pictures(s, d)
+    held = images.filter("label = 3").select("id", F.lit(0.9).alias("consistency"), F.lit(20).alias("members"))
+    return px.trigger_candidates(px.screened(images, 4), held)
+
+
+@query("demo_removed", "SELECT 'analyses' AS table_name, count(*) FILTER (is_demo AND owner_id = 'owner2') AS removed, count(*) FILTER (NOT (is_demo AND owner_id = 'owner2')) AS kept FROM analyses UNION ALL SELECT 'findings', count(*) FILTER (analysis_id % 9 = 0 AND owner_id = 'owner2'), count(*) FILTER (NOT coalesce(analysis_id % 9 = 0 AND owner_id = 'owner2', FALSE)) FROM findings")
+def _(s, d):
+    tables = {"analyses": view(s, d, "analyses"), "findings": view(s, d, "findings").withColumn("is_demo", F.col("analysis_id") % 9 == 0)}
+    return rep.purged(tables, "owner2")[1]
+
+
+@query("without_demo", "SELECT analysis_id, owner_id FROM analyses WHERE NOT (is_demo AND owner_id = 'owner2')")
+def _(s, d):
+    return rep.purged({"analyses": view(s, d, "analyses")}, "owner2")[0]["analyses"].select("analysis_id", "owner_id")
+
+
+@query("saved_analyses", """WITH w AS (SELECT analysis_id, bool_or(severity = 'CRITICAL') AS critical FROM findings GROUP BY analysis_id)
+ SELECT analysis_id, CASE WHEN critical THEN 'QUARANTINED' WHEN w.analysis_id IS NOT NULL THEN 'ASSESSED' WHEN a.analysis_id % 10 = 0 THEN 'SAVED' ELSE status END AS status, round(CASE WHEN a.analysis_id % 10 = 0 THEN risk_score / 2 ELSE risk_score END, 4) AS risk_score FROM analyses a LEFT JOIN w USING (analysis_id)""")
+def _(s, d):
+    old = view(s, d, "analyses").select("analysis_id", "status", "risk_score")
+    new = old.filter("analysis_id % 10 = 0").select("analysis_id", F.lit("SAVED").alias("status"), (F.col("risk_score") / 2).alias("risk_score"))
+    return rep.upserted(old, new, view(s, d, "findings"), "analysis_id").withColumn("risk_score", F.round("risk_score", 4))
+
+
+@query("corrupt_by_reason", """WITH x AS (SELECT CASE WHEN coalesce(html, '') = '' THEN 'EMPTY' WHEN NOT (html LIKE '<!DO%' OR html LIKE '<htm%') THEN 'UNKNOWN_FORMAT' END AS reason FROM pages), y AS (SELECT reason, count(*) AS n FROM x GROUP BY reason)
+ SELECT reason, n, round(n / (SELECT count(*) FROM x), 6) AS share, CASE WHEN (SELECT count(reason) / count(*) FROM x) > 0.02 THEN 'HIGH' ELSE 'MEDIUM' END AS severity FROM y WHERE reason IS NOT NULL""")
+def _(s, d):
+    html = F.coalesce("html", F.lit(""))
+    reason = F.when(html == "", "EMPTY").when(man.sniffed(F.encode(html, "utf-8")) != "html", "UNKNOWN_FORMAT")
+    return man.corrupt_by_reason(table(s, d, "pages").select(reason.alias("reason")))
+
+
+@query("newest_events", "SELECT record_id, prediction, ts FROM records ORDER BY ts DESC, record_id LIMIT 100 OFFSET 50")
+def _(s, d):
+    return f.newest(view(s, d, "records").select("record_id", "prediction", "ts"), "ts", ["record_id"], 100, 50)
+
+
+@query("high_risk_contributors", "SELECT count(*) AS contributors, count(*) FILTER (risk >= 60) AS high_risk FROM (SELECT lower(name) AS k, max(risk) AS risk FROM submissions GROUP BY lower(name))")
+def _(s, d):
+    return r.contributor_register(view(s, d, "submissions")).agg(F.count("*").alias("contributors"), F.count_if(F.col("max_risk") >= 60).alias("high_risk"))

@@ -38,12 +38,13 @@ def path_fault(path: Column, t: Thresholds = DEFAULT) -> Column:
     slashed = F.translate(path, "\\", "/")
     parts = F.split(slashed, "/")
     return (
-        F.when(path.isNull() | (F.trim(path) == "") | path.isin(".", "./"), "EMPTY")
-        .when(F.instr(path, "\0") > 0, "NUL")
+        F.when(path.isNull() | F.trim(path).isin("", ".", ".."), "EMPTY")
         .when(slashed.startswith("/") | path.rlike("^[A-Za-z]:"), "ABSOLUTE")
+        .when(F.instr(path, "\0") > 0, "NUL")
         .when(F.array_contains(parts, ".."), "TRAVERSAL")
         .when(F.size(parts) > t.entry_depth, "TOO_DEEP")
         .when(F.length(path) > t.entry_length, "TOO_LONG")
+        .when(~F.exists(parts, lambda p: ~p.isin("", ".")), "ESCAPES")
     )
 
 
@@ -90,6 +91,15 @@ def format_mismatches(files: DataFrame) -> DataFrame:
     return rows.filter(F.col("declared").isin(*known) & (F.col("format") != "unknown") & (F.col("declared") != F.col("format"))).drop("content")
 
 
+def corrupt_by_reason(files: DataFrame) -> DataFrame:
+    """reason, n, share of all files and severity of files that cannot be read. Columns: reason (null: readable)."""
+    per = files.groupBy("reason").agg(F.count("*").alias("n"))
+    share = F.col("n") / F.sum("n").over(Window.partitionBy())  # over the reasons
+    bad = F.sum(F.when(F.col("reason").isNotNull(), F.col("n"))).over(Window.partitionBy()) / F.sum("n").over(Window.partitionBy())
+    rows = per.withColumns({"share": F.round(share, 6), "severity": F.when(bad > 0.02, "HIGH").otherwise("MEDIUM")})
+    return rows.filter("reason is not null")
+
+
 def violations(rows: DataFrame, rules: dict[str, Column], key: list[str]) -> DataFrame:
     """One row for each row and rule that it breaks; a rule that is null is broken."""
     broken = F.array_compact(F.array(*[F.when(~F.coalesce(ok, F.lit(False)), F.lit(name)) for name, ok in rules.items()]))

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from probity.operators import annotations, coverage, duplicates, emitters, models, monitoring, prefix, shift
+from probity.operators import annotations, coverage, duplicates, emitters, models, monitoring, pixels, prefix, shift
 from probity.operators.graph import connected_components
 from probity.sources import manifest
 from probity.streaming import monitor
@@ -173,3 +173,41 @@ def test_fingerprints_meet_on_every_cut_of_their_bits(spark):
         edges = duplicates.near_edges(frame, block=block)
         assert {r.node: r.component for r in connected_components(edges).collect()} == whole
     assert duplicates.near_edges(frame.limit(0)).collect() == []
+
+
+def test_hashes_and_screens_of_images(spark):
+    rng = np.random.default_rng(3)
+    base = np.kron(rng.normal(100, 40, (8, 9)), np.ones((8, 8)))  # 64 x 72: thumbnails of 8 x 9 are exact
+    stamped = base.copy()
+    stamped[:8, :8] = np.indices((8, 8)).sum(0) % 2 * 255
+    rows = [(1, base.ravel().tolist(), 64, 72), (2, (base * 0.5 + 20).ravel().tolist(), 64, 72), (3, stamped.ravel().tolist(), 64, 72), (4, None, 64, 72), (5, [1.0], 2, 2), (6, np.kron(base, np.ones((2, 2))).ravel().tolist(), 128, 144)]
+    images = spark.createDataFrame(rows, "id long, pixels array<double>, h int, w int")
+    got = {r.id: r for r in pixels.image_hashes(images).collect()}
+    small = base[::8, ::8]
+    bits = (small[:, 1:] > small[:, :-1]).ravel()
+    want = int("".join("1" if b else "0" for b in bits), 2)
+    assert got[1].dhash % (1 << 64) == want
+    assert (got[1].phash, got[1].dhash, got[1].ahash) == (got[2].phash, got[2].dhash, got[2].ahash) == (got[6].phash, got[6].dhash, got[6].ahash)
+    assert got[3].ahash != got[1].ahash and got[4].phash is None and got[5].ahash is None
+    thumb = base.reshape(8, 8, 8, 9).mean((1, 3))
+    assert got[1].ahash % (1 << 64) == int("".join("1" if b else "0" for b in (thumb > thumb.mean()).ravel()), 2)
+    eight = spark.createDataFrame([(thumb.ravel().tolist(),)], "p array<double>").select(pixels.average_hash(F.col("p")).alias("h")).collect()[0].h
+    assert eight == got[1].ahash
+    screens = {r.id: r for r in pixels.screened(images).collect()}
+    high = [screens[i].high_frequency for i in (1, 2, 3, 6)]
+    assert screens[3].z == pytest.approx((high[2] - np.mean(high)) / np.std(high)) and screens[4].z is None
+    flat = [(k, [0.0] * 1024, 32, 32) for k in range(20)]
+    spot = np.zeros((32, 32))
+    spot[4:6, 4:6] = 255
+    found = pixels.screened(spark.createDataFrame([*flat, (99, spot.ravel().tolist(), 32, 32)], "id long, pixels array<double>, h int, w int"), 8)
+    best = pixels.contrast_peak(spot, 8)
+    assert best[0] == pytest.approx(max((spot[y : y + 8, x : x + 8].var() / (spot.var() + 1e-6)) * (1 + abs(spot[y : y + 8, x : x + 8].mean() - spot.mean()) / 64) for y in range(0, 25, 4) for x in range(0, 25, 4)))
+    members = spark.createDataFrame([(3, 0.9, 20)], "id long, consistency double, members int")
+    named = {r.id: (r.confidence, r.score, r.method) for r in pixels.trigger_candidates(found, members).collect()}
+    assert named[3] == (0.97, 0.96, "consensus") and named[99][2] == "single-image" and named[99][0] == 0.65 and set(named) == {3, 99}
+
+
+def test_paths_that_stay_inside(spark):
+    rows = [("a/b", None), ("..", "EMPTY"), (" . ", "EMPTY"), ("./", "ESCAPES"), ("a/../b", "TRAVERSAL"), ("\\x", "ABSOLUTE"), ("C:x", "ABSOLUTE"), ("a\0", "NUL"), (None, "EMPTY"), ("x/" * 30, "TOO_DEEP")]
+    got = spark.createDataFrame(rows, "p string, want string").select("p", "want", manifest.path_fault(F.col("p")).alias("got")).collect()
+    assert [r.got for r in got] == [r.want for r in got]
