@@ -24,6 +24,7 @@ SAMPLE = 20_000  # vectors at most on which the centres are fitted
 SAMPLE_BYTES = 128 << 20  # of doubles at most, likewise
 MOST_CELLS = 4_096
 PROBES = 4
+FITTED_DIMS = 64  # lengths of vectors that get cells of their own, the commonest; others are compared whole, in blocks
 BLOCK = 1_024  # vectors of a block
 ROUNDS = 8
 
@@ -106,10 +107,11 @@ def block_links(table: pa.Table, cosine: float) -> tuple[np.ndarray, list[tuple[
     return links, edges
 
 
-def near_dedup(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", cosine: float = COSINE, sample: int = SAMPLE, probes: int = PROBES, block: int = BLOCK, cells: int | None = None) -> DataFrame:
+def near_dedup(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", cosine: float = COSINE, sample: int = SAMPLE, probes: int = PROBES, block: int = BLOCK, cells: int | None = None, fitted_dims: int = FITTED_DIMS) -> DataFrame:
     """vec_id, n_links, component_id and kept of every row.
 
-    Vectors of different lengths never link. Null or zero vectors, and those that hold null or
+    Vectors of different lengths never link; those of the ``fitted_dims`` commonest lengths meet in cells,
+    the others all with all of their length, in blocks. Null or zero vectors, and those that hold null or
     non-finite components, link with nothing: 0 links and their own id. Equal vectors link with each
     other. Rows that repeat an id are vectors of their own, each counted; they share the id in the
     result. Other columns are not read. An empty table gives no rows.
@@ -126,7 +128,7 @@ def near_dedup(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "em
     k = cells or int(min(MOST_CELLS, max(1, round(n**0.5))))
 
     centres = {}
-    for row in distinct.groupBy("dim").agg(F.count("*").alias("n")).orderBy(F.desc("n")).limit(64).collect():
+    for row in distinct.groupBy("dim").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "dim").limit(fitted_dims).collect():
         some = distinct.filter(F.col("dim") == row.dim).orderBy(F.xxhash64("name")).limit(max(1, min(sample, SAMPLE_BYTES // (8 * max(1, row.dim))))).select("v").toArrow()
         centres[row.dim] = spherical_kmeans(unit(some), min(k, some.num_rows))
     held = spark.sparkContext.broadcast(centres)

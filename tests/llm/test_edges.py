@@ -12,7 +12,7 @@ from fractions import Fraction
 
 import numpy as np
 
-from probity.llm import decontaminate, jaccard_join, mixing, quality_qda, secret_scan, suffix_dedup, token_packing, toxicity
+from probity.llm import decontaminate, embedding_dedup, jaccard_join, mixing, quality_qda, secret_scan, suffix_dedup, token_packing, toxicity
 from tests.llm.test_text_operators import frame, words
 
 ROWS = "doc_id long, text string, source string"
@@ -175,3 +175,22 @@ def test_rows_without_or_with_repeated_ids(spark):
     items = spark.createDataFrame([(1, long), (1, None)], "item_id long, text string")
     for block_bytes in (1 << 20, 40):
         assert sorted((str(r.doc_id), r.n_hit) for r in decontaminate.decontaminate(docs, items, block_bytes=block_bytes).collect()) == sorted([("None", 90), ("None", 90), ("5", len(long[30:].split()) - (" " not in long[29:31])), ("5", 0), ("5", 0), ("None", 0), ("6", 0), ("7", 90)])
+
+
+def test_lengths_of_vectors_without_cells_and_a_single_class(spark):
+    rng = np.random.default_rng(6)
+    rows = []
+    for dim in (3, 5, 8):
+        base = rng.normal(0, 1, (4, dim))
+        rows += [(len(rows) + i, (base[i % 4] + rng.normal(0, 0.05, dim)).tolist()) for i in range(20)]
+    rows += [(7, rows[0][1]), (None, rows[1][1])]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    unit = [np.array(v) / np.linalg.norm(v) for _, v in rows]
+    links = [sum(i != j and len(u) == len(w) and u @ w >= 0.9 for j, w in enumerate(unit)) for i, u in enumerate(unit)]
+    got = embedding_dedup.near_dedup(table, block=7, fitted_dims=1).collect()
+    assert sorted((str(r.vec_id), r.n_links) for r in got) == sorted((str(d), n) for (d, _), n in zip(rows, links, strict=True))
+    docs = frame(spark, [f"text {k} of some words" for k in range(30)] + [None])
+    labels = spark.createDataFrame([(k, 1, None) for k in range(30)], "doc_id long, quality int, toxic int")
+    scores = [r.score for r in quality_qda.score_quality(docs, labels).collect()]
+    assert len(scores) == 31 and all(0 <= s <= 1 for s in scores) and max(scores[:30]) >= 0.5
+    assert all(r.score < 0.3 for r in toxicity.score_toxicity(docs, labels).collect())
