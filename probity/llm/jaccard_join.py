@@ -16,7 +16,9 @@ in it, so the signature they share has c elements or more and both show it.
 
 Every signature that several sets show has a leading set, the one of the least name, and makes the
 others members of its ball. All sets with a signature in common are in one ball, so solving the balls
-one by one, exactly and without listing their pairs, finds every link. A ball too large for a task is
+one by one, exactly and without listing their pairs, finds every link. A set has a sketch, its elements
+counted by ``CELLS`` cells of a hash; two sketches bound what two sets can have in common, and a
+member that the bound keeps from all others of its ball leaves it. A ball too large for a task is
 solved in blocks, each with the leading set; what that leaves apart meets in pairs of blocks, but for
 pairs of blocks inside the ball's largest group, which is one already.
 """
@@ -45,6 +47,8 @@ FLUSH = 600_000  # signatures that a map task holds at once
 FLUSH_SETS = 60_000
 PART_SHINGLES = 1_000_000  # whose signatures meet in one task
 BALL_SHINGLES = 1_000_000  # that one task compares
+CELLS = 128  # of a sketch
+SKETCHED = 4_096  # members at most of a ball whose sketches are compared; larger ones keep all
 COUNTED = 1 << 20  # common elements counted at once
 
 
@@ -122,17 +126,25 @@ def set_names(rows: np.ndarray, hashes: np.ndarray, n_rows: int) -> tuple[np.nda
     return mix64(a).view(np.int64), mix64(b).view(np.int64)
 
 
+def sketches(rows: np.ndarray, hashes: np.ndarray, counts: np.ndarray) -> list[bytes]:
+    """Each row's elements by cell; empty where a cell holds more than 16 bits count."""
+    cell = (mix64(hashes + U(0x3C6EF372)) % U(CELLS)).astype(np.int64)
+    n = np.bincount(rows * CELLS + cell, minlength=len(counts) * CELLS).reshape(-1, CELLS)
+    whole = n.max(axis=1, initial=0) < 1 << 16
+    return [x.tobytes() if w else b"" for x, w in zip(n.astype(np.uint16), whole.tolist(), strict=True)]
+
+
 def described(docs: DataFrame, words: int, carried: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, n_shingles, the set's two names and the columns of ``carried``, for every row."""
+    """doc_id, n_shingles, the set's two names and sketch and the columns of ``carried``, for every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, buf, offs in parts(batch):
                 rows, hashes, counts = shingle_sets(buf, offs, words, BLANK_WORDS)
                 a, b = set_names(rows, hashes, part.num_rows)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(counts), pa.array(a), pa.array(b), *[part.column(c) for c in carried]], names=["doc_id", "n_shingles", "set_a", "set_b", *carried])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(counts), pa.array(a), pa.array(b), pa.array(sketches(rows, hashes, counts), pa.binary()), *[part.column(c) for c in carried]], names=["doc_id", "n_shingles", "set_a", "set_b", "sketch", *carried])
 
-    return docs.select("doc_id", "text", *carried).mapInArrow(run, ", ".join(["doc_id long, n_shingles long, set_a long, set_b long", *[f"{c} long" for c in carried]]))
+    return docs.select("doc_id", "text", *carried).mapInArrow(run, ", ".join(["doc_id long, n_shingles long, set_a long, set_b long, sketch binary", *[f"{c} long" for c in carried]]))
 
 
 def text_hash() -> Column:
@@ -313,6 +325,51 @@ def verified_edges(docs: DataFrame, placed: DataFrame, words: int, similarity: F
     return spread.groupBy("bin").applyInArrow(lambda table: solved(table, similarity), "a long, b long")
 
 
+def near_by_sketch(ball: np.ndarray, sizes: np.ndarray, sketch: list[bytes], similarity: Fraction) -> np.ndarray:
+    """Which rows the sketches let be near another row of their ball; rows of a ball stand together."""
+    num, den = similarity.numerator, similarity.denominator
+    cells = np.zeros((len(ball), CELLS), dtype=np.int32)
+    known = np.array([len(x) > 0 for x in sketch], dtype=bool)
+    if known.any():
+        cells[known] = np.frombuffer(b"".join(sketch), dtype=np.uint16).reshape(-1, CELLS)
+    alive = ~known
+    head = np.flatnonzero(np.concatenate(([True], ball[1:] != ball[:-1])))
+    ends = np.append(head[1:], len(ball))
+
+    def near(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        most = np.minimum(np.minimum(cells[i], cells[j]).sum(axis=-1), np.minimum(sizes[i], sizes[j]))
+        return (most * den >= (sizes[i] + sizes[j] - most) * num) | ~known[i] | ~known[j]
+
+    two = head[ends - head == 2]
+    both = near(two, two + 1)
+    alive[two[both]] = alive[two[both] + 1] = True
+    for lo, hi in zip(head[ends - head > 2].tolist(), ends[ends - head > 2].tolist(), strict=True):
+        for i in range(lo, hi - 1):
+            rest = np.arange(i + 1, hi)
+            rest = rest[~alive[rest]] if alive[i] else rest
+            met = rest[near(np.full(len(rest), i), rest)] if len(rest) else rest
+            if len(met):
+                alive[i] = alive[met] = True
+    return alive
+
+
+def thinned(members: DataFrame, similarity: Fraction) -> DataFrame:
+    """``members`` without sketch, and without those that no other of their ball can be near to."""
+    kept = [f for f in members.schema if f.name != "sketch"]
+    sizes = members.groupBy(F.col("ball").alias("n_ball")).agg(F.count("*").alias("n_members"))
+    sized = members.join(sizes, F.col("ball") == F.col("n_ball")).drop("n_ball")
+    bins = int(max(1, members.count() // SKETCHED))
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by("ball")
+        alive = near_by_sketch(table.column("ball").to_numpy(), table.column("m_n").to_numpy(), table.column("sketch").to_pylist(), similarity)
+        return table.select([f.name for f in kept]).filter(pa.array(alive))
+
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in kept)
+    small = sized.filter(F.col("n_members") <= SKETCHED).drop("n_members").withColumn("bin", F.pmod(F.xxhash64("ball"), F.lit(bins)))
+    return small.groupBy("bin").applyInArrow(run, schema).union(sized.filter(F.col("n_members") > SKETCHED).select([f.name for f in kept]))
+
+
 def in_blocks(members: DataFrame, ball_shingles: int) -> DataFrame:
     """``placed`` of the members (ball, m_a, m_n, fetch_id, by_text, m_b), each block with the ball's leading set.
 
@@ -366,11 +423,11 @@ def grouped(docs: DataFrame, words: int = WORDS, similarity: Fraction = SIMILARI
     hashed = docs.withColumn("text_key", F.when(F.col("doc_id").isNull(), text_hash()))
     own = materialise(described(hashed, words, ("text_key", *carried)), "sets")
     n_parts = int(max(1, (own.agg(F.coalesce(F.sum("n_shingles"), F.lit(0))).first()[0]) // PART_SHINGLES))
-    sets = own.filter("n_shingles > 0").groupBy("set_a", "set_b").agg(F.min("doc_id").alias("least"), F.max("n_shingles").alias("n"), F.min("text_key").alias("text_key"))
+    sets = own.filter("n_shingles > 0").groupBy("set_a", "set_b").agg(F.min("doc_id").alias("least"), F.max("n_shingles").alias("n"), F.min("text_key").alias("text_key"), F.first("sketch").alias("sketch"))
     stars = materialise(candidate_stars(docs, words, similarity, n_parts), "stars")
     balls = stars.select(F.col("lead").alias("ball"), "node").union(stars.select("lead", "lead").distinct())
-    members = sets.join(balls, F.col("set_a") == F.col("node")).select("ball", F.coalesce("least", "text_key").alias("fetch_id"), F.col("least").isNull().alias("by_text"), F.col("set_a").alias("m_a"), F.col("set_b").alias("m_b"), F.col("n").alias("m_n"))
-    members = materialise(members, "members")
+    members = sets.join(balls, F.col("set_a") == F.col("node")).select("ball", F.coalesce("least", "text_key").alias("fetch_id"), F.col("least").isNull().alias("by_text"), F.col("set_a").alias("m_a"), F.col("set_b").alias("m_b"), F.col("n").alias("m_n"), "sketch")
+    members = materialise(thinned(materialise(members, "candidates"), similarity), "members")
     placed = materialise(in_blocks(members, ball_shingles), "placed")
     edges = materialise(verified_edges(docs, placed.drop("blocks"), words, similarity), "edges")
     groups = connected_components(edges)

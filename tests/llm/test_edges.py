@@ -194,3 +194,25 @@ def test_lengths_of_vectors_without_cells_and_a_single_class(spark):
     scores = [r.score for r in quality_qda.score_quality(docs, labels).collect()]
     assert len(scores) == 31 and all(0 <= s <= 1 for s in scores) and max(scores[:30]) >= 0.5
     assert all(r.score < 0.3 for r in toxicity.score_toxicity(docs, labels).collect())
+
+
+def test_sketches_keep_every_near_pair():
+    rng = np.random.default_rng(8)
+    for size in (3, 12, 90, 700, 5000):
+        kept = 0
+        for _ in range(30):
+            a = rng.integers(0, 1 << 52, size, dtype=np.uint64)
+            part = rng.integers(0, size + 1)
+            b = np.concatenate([a[:part], rng.integers(0, 1 << 52, int(rng.integers(0, size - part + 2)), dtype=np.uint64)])
+            far = rng.integers(0, 1 << 52, size, dtype=np.uint64)
+            sets = [np.unique(x) for x in (a, b, far)]
+            sizes = np.array([len(x) for x in sets])
+            sketch = jaccard_join.sketches(np.repeat(np.arange(3), sizes), np.concatenate(sets), sizes)
+            alive = jaccard_join.near_by_sketch(np.array([1, 1, 1]), sizes, sketch, Fraction(85, 100))
+            if 100 * len(np.intersect1d(sets[0], sets[1])) >= 85 * len(np.union1d(sets[0], sets[1])):
+                assert alive[:2].all()
+                pair = jaccard_join.near_by_sketch(np.array([5, 5]), sizes[:2], sketch[:2], Fraction(85, 100))
+                assert pair.all()
+            kept += alive[2]
+        assert size > 700 or kept == 0
+    assert jaccard_join.near_by_sketch(np.array([1, 1]), np.array([9, 90]), [b"", b""], Fraction(85, 100)).all()
