@@ -187,13 +187,22 @@ def near_vectors(rows: DataFrame, radius: int = DEFAULT.hamming, cosine: float =
     return with_copies(pairs, copies)
 
 
-def confirmed_pairs(pairs: DataFrame, vectors: DataFrame, cosine: float = DEFAULT.cosine) -> DataFrame:
-    """Pairs whose vectors (id, v as array of double) have ``cosine`` or more."""
-    va, vb = (vectors.select(F.col("id").alias(f"i{k}"), F.col("v").alias(f"v{k}")) for k in ("a", "b"))
+def confirmed_pairs(pairs: DataFrame, vectors: DataFrame, cosine: float = DEFAULT.cosine, dhash: int = DEFAULT.dhash) -> DataFrame:
+    """Pairs whose vectors (id, v as array of double) have ``cosine`` or more.
+
+    With a column ``dhash``, pairs of which one has no vector are kept within ``dhash`` bits of each other's
+    difference hash, with one less the distance's share of 64 bits as similarity.
+    """
+    hashed = "dhash" in vectors.columns
+    side = lambda k: vectors.select(F.col("id").alias(f"i{k}"), F.col("v").alias(f"v{k}"), *([F.col("dhash").alias(f"d{k}")] if hashed else []))
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda s, p: s + p)
-    met = pairs.join(va, F.col("a") == F.col("ia")).join(vb, F.col("b") == F.col("ib"))
-    similarity = F.try_divide(dot(F.col("va"), F.col("vb")), F.sqrt(dot(F.col("va"), F.col("va")) * dot(F.col("vb"), F.col("vb"))))
-    return met.select("a", "b", "distance", similarity.alias("similarity")).filter(F.col("similarity") >= cosine)
+    met = pairs.join(side("a"), F.col("a") == F.col("ia")).join(side("b"), F.col("b") == F.col("ib"))
+    angle = F.try_divide(dot(F.col("va"), F.col("vb")), F.sqrt(dot(F.col("va"), F.col("va")) * dot(F.col("vb"), F.col("vb"))))
+    similarity = F.when(angle >= cosine, angle)
+    if hashed:
+        bits = F.bit_count(F.col("da").bitwiseXOR(F.col("db")))
+        similarity = F.coalesce(similarity, F.when((F.col("va").isNull() | F.col("vb").isNull()) & (bits <= dhash), 1 - F.col("distance") / 64))
+    return met.select("a", "b", "distance", similarity.alias("similarity")).filter("similarity is not null")
 
 
 def clusters(pairs: DataFrame) -> DataFrame:

@@ -211,3 +211,12 @@ def test_paths_that_stay_inside(spark):
     rows = [("a/b", None), ("..", "EMPTY"), (" . ", "EMPTY"), ("./", "ESCAPES"), ("a/../b", "TRAVERSAL"), ("\\x", "ABSOLUTE"), ("C:x", "ABSOLUTE"), ("a\0", "NUL"), (None, "EMPTY"), ("x/" * 30, "TOO_DEEP")]
     got = spark.createDataFrame(rows, "p string, want string").select("p", "want", manifest.path_fault(F.col("p")).alias("got")).collect()
     assert [r.got for r in got] == [r.want for r in got]
+
+
+def test_pairs_without_vectors_are_confirmed_by_difference_hash(spark):
+    rows = [(1, [1.0, 0.0], 0), (2, [1.0, 0.1], 0), (3, [0.0, 1.0], 0), (4, None, 255), (5, None, 511), (6, [1.0, 0.0], -1)]
+    vectors = spark.createDataFrame(rows, "id long, v array<double>, dhash long")
+    pairs = spark.createDataFrame([(1, 2, 2), (1, 3, 0), (1, 4, 4), (1, 5, 4), (4, 5, 1), (4, 6, 1)], "a long, b long, distance int")
+    got = {(r.a, r.b): r.similarity for r in duplicates.confirmed_pairs(pairs, vectors).collect()}
+    assert set(got) == {(1, 2), (1, 4), (4, 5)} and got[(1, 4)] == 1 - 4 / 64 and got[(1, 2)] == pytest.approx(1 / 1.01**0.5)
+    assert {(r.a, r.b) for r in duplicates.confirmed_pairs(pairs, vectors.drop("dhash")).collect()} == {(1, 2)}
