@@ -49,7 +49,7 @@ PART_SHINGLES = 1_000_000  # whose signatures meet in one task
 BALL_SHINGLES = 1_000_000  # that one task compares
 CELLS = 128  # of a sketch
 SKETCHED = 4_096  # members at most of a ball whose sketches are compared; larger ones keep all
-COUNTED = 1 << 20  # common elements counted at once
+COUNTED = 1 << 19  # common elements counted at once
 
 
 def bands(similarity: Fraction, most: int = 1 << 40) -> tuple[np.ndarray, np.ndarray]:
