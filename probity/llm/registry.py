@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from probity.llm import conversation_repair, decontaminate, embedding_dedup, jaccard_join, mixing, periodic_runs, quality_qda, secret_scan, suffix_dedup, token_packing, toxicity, warc_index
+from probity.llm import conversation_repair, decontaminate, embedding_dedup, jaccard_join, lm_scoring, mixing, periodic_runs, quality_qda, secret_scan, suffix_dedup, token_packing, toxicity, warc_index
 
 QUERIES = {
     "op1_warc_index_merge": warc_index.op1_warc_index_merge,
@@ -17,6 +17,7 @@ QUERIES = {
     "op9_embedding_near_dedup": embedding_dedup.op9_embedding_near_dedup,
     "op10_secret_scan": secret_scan.op10_secret_scan,
     "op11_periodic_runs": periodic_runs.op11_periodic_runs,
+    "op12_lm_scoring": lm_scoring.op12_lm_scoring,
     "op13_conversation_repair": conversation_repair.op13_conversation_repair,
     "pipeline": corpus_pipeline.run,
 }
