@@ -26,7 +26,7 @@ from probity.llm.textbatch import BLANK_WORDS, LOWER, RollingHash, U, mix64, par
 from probity.storage import materialise
 
 ORDER = 3
-STRENGTHS = (8.0, 2.0)  # s_2, s_3, ...: how many tokens the shorter history's share is worth
+STRENGTHS = (100.0, 4.0)  # s_2, s_3, ...: how many tokens the shorter history's share is worth
 BASE_ADDED = 0.5  # to each token's count, in p1
 BLOCK_BYTES = 8 << 20
 BUCKET_KEYS = 4_000_000
