@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+DROPS = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _made: dict[str, str] = {}  # of local sessions that name no folder, by application
 
 
@@ -30,15 +31,22 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
+def materialise(df: DataFrame, name: str, compression: str = "zstd", drop_shuffles: bool = False) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back.
 
     Cuts the lineage: a lost executor costs a re-read of files, not the recomputation of what made
-    them. The schema is kept, so an empty frame comes back empty with its columns.
+    them. The schema is kept, so an empty frame comes back empty with its columns. With ``drop_shuffles``
+    Spark deletes the shuffle files that made the table once it is written.
     """
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.option("compression", compression).parquet(path)
+    before = spark.conf.get(DROPS, "false")
+    if drop_shuffles:
+        spark.conf.set(DROPS, "true")
+    try:
+        df.write.option("compression", compression).parquet(path)
+    finally:
+        spark.conf.set(DROPS, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
