@@ -29,7 +29,8 @@ ORDER = 3
 STRENGTHS = (100.0, 4.0)  # s_2, s_3, ...: how many tokens the shorter history's share is worth
 BASE_ADDED = 0.5  # to each token's count, in p1
 BLOCK_BYTES = 8 << 20
-BUCKET_KEYS = 4_000_000
+BUCKET_KEYS = 2_000_000
+SPARE_BITS = 24  # an n-gram's key has so many bits more than the number of tokens: it meets another's with a chance of 2**-24
 MOST_BUCKETS = 1 << 14
 PIECE = 256
 END_HASH = U(0x5851F42D4C957F2D), U(0x14057B7EF767814F)  # of the end of a text, which is a token
@@ -70,7 +71,7 @@ def blocks(docs: DataFrame, block_bytes: int) -> DataFrame:
             ids, apart, lengths, first, second = ([x for part in column for x in part] if k < 2 else np.concatenate(column) for k, column in enumerate(zip(*held, strict=True)))
             words, at, codes = np.unique(first, return_index=True, return_inverse=True)
             train = int(lengths[~np.array(apart, dtype=bool)].sum())
-            row = (number, ids, apart, lengths.tolist(), len(codes), train, rising(words), planes(second[at]), planes(codes))
+            row = (number, ids, apart, lengths.tolist(), len(codes), train, rising(words), planes(second[at] >> U(32)), planes(codes))
             number, size = number + 1, 0
             held.clear()
             types = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int64()), pa.int64(), pa.int64(), *[pa.binary()] * 3]
@@ -99,14 +100,14 @@ def blocks(docs: DataFrame, block_bytes: int) -> DataFrame:
 class Grams:
     """The distinct n-grams of a block by order (from 1), and which of them ends at each token."""
 
-    def __init__(self, row: dict, order: int):
+    def __init__(self, row: dict, order: int, bits: int):
         self.words, self.twins = unrisen(row["words"]), unplaned(row["twins"])
         self.lengths = np.array(row["lengths"], dtype=np.int64)
         self.begin = np.cumsum(self.lengths) - self.lengths
         codes = unplaned(row["codes"]).astype(np.int64)
         ends_at = np.arange(len(codes))
         place = ends_at - np.repeat(self.begin, self.lengths)
-        name = mix64(self.words ^ (self.twins << U(1)))[codes]
+        name = mix64(self.words ^ (self.twins << U(31)))[codes]
         self.keys, self.ids, self.at = [self.words], [codes], [None]  # at: a token where the n-gram ends
         chain = name
         for k in range(2, order + 1):
@@ -114,7 +115,7 @@ class Grams:
             longer[1:] = mix64(chain[:-1] * U(0x9E3779B97F4A7C15) + name[1:])
             chain = longer
             whole = np.flatnonzero(place >= k - 1)
-            keys, at, inverse = np.unique(chain[whole], return_index=True, return_inverse=True)
+            keys, at, inverse = np.unique(chain[whole] >> U(64 - bits), return_index=True, return_inverse=True)
             ids = np.full(len(codes), -1, dtype=np.int64)
             ids[whole] = inverse
             self.keys.append(keys)
@@ -128,24 +129,24 @@ class Grams:
             yield np.bincount(ids[train & (ids >= 0)], minlength=len(keys)).astype(U)
 
 
-def bounds(keys: np.ndarray, buckets: int) -> np.ndarray:
+def bounds(keys: np.ndarray, buckets: int, bits: int) -> np.ndarray:
     """Where each bucket's share of ascending keys begins, and the end."""
-    step = -(-(1 << 64) // buckets)
+    step = -(-(1 << bits) // buckets)
     return np.append(np.searchsorted(keys, np.array([b * step for b in range(buckets)], dtype=U)), len(keys))
 
 
 SENT = "bucket int, block long, keys array<binary>, twins binary, counts array<binary>"
 
 
-def sent(blocks: DataFrame, order: int, buckets: int) -> DataFrame:
+def sent(blocks: DataFrame, order: int, buckets: int, bits: int) -> DataFrame:
     """Each block's n-grams with their training counts, a row for each bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                grams = Grams(row, order)
+                grams = Grams(row, order, bits)
                 counts = list(grams.counts(row["held"]))
-                cuts = [bounds(k, buckets) for k in grams.keys]
+                cuts = [bounds(keys, buckets, bits if k else 64) for k, keys in enumerate(grams.keys)]
                 for lo in range(0, buckets, 64):
                     out: list[tuple] = []
                     for b in range(lo, min(lo + 64, buckets)):
@@ -261,23 +262,24 @@ def scored(docs: DataFrame, held_out: Column, order: int = ORDER, strengths: tup
 
     Tokens are the words ``[^\\x20\\x09-\\x0D]+`` of the whole text, A-Z lower-cased, and one end; a null text is
     empty and has its end only. n_known counts tokens that occur in training, train_tokens is their number there,
-    base_score the sum of log10 p1, score that of the automaton. Words are equal if 128 bits of hashes
-    are, longer n-grams if 64 are. A null in ``held_out`` learns; rows that repeat a doc_id are documents of
+    base_score the sum of log10 p1, score that of the automaton. Words are equal if 96 bits of hashes
+    are, longer n-grams if 24 bits more than the tokens' number has are. A null in ``held_out`` learns; rows that repeat a doc_id are documents of
     their own. Without training rows every token has probability 1. An empty table gives no rows.
     Other columns are not read.
     """
     if order < 1 or len(strengths) < order - 1 or min(strengths[: order - 1], default=1) <= 0:
         raise ValueError("order - 1 strengths above 0 are needed")
     told = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce(held_out, F.lit(False)).alias("held"))
-    made = materialise(blocks(told, block_bytes), "blocks")
+    made = materialise(blocks(told, block_bytes), "blocks", "none")
     n_tokens, n_train = made.agg(F.coalesce(F.sum("n_tokens"), F.lit(0)), F.coalesce(F.sum("n_train"), F.lit(0))).first()
     buckets = max(1, min(MOST_BUCKETS, -(-order * n_tokens // bucket_keys)))
-    counted = materialise(totals(sent(made, order, buckets).repartition(buckets, "bucket"), order), "counted", "none")
+    bits = min(64, int(n_tokens).bit_length() + SPARE_BITS)
+    counted = materialise(totals(sent(made, order, buckets, bits).repartition(buckets, "bucket"), order), "counted", "none", drop_shuffles=True)
     kinds = counted.agg(F.coalesce(F.sum("kinds"), F.lit(0))).first()[0]
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         row = left.to_pylist()[0]
-        grams = Grams(row, order)
+        grams = Grams(row, order, bits)
         came = right.sort_by("bucket").column("counts")
         counts = [np.concatenate([unplaned(x[k].as_py()) for x in came]).astype(np.float64) for k in range(order)]
         automaton = Automaton(grams, counts, n_train, kinds, strengths)
