@@ -100,13 +100,12 @@ def blocks(docs: DataFrame, block_bytes: int) -> DataFrame:
 class Grams:
     """The distinct n-grams of a block by order (from 1), and which of them ends at each token."""
 
-    def __init__(self, row: dict, order: int, bits: int):
+    def __init__(self, row: dict, order: int, bits: int, keyed: bool = True):
         self.words, self.twins = unrisen(row["words"]), unplaned(row["twins"])
         self.lengths = np.array(row["lengths"], dtype=np.int64)
         self.begin = np.cumsum(self.lengths) - self.lengths
-        codes = unplaned(row["codes"]).astype(np.int64)
-        ends_at = np.arange(len(codes))
-        place = ends_at - np.repeat(self.begin, self.lengths)
+        codes = unplaned(row["codes"]).astype(np.int32)
+        place = (np.arange(len(codes)) - np.repeat(self.begin, self.lengths)).astype(np.int32)
         name = mix64(self.words ^ (self.twins << U(31)))[codes]
         self.keys, self.ids, self.at = [self.words], [codes], [None]  # at: a token where the n-gram ends
         chain = name
@@ -116,11 +115,11 @@ class Grams:
             chain = longer
             whole = np.flatnonzero(place >= k - 1)
             keys, at, inverse = np.unique(chain[whole] >> U(64 - bits), return_index=True, return_inverse=True)
-            ids = np.full(len(codes), -1, dtype=np.int64)
+            ids = np.full(len(codes), -1, dtype=np.int32)
             ids[whole] = inverse
-            self.keys.append(keys)
+            self.keys.append(keys if keyed else None)
             self.ids.append(ids)
-            self.at.append(whole[at])
+            self.at.append(whole[at].astype(np.int32))
 
     def counts(self, held: list[bool]) -> Iterator[np.ndarray]:
         """How often the documents that are not held out have each n-gram."""
@@ -202,8 +201,8 @@ class Automaton:
         # state 0 is the empty history, then come those of one token, of two, ...
         sizes = [1, *(len(c) for c in counts[:-1])]
         self.offset = np.cumsum(sizes) - sizes
-        self.depth = np.repeat(np.arange(self.order), sizes)
-        self.fail, self.fail_weight = np.zeros(sum(sizes), dtype=np.int64), np.zeros(sum(sizes))
+        self.depth = np.repeat(np.arange(self.order, dtype=np.int8), sizes)
+        self.fail, self.fail_weight = np.zeros(sum(sizes), dtype=np.int32), np.zeros(sum(sizes))
         for d in range(1, self.order):
             own = slice(self.offset[d], self.offset[d] + sizes[d])
             if d > 1:
@@ -279,7 +278,7 @@ def scored(docs: DataFrame, held_out: Column, order: int = ORDER, strengths: tup
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         row = left.to_pylist()[0]
-        grams = Grams(row, order, bits)
+        grams = Grams(row, order, bits, keyed=False)
         came = right.sort_by("bucket").column("counts")
         counts = [np.concatenate([unplaned(x[k].as_py()) for x in came]).astype(np.float64) for k in range(order)]
         automaton = Automaton(grams, counts, n_train, kinds, strengths)
