@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from probity.llm.textbatch import BLANK_WORDS, U, mix64, parts, shingle_sets, sums_by
+from probity.llm.textbatch import BLANK_WORDS, U, hidden, mix64, parts, shingle_sets, sums_by
 from probity.operators.graph import connected_components
 from probity.storage import materialise
 
@@ -443,15 +443,19 @@ def grouped(docs: DataFrame, words: int = WORDS, similarity: Fraction = SIMILARI
 
 
 def single(docs: DataFrame, words: int = WORDS, similarity: Fraction = SIMILARITY) -> DataFrame:
-    """``docs`` with one row of each group, that of the least doc_id (null last), and all rows without words."""
-    a, b = row_keys(docs)
-    keyed = docs.withColumns({"row_a": a, "row_b": b})
+    """``docs`` with one row of each group, that of the least doc_id (null last), and all rows without words.
+
+    Other columns, whatever their names, come back as they were.
+    """
+    own = hidden(docs, "doc_id", "text")
+    a, b = row_keys(own)
+    keyed = own.withColumns({"row_a": a, "row_b": b})
     rows = grouped(keyed, words, similarity, carried=("row_a", "row_b"))
     first = rows.filter("linked is not null").groupBy("linked").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_a", "row_b")).alias("row"))
     first = first.select(F.col("row.row_a").alias("kept_a"), F.col("row.row_b").alias("kept_b"), F.lit(1).cast("long").alias("times"))
     empty = rows.filter("linked is null").groupBy(F.col("row_a").alias("kept_a"), F.col("row_b").alias("kept_b")).agg(F.count("*").alias("times"))
     met = keyed.dropDuplicates(["row_a", "row_b"]).join(first.union(empty).hint("merge"), (F.col("row_a") == F.col("kept_a")) & (F.col("row_b") == F.col("kept_b")))
-    return met.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times")))).select(docs.columns)
+    return met.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times")))).select(own.columns).toDF(*docs.columns)
 
 
 def op8_ngram_jaccard_join(spark, sf_dir: str) -> DataFrame:

@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from probity.llm.jaccard_join import row_keys
+from probity.llm.textbatch import hidden
 from probity.storage import materialise
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -158,8 +159,11 @@ def mixed_texts(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: in
     blanks in their order. A row goes to the shard of its first drawn block, so that documents stay
     whole; with ``split`` there is a row for each shard too, which holds exactly the blocks that the shard
     drew. Documents without words are kept once, as they are, in shard 0. Every row is laid out and drawn
-    on its own, also where rows repeat a doc_id, have none, or are the same.
+    on its own, also where rows repeat a doc_id, have none, or are the same. Other columns, whatever their names,
+    come back as they were, but for n_chars, which counts the text anew, and one named shard, which is replaced.
     """
+    named = docs.drop("shard")
+    docs = hidden(named, "doc_id", "text", "source", "n_chars")
     a, b = row_keys(docs)
     keyed = docs.withColumns({"row_a": a, "row_b": b})
     # rows that are the same are laid out as copies, and their text is joined back once
@@ -183,7 +187,8 @@ def mixed_texts(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: in
     out = out.withColumn("text", text)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns, F.coalesce(F.get("cuts", F.lit(0))["shard"], F.lit(0)).cast("long").alias("shard"))
+    shard = F.coalesce(F.get("cuts", F.lit(0))["shard"], F.lit(0)).cast("long").alias("shard")
+    return out.select(*docs.columns, shard).toDF(*named.columns, "shard")
 
 
 def op6_mixing(spark, sf_dir: str) -> DataFrame:

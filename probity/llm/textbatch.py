@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 
 U = np.uint64
 _ONE = U(1)
@@ -37,6 +38,11 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def hidden(docs: DataFrame, *read: str) -> DataFrame:
+    """``docs`` with every column but those of ``read`` under a name that meets no operator's own; ``toDF(*docs.columns)`` names them back."""
+    return docs.toDF(*[c if c in read else f"carried_{i}_" for i, c in enumerate(docs.columns)])
+
+
 class Powers:
     """Powers of an odd number and of its inverse, modulo 2**64, as long as asked for so far."""
 

@@ -9,9 +9,11 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from probity.llm import embedding_dedup, registry, warc_index
+from probity.storage import materialise
 from tests.llm.test_text_operators import frame, words
 
 
@@ -109,6 +111,20 @@ def test_stages_one_by_one(spark, corpus):
     assert corpus_pipeline.run(spark, d).count() == packed.count()
 
 
+def test_stages_carry_columns_of_any_name(spark, corpus):
+    d, _ = corpus
+    clash = ["score", "n_hit", "contaminated", "n_words", "items_sha256", "shard", "copy", "row_a", "row_b", "text_key", "words", "spans", "items", "times", "size", "whole", "cuts", "linked", "least", "held", "src", "start", "epoch", "a b"]
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    docs = docs.select(*[(F.col("doc_id") * (i + 2)).alias(c) for i, c in enumerate(clash)], *docs.columns)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        kept = materialise(stage(spark, docs, d), name)
+        assert kept.columns == docs.columns
+        rows = kept.collect()
+        assert rows and all([r[c] for c in clash] == [r.doc_id * (i + 2) for i in range(len(clash))] for r in rows)
+        docs = kept
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, d).count() > 0
+
+
 def test_registry_names():
-    assert [sum(q.startswith(f"op{n}_") for q in registry.QUERIES) for n in range(1, 11)] == [1] * 10
+    assert [sum(q.startswith(f"op{n}_") for q in registry.QUERIES) for n in range(1, 14)] == [1] * 13
     assert "pipeline" in registry.QUERIES and set(registry.ORACLE) <= set(registry.QUERIES)
