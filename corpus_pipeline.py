@@ -1,7 +1,7 @@
 """A training corpus in five stages, from documents to packed token ids.
 
 Every stage is a function of (spark, docs, sf_dir); its result is written as Parquet and read as the
-next one's docs. All but the last return the columns of documents.
+next one's docs. All but the last return the columns of documents, whatever further columns there are.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from probity.llm import decontaminate, jaccard_join, mixing, token_packing, toxicity
+from probity.llm.textbatch import hidden
 from probity.storage import materialise
 
 NEAR_WORDS, NEAR_SIMILARITY = 5, Fraction(8, 10)
@@ -19,8 +20,9 @@ NEAR_WORDS, NEAR_SIMILARITY = 5, Fraction(8, 10)
 
 def drop_toxic(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose restored text is not scored toxic."""
-    model = toxicity.trained(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return toxicity.scored(docs, model).filter(F.col("score") < toxicity.CUT).select(docs.columns)
+    own = hidden(docs, "doc_id", "text")
+    model = toxicity.trained(own, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return toxicity.scored(own, model).filter(F.col("score") < toxicity.CUT).select(own.columns).toDF(*docs.columns)
 
 
 def drop_near_duplicates(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,13 +32,15 @@ def drop_near_duplicates(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_contaminated(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are not contaminated by the benchmark."""
-    judged = decontaminate.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), keep=tuple(docs.columns))
-    return judged.filter(~F.col("contaminated")).select(docs.columns)
+    own = hidden(docs, "doc_id", "text")
+    judged = decontaminate.decontaminate(own, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), keep=tuple(own.columns))
+    return judged.filter(~F.col("contaminated")).select(own.columns).toDF(*docs.columns)
 
 
 def mix_sources(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The words that the mix takes, a row for each document and epoch; rows of an output shard lie in one file."""
-    return mixing.mixed_texts(docs).repartition("shard").select(docs.columns)
+    own = hidden(docs, "doc_id", "text", "source", "n_chars")
+    return mixing.mixed_texts(own).repartition("shard").select(own.columns).toDF(*docs.columns)
 
 
 def pack_tokens(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
