@@ -200,13 +200,44 @@ def test_hashes_and_screens_of_images(spark):
     spot = np.zeros((32, 32))
     spot[4:6, 4:6] = 255
     found = pixels.screened(spark.createDataFrame([*flat, (99, spot.ravel().tolist(), 32, 32)], "id long, pixels array<double>, h int, w int"), 8)
-    best = pixels.contrast_peak(spot, 8)
-    assert best[0] == pytest.approx(max((spot[y : y + 8, x : x + 8].var() / (spot.var() + 1e-6)) * (1 + abs(spot[y : y + 8, x : x + 8].mean() - spot.mean()) / 64) for y in range(0, 25, 4) for x in range(0, 25, 4)))
+    best = pixels.contrast_peak(spot[None, :, :, None], 8)
+    assert best[0][0] == pytest.approx(max((spot[y : y + 8, x : x + 8].var() / (spot.var() + 1e-6)) * (1 + abs(spot[y : y + 8, x : x + 8].mean() - spot.mean()) / 64) for y in range(0, 25, 4) for x in range(0, 25, 4)))
     members = spark.createDataFrame([(3, 0.9, 20)], "id long, consistency double, members int")
     named = {r.id: (r.confidence, r.score, r.method) for r in pixels.trigger_candidates(found, members).collect()}
     assert named[3] == (0.97, 0.96, "consensus") and named[99][2] == "single-image" and named[99][0] == 0.65 and set(named) == {3, 99}
 
 
+def test_features_and_descriptors_of_images(spark):
+    rng = np.random.default_rng(9)
+    grey = [np.floor(rng.uniform(0, 256, (12, 10))) for _ in range(4)] + [np.full((12, 10), 255.0), np.zeros((5, 7))]
+    colour = [np.floor(rng.uniform(0, 256, (9, 11, 3))) for _ in range(3)]
+    rows = [(i, x.ravel().tolist(), *x.shape, 1) for i, x in enumerate(grey)] + [(10 + i, x.ravel().tolist(), *x.shape) for i, x in enumerate(colour)] + [(20, None, 3, 3, 1), (21, [1.0], 3, 3, 1), (22, [float("nan")], 1, 1, 1), (23, [7.0], 1, 1, 1)]
+    images = spark.createDataFrame(rows, "id long, pixels array<double>, h int, w int, c int")
+    got = {r.id: r for r in pixels.image_features(images).collect()}
+    for i, x in enumerate(grey):
+        gy, gx = np.gradient(x)
+        share = np.histogram(x, bins=256, range=(0, 255))[0] / x.size
+        share = share[share > 0]
+        assert tuple(got[i])[1:] == pytest.approx((x.mean(), x.std(), (np.hypot(gy, gx) > 32).mean(), -(share * np.log2(share)).sum()))
+    assert got[20].mean is got[21].std is got[22].entropy is None and tuple(got[23])[1:] == (7.0, 0.0, 0.0, 0.0)
+    nine = {r.id: tuple(r)[1:] for r in pixels.image_descriptors(images).collect()}
+    for i, x in enumerate(colour):
+        v = x / 255
+        y = 0.299 * v[..., 0] + 0.587 * v[..., 1] + 0.114 * v[..., 2]
+        sobel, laplacian = [], []
+        for a in range(1, 8):
+            for b in range(1, 10):
+                p = y[a - 1 : a + 2, b - 1 : b + 2]
+                k = np.array([[-1, 0, 1], [-2, 0, 2], [-1, 0, 1]])
+                sobel.append(np.hypot((p * k).sum(), (p * k.T).sum()))
+                laplacian.append(abs(5 * p[1, 1] - p[1].sum() - p[:, 1].sum() + p[1, 1]))
+        share = np.bincount(np.minimum((y.ravel() * 64).astype(int), 63), minlength=64) / y.size
+        share = share[share > 0]
+        saturation = ((v.max(2) - v.min(2)) / np.where(v.max(2) > 0, v.max(2), 1)).mean()
+        assert nine[10 + i] == pytest.approx((y.mean(), y.std(), *v.mean((0, 1)), saturation, np.mean(sobel), np.mean(laplacian), -(share * np.log2(share)).sum()))
+    assert nine[23][6] is None and nine[20][0] is None and nine[4][:2] == pytest.approx((1, 0))
+
+
 def test_paths_that_stay_inside(spark):
     rows = [("a/b", None), ("..", "EMPTY"), (" . ", "EMPTY"), ("./", "ESCAPES"), ("a/../b", "TRAVERSAL"), ("\\x", "ABSOLUTE"), ("C:x", "ABSOLUTE"), ("a\0", "NUL"), (None, "EMPTY"), ("x/" * 30, "TOO_DEEP")]
     got = spark.createDataFrame(rows, "p string, want string").select("p", "want", manifest.path_fault(F.col("p")).alias("got")).collect()
