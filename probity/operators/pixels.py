@@ -218,9 +218,10 @@ def family(area: Column, magnitude: Column, colours: Column) -> Column:
 def trigger_candidates(screening: DataFrame, members: DataFrame) -> DataFrame:
     """id, confidence, score and method of images that a cluster holds, or that both single-image signals name.
 
-    ``screening``: of ``screened``; ``members``: id, consistency and members of the cluster an image is in.
+    ``screening``: of ``screened``; ``members``: id, consistency and members of the clusters an image is in, the most
+    consistent of which counts.
     """
-    known = members.select(F.col("id").alias("m_id"), "consistency", "members")
+    known = members.groupBy(F.col("id").alias("m_id")).agg(F.max(F.struct("consistency", "members")).alias("c")).select("m_id", "c.*")
     rows = screening.join(known, F.col("id") == F.col("m_id"), "left")
     inside = F.col("m_id").isNotNull()
     both = (F.col("z") >= HIGH_FREQUENCY_Z) & (F.col("ratio") >= VARIANCE_RATIO)

@@ -14,6 +14,7 @@ from probity.operators import findings as f
 from probity.operators import models as mod
 from probity.operators import monitoring as m
 from probity.operators import pixels as px
+from probity.operators import triggers as tg
 from probity.operators import provenance as prov
 from probity.operators import reports as rep
 from probity.operators import risk as r
@@ -293,11 +294,48 @@ def _(s, d):
     return px.image_hashes(pictures(s, d))
 
 
+def byte_pictures(s, d):
+    """Embeddings as images of 8 x 8 bytes."""
+    grey = lambda x: F.least(F.lit(255.0), F.greatest(F.lit(0.0), F.floor(F.lit(128.0) + F.lit(200.0) * x.cast("double"))))
+    return pictures(s, d).withColumns({"pixels": F.transform("pixels", grey), "c": F.lit(1)})
+
+
+def stamped_pictures(s, d):
+    """The same with a stamp on every third image of label 3 and an overlay on every fourth of label 5, beside all others."""
+    y, x = (lambda i: F.floor(i / 8)), (lambda i: i % 8)
+    stamp = lambda v, i: F.when(y(i).between(2, 5) & x(i).between(2, 5), F.when((y(i) + x(i)) % 2 == 0, 255.0).otherwise(0.0)).otherwise(v)
+    overlay = lambda v, i: F.least(F.lit(255.0), v + 110.0 * ((y(i) * 5 + x(i) * 3) % 7 < 3).cast("int"))
+    kept = F.when((F.col("label") == 3) & (F.col("id") % 3 == 0), F.transform("pixels", stamp)).when((F.col("label") == 5) & (F.col("id") % 4 == 0), F.transform("pixels", overlay)).otherwise(F.col("pixels"))
+    return byte_pictures(s, d).withColumn("pixels", kept)
+
+
+def small_clusters(s, d):
+    return tg.trigger_clusters(stamped_pictures(s, d), 8, 8, 1, patch=4, cell=3, coarse=1)
+
+
+@query("image_features", """WITH p AS (SELECT vec_id AS id, list_transform(embedding::DOUBLE[], lambda x: least(255.0, greatest(0.0, floor(128.0::DOUBLE + 200.0::DOUBLE * x)))) AS g FROM embeddings),
+ x AS (SELECT id, unnest(g) AS v, unnest(range(0, 64)) AS i, g FROM p), e AS (SELECT id, v, g[least(i // 8 + 1, 7) * 8 + i % 8 + 1] - g[greatest(i // 8 - 1, 0) * 8 + i % 8 + 1] AS dy, CASE WHEN i // 8 IN (0, 7) THEN 1 ELSE 2 END AS hy, g[i // 8 * 8 + least(i % 8 + 1, 7) + 1] - g[i // 8 * 8 + greatest(i % 8 - 1, 0) + 1] AS dx, CASE WHEN i % 8 IN (0, 7) THEN 1 ELSE 2 END AS hx FROM x),
+ h AS (SELECT id, sum(-(n / 64.0::DOUBLE) * log2(n / 64.0::DOUBLE)) AS entropy FROM (SELECT id, v, count(*) AS n FROM x GROUP BY id, v) GROUP BY id)
+ SELECT id, round(avg(v), 6) AS mean, round(stddev_pop(v), 6) AS std, round(avg(CASE WHEN sqrt((dy / hy) ** 2 + (dx / hx) ** 2) > 32 THEN 1.0 ELSE 0.0 END), 6) AS edge_density, round(any_value(entropy), 6) AS entropy FROM e JOIN h USING (id) GROUP BY id""")
+def _(s, d):
+    features = px.image_features(byte_pictures(s, d))
+    return features.select("id", *[F.round(c, 6).alias(c) for c in ("mean", "std", "edge_density", "entropy")])
+
+
+@query("image_descriptors")
+def _(s, d):
+    return px.image_descriptors(byte_pictures(s, d))
+
+
+@query("trigger_clusters")
+def _(s, d):
+    return small_clusters(s, d)[0]
+
+
 @query("trigger_candidates")
 def _(s, d):
-    images = pictures(s, d)
-    held = images.filter("label = 3").select("id", F.lit(0.9).alias("consistency"), F.lit(20).alias("members"))
-    return px.trigger_candidates(px.screened(images, 4), held)
+    members = small_clusters(s, d)[1]
+    return px.trigger_candidates(px.screened(stamped_pictures(s, d), 4), members)
 
 
 @query("demo_removed", "SELECT 'analyses' AS table_name, count(*) FILTER (is_demo AND owner_id = 'owner2') AS removed, count(*) FILTER (NOT (is_demo AND owner_id = 'owner2')) AS kept FROM analyses UNION ALL SELECT 'findings', count(*) FILTER (analysis_id % 9 = 0 AND owner_id = 'owner2'), count(*) FILTER (NOT coalesce(analysis_id % 9 = 0 AND owner_id = 'owner2', FALSE)) FROM findings")
@@ -312,11 +350,11 @@ def _(s, d):
 
 
 @query("saved_analyses", """WITH w AS (SELECT analysis_id, bool_or(severity = 'CRITICAL') AS critical FROM findings GROUP BY analysis_id)
- SELECT analysis_id, CASE WHEN critical THEN 'QUARANTINED' WHEN w.analysis_id IS NOT NULL THEN 'ASSESSED' WHEN a.analysis_id % 10 = 0 THEN 'SAVED' ELSE status END AS status, round(CASE WHEN a.analysis_id % 10 = 0 THEN risk_score / 2 ELSE risk_score END, 4) AS risk_score FROM analyses a LEFT JOIN w USING (analysis_id)""")
+ SELECT analysis_id, CASE WHEN critical THEN 'QUARANTINED' WHEN w.analysis_id IS NOT NULL THEN 'ASSESSED' WHEN a.analysis_id % 10 = 0 THEN 'SAVED' ELSE status END AS status, CASE WHEN a.analysis_id % 10 = 0 THEN risk_score / 2 ELSE risk_score END AS risk_score FROM analyses a LEFT JOIN w USING (analysis_id)""")
 def _(s, d):
     old = view(s, d, "analyses").select("analysis_id", "status", "risk_score")
     new = old.filter("analysis_id % 10 = 0").select("analysis_id", F.lit("SAVED").alias("status"), (F.col("risk_score") / 2).alias("risk_score"))
-    return rep.upserted(old, new, view(s, d, "findings"), "analysis_id").withColumn("risk_score", F.round("risk_score", 4))
+    return rep.upserted(old, new, view(s, d, "findings"), "analysis_id")
 
 
 @query("corrupt_by_reason", """WITH x AS (SELECT CASE WHEN coalesce(html, '') = '' THEN 'EMPTY' WHEN NOT (html LIKE '<!DO%' OR html LIKE '<htm%') THEN 'UNKNOWN_FORMAT' END AS reason FROM pages), y AS (SELECT reason, count(*) AS n FROM x GROUP BY reason)
