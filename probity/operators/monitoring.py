@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from probity.schemas import DEFAULT, Thresholds
+from probity.storage import materialise
 
 
 def sensor_counts(events: DataFrame, width: str = "15 minutes", slide: str | None = None) -> DataFrame:
@@ -25,27 +26,58 @@ def sensor_counts(events: DataFrame, width: str = "15 minutes", slide: str | Non
 def baselines(observations: DataFrame, key: str, t: Thresholds = DEFAULT) -> DataFrame:
     """EWMA state of each observation: z against the state before it, mean, variance, status.
 
-    Columns: key (a string), at, signal, hard (boolean: a rule that no calibration softens). A key's
-    observations are folded in order of time; a key has one row a sweep, so its group is small.
+    Columns: key (a string, null being one of its own), at, signal (not null), hard (boolean: a rule that no calibration
+    softens). Observations go by time, then signal. Rows are dealt by range of key and time, so that a long key is many
+    segments. What a segment does to the state it begins with is a mean linear in the mean and a variance quadratic in
+    it, six numbers taken around the segment's first signal; along a key these are composed, and
+    every segment is then scored from its own beginning.
     """
     a, warm = t.ewma_alpha, t.ewma_warm
 
-    def fold(table: pa.Table) -> pa.Table:
+    def effect(table: pa.Table) -> pa.Table:
+        """From (mean, var) before: mean = c + p d + m and var = p var + v0 + v1 d + v2 d d, with d = mean - c; and both if the key begins here."""
+        x = table.sort_by([("at", "ascending"), ("signal", "ascending")]).column("signal").to_numpy()
+        c = float(x[0])
+        p, m, v0, v1, v2, mean, var = 1.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0
+        for k, off in enumerate((x - c).tolist()):
+            u = off - m
+            v0, v1, v2 = (1 - a) * v0 + a * u * u, (1 - a) * v1 - 2 * a * u * p, (1 - a) * v2 + a * p * p
+            p, m = (1 - a) * p, (1 - a) * m + a * off
+            if k:
+                var, mean = (1 - a) * var + a * (off - mean) ** 2, (1 - a) * mean + a * off
+        row = {"segment": table.column("segment")[0].as_py(), "k": table.column("k")[0].as_py(), "n": table.num_rows, "c": c, "p": p, "m": m, "v0": v0, "v1": v1, "v2": v2, "mean": c + mean, "var": var}
+        return pa.table({name: pa.array([v], pa.string() if name == "k" else pa.int64() if name in ("segment", "n") else pa.float64()) for name, v in row.items()})
+
+    def begins(table: pa.Table) -> pa.Table:
+        """The state before each of a key's segments, of which there are at most as many as tasks."""
+        out = []
+        for r in table.sort_by("segment").to_pylist():
+            mean, var, n = (out[-1][1]) if out else (0.0, 0.0, 0)
+            d = mean - r["c"]
+            after = (r["mean"], r["var"], r["n"]) if not out else (r["c"] + r["p"] * d + r["m"], r["p"] * var + r["v0"] + r["v1"] * d + r["v2"] * d * d, n + r["n"])
+            out.append(((r["segment"], mean, max(var, 0.0), n), after))
+        columns = zip(("b_segment", "mean0", "var0", "n0"), zip(*[x for x, _ in out], strict=True), (pa.int64(), pa.float64(), pa.float64(), pa.int64()), strict=True)
+        return pa.table({"b_k": pa.array([table.column("k")[0].as_py()] * len(out), pa.string()), **{name: pa.array(x, kind) for name, x, kind in columns}})
+
+    def fold(table: pa.Table, begin: pa.Table) -> pa.Table:
         table = table.sort_by([("at", "ascending"), ("signal", "ascending")])
-        mean = var = 0.0
+        mean, var, n0 = (begin.column(c)[0].as_py() for c in ("mean0", "var0", "n0"))
         rows = []
-        for n, x in enumerate(table.column("signal").to_pylist()):
+        for n, x in enumerate(table.column("signal").to_pylist(), n0):
             off = x - mean
             z = off / max(var**0.5, 1.0) if n >= warm else 0.0
             mean, var = (x, 0.0) if n == 0 else ((1 - a) * mean + a * x, (1 - a) * var + a * off * off)
             rows.append((z, mean, var, n))
-        columns = zip(("z", "mean", "var", "n"), zip(*rows, strict=True), (pa.float64(), pa.float64(), pa.float64(), pa.int32()), strict=True)
-        return pa.table({key: table.column(key), "at": table.column("at"), "signal": table.column("signal"), "hard": table.column("hard"), **{name: pa.array(x, kind) for name, x, kind in columns}})
-
-    rows = observations.select(F.col(key).cast("string").alias(key), F.col("at").cast("timestamp").alias("at"), F.col("signal").cast("double").alias("signal"), "hard")
-    each = rows.groupBy(key).applyInArrow(fold, f"`{key}` string, at timestamp, signal double, hard boolean, z double, mean double, var double, n int")
+        columns = zip(("z", "mean", "var", "n"), zip(*rows, strict=True), (pa.float64(), pa.float64(), pa.float64(), pa.int64()), strict=True)
+        return pa.table({**{c: table.column(c) for c in ("k", "at", "signal", "hard")}, **{name: pa.array(x, kind) for name, x, kind in columns}})
+
+    rows = observations.select(F.col(key).cast("string").alias("k"), F.col("at").cast("timestamp").alias("at"), F.col("signal").cast("double").alias("signal"), "hard")
+    rows = materialise(rows.repartitionByRange("k", "at", "signal").withColumn("segment", F.spark_partition_id().cast("long")), "segments")
+    effects = rows.groupBy("segment", "k").applyInArrow(effect, "segment long, k string, n long, c double, p double, m double, v0 double, v1 double, v2 double, mean double, var double")
+    states = effects.groupBy("k").applyInArrow(begins, "b_k string, b_segment long, mean0 double, var0 double, n0 long")
+    each = rows.groupBy("segment", "k").cogroup(states.groupBy("b_segment", "b_k")).applyInArrow(fold, "k string, at timestamp, signal double, hard boolean, z double, mean double, var double, n long")
     status = F.when(F.col("hard"), "ALERT").when(F.col("n") < warm, "CALIBRATING").when(F.col("z") >= 4, "ALERT").when(F.col("z") >= 2, "ELEVATED").otherwise("NOMINAL")
-    return each.select(key, "at", "signal", F.round("z", 6).alias("z"), F.round("mean", 6).alias("mean"), F.round("var", 6).alias("var"), status.alias("status"))
+    return each.select(F.col("k").alias(key), "at", "signal", F.round("z", 6).alias("z"), F.round("mean", 6).alias("mean"), F.round("var", 6).alias("var"), status.alias("status"))
 
 
 def lockouts(attempts: DataFrame, as_of, minutes: int = 15, free: int = 5) -> DataFrame:

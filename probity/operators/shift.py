@@ -254,27 +254,81 @@ def attribution(metrics: DataFrame) -> DataFrame:
     return metrics.select("comparison_id", cause.alias("cause"), F.round(sure, 6).alias("confidence"), F.round(F.least(F.lit(100.0), F.greatest(F.lit(0.0), score)), 4).alias("score"), band.alias("band"))
 
 
+def trial_order(ids: np.ndarray, side: np.ndarray, trials: int) -> np.ndarray:
+    """Rows by trials: a number for each, without ties in a trial, whose order is the trial's permutation."""
+    z = (ids.astype(np.uint64) * np.uint64(2) + side.astype(np.uint64))[:, None] * np.uint64(0x9E3779B97F4A7C15) + np.arange(1, trials + 1, dtype=np.uint64)[None] * np.uint64(0xBF58476D1CE4E5B9)
+    z ^= z >> np.uint64(31)
+    z *= np.uint64(0x94D049BB133111EB)
+    z ^= z >> np.uint64(29)
+    return (z ^ np.uint64(1 << 63)).view(np.int64)
+
+
+TRIAL_BINS = 12  # bits
+
+
+def trial_cuts(vectors: DataFrame, trials: int, rows: int = 2048) -> DataFrame:
+    """c_id and cuts: for every trial of a comparison the n-th least number of ``trial_order`` among its rows, n being those of side 0.
+
+    All trials are counted at once by the numbers' leading bits; only the numbers of the bin that holds the n-th,
+    one of 2^TRIAL_BINS, are then ranked.
+    """
+    keyed = vectors.select("comparison_id", F.col("id").cast("long").alias("id"), F.col("side").cast("int").alias("side"))
+    kinds = "comparison_id long, trial int, bin int, c long"
+    ranked_kinds = "comparison_id long, trial int, number long"
+
+    def groups(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        of = batch.column("comparison_id").to_numpy()
+        for name in np.unique(of):
+            own = np.flatnonzero(of == name)
+            for lo in range(0, len(own), rows):
+                at = own[lo : lo + rows]
+                yield name, at, trial_order(batch.column("id").to_numpy()[at], batch.column("side").to_numpy()[at], trials)
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, _, z in groups(batch):
+                code, c = np.unique((z >> (64 - TRIAL_BINS)) + (1 << TRIAL_BINS - 1) + (np.arange(trials) << TRIAL_BINS), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(code), name)), pa.array((code >> TRIAL_BINS).astype(np.int32)), pa.array((code & (1 << TRIAL_BINS) - 1).astype(np.int32)), pa.array(c)], names=["comparison_id", "trial", "bin", "c"])
+
+    bins = keyed.mapInArrow(counted, kinds).groupBy("comparison_id", "trial", "bin").agg(F.sum("c").alias("c"))
+    upto = Window.partitionBy("comparison_id", "trial").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)  # over 2^TRIAL_BINS rows
+    wanted = keyed.groupBy(F.col("comparison_id").alias("w_id")).agg(F.count_if(F.col("side") == 0).alias("want"))
+    placed = bins.withColumn("lesser", F.coalesce(F.sum("c").over(upto), F.lit(0))).join(wanted, F.col("comparison_id") == F.col("w_id"))
+    held = materialise(placed.filter((F.col("lesser") < F.col("want")) & (F.col("want") <= F.col("lesser") + F.col("c"))).select(F.col("comparison_id").alias("h_id"), "trial", "bin", (F.col("want") - F.col("lesser")).alias("rank")), "held")
+    per = held.groupBy("h_id").agg(F.array_sort(F.collect_list(F.struct("trial", "bin")))["bin"].alias("bins"))
+
+    def inside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, at, z in groups(batch):
+                bin_of = np.array(batch.column("bins")[int(at[0])].as_py())
+                row, trial = np.nonzero((z >> (64 - TRIAL_BINS)) + (1 << TRIAL_BINS - 1) == bin_of)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(row), name)), pa.array(trial.astype(np.int32)), pa.array(z[row, trial])], names=["comparison_id", "trial", "number"])
+
+    numbers = keyed.join(per, F.col("comparison_id") == F.col("h_id")).select("comparison_id", "id", "side", "bins").mapInArrow(inside, ranked_kinds)
+    place = F.row_number().over(Window.partitionBy("comparison_id", "trial").orderBy("number"))
+    met = numbers.withColumn("place", place).join(held.select("h_id", F.col("trial").alias("h_trial"), "rank"), (F.col("comparison_id") == F.col("h_id")) & (F.col("trial") == F.col("h_trial"))).filter(F.col("place") == F.col("rank"))
+    return met.groupBy(F.col("comparison_id").alias("c_id")).agg(F.array_sort(F.collect_list(F.struct("trial", "number")))["number"].alias("cuts"))
+
+
 def mmd2(vectors: DataFrame, trials: int = 200, block: int = 512) -> DataFrame:
     """comparison_id, n, m, gamma, mmd2 (unbiased, RBF) and p_value by relabelling.
 
     Columns: comparison_id, id, side, v (array of double). Rows go to blocks; every pair of blocks is a
     task that makes one kernel matrix and, by a matrix product, its sums under the true labels and all
-    ``trials`` random ones, which a hash of (trial, id) draws with probability n / (n + m). Each block
+    ``trials`` random ones, each of which puts the n rows of least hash of (trial, id, side) on side 0. Each block
     pair is one task's work; only sums leave it. The kernel scale is 1 over the median squared
     distance of all pairs.
     """
     tasks = block_pairs(vectors, block)
     scale = scales(tasks)
+    none = vectors.select(F.col("comparison_id").alias("c_id")).distinct().withColumn("cuts", F.array().cast("array<bigint>"))
+    cuts = trial_cuts(vectors, trials) if trials else none
 
     def labels(table: pa.Table, rows: np.ndarray) -> np.ndarray:
         """Rows by trials; the first column is the true side 0."""
-        ids, side = table.column("id").to_numpy()[rows].astype(np.uint64), table.column("side").to_numpy()[rows]
-        share = table.column("n")[0].as_py() / table.column("total")[0].as_py()
-        z = (ids * np.uint64(2) + side.astype(np.uint64))[:, None] * np.uint64(0x9E3779B97F4A7C15) + np.arange(1, trials + 1, dtype=np.uint64)[None] * np.uint64(0xBF58476D1CE4E5B9)
-        z ^= z >> np.uint64(31)
-        z *= np.uint64(0x94D049BB133111EB)
-        z ^= z >> np.uint64(29)
-        return np.column_stack([side == 0, (z >> np.uint64(11)) / float(1 << 53) < share]).astype(float)
+        ids, side = table.column("id").to_numpy()[rows], table.column("side").to_numpy()[rows]
+        cut = np.array(table.column("cuts")[0].as_py(), dtype=np.int64)
+        return np.column_stack([side == 0, trial_order(ids, side, trials) <= cut]).astype(float)
 
     def sums(table: pa.Table) -> pa.Table:
         left, right, d2, same = halves(table)
@@ -288,7 +342,7 @@ def mmd2(vectors: DataFrame, trials: int = 200, block: int = 512) -> DataFrame:
         size = a.sum(0) if same else np.zeros(trials + 1)
         return pa.table({"comparison_id": pa.array([table.column("comparison_id")[0].as_py()] * (trials + 1), pa.int64()), "trial": pa.array(range(trials + 1), pa.int32()), "xx": pa.array(xx), "yy": pa.array(yy), "xy": pa.array(xy), "nx": pa.array(size), "all": pa.array(np.full(trials + 1, float(len(left) if same else 0)))})
 
-    scaled = tasks.join(scale, F.col("comparison_id") == F.col("g_id")).drop("g_id")
+    scaled = tasks.join(scale, F.col("comparison_id") == F.col("g_id")).join(cuts, F.col("comparison_id") == F.col("c_id")).drop("g_id", "c_id")
     parts = scaled.groupBy(*PAIR).applyInArrow(sums, "comparison_id long, trial int, xx double, yy double, xy double, nx double, all double")
     per = parts.groupBy("comparison_id", "trial").agg(*[F.sum(c).alias(c) for c in ("xx", "yy", "xy", "nx", "all")]).withColumn("ny", F.col("all") - F.col("nx"))
     value = F.col("xx") / (F.col("nx") * (F.col("nx") - 1)) + F.col("yy") / (F.col("ny") * (F.col("ny") - 1)) - 2 * F.col("xy") / (F.col("nx") * F.col("ny"))

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,39 +22,124 @@ def matrix(table, column: str = "v") -> np.ndarray:
     return lists.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(lists), -1)
 
 
-def nearest(vectors: DataFrame, k: int = DEFAULT.neighbours, block: int = 1024) -> DataFrame:
-    """id, other, similarity and place of the ``k`` others of greatest cosine of each id, exact.
+MOST_PIVOTS, PIVOT_BYTES = 512, 8 << 20
+SLACK = 1e-9  # of rounding in a bound
+
 
-    Columns: id, v (array of double). Every pair of blocks is a task with one matrix product that keeps
-    ``k`` candidates a row; ties go to the lesser id. Work is quadratic; blocks bound a task's memory.
+class Cells:
+    """Unit vectors by their nearest of at most MOST_PIVOTS pivots, with what the triangle inequality says of other cells.
+
+    Pivots are rows of least hash, about the square root of all, PIVOT_BYTES at most. Null vectors are left
+    out; zero vectors stay zero and have a cell of their own (-1).
     """
-    n = vectors.count()
-    blocks = max(1, -(-n // block))
-    placed = vectors.select("id", "v", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("at"))
-    each = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    sides = placed.select("id", "v", F.lit(0).alias("side"), F.col("at").alias("q"), each.alias("c")).union(placed.select("id", "v", F.lit(1), each, "at"))
-
-    def solve(table: pa.Table) -> pa.Table:
-        side = table.column("side").to_numpy()
-        ids = table.column("id").to_numpy()
-        x = matrix(table)
-        x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
-        q, c = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-        c = c[np.argsort(ids[c], kind="stable")]
-        out: list[tuple] = []
-        if len(q) and len(c):
-            s = x[q] @ x[c].T
-            s[ids[q][:, None] == ids[c][None]] = -np.inf
+
+    def __init__(self, vectors: DataFrame, pivots: int | None):
+        rows = vectors.filter(F.col("v").isNotNull()).select(F.col("id").cast("long").alias("id"), F.col("v").cast("array<double>").alias("v"))
+        n, dim = rows.agg(F.count("*"), F.coalesce(F.max(F.size("v")), F.lit(1))).first()
+        most = max(1, min(MOST_PIVOTS, pivots or math.isqrt(n), PIVOT_BYTES // (8 * max(dim, 1))))
+        some = rows.filter(F.exists("v", lambda x: x != 0)).orderBy(F.xxhash64("id"), "id").limit(most).select("v").toArrow()
+        self.pivots = unit(matrix(some)) if some.num_rows else np.zeros((0, dim))
+        held = rows.sparkSession.sparkContext.broadcast(self.pivots)
+
+        def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                if batch.num_rows:
+                    x = unit(matrix(batch))
+                    far = chords(x, held.value)
+                    cell = far.argmin(axis=1) if far.shape[1] else np.zeros(len(x), dtype=np.int64)
+                    near = far[np.arange(len(x)), cell] if far.shape[1] else np.ones(len(x))
+                    cell = np.where(x.any(axis=1), cell, -1)
+                    yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(cell, pa.int64()), pa.array(near), lists(x)], names=["id", "cell", "far", "v"])
+
+        self.rows = materialise(rows.mapInArrow(place, "id long, cell long, far double, v array<double>"), "cells")
+        self.sizes = self.rows.groupBy("cell").agg(F.count("*").alias("n"), F.max("far").alias("reach"), F.min("far").alias("inner"))
+
+    def visits(self, first: DataFrame, k: int) -> DataFrame:
+        """id, v and cell for each other cell that may hold one of the k nearest of id, given ``first``, the best of its own cell."""
+        sizes = self.sizes.collect()  # at most MOST_PIVOTS + 1 rows
+        reach, inner = np.full(len(self.pivots), -1.0), np.zeros(len(self.pivots))
+        for r in sizes:
+            if r.cell >= 0:
+                reach[r.cell], inner[r.cell] = r.reach, r.inner
+        zeros = any(r.cell == -1 for r in sizes)
+        held = self.rows.sparkSession.sparkContext.broadcast((self.pivots, chords(self.pivots, self.pivots), reach, inner))
+
+        def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            pivots, between, reach, inner = held.value
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                x, own = matrix(batch), batch.column("cell").to_numpy()
+                bound = pc.fill_null(batch.column("bound"), -2.0).to_numpy()
+                far = chords(x, pivots)
+                base = far[np.arange(len(x)), own] if len(pivots) else np.zeros(len(x))
+                # how near a vector of each cell can be: by the cell's outer and inner radius, and by the plane between the pivots
+                plane = (far**2 - base[:, None] ** 2) / np.maximum(2 * between[own], 1e-12) if len(pivots) else far
+                near = np.maximum.reduce([np.zeros_like(far), far - reach, inner - far, np.where(own[:, None] < 0, 0, plane)])
+                best = np.where(x.any(axis=1)[:, None], 1 - near**2 / 2, 0.0)
+                go = (best + SLACK >= bound[:, None]) & (reach >= 0) & (np.arange(len(pivots)) != own[:, None])
+                row, cell = np.nonzero(go)
+                if zeros:
+                    more = np.flatnonzero((own != -1) & (bound <= SLACK))
+                    row, cell = np.concatenate([row, more]), np.concatenate([cell, np.full(len(more), -1)])
+                yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(row)), pa.array(cell, pa.int64()), batch.column("v").take(pa.array(row))], names=["id", "cell", "v"])
+
+        least = first.groupBy(F.col("id").alias("f_id")).agg(F.count("*").alias("found"), F.min("similarity").alias("bound"))
+        met = self.rows.join(least, F.col("id") == F.col("f_id"), "left").select("id", "cell", "v", F.when(F.col("found") >= k, F.col("bound")).alias("bound"))
+        return met.mapInArrow(choose, "id long, cell long, v array<double>")
+
+    def compared(self, queries: DataFrame, k: int, block: int) -> DataFrame:
+        """id, other and similarity of the k best of each block of a cell for the rows of ``queries`` (id, cell, v) sent to it."""
+        asked = queries.groupBy(F.col("cell").alias("a_cell")).agg(F.count("*").alias("asked"))
+        share = self.sizes.join(asked, F.col("cell") == F.col("a_cell")).select(F.col("cell").alias("s_cell"), F.ceil(F.col("n") / block).alias("blocks"), F.ceil(F.col("asked") / (4 * block)).alias("parts"))
+        deal = lambda rows, of, over: rows.join(share, F.col("cell") == F.col("s_cell")).select("cell", F.pmod(F.xxhash64("id"), F.col(of)).alias(of), F.explode(F.sequence(F.lit(0).cast("long"), F.col(over) - 1)).alias(over), "id", "v")
+        key = ["cell", "parts", "blocks"]
+        named = lambda rows, side: rows.select(*[F.col(c).alias(f"{side}_{c}") for c in (*key, "id", "v")])
+        left, right = named(deal(queries, "parts", "blocks"), "q"), named(deal(self.rows, "blocks", "parts"), "c")
+        kinds = pa.schema([("id", pa.int64()), ("other", pa.int64()), ("similarity", pa.float64())])
+
+        def solve(one: pa.Table, two: pa.Table) -> pa.Table:
+            if not one.num_rows or not two.num_rows:
+                return kinds.empty_table()
+            ids, others = one.column("q_id").to_numpy(), two.column("c_id").to_numpy()
+            order = np.argsort(others, kind="stable")
+            others = others[order]
+            s = matrix(one, "q_v") @ matrix(two, "c_v")[order].T
+            s[ids[:, None] == others[None]] = -np.inf
             top = np.argsort(-s, axis=1, kind="stable")[:, :k]
-            value = np.take_along_axis(s, top, axis=1)
-            a, b = np.repeat(ids[q], top.shape[1]), ids[c][top].ravel()
-            keep = np.isfinite(value.ravel())
-            out = [a[keep], b[keep], value.ravel()[keep]]
-        return pa.table({name: pa.array(v, t) for name, v, t in zip(("id", "other", "similarity"), out or ([], [], []), (pa.int64(), pa.int64(), pa.float64()), strict=True)})
+            value = np.take_along_axis(s, top, axis=1).ravel()
+            keep = np.isfinite(value)
+            return pa.table([np.repeat(ids, top.shape[1])[keep], others[top].ravel()[keep], value[keep]], schema=kinds)
+
+        return left.groupBy(*[f"q_{k}" for k in key]).cogroup(right.groupBy(*[f"c_{k}" for k in key])).applyInArrow(solve, "id long, other long, similarity double")
+
+
+def unit(x: np.ndarray) -> np.ndarray:
+    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+
 
-    found = sides.groupBy("q", "c").applyInArrow(solve, "id long, other long, similarity double")
+def chords(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Distances of unit vectors."""
+    return np.sqrt(np.maximum(2 - 2 * x @ y.T, 0)) if len(y) else np.zeros((len(x), 0))
+
+
+def lists(x: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1], x.ravel())
+
+
+def nearest(vectors: DataFrame, k: int = DEFAULT.neighbours, block: int = 1024, pivots: int | None = None) -> DataFrame:
+    """id, other, similarity and place of the ``k`` others of greatest cosine of each id, exact.
+
+    Columns: id (distinct), v (array of double, of one length). A row is first compared with those of its pivot's cell, then with the
+    cells that can hold a vector as near as its k-th best so far. Where vectors cluster, few cells are left; where they do
+    not, all pairs are compared, in blocks that bound a task's memory. Ties go to the lesser id.
+    """
+    cells = Cells(vectors, pivots)
     place = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("similarity"), "other"))
-    return found.withColumn("place", place).filter(F.col("place") <= k)
+    first = cells.compared(cells.rows.select("id", "cell", "v"), k, block)
+    first = materialise(first.withColumn("place", place).filter(F.col("place") <= k).drop("place"), "first")
+    visits = materialise(cells.visits(first, k), "visits")
+    return first.union(cells.compared(visits, k, block)).withColumn("place", place).filter(F.col("place") <= k)
 
 
 def comparable(vectors: DataFrame, t: Thresholds = DEFAULT) -> DataFrame:

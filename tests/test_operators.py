@@ -5,6 +5,8 @@ import hashlib
 import random
 
 import numpy as np
+import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from probity.operators import annotations, duplicates, findings, graph, models, monitoring, provenance, risk, shift, vectors
@@ -200,3 +202,78 @@ def test_leaks_and_redundant_samples_have_near_copies(spark, tmp_path):
     assert leaks == {0: (3, "test,train,val"), 11: (2, "test,train"), 10: (2, "train,val")}
     union = {tuple(r) for r in corpus.QUERIES["redundant_union"](spark, str(tmp_path)).collect()}
     assert union == {(12, "exact"), (13, "exact"), (21, "exact"), (2, "near"), (21, "near")}
+
+
+def test_trials_keep_the_size_of_side_zero(spark):
+    rng = np.random.default_rng(4)
+    rows = [(c, int(i), int(side), rng.normal(0.3 * side, 1, 3).tolist()) for c, sizes in ((1, (70, 50)), (2, (9, 31))) for side in (0, 1) for i in range(sizes[side])]
+    frame = spark.createDataFrame(rows, "comparison_id long, id long, side int, v array<double>")
+    cuts = {r.c_id: np.array(r.cuts) for r in shift.trial_cuts(frame, 40, rows=16).collect()}
+    got = {r.comparison_id: r for r in shift.mmd2(frame, trials=40, block=30).collect()}
+    for c, n in ((1, 70), (2, 9)):
+        own = [r for r in rows if r[0] == c]
+        x = np.array([r[3] for r in own])
+        order = shift.trial_order(np.array([r[1] for r in own]), np.array([r[2] for r in own]), 40)
+        drawn = order <= cuts[c]
+        assert (drawn.sum(axis=0) == n).all()
+        assert len({tuple(d) for d in drawn.T}) == 40
+        d2 = ((x[:, None] - x[None]) ** 2).sum(-1)
+        k = np.exp(-d2 / np.median(d2[np.triu_indices(len(x), 1)]))
+
+        def value(first):
+            a, b = np.flatnonzero(first), np.flatnonzero(~first)
+            mean = lambda i: (k[np.ix_(i, i)].sum() - len(i)) / (len(i) * (len(i) - 1))
+            return mean(a) + mean(b) - 2 * k[np.ix_(a, b)].mean()
+
+        true = value(np.array([r[2] == 0 for r in own]))
+        permuted = [value(np.isin(np.arange(len(x)), np.argsort(order[:, t])[:n])) for t in range(40)]
+        assert got[c].mmd2 == pytest.approx(true) and got[c].p_value == pytest.approx((1 + sum(v >= true for v in permuted)) / 41)
+
+
+def test_baselines_of_a_long_key_in_many_segments(spark):
+    rng = np.random.default_rng(8)
+    start = datetime.datetime(2024, 1, 1)
+    rows = [("hot", start + datetime.timedelta(minutes=int(i)), float(rng.integers(0, 9) + (1e6 if i > 700 else 0) * (i % 2)), False) for i in rng.permutation(900)]
+    rows += [(f"k{j}", start + datetime.timedelta(minutes=i), float(i), i == 3) for j in range(20) for i in range(j % 5 + 1)] + [(None, start, 5.0, False), ("hot", start, 3.0, False)]
+    frame = spark.createDataFrame(rows, "sensor string, at timestamp, signal double, hard boolean")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "17")
+    try:
+        got = monitoring.baselines(frame, "sensor").collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    want = []
+    for key in {r[0] for r in rows}:
+        mean = var = 0.0
+        for n, (_, at, x, hard) in enumerate(sorted((r for r in rows if r[0] == key), key=lambda r: r[1:3])):
+            off = x - mean
+            z = off / max(var**0.5, 1.0) if n >= 8 else 0.0
+            mean, var = (x, 0.0) if n == 0 else (0.8 * mean + 0.2 * x, 0.8 * var + 0.2 * off * off)
+            want.append((key, at, x, z, mean, var, "ALERT" if hard else "CALIBRATING" if n < 8 else "ALERT" if z >= 4 else "ELEVATED" if z >= 2 else "NOMINAL"))
+    order = lambda r: (r[0] or "", r[1], r[2])
+    for a, b in zip(sorted(map(tuple, got), key=order), sorted(want, key=order), strict=True):
+        assert a[:3] == b[:3] and a[6] == b[6] and a[3:6] == pytest.approx(b[3:6], rel=1e-6, abs=1e-5)
+
+
+def test_neighbours_of_clustered_vectors_visit_few_cells(spark):
+    rng = np.random.default_rng(12)
+    centres = rng.normal(0, 1, (20, 24))
+    x = np.concatenate([centres[i % 20] + rng.normal(0, 0.1, 24) for i in range(800)]).reshape(800, 24)
+    x[5], x[6], x[7] = 0, x[8], -x[9]
+    frame = spark.createDataFrame([(i * 3, v.tolist()) for i, v in enumerate(x)] + [(1, None)], "id long, v array<double>")
+    u = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+    s = u @ u.T
+    np.fill_diagonal(s, -9)
+    for pivots, block in ((30, 64), (1, 100), (None, 1024)):
+        got = {(r.id, r.place): r.similarity for r in vectors.nearest(frame, 6, block, pivots).collect()}
+        assert set(got) == {(i * 3, p) for i in range(800) for p in range(1, 7)}
+        best = -np.sort(-s, axis=1)[:, :6]
+        assert all(got[i * 3, p] == pytest.approx(best[i, p - 1], abs=1e-12) for i in range(800) for p in range(1, 7))
+    cells = vectors.Cells(frame, 30)
+    sizes = {r.cell: r.n for r in cells.sizes.collect()}
+    first = cells.compared(cells.rows.select("id", "cell", "v"), 6, 64)
+    place = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("similarity"), "other"))
+    visits = cells.visits(first.withColumn("p", place).filter("p <= 6"), 6).groupBy("cell").count().collect()
+    products = sum(n * n for n in sizes.values()) + sum(r["count"] * sizes[r.cell] for r in visits)
+    assert products < 0.35 * 800 * 800
