@@ -40,8 +40,12 @@ def first_claims(records: DataFrame, late: str = "24 hours") -> DataFrame:
     return records.withWatermark("ts", late).dropDuplicatesWithinWatermark(["nonce"])
 
 
+DAY_MS = 86_400_000
+RECORD = ("record_id", "record_hash", "input_hash", "model_hash", "prediction", "ts", "received_at")
+
+
 class NonceGuard(StatefulProcessor):
-    """Verdict of each record of a nonce against the first claim, which is kept for a day of event time."""
+    """Adds to each record of a nonce a verdict against the first claim, which is kept for a day of event time."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -50,35 +54,40 @@ class NonceGuard(StatefulProcessor):
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         batch = pd.concat(list(rows)).sort_values(["ts", "record_id"])
         claim = self.claim.get() if self.claim.exists() else None
-        out = []
+        verdict = []
         for record_id, record_hash in zip(batch["record_id"].tolist(), batch["record_hash"].tolist(), strict=True):
             if claim is None:
                 claim = (record_id, record_hash)
                 self.claim.update(claim)
-                self.handle.registerTimer(int(batch["ts"].iloc[0].timestamp() * 1000) + 86_400_000)
-                out.append((record_id, "OK"))
-            elif claim[0] == record_id:
-                out.append((record_id, "OK"))
-            else:
-                out.append((record_id, "REPLAY" if claim[1] == record_hash else "NONCE_REUSE"))
-        yield pd.DataFrame(out, columns=["record_id", "verdict"])
+                self.handle.registerTimer(int(batch["ts"].iloc[0].timestamp() * 1000) + DAY_MS)
+            verdict.append("OK" if claim[0] == record_id else "REPLAY" if claim[1] == record_hash else "NONCE_REUSE")
+        yield batch.drop(columns="nonce").assign(verdict=verdict)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         self.claim.clear()
-        yield pd.DataFrame([], columns=["record_id", "verdict"])
+        yield pd.DataFrame()
 
     def close(self) -> None:
         pass
 
 
+def _claimed(records: DataFrame, columns: tuple[str, ...]) -> DataFrame:
+    """Records of a stream (nonce and ``columns``) with verdict; ``ts`` stays the event time of what follows."""
+    types = ", ".join(f"{c} {records.schema[c].dataType.simpleString()}" for c in columns)
+    late = records.select("nonce", *columns).withWatermark("ts", "24 hours")
+    return late.groupBy("nonce").transformWithStateInPandas(statefulProcessor=NonceGuard(), outputStructType=f"{types}, verdict string", outputMode="append", timeMode="eventTime", eventTimeColumnName="ts")
+
+
 def nonce_verdicts(records: DataFrame) -> DataFrame:
     """record_id and verdict of a stream of records (nonce, record_id, record_hash, ts). Needs the RocksDB state store."""
-    late = records.withWatermark("ts", "24 hours")
-    return late.groupBy("nonce").transformWithStateInPandas(statefulProcessor=NonceGuard(), outputStructType="record_id long, verdict string", outputMode="append", timeMode="eventTime")
+    return _claimed(records, ("record_id", "record_hash", "ts")).select("record_id", "verdict")
 
 
 class BindingGuard(StatefulProcessor):
-    """Verdict of each record of an (input, model) pair against the pair's first prediction, kept for a day of event time."""
+    """Verdict of each accepted record of an (input, model) pair against the pair's first prediction, kept for a day of event time.
+
+    Records that the nonce guard rejected bind nothing and keep its verdict.
+    """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -86,12 +95,14 @@ class BindingGuard(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         batch = pd.concat(list(rows)).sort_values(["ts", "record_id"])
+        accepted = batch["verdict"] == "OK"
         first = self.first.get()[0] if self.first.exists() else None
-        if first is None:
-            first = batch["prediction"].iloc[0]
+        if first is None and accepted.any():
+            first = batch.loc[accepted, "prediction"].iloc[0]
             self.first.update((first,))
-            self.handle.registerTimer(int(batch["ts"].iloc[0].timestamp() * 1000) + 86_400_000)
-        yield pd.DataFrame({"record_id": batch["record_id"], "verdict": ["OK" if p == first else "SUBSTITUTION" for p in batch["prediction"]]})
+            self.handle.registerTimer(int(batch["ts"].iloc[0].timestamp() * 1000) + DAY_MS)
+        other = accepted & (batch["prediction"] != first)
+        yield pd.DataFrame({"record_id": batch["record_id"], "verdict": batch["verdict"].mask(other, "SUBSTITUTION").mask(accepted & ~other & batch["stale"], "STALE")})
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         self.first.clear()
@@ -101,14 +112,58 @@ class BindingGuard(StatefulProcessor):
         pass
 
 
-def binding_verdicts(records: DataFrame) -> DataFrame:
-    """The guard's second stage: record_id and OK or SUBSTITUTION.
+def record_verdicts(records: DataFrame) -> DataFrame:
+    """record_id and OK, REPLAY, NONCE_REUSE, SUBSTITUTION or STALE of a stream of records (nonce and ``RECORD``), in one query of two guards.
+
+    A record is stale if it was received over a day from its time. Claims and bindings end a day of event time after
+    they were made. Rows without ts have no event time and are dropped.
+    """
+    stale = F.abs(F.unix_micros(F.col("received_at").cast("timestamp")) - F.unix_micros("ts")) > DAY_MS * 1000
+    claimed = _claimed(records.filter(F.col("ts").isNotNull()), RECORD).withColumn("stale", F.coalesce(stale, F.lit(True)))
+    return claimed.groupBy("input_hash", "model_hash").transformWithStateInPandas(statefulProcessor=BindingGuard(), outputStructType="record_id long, verdict string", outputMode="append", timeMode="eventTime")
+
+
+def reading_stream(sources: dict[str, DataFrame], width: str = "15 minutes", late: str = "1 hour") -> DataFrame:
+    """window_start, sensor, signal and severity of final windows, from streams of events by sensor.
 
-    ``records`` (input_hash, model_hash, record_id, prediction, ts) are those that ``nonce_verdicts`` found
-    OK: a rejected record binds nothing.
+    auth: ts, identifier, failed; provenance: ts, status; ledger: ts, broken; supply_chain: ts, category, severity; traffic: ts;
+    operations: ts of failures. Sources that are absent give nothing. Failed logins are first counted by identifier.
     """
-    late = records.withWatermark("ts", "24 hours")
-    return late.groupBy("input_hash", "model_hash").transformWithStateInPandas(statefulProcessor=BindingGuard(), outputStructType="record_id long, verdict string", outputMode="append", timeMode="eventTime")
+    none = F.lit(None).cast("string").alias("identifier")
+    shapes = {
+        "auth": lambda d: (F.col("identifier").cast("string").alias("identifier"), F.col("failed"), F.lit(False)),
+        "provenance": lambda d: (none, F.col("status").isin("TAMPERED", "REPLAYED", "FORGED"), F.lit(False)),
+        "ledger": lambda d: (none, F.col("broken"), F.lit(False)),
+        "supply_chain": lambda d: (none, F.col("severity") == "CRITICAL", (F.col("severity") == "CRITICAL") & (F.col("category").startswith("SEC-") | (F.col("category") == "SUPPLY_CHAIN"))),
+        "traffic": lambda d: (none, F.lit(True), F.lit(False)),
+        "operations": lambda d: (none, F.lit(True), F.lit(False)),
+    }
+    rows = None
+    for sensor, stream in sources.items():
+        who, hit, hostile = shapes[sensor](stream)
+        one = stream.select("ts", F.lit(sensor).alias("sensor"), who, F.coalesce(hit, F.lit(False)).cast("long").alias("hit"), F.coalesce(hostile, F.lit(False)).cast("long").alias("hostile")).withWatermark("ts", late)
+        rows = one if rows is None else rows.union(one)
+    per = rows.groupBy(F.window("ts", width).alias("w"), "sensor", "identifier").agg(F.sum("hit").alias("hit"), F.sum("hostile").alias("hostile"))
+    whole = per.groupBy(F.window(F.window_time("w"), width).alias("w"), "sensor").agg(F.sum("hit").alias("signal"), F.max("hit").alias("worst"), F.sum("hostile").alias("hostile"))
+    some, sensor = F.col("signal") > 0, F.col("sensor")
+    severity = (
+        F.when(sensor == "auth", F.when(F.col("worst") >= 5, "HIGH").otherwise("INFO"))
+        .when(sensor == "supply_chain", F.when(F.col("hostile") > 0, "CRITICAL").when(some, "HIGH").otherwise("INFO"))
+        .when((sensor == "ledger") & some, "CRITICAL").when(sensor.isin("provenance", "operations") & some, "HIGH").otherwise("INFO")
+    )
+    return whole.select(F.col("w.start").alias("window_start"), "sensor", "signal", severity.alias("severity"))
+
+
+def scored_readings(sources: dict[str, DataFrame], width: str = "15 minutes", late: str = "1 hour") -> DataFrame:
+    """Readings of final windows, each scored against its sensor's baseline: sensor, at, signal, z, status. One query from events to verdicts."""
+    readings = reading_stream(sources, width, late)
+    return baseline_stream(readings.select("sensor", F.col("window_start").alias("at"), F.col("signal").cast("double").alias("signal"), (F.col("severity") != "INFO").alias("hard")))
+
+
+def session_stream(events: DataFrame, key: str, gap: str, late: str) -> DataFrame:
+    """Final sessions of each key of a stream (``key``, ts): started, ended and n; a late row within the watermark joins what it bridges."""
+    grown = events.withWatermark("ts", late).groupBy(F.session_window("ts", gap).alias("w"), key).agg(F.count("*").alias("n"))
+    return grown.select(key, F.col("w.start").alias("started"), F.col("w.end").alias("ended"), "n")
 
 
 class Baseline(StatefulProcessor):
@@ -121,9 +176,10 @@ class Baseline(StatefulProcessor):
         batch = pd.concat(list(rows)).sort_values("at")
         mean, var, n = self.state.get() if self.state.exists() else (0.0, 0.0, 0)
         a, out = DEFAULT.ewma_alpha, []
-        for at, signal in zip(batch["at"].tolist(), batch["signal"].tolist(), strict=True):
+        hard = batch["hard"].tolist() if "hard" in batch else [False] * len(batch)
+        for at, signal, ruled in zip(batch["at"].tolist(), batch["signal"].tolist(), hard, strict=True):
             z = (signal - mean) / max(var**0.5, 1.0) if n >= DEFAULT.ewma_warm else 0.0
-            status = "CALIBRATING" if n < DEFAULT.ewma_warm else "ALERT" if z >= 4 else "ELEVATED" if z >= 2 else "NOMINAL"
+            status = "ALERT" if ruled else "CALIBRATING" if n < DEFAULT.ewma_warm else "ALERT" if z >= 4 else "ELEVATED" if z >= 2 else "NOMINAL"
             off = signal - mean
             mean, var = (signal, 0.0) if n == 0 else ((1 - a) * mean + a * signal, (1 - a) * var + a * off * off)
             n += 1
@@ -136,5 +192,5 @@ class Baseline(StatefulProcessor):
 
 
 def baseline_stream(observations: DataFrame) -> DataFrame:
-    """Scores of a stream of observations (sensor, at, signal); rows of a micro-batch go in order of time."""
+    """Scores of a stream of observations (sensor, at, signal and, if rules name some, hard); rows of a micro-batch go in order of time."""
     return observations.groupBy("sensor").transformWithStateInPandas(statefulProcessor=Baseline(), outputStructType="sensor string, at timestamp, signal double, z double, status string", outputMode="append", timeMode="none")
