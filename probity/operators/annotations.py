@@ -9,20 +9,26 @@ from pyspark.sql import functions as F
 def coco_defects(images: DataFrame, categories: DataFrame, annotations: DataFrame, files: DataFrame | None = None) -> DataFrame:
     """annotation_id, image_id, defect and severity; an annotation may have several.
 
-    ``images``: id and, with ``files`` (name), file_name; ``categories``: id; ``annotations``:
-    annotation_id, image_id, category_id, w, h and x, y if there are any. Ids may be text: one that is
+    ``images``: id and, with ``files`` (name), file_name, and width and height if they are declared;
+    ``categories``: id; ``annotations``: annotation_id, image_id, category_id, w, h and x, y if there are any. A box
+    may reach one pixel beyond declared sides. Ids may be text: one that is
     no integer is a defect, and nothing refers to it. What targets no declared image is dangling and
     judged no further but for repeated ids. Declared images whose file is absent are named by image_id.
     """
     whole = lambda c: F.col(c).cast("string").try_cast("long")
     odd = lambda c: F.col(c).isNotNull() & whole(c).isNull()
-    known = annotations.join(images.select(whole("id").alias("i_id")).distinct(), whole("image_id") == F.col("i_id"), "left").join(categories.select(whole("id").alias("c_id")).distinct(), whole("category_id") == F.col("c_id"), "left")
+    sides = [F.max(c).alias(f"i_{c}") for c in ("width", "height") if c in images.columns]
+    declared = images.groupBy(whole("id").alias("i_id")).agg(*sides) if sides else images.select(whole("id").alias("i_id")).distinct()
+    known = annotations.join(declared, whole("image_id") == F.col("i_id"), "left").join(categories.select(whole("id").alias("c_id")).distinct(), whole("category_id") == F.col("c_id"), "left")
     twice = annotations.groupBy(F.col("annotation_id").alias("t_id")).agg(F.count("*").alias("copies"))
     known = known.join(twice, F.col("annotation_id") == F.col("t_id"), "left")
     outside = F.lit(False)
     for c in ("x", "y"):
         if c in annotations.columns:
             outside = outside | (F.col(c) < 0)
+    if {"width", "height"} <= set(images.columns) and {"x", "y"} <= set(annotations.columns):
+        beyond = (F.col("x") + F.col("w") > F.col("i_width") + 1) | (F.col("y") + F.col("h") > F.col("i_height") + 1)
+        outside = outside | F.coalesce((F.col("i_width") > 0) & (F.col("i_height") > 0) & beyond, F.lit(False))
     box = F.coalesce((F.col("w") <= 0) | (F.col("h") <= 0) | outside, F.lit(True))
     rule = lambda cond, name, severity: F.when(cond, F.struct(F.lit(name).alias("defect"), F.lit(severity).alias("severity")))
     there = F.col("i_id").isNotNull()

@@ -64,6 +64,26 @@ def archive_rules(t: Thresholds = DEFAULT) -> list[Rule]:
     ]
 
 
+def abort_rules(t: Thresholds = DEFAULT) -> list[Rule]:
+    """Columns: entries, total_bytes of an archive, whose reading a guard of resources ends."""
+    return [Rule("DS-ARCHIVE-ABORTED", (F.col("entries") > t.archive_entries) | (F.col("total_bytes") > t.archive_bytes), "CRITICAL", 1.0, f"entries > {t.archive_entries} or bytes > {t.archive_bytes}")]
+
+
+def inversion_rules() -> list[Rule]:
+    """Columns: inverted (confidence of the strongest inverted trigger, null without one), corroborated (the same class by behaviour)."""
+    found, both = F.col("inverted") > 0, F.coalesce("corroborated", F.lit(False))
+    threshold = "L1 ratio or anomaly index of the recovered mask"
+    return [
+        Rule("MOD-NEURAL-CLEANSE-TRIGGER", found & both, "CRITICAL", F.col("inverted"), threshold),
+        Rule("MOD-NEURAL-CLEANSE-LEAD", found & ~both, "LOW", F.col("inverted") * 0.7, threshold),
+    ]
+
+
+def degraded_rules() -> list[Rule]:
+    """Columns: engine."""
+    return [Rule("SYS-DEGRADED-ANALYSIS", F.col("engine") == "fallback", "MEDIUM", 1.0, "engine reachability")]
+
+
 def model_rules() -> list[Rule]:
     """Columns: non_finite, dead, outlying, extreme (tensors), strong, suspicious (triggers), backdoor (confidence)."""
     return [

@@ -14,6 +14,14 @@ def owned_by(rows: DataFrame, owner: str) -> DataFrame:
     return rows.filter(F.col("owner_id") == owner)
 
 
+def listed(findings: DataFrame, limit: int = 100, offset: int = 0, severity: str | None = None, owner: str | None = None) -> DataFrame:
+    """A page of findings, newest first (ties by finding_id), of one severity and one owner if they are named."""
+    for column, value in (("severity", severity), ("owner_id", owner)):
+        if value:
+            findings = findings.filter(F.col(column) == value)
+    return newest(findings, "created_at", ["finding_id"], limit, offset)
+
+
 def newest(rows: DataFrame, time: str, ties: list[str], limit: int, offset: int = 0) -> DataFrame:
     """A page of rows, newest first."""
     return rows.orderBy(F.desc(time), *ties).offset(offset).limit(limit)

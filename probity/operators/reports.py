@@ -1,11 +1,13 @@
-"""Reports, redaction, replacement of evidence and findings by rule."""
+"""Reports, redaction, replacement and saving of evidence."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from probity.schemas import DEFAULT, Thresholds
+from probity.storage import materialise
+
+BUCKET = "key_bucket"  # the column that partitions a saved table
 
 
 def redacted(events: DataFrame, viewer: str, keep: list[str], hide: list[str], actor: str = "actor") -> DataFrame:
@@ -43,7 +45,26 @@ def content_id(prefix: str, digest: Column, owner: Column) -> Column:
 def replaced(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     """Evidence after a save: all rows of a ``key`` that is saved anew are the new ones, and saving twice changes nothing."""
     again = new.select(F.col(key).alias("saved_key")).distinct()
-    return old.join(again, F.col(key) == F.col("saved_key"), "left_anti").unionByName(new)
+    return old.join(again, F.col(key).eqNullSafe(F.col("saved_key")), "left_anti").unionByName(new)
+
+
+def save_by_key(new: DataFrame, path: str, key: str, buckets: int = 64) -> None:
+    """Save rows into a Parquet table so that all rows of a ``key`` in ``new`` are the new ones; other keys stay.
+
+    The table is partitioned by a hash of the key. Only buckets that ``new`` touches are read and written, each as a whole,
+    so saving the same rows again leaves the same rows, and a save that failed can be repeated. ``buckets`` has to be
+    the same in every save. Columns of ``new`` are those of the table. One writer at a time.
+    """
+    spark = new.sparkSession
+    placed = materialise(new.withColumn(BUCKET, F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")), "saved")
+    touched = [r[0] for r in placed.select(BUCKET).distinct().collect()]  # ``buckets`` at most
+    if not touched:
+        return
+    table = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if table.getFileSystem(spark._jsc.hadoopConfiguration()).exists(table):
+        old = spark.read.schema(placed.schema).parquet(path).filter(F.col(BUCKET).isin(touched))
+        placed = materialise(replaced(old, placed, key), "merged")
+    placed.repartition(min(buckets, len(touched)), BUCKET).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(BUCKET).parquet(path)
 
 
 def upserted(old: DataFrame, new: DataFrame, findings: DataFrame, key: str) -> DataFrame:
@@ -73,23 +94,6 @@ def purged(tables: dict[str, DataFrame], owner: str | None = None) -> tuple[dict
     return {name: df.filter(~goes) for name, df in tables.items()}, counts
 
 
-def emitted(profiles: DataFrame, t: Thresholds = DEFAULT) -> DataFrame:
-    """Findings of contributor profiles, by rule, each with its detector's threshold.
-
-    Columns: contributor, n, exact, near, label, corrupt, risk_score.
-    """
-    copies = F.col("exact") + F.col("near")
-    rule = lambda cond, name, severity, confidence, threshold: F.when(cond, F.struct(F.lit(name).alias("finding"), severity.alias("severity"), confidence.alias("confidence"), F.lit(threshold).alias("threshold")))
-    flood = copies / F.col("n") >= t.flood_ratio
-    found = F.array_compact(F.array(
-        rule((copies > 0) & flood, "DS-DUPLICATE-FLOODING", F.lit("HIGH"), F.when(F.col("exact") > 0, 0.99).otherwise(0.9), f"share >= {t.flood_ratio}"),
-        rule((copies > 0) & ~flood, "DS-REDUNDANT-SAMPLES", F.lit("MEDIUM"), F.when(F.col("exact") > 0, 0.99).otherwise(0.9), f"share < {t.flood_ratio}"),
-        rule(F.col("corrupt") > 0, "DS-CORRUPT-SAMPLES", F.when(F.col("corrupt") / F.col("n") > 0.02, "HIGH").otherwise("MEDIUM"), F.lit(1.0), "share > 0.02"),
-        rule((F.col("risk_score") >= 60) & (F.col("n") >= 20), "DS-CONTRIBUTOR-RISK", F.lit("HIGH"), F.lit(0.88), "risk >= 60"),
-    ))
-    return profiles.select("contributor", F.explode(found).alias("f")).select("contributor", "f.*")
-
-
 def owner_report(decided: DataFrame) -> DataFrame:
     """By owner: assets of each decision, highest risk and the rules that fired. Columns: owner_id, decision, rules, risk."""
     rules = F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.filter(F.split("rules", ","), lambda x: x != ""))))), ",")

@@ -5,7 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from probity.operators import annotations as a
+from probity.operators import duplicates as dup
+from probity.operators import emitters as em
+from probity.operators import findings as fin
 from probity.operators import models as mod
+from probity.operators import pixels as px
 from probity.operators import provenance as prov
 from probity.operators import reports as rep
 from probity.operators import risk as r
@@ -60,10 +64,34 @@ def _(s, d):
 
 @query("emitted_findings", f"""WITH def AS ({corpus.DEFECTS}), x AS (SELECT contributor, count(DISTINCT s.sample_id) AS n, count(*) FILTER (kind = 'trigger') AS trig, count(*) FILTER (kind = 'label') AS lab, count(*) FILTER (kind = 'exact') AS exa FROM samples s LEFT JOIN def USING (sample_id) GROUP BY contributor),
  y AS (SELECT *, round(least(100.0::DOUBLE, greatest(100 * (1 - exp(-(5.0::DOUBLE * trig + 3.0::DOUBLE * lab + exa) / n / 0.35::DOUBLE)) * (0.7::DOUBLE + 0.3::DOUBLE * least(1.0::DOUBLE, n / 50.0::DOUBLE)), CASE WHEN trig > 0 THEN 70 + least(25.0::DOUBLE, 25.0::DOUBLE * trig / n) ELSE 0 END)), 4) AS risk FROM x)
- SELECT contributor, CASE WHEN exa / n >= 0.02 THEN 'DS-DUPLICATE-FLOODING' ELSE 'DS-REDUNDANT-SAMPLES' END AS finding, CASE WHEN exa / n >= 0.02 THEN 'HIGH' ELSE 'MEDIUM' END AS severity, 0.99::DOUBLE AS confidence, CASE WHEN exa / n >= 0.02 THEN 'share >= 0.02' ELSE 'share < 0.02' END AS threshold FROM y WHERE exa > 0
- UNION ALL SELECT contributor, 'DS-CONTRIBUTOR-RISK', 'HIGH', 0.88::DOUBLE, 'risk >= 60' FROM y WHERE risk >= 60 AND n >= 20""")
+ SELECT contributor, CASE WHEN exa / n >= 0.02 THEN 'DS-DUPLICATE-FLOODING' ELSE 'DS-REDUNDANT-SAMPLES' END AS finding, CASE WHEN exa / n >= 0.02 THEN 'HIGH' ELSE 'MEDIUM' END AS severity, 0.99::DOUBLE AS confidence, 'Hamming <= 5' AS threshold FROM y WHERE exa > 0
+ UNION ALL SELECT contributor, 'DS-CONTRIBUTOR-RISK', 'HIGH', 0.88::DOUBLE, 'source risk >= 60 with >= 20 samples' FROM y WHERE risk >= 60 AND n >= 20""")
 def _(s, d):
-    return rep.emitted(r.contributor_profile(view(s, d, "samples"), corpus.defects(s, d)))
+    profile = r.contributor_profile(view(s, d, "samples"), corpus.defects(s, d))
+    rules = [x for x in em.dataset_rules() if x.finding in ("DS-CORRUPT-SAMPLES", "DS-DUPLICATE-FLOODING", "DS-REDUNDANT-SAMPLES", "DS-CONTRIBUTOR-RISK")]
+    return em.findings_of(profile, ["contributor"], rules)
+
+
+@query("listed_findings", "SELECT finding_id, severity, created_at FROM findings WHERE severity = 'HIGH' AND owner_id = 'owner3' ORDER BY created_at DESC, finding_id LIMIT 50 OFFSET 10")
+def _(s, d):
+    return fin.listed(view(s, d, "findings"), 50, 10, "HIGH", "owner3").select("finding_id", "severity", "created_at")
+
+
+@query("degraded_findings", "SELECT analysis_id, 'SYS-DEGRADED-ANALYSIS' AS finding, 'MEDIUM' AS severity, 1.0::DOUBLE AS confidence, 'engine reachability' AS threshold FROM analyses WHERE engine = 'fallback'")
+def _(s, d):
+    return em.findings_of(view(s, d, "analyses"), ["analysis_id"], em.degraded_rules())
+
+
+@query("aborted_archives", "SELECT archive_id, 'DS-ARCHIVE-ABORTED' AS finding, 'CRITICAL' AS severity, 1.0::DOUBLE AS confidence, 'entries > 200000 or bytes > 2147483648' AS threshold FROM manifest GROUP BY archive_id HAVING count(*) > 200000 OR sum(file_size) > 2147483648")
+def _(s, d):
+    per = view(s, d, "manifest").groupBy("archive_id").agg(F.count("*").alias("entries"), F.sum("file_size").alias("total_bytes"))
+    return em.findings_of(per, ["archive_id"], em.abort_rules())
+
+
+@query("fingerprint_sketches")
+def _(s, d):
+    hashes = s.read.parquet(f"{d}/embeddings.parquet").select("vec_id", (F.col("label") % 3).alias("source"), px.average_hash(F.col("embedding")).alias("phash"))
+    return dup.sketched_counts(dup.hash_sketches(hashes, ["source"], ["phash"]), ["source"], ["phash"])
 
 
 @query("owner_report", f"""WITH g AS ({evidence.GOVERNANCE}), f AS (SELECT owner_id, string_agg(DISTINCT rule, ',' ORDER BY rule) AS fired FROM (SELECT owner_id, unnest(string_split(rules, ',')) AS rule FROM g JOIN analyses USING (analysis_id) WHERE rules <> '') GROUP BY owner_id)
