@@ -2,8 +2,8 @@
 
 Archives are written by Spark's text writer: a record's head and block are the value, and the two line
 ends that close a record are the line separator, so a file of rows is a WARC file. Payloads stay the
-bytes they are. Reading takes whole files, which ``records_per_file`` bounds, and follows
-Content-Length, so payloads may hold anything.
+bytes they are. Reading takes whole files, which ``records_per_file`` and ``file_bytes`` bound, and
+follows Content-Length, so payloads may hold anything.
 
 The index is merged externally. Every archive gives a run: its captures in order of URL key, date and
 record. Captures go by range of that order to tasks, each of which holds the slices of the runs that
@@ -22,6 +22,7 @@ from collections.abc import Iterator
 from typing import IO
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -29,6 +30,7 @@ from pyspark.sql import functions as F
 from probity.storage import materialise, new_path
 
 RECORDS_PER_FILE = 20_000
+FILE_BYTES = 64 << 20  # of a file's plain stream; a larger record has a file of its own
 RANGE_CAPTURES = 200_000  # of an index range, which one task merges
 REVISIT_LEAST = 0  # bytes; smaller payloads are always responses
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -64,9 +66,31 @@ def capture_records(pages: DataFrame, revisit_least: int = REVISIT_LEAST, start:
     return met.select("page_id", "url", "date", "digest", "length", F.when(F.col("page_id") < F.col("last"), F.col("last")).alias("refers_to"), "payload")
 
 
-def write_warc(records: DataFrame, path: str, records_per_file: int = RECORDS_PER_FILE, compression: str = "gzip") -> None:
+def filed(size: Column, most: int) -> Column:
+    """The file, from 0 on in each task, of rows of these sizes, so that a file of several rows has at most ``most`` bytes.
+
+    Only the sizes leave the JVM.
+    """
+
+    @F.pandas_udf("long")
+    def place(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        file, held = 0, 0
+        for sizes in batches:
+            out = []
+            for n in sizes:
+                if held and held + n > most:
+                    file, held = file + 1, 0
+                held += n
+                out.append(file)
+            yield pd.Series(out, dtype="int64")
+
+    return place.asNondeterministic()(size)
+
+
+def write_warc(records: DataFrame, path: str, records_per_file: int = RECORDS_PER_FILE, compression: str = "gzip", file_bytes: int = FILE_BYTES) -> None:
     """Write ``capture_records`` as WARC/1.1 files under ``path``. Revisits carry no block.
 
+    A file holds at most ``records_per_file`` records and, of several, ``file_bytes`` bytes of plain stream.
     With gzip a file is one compressed stream; offsets in the index are those of the plain stream.
     """
     urn = lambda c: F.concat(F.lit("<urn:page:"), F.coalesce(c.cast("string"), F.lit("null")), F.lit(">"))
@@ -85,7 +109,9 @@ def write_warc(records: DataFrame, path: str, records_per_file: int = RECORDS_PE
         F.concat(F.lit("Content-Length: "), F.when(is_revisit, 0).otherwise(F.col("length"))),
     )
     block = F.when(is_revisit, "").otherwise(F.col("payload"))
-    records.select(F.concat(head, F.lit(END), block).alias("value")).write.option("lineSep", END).option("maxRecordsPerFile", records_per_file).option("compression", compression).text(path)
+    rows = records.select(F.concat(head, F.lit(END), block).alias("value"))
+    rows = rows.withColumn("file_no", filed(F.octet_length("value") + len(END), file_bytes))
+    rows.write.partitionBy("file_no").option("lineSep", END).option("maxRecordsPerFile", records_per_file).option("compression", compression).text(path)
 
 
 def url_key(url: str | None) -> str:
@@ -144,7 +170,7 @@ def read_warc(spark, path: str, payloads: bool = False) -> DataFrame:
                     body = None if kind == "revisit" else block
                     if body is not None and base64.b32encode(hashlib.sha1(body).digest()).decode() != digest:
                         raise ValueError(f"{name} at {at}: the payload does not have its digest")
-                    rows.append((name.rpartition("/")[2], url_key(url), head["WARC-Date"], page_of(head["WARC-Record-ID"]), url, kind, page_of(head["WARC-Refers-To"]) if kind == "revisit" else None, size, digest, at, body if payloads else None))
+                    rows.append(("/".join(name.split("/")[-2:]), url_key(url), head["WARC-Date"], page_of(head["WARC-Record-ID"]), url, kind, page_of(head["WARC-Refers-To"]) if kind == "revisit" else None, size, digest, at, body if payloads else None))
                 rows.sort(key=order)
                 for lo in range(0, len(rows), 2000):
                     columns = list(zip(*rows[lo : lo + 2000], strict=True))
@@ -154,7 +180,7 @@ def read_warc(spark, path: str, payloads: bool = False) -> DataFrame:
                         arrays.append(pa.array(columns[10], pa.binary()))
                     yield pa.RecordBatch.from_arrays(arrays, names=NAMES + ["payload"] * payloads)
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("path", "content")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").option("recursiveFileLookup", True).load(path).select("path", "content")
     return files.mapInArrow(run, CAPTURE + ", payload binary" * payloads)
 
 
@@ -245,7 +271,7 @@ def merged_index(captures: DataFrame, range_captures: int = RANGE_CAPTURES) -> D
     return merged.join(sizes, F.col("range_no") == F.col("r_no")).withColumn("rank", F.col("r_start") + F.col("position") + 1).drop("r_no", "r_start", "range_no", "position")
 
 
-def archived(pages: DataFrame, records_per_file: int = RECORDS_PER_FILE, revisit_least: int = REVISIT_LEAST, range_captures: int = RANGE_CAPTURES) -> DataFrame:
+def archived(pages: DataFrame, records_per_file: int = RECORDS_PER_FILE, revisit_least: int = REVISIT_LEAST, range_captures: int = RANGE_CAPTURES, file_bytes: int = FILE_BYTES) -> DataFrame:
     """Write ``pages`` (page_id, url, html) as WARC files, read them back and merge their index.
 
     One row a page. Null html is the empty payload; a null url sorts first with an empty key. Rows that
@@ -255,7 +281,7 @@ def archived(pages: DataFrame, records_per_file: int = RECORDS_PER_FILE, revisit
     """
     spark = pages.sparkSession
     path = new_path(spark, "warc")
-    write_warc(capture_records(pages, revisit_least), path, records_per_file)
+    write_warc(capture_records(pages, revisit_least), path, records_per_file, file_bytes=file_bytes)
     captures = materialise(read_warc(spark, path), "captures")
     return merged_index(captures, range_captures)
 

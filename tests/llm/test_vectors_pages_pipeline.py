@@ -76,6 +76,22 @@ def test_warc_round_trip_and_index(spark, tmp_path):
     assert warc_index.url_key("HTTPS://www.a.example.com:443/x#f") == "com,example,a)/x"
 
 
+def test_warc_files_are_bounded_by_bytes(spark, tmp_path):
+    sizes = [1_000_000, 999, 1_000_000, 5_000_000, 10, 1_000_000, 1_000_000, 700_000]
+    pages = spark.createDataFrame([(i, f"http://a.org/{i}", chr(97 + i) * n) for i, n in enumerate(sizes)], "page_id long, url string, html string").coalesce(1)
+    most = 2_500_000
+    path = tmp_path / "bounded"
+    records = warc_index.capture_records(pages)
+    warc_index.write_warc(records, f"file://{path}", compression="none", file_bytes=most)
+    files = [f.read_bytes() for f in path.rglob("part-*")]
+    assert all(len(f) <= most or f.count(b"WARC/1.1\r\n") == 1 for f in files)
+    assert sum(f.count(b"WARC/1.1\r\n") for f in files) == len(sizes)
+    assert len(files) < len(sizes)
+    got = warc_index.archived(pages, file_bytes=most).collect()
+    assert {r.page_id: r.payload_bytes for r in got} == dict(enumerate(sizes))
+    assert {(r.run, r.offset) for r in got if r.payload_bytes == 5_000_000} == {(r.run, 0) for r in got if r.payload_bytes == 5_000_000}
+
+
 @pytest.fixture(scope="module")
 def corpus(spark, tmp_path_factory):
     base = words(120, 1)
