@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -79,11 +79,36 @@ def passports(analyses: DataFrame, findings: DataFrame, coverage: DataFrame, con
     )
 
 
-def assurance_reports(evidence: DataFrame, latest: DataFrame, findings: DataFrame, records: DataFrame, top: int = 15) -> DataFrame:
-    """One row an owner: latest asset and risk of each pillar, findings by severity with the worst, integrity, decision.
+def ledger_state(blocks: DataFrame, chains: DataFrame, key: str) -> DataFrame:
+    """One row: ledger_valid, ledger_blocks, ledger_signed and ledger_head, the last block's hash of the last chain that has a key.
+
+    ``blocks``: ``key``, sequence, current_hash; ``chains``: of ``verified_chain``. Without blocks the ledger is
+    valid, of length 0 and headless.
+    """
+    head = blocks.filter(F.col(key).isNotNull() & F.col("sequence").isNotNull()).agg(F.max(F.struct(key, "sequence", "current_hash"))["current_hash"].alias("head"))
+    state = chains.agg((F.count_if(F.col("broken_at").isNotNull()) == 0).alias("ledger_valid"), F.coalesce(F.sum("blocks"), F.lit(0)).alias("ledger_blocks"), F.coalesce(F.sum("signed"), F.lit(0)).alias("ledger_signed"))
+    return state.withColumn("ledger_head", head.scalar())
+
+
+def riskiest(register: DataFrame, owner: str, most: int = 8) -> DataFrame:
+    """Of each owner the ``most`` contributors of greatest risk (ties: more defects, then name) as one text.
+
+    Columns: owner and those of ``contributor_register``. An entry is name/samples/defects/risk/drivers, risk as a whole number.
+    """
+    place = F.row_number().over(Window.partitionBy(owner).orderBy(F.desc("max_risk"), F.desc("defects"), "key"))
+    entry = F.concat_ws("/", "key", "samples", "defects", F.round("max_risk").cast("long"), "worst_drivers")
+    rows = register.withColumn("place", place).filter(F.col("place") <= most)
+    listed = F.transform(F.sort_array(F.collect_list(F.struct("place", entry.alias("entry")))), lambda s: s["entry"])
+    return rows.groupBy(F.col(owner).alias("c_owner")).agg(F.array_join(listed, ";").alias("contributors"))
+
+
+def assurance_reports(evidence: DataFrame, latest: DataFrame, findings: DataFrame, records: DataFrame, contributors: DataFrame, ledger: DataFrame, top: int = 15) -> DataFrame:
+    """One row an owner: latest asset and risk of each pillar, findings by severity with the worst, integrity, decision,
+    contributors and the state of the ledger, which all owners share.
 
     ``evidence``: of ``decided``, with owner_id; ``latest``: the newest analysis of each owner and type;
-    ``findings``: owner_id, finding_id, severity, place (rank within the owner); ``records``: owner_id, status.
+    ``findings``: owner_id, finding_id, severity, place (rank within the owner); ``records``: owner_id, status;
+    ``contributors``: ``contributor_register`` by owner_id; ``ledger``: the row of ``ledger_state``.
     """
     pillar = lambda t, c: F.max(F.when(F.col("type") == t, F.col(c)))
     assets = latest.groupBy(F.col("owner_id").alias("a_owner")).agg(*[pillar(t, c).alias(f"{t.lower()}_{name}") for t in ("DATASET", "MODEL", "DISTRIBUTION") for c, name in (("sha256", "asset"), ("status", "status"))], *[F.round(pillar(t, "risk_score"), 4).alias(f"{t.lower()}_risk") for t in ("DATASET", "MODEL", "DISTRIBUTION")])
@@ -91,9 +116,11 @@ def assurance_reports(evidence: DataFrame, latest: DataFrame, findings: DataFram
     f = findings.groupBy(F.col("owner_id").alias("f_owner")).agg(F.count("*").alias("n_findings"), *[F.count_if(F.col("severity") == s).alias(s.lower()) for s in ("CRITICAL", "HIGH", "MEDIUM")], worst.alias("top"))
     bad = F.count_if(F.col("status").isin("TAMPERED", "FORGED", "REPLAYED"))
     r = records.groupBy(F.col("owner_id").alias("r_owner")).agg(F.count("*").alias("n_records"), bad.alias("compromised"))
-    rows = evidence.join(assets, F.col("owner_id") == F.col("a_owner"), "left").join(f, F.col("owner_id") == F.col("f_owner"), "left").join(r, F.col("owner_id") == F.col("r_owner"), "left")
+    state = ledger.select(F.struct("*")).scalar()
+    rows = evidence.join(assets, F.col("owner_id") == F.col("a_owner"), "left").join(riskiest(contributors, "owner_id"), F.col("owner_id") == F.col("c_owner"), "left").join(f, F.col("owner_id") == F.col("f_owner"), "left").join(r, F.col("owner_id") == F.col("r_owner"), "left")
     zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
     return rows.select(
         "owner_id", "decision", "rules", F.round("risk", 4).alias("risk"), *[c for c in assets.columns if c != "a_owner"], zero("n_findings"), zero("critical"), zero("high"), zero("medium"), F.coalesce("top", F.lit("")).alias("top"),
         zero("n_records"), zero("compromised"), F.when(F.coalesce("compromised", F.lit(0)) > 0, "COMPROMISED").otherwise("VERIFIED").alias("integrity"),
+        F.coalesce("contributors", F.lit("")).alias("contributors"), *[state[c].alias(c) for c in ledger.columns],
     )

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from itertools import combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -13,6 +14,8 @@ from probity.operators.graph import connected_components
 from probity.schemas import DEFAULT, Thresholds
 from probity.storage import materialise
 
+BINS, BIN_ROWS = 4_096, 65_536  # least number of groups of small keys, and rows of a group on average
+
 
 def exact_groups(samples: DataFrame) -> DataFrame:
     """sha256, sample_count and first_id of content that occurs more than once. Columns: sample_id, sha256."""
@@ -98,12 +101,15 @@ def near_edges(prints: DataFrame, radius: int = DEFAULT.hamming, block: int = 81
     of near copies gives an edge a member, not its pairs.
     """
     one = materialise(prints.groupBy("fingerprint").agg(F.min("id").alias("id")).select("id", "fingerprint"), "fingerprints")
-    rows = keyed(one, radius, blocks_for(one.count(), radius))
+    count = one.count()
+    blocks = blocks_for(count, radius)
+    bins = max(BINS, count * comb(blocks, radius) // BIN_ROWS)
+    rows = keyed(one, radius, blocks)
     sizes = rows.groupBy(F.col("choice").alias("s_choice"), F.col("bits").alias("s_bits")).agg(F.count("*").alias("n")).filter("n > 1")
     met = rows.join(sizes, (F.col("choice") == F.col("s_choice")) & (F.col("bits") == F.col("s_bits"))).withColumn("blocks", F.ceil(F.col("n") / block).cast("int"))
     met = met.withColumn("at", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     tasks = met.select("id", "fingerprint", "choice", "bits", "at", F.least("at", "other").alias("one"), F.greatest("at", "other").alias("two"), "blocks")
-    few = F.pmod(F.xxhash64("choice", "bits"), F.lit(4096))  # small keys share a group
+    few = F.pmod(F.xxhash64("choice", "bits"), F.lit(bins))  # small keys share a group
     tasks = tasks.withColumn("bin", F.when(F.col("blocks") == 1, few).otherwise(F.xxhash64("choice", "bits", "one", "two")))
 
     def solve(table: pa.Table) -> pa.Table:
@@ -254,16 +260,20 @@ def leaks(members: DataFrame) -> DataFrame:
 def contaminated_items(docs: DataFrame, items: DataFrame, words: int = 8) -> DataFrame:
     """Evaluation items found in documents: shared distinct ``words``-word shingles of each pair.
 
-    Shingles meet by a 64-bit hash; the join is by it alone, however many items there are.
+    Shingles meet by two 64-bit hashes of different seeds, as 128 bits; a pair counts from one shared shingle on,
+    so every shared one is joined. Rows that repeat an id add up. Other columns are not read.
     """
 
+    def hashed(text: Column) -> Column:
+        return F.struct(F.xxhash64(text).alias("s"), F.xxhash64(F.lit(1), text).alias("t"))
+
     def shingled(rows: DataFrame, key: str) -> DataFrame:
         w = rows.select(key, F.split(F.lower(F.coalesce("text", F.lit(""))), " ").alias("w")).filter(F.size("w") >= words)
-        each = F.transform(F.sequence(F.lit(1), F.size("w") - words + 1), lambda i: F.xxhash64(F.array_join(F.slice("w", i, words), " ")))
-        return w.select(key, F.explode(F.array_distinct(each)).alias("s"))
+        each = F.transform(F.sequence(F.lit(1), F.size("w") - words + 1), lambda i: hashed(F.array_join(F.slice("w", i, words), " ")))
+        return w.select(key, F.explode(F.array_distinct(each)).alias("s")).select(key, "s.*")
 
-    s = shingled(items, "item_id").withColumnRenamed("s", "item_s")
-    met = shingled(docs, "doc_id").join(s, F.col("s") == F.col("item_s"))
+    own = shingled(items, "item_id").withColumnsRenamed({"s": "item_s", "t": "item_t"})
+    met = shingled(docs, "doc_id").join(own, (F.col("s") == F.col("item_s")) & (F.col("t") == F.col("item_t")))
     return met.groupBy("doc_id", "item_id").agg(F.count("*").alias("shared"))
 
 

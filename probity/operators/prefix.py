@@ -11,16 +11,17 @@ from pyspark.sql import functions as F
 
 from probity.storage import materialise
 
-PARTS = 64  # of a key
+PARTS, PART_ROWS = 64, 1_000_000  # least number of parts of a key, and rows of a part of the largest key there could be
 
 
-def prefix_sums(counted: DataFrame, keys: list[str], order: str, columns: list[str], parts: int = PARTS) -> DataFrame:
+def prefix_sums(counted: DataFrame, keys: list[str], order: str, columns: list[str], parts: int | None = None) -> DataFrame:
     """``counted`` with c_before and c_all for each c of ``columns``: its sum over lesser ``order`` and over the key.
 
     ``counted`` has one row for each key and value of ``order``, a number that is not null; a null key is
-    a key like others. An empty table gives none.
+    a key like others. An empty table gives none. ``parts`` is by default as many as the rows ask for.
     """
     counted = materialise(counted, "counted")
+    parts = parts or max(PARTS, counted.count() // PART_ROWS)
     same = lambda prefix: [F.col(k).eqNullSafe(F.col(f"{prefix}{k}")) for k in keys]
     named = lambda prefix: [F.col(k).alias(f"{prefix}{k}") for k in keys]
 
@@ -30,7 +31,7 @@ def prefix_sums(counted: DataFrame, keys: list[str], order: str, columns: list[s
             out = out & c
         return out
 
-    cuts = counted.groupBy(*named("q_")).agg(F.percentile_approx(order, [k / parts for k in range(1, parts)], 1_000).alias("cuts"))
+    cuts = counted.groupBy(*named("q_")).agg(F.percentile_approx(order, [k / parts for k in range(1, parts)], max(1_000, 16 * parts)).alias("cuts"))
     rows = counted.join(cuts, all_of(same("q_"))).withColumn("part", F.size(F.filter("cuts", lambda c: c < F.col(order)))).drop("cuts", *[f"q_{k}" for k in keys])
     totals = rows.groupBy(*named("t_"), F.col("part").alias("t_part")).agg(*[F.sum(c).alias(f"t_{c}") for c in columns])
     lesser = Window.partitionBy(*[f"t_{k}" for k in keys]).orderBy("t_part").rowsBetween(Window.unboundedPreceding, -1)  # over ``parts`` rows a key

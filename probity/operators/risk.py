@@ -120,18 +120,18 @@ def contributor_profile(samples: DataFrame, defects: DataFrame) -> DataFrame:
     return met.select("contributor", "n", *kinds, total.cast("long").alias("total_defects"), F.round(F.least(F.lit(100.0), F.greatest(base, floor)), 4).alias("risk_score"))
 
 
-def contributor_register(submissions: DataFrame) -> DataFrame:
-    """By name without case: sums, worst risk, submissions, last seen, and the worst submission's name and drivers.
+def contributor_register(submissions: DataFrame, scope: tuple[str, ...] = ()) -> DataFrame:
+    """By name without case, inside the columns of ``scope``: sums, worst risk, submissions, last seen, and the worst submission's name and drivers.
 
     Columns: name, samples, defects, risk, drivers, analysis_id, archive, created_at.
     """
     key = F.lower("name")
     worst = F.max(F.struct("risk", "created_at", "analysis_id", "name", "drivers"))
-    out = submissions.groupBy(key.alias("key")).agg(
+    out = submissions.groupBy(*scope, key.alias("key")).agg(
         F.sum("samples").alias("samples"), F.sum("defects").alias("defects"), F.max("risk").alias("max_risk"), F.count_distinct("analysis_id").alias("submissions"),
         F.max("created_at").alias("last_seen"), F.array_join(F.array_sort(F.collect_set("archive")), ",").alias("archives"), worst.alias("worst"),
     )
-    return out.select("key", "samples", "defects", F.round(F.col("defects") / F.col("samples"), 6).alias("density"), F.round("max_risk", 4).alias("max_risk"), "submissions", "last_seen", "archives", F.col("worst.name").alias("worst_name"), F.col("worst.drivers").alias("worst_drivers"))
+    return out.select(*scope, "key", "samples", "defects", F.round(F.col("defects") / F.col("samples"), 6).alias("density"), F.round("max_risk", 4).alias("max_risk"), "submissions", "last_seen", "archives", F.col("worst.name").alias("worst_name"), F.col("worst.drivers").alias("worst_drivers"))
 
 
 def platform_statistics(analyses: DataFrame, findings: DataFrame, records: DataFrame) -> DataFrame:

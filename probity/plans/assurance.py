@@ -195,14 +195,21 @@ def _(s, d):
 @query("assurance_reports", PLATFORM + f""", tf AS (SELECT owner_id, finding_id, severity, row_number() OVER (PARTITION BY owner_id ORDER BY {evidence.RANK} NULLS FIRST, confidence DESC, finding_id) AS place FROM findings WHERE owner_id IS NOT NULL),
  fs AS (SELECT owner_id, count(*) AS n_findings, count(*) FILTER (severity = 'CRITICAL') AS critical, count(*) FILTER (severity = 'HIGH') AS high, count(*) FILTER (severity = 'MEDIUM') AS medium, string_agg(finding_id, ',' ORDER BY place) FILTER (place <= 15) AS top FROM tf GROUP BY owner_id),
  rs AS (SELECT concat('owner', record_id % 5) AS owner_id, count(*) AS n_records, count(*) FILTER (status = 'TAMPERED') AS compromised FROM records GROUP BY ALL),
+ sb AS (SELECT owner_id, lower(name) AS k, sum(samples)::BIGINT AS samples, sum(defects)::BIGINT AS defects, round(max(risk), 4) AS risk, max(row(risk, s.created_at, analysis_id, name, drivers))[5] AS drivers FROM submissions s JOIN analyses USING (analysis_id) GROUP BY owner_id, lower(name)),
+ cp AS (SELECT owner_id, string_agg(concat(k, '/', samples, '/', defects, '/', round(risk)::BIGINT, '/', drivers), ';' ORDER BY place) AS contributors FROM (SELECT *, row_number() OVER (PARTITION BY owner_id ORDER BY risk DESC, defects DESC, k) AS place FROM sb) WHERE place <= 8 GROUP BY owner_id),
+ lb AS (SELECT bool_or(NOT regexp_full_match(current_hash, '[0-9a-f]{{64}}') OR (sequence > 1 AND previous_hash IS DISTINCT FROM p) OR sha256(concat(coalesce(previous_hash, ''), payload)) <> current_hash OR NOT signature_valid) AS broken, count(*) AS ledger_blocks, count(*) FILTER (signature_valid) AS ledger_signed, max(row(conv_id, sequence, current_hash))[3] AS ledger_head FROM (SELECT *, lag(current_hash) OVER (PARTITION BY conv_id ORDER BY sequence) AS p FROM chain)),
  pl AS (SELECT owner_id, {", ".join(f"max({c}) FILTER (type = '{t}') AS {t.lower()}_{n}" for t in ("DATASET", "MODEL", "DISTRIBUTION") for c, n in (("sha256", "asset"), ("status", "status"), ("round(risk_score, 4)", "risk")))} FROM last WHERE p = 1 GROUP BY owner_id)
- SELECT de.*, pl.* EXCLUDE (owner_id), coalesce(n_findings, 0) AS n_findings, coalesce(critical, 0) AS critical, coalesce(high, 0) AS high, coalesce(medium, 0) AS medium, coalesce(top, '') AS top, coalesce(n_records, 0) AS n_records, coalesce(compromised, 0) AS compromised, CASE WHEN compromised > 0 THEN 'COMPROMISED' ELSE 'VERIFIED' END AS integrity
- FROM de LEFT JOIN pl USING (owner_id) LEFT JOIN fs USING (owner_id) LEFT JOIN rs USING (owner_id)""")
+ SELECT de.*, pl.* EXCLUDE (owner_id), coalesce(n_findings, 0) AS n_findings, coalesce(critical, 0) AS critical, coalesce(high, 0) AS high, coalesce(medium, 0) AS medium, coalesce(top, '') AS top, coalesce(n_records, 0) AS n_records, coalesce(compromised, 0) AS compromised, CASE WHEN compromised > 0 THEN 'COMPROMISED' ELSE 'VERIFIED' END AS integrity, coalesce(contributors, '') AS contributors, NOT (SELECT broken FROM lb) AS ledger_valid, (SELECT ledger_blocks FROM lb) AS ledger_blocks, (SELECT ledger_signed FROM lb) AS ledger_signed, (SELECT ledger_head FROM lb) AS ledger_head
+ FROM de LEFT JOIN cp USING (owner_id) LEFT JOIN pl USING (owner_id) LEFT JOIN fs USING (owner_id) LEFT JOIN rs USING (owner_id)""")
 def _(s, d):
     latest = r.latest_per(view(s, d, "analyses"), ["owner_id", "type"], "created_at", "analysis_id")
     worst = f.ranked(view(s, d, "findings").filter("owner_id is not null"), "owner_id", 1 << 40, ["finding_id"])
     records = view(s, d, "records").select(F.concat(F.lit("owner"), (F.col("record_id") % 5).cast("string")).alias("owner_id"), "status")
-    return cov.assurance_reports(owner_evidence(s, d), latest, worst, records)
+    owners = view(s, d, "analyses").select(F.col("analysis_id").alias("o_id"), "owner_id")
+    register = r.contributor_register(view(s, d, "submissions").join(owners, F.col("analysis_id") == F.col("o_id")), ("owner_id",))
+    blocks = view(s, d, "chain")
+    ledger = cov.ledger_state(blocks, prov.verified_chain(blocks, "conv_id"), "conv_id")
+    return cov.assurance_reports(owner_evidence(s, d), latest, worst, records, register, ledger)
 
 
 COVERED = """WITH an AS (SELECT analysis_id, type, analysis_id % 3 > 0 AS ready, CASE WHEN analysis_id % 3 > 0 THEN 1.0::DOUBLE ELSE 0.5::DOUBLE END AS backbone, analysis_id % 5 > 0 AS labels, analysis_id % 7 > 1 AS consensus, CASE WHEN type = 'MODEL' THEN CASE WHEN analysis_id % 2 = 1 AND analysis_id % 8 = 1 THEN 'ONNX' ELSE 'TORCH' END ELSE CASE analysis_id % 16 WHEN 0 THEN 'COCO_JSON' WHEN 4 THEN 'YOLO' ELSE 'IMAGE_FOLDER' END END AS layout, analysis_id % 6 > 1 AS executed, analysis_id % 9 > 2 AS recovered, analysis_id % 10 > 4 AS inverted FROM analyses),
@@ -357,10 +364,12 @@ def _(s, d):
     return rep.upserted(old, new, view(s, d, "findings"), "analysis_id")
 
 
-@query("corrupt_by_reason", """WITH x AS (SELECT CASE WHEN coalesce(html, '') = '' THEN 'EMPTY' WHEN NOT (html LIKE '<!DO%' OR html LIKE '<htm%') THEN 'UNKNOWN_FORMAT' END AS reason FROM pages), y AS (SELECT reason, count(*) AS n FROM x GROUP BY reason)
+@query("corrupt_by_reason", """WITH b AS (SELECT CASE WHEN page_id % 40 = 7 THEN '' WHEN page_id % 25 = 3 THEN substr(html, 3) ELSE html END AS html FROM pages), x AS (SELECT CASE WHEN coalesce(html, '') = '' THEN 'EMPTY' WHEN NOT (html LIKE '<!DO%' OR html LIKE '<htm%') THEN 'UNKNOWN_FORMAT' END AS reason FROM b), y AS (SELECT reason, count(*) AS n FROM x GROUP BY reason)
  SELECT reason, n, round(n / (SELECT count(*) FROM x), 6) AS share, CASE WHEN (SELECT count(reason) / count(*) FROM x) > 0.02 THEN 'HIGH' ELSE 'MEDIUM' END AS severity FROM y WHERE reason IS NOT NULL""")
 def _(s, d):
-    html = F.coalesce("html", F.lit(""))
+    # every 40th page lost its content on the way, every 25th its first characters
+    damaged = F.when(F.col("page_id") % 40 == 7, "").when(F.col("page_id") % 25 == 3, F.substr("html", F.lit(3))).otherwise(F.col("html"))
+    html = F.coalesce(damaged, F.lit(""))
     reason = F.when(html == "", "EMPTY").when(man.sniffed(F.encode(html, "utf-8")) != "html", "UNKNOWN_FORMAT")
     return man.corrupt_by_reason(table(s, d, "pages").select(reason.alias("reason")))
 

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from probity.schemas import ASSET_TYPES, DEFAULT, SEVERITIES, Thresholds
 
 IMAGES, TEXTS = ("png", "jpg", "jpeg", "bmp", "gif", "webp", "tif", "tiff"), ("txt", "json", "csv", "xml", "yaml", "yml")
+IMAGE_FORMATS, UNTRIED = ("png", "jpeg", "gif", "bmp", "webp", "tiff"), ("webp", "tiff")
+IMAGE_PIXELS = 64_000_000
 
 
 def extension(path: Column) -> Column:
@@ -25,12 +27,54 @@ def scan_corpus(spark: SparkSession, folder: str) -> DataFrame:
     return files.select("path", "length", F.sha2("content", 256).alias("sha256"), kind_of(F.col("path")).alias("kind"))
 
 
-def decode_failures(spark: SparkSession, folder: str, high: float = 0.02) -> DataFrame:
-    """Images that Spark's reader cannot decode: count, share and severity."""
+def _number(content: Column, at: int, size: int, little: bool = True) -> Column:
+    """The unsigned number in ``size`` bytes from byte ``at`` (the first is 1) on."""
+    order = range(at + size - 1, at - 1, -1) if little else range(at, at + size)
+    return F.conv(F.concat(*[F.hex(F.substring(content, k, 1)) for k in order]), 16, 10).cast("long")
+
+
+def declared_sides(content: Column) -> Column:
+    """Width and height that the head of a PNG, GIF or BMP declares, as a struct; null for other formats and cut heads."""
+    kind, size = sniffed(content), F.octet_length(content)
+    signed = lambda x: F.abs(F.when(x >= 1 << 31, x - (1 << 32)).otherwise(x))  # noqa: E731  a BMP may run from the top
+    sides = lambda w, h: F.struct(w.alias("width"), h.alias("height"))
+    return (
+        F.when((kind == "png") & (size >= 24), sides(_number(content, 17, 4, False), _number(content, 21, 4, False)))
+        .when((kind == "gif") & (size >= 10), sides(_number(content, 7, 2), _number(content, 9, 2)))
+        .when((kind == "bmp") & (size >= 26), sides(signed(_number(content, 19, 4)), signed(_number(content, 23, 4))))
+    )
+
+
+def image_fault(content: Column, decoded: Column, pixels: int = IMAGE_PIXELS) -> Column:
+    """Why an image cannot be read, or null: ``decoded`` says whether a decoder could (null: none was tried).
+
+    A head that names no image format is an unrecognised container; a side of 0 and more than twice ``pixels`` are
+    faults by the head alone, whatever the decoder made of them. A null content is unrecognised.
+    """
+    sides = declared_sides(content)
+    return (
+        F.when(~F.coalesce(sniffed(content).isin(*IMAGE_FORMATS), F.lit(False)), "unrecognised-container")
+        .when((sides["width"] <= 0) | (sides["height"] <= 0), "invalid-dimensions")
+        .when(sides["width"] * sides["height"] > 2 * pixels, "decompression-bomb")
+        .when(~decoded, "decode-error")
+    )
+
+
+def decode_failures(spark: SparkSession, folder: str, pixels: int = IMAGE_PIXELS) -> DataFrame:
+    """reason, n, share and severity of the images below a folder that cannot be read, as ``corrupt_by_reason`` gives them.
+
+    Files that no extension declares an image are left out. Formats that Spark's image reader does not know
+    (``UNTRIED``) are judged by their heads only, and its decoder lets an end pass that is cut after the pixels. Spark's readers skip
+    files of no bytes, so these are not counted. A folder without faults gives no rows.
+    """
+    place = F.col("_metadata.file_path")
+    heads = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).filter(kind_of(F.col("path")) == "image")
+    heads = heads.select(place.alias("path"), F.substring("content", 1, 32).alias("head"))  # the bytes stay where they are read
     images = spark.read.format("image").option("dropInvalid", False).option("recursiveFileLookup", True).load(folder)
-    out = images.agg(F.count("*").alias("n"), F.count_if(F.col("image.width") < 0).alias("corrupt"))
-    share = F.col("corrupt") / F.greatest(F.col("n"), F.lit(1))
-    return out.withColumn("share", share).withColumn("severity", F.when(F.col("corrupt") == 0, "INFO").when(share > high, "HIGH").otherwise("MEDIUM"))
+    images = images.select(place.alias("i_path"), (F.col("image.width") >= 0).alias("decoded"))
+    met = heads.join(images, F.col("path") == F.col("i_path"), "left")
+    tried = F.when(~sniffed(F.col("head")).isin(*UNTRIED), F.coalesce("decoded", F.lit(False)))
+    return corrupt_by_reason(met.select(image_fault(F.col("head"), tried, pixels).alias("reason")))
 
 
 def path_fault(path: Column, t: Thresholds = DEFAULT) -> Column:

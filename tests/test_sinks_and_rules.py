@@ -1,12 +1,16 @@
 import datetime
 import glob
+import hashlib
 import os
+import struct
+import zlib
 
 import pytest
 from pyspark.sql import functions as F
 
-from probity.operators import annotations, duplicates, emitters, findings, reports
+from probity.operators import annotations, coverage, duplicates, emitters, findings, prefix, provenance, reports, risk
 from probity.schemas import Thresholds
+from probity.sources import manifest
 
 
 def content(path):
@@ -76,3 +80,56 @@ def test_pages_of_findings(spark):
     ids = lambda df: [r.finding_id for r in df.collect()]
     assert ids(findings.listed(rows)) == order(lambda i: True)
     assert ids(findings.listed(rows, 3, 1, "HIGH", "o1")) == order(lambda i: i % 2 == 0 and i % 3 == 1)[1:4]
+
+
+def _png(width, height, rows=True):
+    chunk = lambda kind, data: struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
+    pixels = zlib.compress((b"\0" + b"\x7f" * width) * height) if rows else b""
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", width, height, 8, 0, 0, 0, 0)) + chunk(b"IDAT", pixels) + chunk(b"IEND", b"")
+
+
+def test_decode_failures_by_reason(spark, tmp_path):
+    whole = _png(5, 4)
+    files = {
+        "a.png": whole, "sub/b.png": whole, "c.png": whole[:40], "d.jpg": b"", "e.jpg": b"no image at all", "f.png": _png(0, 4, False),
+        "g.gif": b"GIF89a" + struct.pack("<HH", 7, 0) + b"\0" * 20, "h.bmp": b"BM" + b"\0" * 16 + struct.pack("<ii", 3, -2) + b"\0" * 9, "i.jpeg": b"\xff\xd8\xff\xe0 cut",
+        "j.webp": b"RIFF\0\0\0\0WEBPVP8 ", "notes.txt": b"x",
+    }
+    for name, data in files.items():
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_bytes(data)
+    got = {r.reason: (r.n, r.share, r.severity) for r in manifest.decode_failures(spark, f"file://{tmp_path}").collect()}
+    assert got == {"decode-error": (3, 0.333333, "HIGH"), "unrecognised-container": (1, 0.111111, "HIGH"), "invalid-dimensions": (2, 0.222222, "HIGH")}
+    heads = spark.createDataFrame([(_png(9, 9)[:32], True), (_png(200_000, 200_000, False)[:32], None), (b"BM" + b"\0" * 16 + struct.pack("<ii", 3, -2), True), (None, None), (whole[:20], True)], "head binary, decoded boolean")
+    row = heads.select(manifest.image_fault(F.col("head"), F.col("decoded")).alias("f"), manifest.declared_sides(F.col("head")).alias("s")).collect()
+    assert [r.f for r in row] == [None, "decompression-bomb", None, "unrecognised-container", None]
+    assert [r.s and tuple(r.s) for r in row] == [(9, 9), (200_000, 200_000), (3, 2), None, None]
+
+
+def test_contributors_and_ledger_of_reports(spark):
+    rows = [("Ann", 10, 1, 40.0, "a"), ("ann", 5, 4, 60.0, "b"), ("Bob", 1, 0, 60.0, "c"), *[(f"x{i}", 1, 1, 1.0 * i, "d") for i in range(9)]]
+    submissions = spark.createDataFrame([("o1", *r, i, "z", i) for i, r in enumerate(rows)] + [("o2", "Ann", 1, 1, None, None, 99, None, 1)], "owner_id string, name string, samples long, defects long, risk double, drivers string, analysis_id long, archive string, created_at int")
+    got = {r.c_owner: r.contributors for r in coverage.riskiest(risk.contributor_register(submissions, ("owner_id",)), "owner_id").collect()}
+    assert got["o1"].split(";") == ["ann/15/5/60/b", "bob/1/0/60/c", *[f"x{i}/1/1/{i}/d" for i in range(8, 2, -1)]]
+    assert got["o2"] == "ann/1/1"
+    h = lambda text: hashlib.sha256(text.encode()).hexdigest()
+    blocks = [("k", 1, "p", None, h("p"), True), ("k", 2, "q", h("p"), h(h("p") + "q"), None)]
+    schema = "k string, sequence long, payload string, previous_hash string, current_hash string, signature_valid boolean"
+    state = lambda b: tuple(coverage.ledger_state(spark.createDataFrame(b, schema), provenance.verified_chain(spark.createDataFrame(b, schema), "k"), "k").first())
+    assert state(blocks) == (True, 2, 1, h(h("p") + "q"))
+    assert state([blocks[0], (*blocks[1][:4], h("other"), True)]) == (False, 2, 2, h("other"))
+    assert state([]) == (True, 0, 0, None)
+
+
+def test_parts_and_bins_grow_with_the_rows(spark, monkeypatch):
+    counted = spark.range(5_000).select((F.col("id") % 2).alias("k"), F.col("id").alias("v"), F.lit(1).alias("c"))
+    monkeypatch.setattr(prefix, "PART_ROWS", 50)
+    got = {r.v: (r.c_before, r.c_all) for r in prefix.prefix_sums(counted, ["k"], "v", ["c"]).collect()}
+    assert got == {v: (v // 2, 2_500) for v in range(5_000)}
+
+
+def test_shared_shingles_of_items(spark):
+    words = [f"w{i}" for i in range(12)]
+    docs = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(words[:7])), (3, None), (4, " ".join(words[2:10] + words[2:10]).upper())], "doc_id long, text string")
+    items = spark.createDataFrame([("a", " ".join(words[1:])), ("b", ""), ("c", None)], "item_id string, text string")
+    assert sorted(map(tuple, duplicates.contaminated_items(docs, items).collect())) == [(1, "a", 4), (4, "a", 1)]
