@@ -4,7 +4,7 @@ The words of each source, its documents laid end to end, are packed into blocks
 A source with N blocks gets n slots, n being its target over its size times N. Slot j stands for
 epoch ``j div N`` and for the block to which the source's pseudorandom permutation of [0, N) for that
 epoch maps ``j mod N``; blocks and slots meet by block index. The mix has one number of output shards.
-Each slot draws its shard evenly, by a seeded hash of source and slot, so that the counts of a source
+Each slot draws its shard evenly, by a seeded hash of source and slot (``drawn_shard``), so that the counts of a source
 over the shards are one multinomial draw, and each shard's counts over the sources are one by target
 weight. A source's total is held at n, which keeps it at its target and every block at no more than
 ``ceil(n / N)`` draws; the shards' totals vary as the draws do.
@@ -113,6 +113,14 @@ def permuted(slots: DataFrame, seed: int, rounds: int = ROUNDS) -> DataFrame:
     return keyed.withColumn("x", F.aggregate(steps, F.col("x"), _round)).drop("key")
 
 
+def drawn_shard(seed: int) -> Column:
+    """The shard of a slot, from 0 on, by two squarings modulo a prime. Columns: src, slot, n_shards."""
+    src, slot = F.col("src"), F.col("slot")
+    place = (slot % PRIME * 48_271 + F.floor(slot / PRIME) * 69_997 + src * 69_621 + F.lit(seed)) % PRIME
+    mixed = (place * place + slot % PRIME + 12_345) % PRIME
+    return ((mixed * mixed + place) % PRIME % F.col("n_shards")).cast("long")
+
+
 def draws(cut: DataFrame, most: int = MOST, seed: int = 20_261, block: int = BLOCK) -> DataFrame:
     """One row a slot: src, slot, epoch, idx (the block drawn), shard.
 
@@ -122,7 +130,7 @@ def draws(cut: DataFrame, most: int = MOST, seed: int = 20_261, block: int = BLO
     first = cut.filter(F.col("start") <= F.col("idx") * block).select("src", "n_blocks", "n_slots", "n_shards", F.col("idx").alias("x"))
     slots = first.withColumn("epoch", F.explode(F.array(*[F.lit(e).cast("long") for e in range(most)]))).withColumn("slot", F.col("x") + F.col("epoch") * F.col("n_blocks"))
     slots = permuted(slots.filter(F.col("slot") < F.col("n_slots")), seed)
-    return slots.select("src", "slot", "epoch", F.col("x").alias("idx"), F.pmod(F.xxhash64(F.lit(seed), "src", "slot"), F.col("n_shards")).alias("shard"))
+    return slots.select("src", "slot", "epoch", F.col("x").alias("idx"), drawn_shard(seed).alias("shard"))
 
 
 def planned(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = MOST, block: int = BLOCK, slots_per_shard: int = SLOTS_PER_SHARD):
@@ -135,21 +143,23 @@ def planned(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int =
     return rows, pieces(spread, block), sources
 
 
-def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = MOST, block: int = BLOCK) -> DataFrame:
-    """doc_id, size, source_size, target and taken of every row.
+def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = MOST, block: int = BLOCK, slots_per_shard: int = SLOTS_PER_SHARD) -> DataFrame:
+    """doc_id, size, source_size, target, taken and first_shard of every row.
+
+    first_shard is the output shard of the first slot that draws the row's first drawn block, null if none is drawn.
 
     Null and empty texts have size 0 and give nothing. Null sources form one source, the last by
     order. Rows that repeat a doc_id are laid out and counted each on its own. An empty table gives an
     empty result. Other columns are not read.
     """
-    rows, cut, sources = planned(sized(docs), weights, share, most, block)
-    drawn = draws(cut, most, block=block).groupBy(F.col("src").alias("d_src"), F.col("idx").alias("d_idx")).agg(F.count("*").alias("times"))
+    rows, cut, sources = planned(sized(docs), weights, share, most, block, slots_per_shard)
+    drawn = draws(cut, most, block=block).groupBy(F.col("src").alias("d_src"), F.col("idx").alias("d_idx")).agg(F.count("*").alias("times"), F.min_by("shard", "slot").alias("shard"))
     met = cut.select("src", "start", "idx", "overlap").join(drawn, (F.col("src") == F.col("d_src")) & (F.col("idx") == F.col("d_idx")))
-    taken = met.groupBy(F.col("src").alias("t_src"), F.col("start").alias("t_start")).agg(F.sum(F.col("times") * F.col("overlap")).alias("taken"))
+    taken = met.groupBy(F.col("src").alias("t_src"), F.col("start").alias("t_start")).agg(F.sum(F.col("times") * F.col("overlap")).alias("taken"), F.min_by("shard", "idx").alias("first_shard"))
     named = sources.select(F.col("src").alias("s_src"), "source_size", "target")
     # a document without words can start where another starts
     out = rows.join(taken, (F.col("src") == F.col("t_src")) & (F.col("start") == F.col("t_start")) & (F.col("size") > 0), "left")
-    return out.join(named, F.col("src") == F.col("s_src")).select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+    return out.join(named, F.col("src") == F.col("s_src")).select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "first_shard")
 
 
 def mixed_texts(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = MOST, block: int = BLOCK, slots_per_shard: int = SLOTS_PER_SHARD, split: bool = False) -> DataFrame:
@@ -208,24 +218,27 @@ s4 AS (SELECT *, max((CAST(total AS DOUBLE) * CAST({SHARE} AS DOUBLE) - CAST(cap
 s5 AS (SELECT source, src, source_size, least(CAST(2 * source_size AS DOUBLE), weight * level) AS target,
   CAST(ceil(source_size / {float(BLOCK)}) AS BIGINT) AS n_blocks FROM s4),
 s6 AS (SELECT *, CASE WHEN source_size > 0 THEN CAST(floor(target / source_size * n_blocks + CAST(0.5 AS DOUBLE)) AS BIGINT) ELSE 0 END AS n_slots FROM s5),
-r AS (SELECT doc_id, size, s6.*, CAST(coalesce(sum(size) OVER (PARTITION BY src ORDER BY ((doc_id % {PRIME} * 7919 % {PRIME}) % buckets + buckets) % buckets, doc_id, size
-  ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start FROM sizes JOIN s6 ON sizes.source IS NOT DISTINCT FROM s6.source
+s7 AS (SELECT *, greatest(1, CAST(ceil(CAST(sum(n_slots) OVER () AS DOUBLE) / {SLOTS_PER_SHARD}) AS BIGINT)) AS n_shards FROM s6),
+r AS (SELECT doc_id, size, s7.*, CAST(coalesce(sum(size) OVER (PARTITION BY src ORDER BY ((doc_id % {PRIME} * 7919 % {PRIME}) % buckets + buckets) % buckets, doc_id, size
+  ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start FROM sizes JOIN s7 ON sizes.source IS NOT DISTINCT FROM s7.source
   CROSS JOIN (SELECT greatest({BUCKETS}, count(*) // {BUCKET_ROWS}) AS buckets FROM documents)),
 p AS (SELECT *, least(start + size, (idx + 1) * {BLOCK}) - greatest(start, idx * {BLOCK}) AS overlap
   FROM (SELECT *, unnest(range(start // {BLOCK}, (start + size - 1) // {BLOCK} + 1)) AS idx FROM r WHERE size > 0)),
-x0 AS (SELECT src, n_blocks, idx AS x, (src * 1000003 + epoch * 7368787 + 20261) % {PRIME} AS key
+x0 AS (SELECT src, n_blocks, n_shards, idx + epoch * n_blocks AS slot, idx AS x, (src * 1000003 + epoch * 7368787 + 20261) % {PRIME} AS key
   FROM p, (SELECT unnest([0, 1]) AS epoch) WHERE start <= idx * {BLOCK} AND idx + epoch * n_blocks < n_slots)"""
     for k in range(1, ROUNDS + 1):
         steps += f""",
 y{k} AS (SELECT *, ((key * {16807 + k} + {69621 * k}) % {PRIME} % n_blocks + n_blocks - x) % n_blocks AS pair FROM x{k - 1}),
 z{k} AS (SELECT *, (greatest(x, pair) % {PRIME} * (key % 65537 + {48271 + 2 * k}) + key + {40692 * k}) % {PRIME} AS h FROM y{k}),
-x{k} AS (SELECT src, n_blocks, key, CASE WHEN (h * h + key) % {PRIME} // 65536 % 2 = 1 THEN pair ELSE x END AS x FROM z{k})"""
+x{k} AS (SELECT src, n_blocks, n_shards, slot, key, CASE WHEN (h * h + key) % {PRIME} // 65536 % 2 = 1 THEN pair ELSE x END AS x FROM z{k})"""
     return (
         steps
         + f""",
-d AS (SELECT src, x, count(*) AS times FROM x{ROUNDS} GROUP BY src, x),
-t AS (SELECT p.src, start, CAST(sum(times * overlap) AS BIGINT) AS taken FROM p JOIN d ON p.src = d.src AND p.idx = d.x GROUP BY p.src, start)
-SELECT doc_id, size, source_size, target, coalesce(taken, 0) AS taken FROM r LEFT JOIN t ON r.src = t.src AND r.start = t.start AND size > 0"""
+g AS (SELECT *, (slot % {PRIME} * 48271 + slot // {PRIME} * 69997 + src * 69621 + 20261) % {PRIME} AS place FROM x{ROUNDS}),
+m AS (SELECT *, (place * place + slot % {PRIME} + 12345) % {PRIME} AS mixed FROM g),
+d AS (SELECT src, x, count(*) AS times, arg_min((mixed * mixed + place) % {PRIME} % n_shards, slot) AS shard FROM m GROUP BY src, x),
+t AS (SELECT p.src, start, CAST(sum(times * overlap) AS BIGINT) AS taken, arg_min(shard, idx) AS first_shard FROM p JOIN d ON p.src = d.src AND p.idx = d.x GROUP BY p.src, start)
+SELECT doc_id, size, source_size, target, coalesce(taken, 0) AS taken, first_shard FROM r LEFT JOIN t ON r.src = t.src AND r.start = t.start AND size > 0"""
     )
 
 

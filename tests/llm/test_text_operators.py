@@ -252,6 +252,16 @@ def test_shards_hold_drawn_counts_of_sources(spark):
     for r in mixing.mixed_texts(docs, (1, 1, 1), block=4, slots_per_shard=1000, split=True).collect():
         size[(r["shard"], ord(r["source"]) - 96)] = size.get((r["shard"], ord(r["source"]) - 96), 0) + len(r["text"].split())
     assert size == {k: 4 * n for k, n in counts.items()}
+    first = {}
+    by_block = {}
+    for r in mixing.draws(cut, block=4).collect():
+        by_block.setdefault((r["src"], r["idx"]), []).append((r["slot"], r["shard"]))
+    for r in cut.collect():
+        if slots := by_block.get((r["src"], r["idx"])):
+            first.setdefault(r["doc_id"], []).append((r["idx"], min(slots)[1]))
+    rows = mixing.mix(docs, (1, 1, 1), block=4, slots_per_shard=1000).collect()
+    assert {r["doc_id"]: r["first_shard"] for r in rows} == {r["doc_id"]: min(first[r["doc_id"]])[1] if r["doc_id"] in first else None for r in rows}
+    assert {r["first_shard"] for r in rows} >= set(range(shards)) and all((r["first_shard"] is None) == (r["taken"] == 0) for r in rows)
     whole = mixing.mixed_texts(docs, (1, 1, 1), block=4, slots_per_shard=1000).collect()
     assert {r["shard"] for r in whole} == set(range(shards)) and {r["text"] for r in whole} >= set(texts)
 
