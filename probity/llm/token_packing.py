@@ -24,8 +24,8 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 END_ID = 50_256  # closes every document; free in the vocabulary
 ROW = 2_048
 SHARD_BYTES = 8 << 20
-#: a run of blanks (Unicode's White_Space) too long for the pattern's look-ahead, which a stack holds
-LONG_BLANK = re.compile(r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{10000,}")
+#: a run of blanks (Unicode's White_Space) that is cut before the pattern sees it: its look-ahead needs a stack and time that grow with the run's square
+LONG_BLANK = re.compile(r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{256,}")
 
 
 class CapacityTree:

@@ -216,3 +216,13 @@ def test_sketches_keep_every_near_pair():
             kept += alive[2]
         assert size > 700 or kept == 0
     assert jaccard_join.near_by_sketch(np.array([1, 1]), np.array([9, 90]), [b"", b""], Fraction(85, 100)).all()
+
+
+def test_runs_of_blanks_are_cut_as_the_pattern_cuts_them():
+    with open(token_packing.VOCABULARY, "rb") as f:
+        tokenizer = token_packing.encoding(f.read(), token_packing.PATTERN)
+    rng = random.Random(5)
+    words, runs = ["a", "é1", ".", " ", "\n", "\t", "\u3000", "b's"], [" ", "\n", "\t\n", "\xa0"]
+    for _ in range(300):
+        text = "".join(rng.choice(words) if rng.random() < 0.7 else rng.choice(runs) * rng.choice([127, 128, 254, 255, 256, 257, 700]) for _ in range(9))
+        assert list(token_packing.tokenised(tokenizer, text)) == tokenizer.encode_ordinary(text)
