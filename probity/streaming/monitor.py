@@ -112,6 +112,16 @@ class BindingGuard(StatefulProcessor):
         pass
 
 
+def _bound(claimed: DataFrame) -> DataFrame:
+    return claimed.groupBy("input_hash", "model_hash").transformWithStateInPandas(statefulProcessor=BindingGuard(), outputStructType="record_id long, verdict string", outputMode="append", timeMode="eventTime")
+
+
+def binding_verdicts(records: DataFrame) -> DataFrame:
+    """record_id and OK or SUBSTITUTION of a stream of accepted records (input_hash, model_hash, record_id, prediction, ts)."""
+    late = records.select("input_hash", "model_hash", "record_id", "prediction", "ts").withWatermark("ts", "24 hours")
+    return _bound(late.withColumns({"verdict": F.lit("OK"), "stale": F.lit(False)}))
+
+
 def record_verdicts(records: DataFrame) -> DataFrame:
     """record_id and OK, REPLAY, NONCE_REUSE, SUBSTITUTION or STALE of a stream of records (nonce and ``RECORD``), in one query of two guards.
 
@@ -120,7 +130,7 @@ def record_verdicts(records: DataFrame) -> DataFrame:
     """
     stale = F.abs(F.unix_micros(F.col("received_at").cast("timestamp")) - F.unix_micros("ts")) > DAY_MS * 1000
     claimed = _claimed(records.filter(F.col("ts").isNotNull()), RECORD).withColumn("stale", F.coalesce(stale, F.lit(True)))
-    return claimed.groupBy("input_hash", "model_hash").transformWithStateInPandas(statefulProcessor=BindingGuard(), outputStructType="record_id long, verdict string", outputMode="append", timeMode="eventTime")
+    return _bound(claimed)
 
 
 def reading_stream(sources: dict[str, DataFrame], width: str = "15 minutes", late: str = "1 hour") -> DataFrame:
