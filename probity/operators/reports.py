@@ -32,9 +32,9 @@ def table_counts(tables: dict[str, DataFrame]) -> DataFrame:
 
 
 def shared_features(values: DataFrame) -> DataFrame:
-    """Features that both sides of a comparison have."""
-    side = lambda s: values.filter(F.col("side") == s).select("comparison_id", "feature")
-    return side(0).intersect(side(1))
+    """Features that both sides of a comparison have, each once; a key's rows are counted before they meet."""
+    sides = values.groupBy("comparison_id", "feature").agg(*[F.count_if(F.col("side") == s).alias(f"n{s}") for s in (0, 1)])
+    return sides.filter("n0 > 0 and n1 > 0").select("comparison_id", "feature")
 
 
 def content_id(prefix: str, digest: Column, owner: Column) -> Column:
