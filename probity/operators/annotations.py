@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -100,16 +100,26 @@ def contributor_resolution(samples: DataFrame, manifest: DataFrame, most: int =
 
 
 def yolo_defects(lines: DataFrame, n_classes: int) -> DataFrame:
-    """Defect of each label line, if any. Columns: path, line_no, value."""
-    parts = F.split(F.trim("value"), r"\s+")
-    number = lambda k: F.try_element_at(parts, F.lit(k)).try_cast("double")
-    cls = F.try_element_at(parts, F.lit(1)).try_cast("int")
-    box = [number(k) for k in (2, 3, 4, 5)]
-    missing, outside = cls.isNull(), F.lit(False)
-    for x in box:
-        missing, outside = missing | x.isNull(), outside | (x < 0) | (x > 1)
-    fault = (
-        F.when(F.size(parts) < 5, "malformed").when(missing, "malformed").when(cls < 0, "negative-class").when(cls >= n_classes, "class-overflow")
-        .when(outside, "coordinates-out-of-range").when((box[2] <= 0) | (box[3] <= 0), "degenerate-box")
-    )
+    """Defect of each label line, if any. Columns: path, line_no, value.
+
+    A line is split once and each of its numbers read once: they are bound as variables of higher-order functions,
+    since as columns the optimizer would write them anew wherever they are used.
+    """
+    bound = lambda value, then: F.get(F.transform(F.array(value), then), F.lit(0))
+
+    def read(parts: Column) -> Column:
+        number = lambda k: F.try_element_at(parts, F.lit(k)).try_cast("double")
+        return F.struct(F.size(parts).alias("n"), F.try_element_at(parts, F.lit(1)).try_cast("int").alias("cls"), *[number(k).alias(f"x{k}") for k in (2, 3, 4, 5)])
+
+    def judged(line: Column) -> Column:
+        cls, box = line["cls"], [line[f"x{k}"] for k in (2, 3, 4, 5)]
+        missing, outside = cls.isNull(), F.lit(False)
+        for x in box:
+            missing, outside = missing | x.isNull(), outside | (x < 0) | (x > 1)
+        return (
+            F.when(line["n"] < 5, "malformed").when(missing, "malformed").when(cls < 0, "negative-class").when(cls >= n_classes, "class-overflow")
+            .when(outside, "coordinates-out-of-range").when((box[2] <= 0) | (box[3] <= 0), "degenerate-box")
+        )
+
+    fault = bound(bound(F.split(F.trim("value"), r"\s+"), read), judged)
     return lines.select("path", "line_no", fault.alias("defect")).filter("defect is not null")

@@ -6,6 +6,7 @@ import struct
 import zlib
 
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from probity.operators import annotations, coverage, duplicates, emitters, findings, prefix, provenance, reports, risk
@@ -133,3 +134,19 @@ def test_shared_shingles_of_items(spark):
     docs = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(words[:7])), (3, None), (4, " ".join(words[2:10] + words[2:10]).upper())], "doc_id long, text string")
     items = spark.createDataFrame([("a", " ".join(words[1:])), ("b", ""), ("c", None)], "item_id string, text string")
     assert sorted(map(tuple, duplicates.contaminated_items(docs, items).collect())) == [(1, "a", 4), (4, "a", 1)]
+
+
+def test_features_of_both_sides_are_counted_before_they_meet(spark):
+    rows = spark.createDataFrame([(1, "a", 0), (1, "a", 1), (1, "a", 1), (1, "b", 0), (2, "b", 1), (None, "c", 0), (None, "c", 1), (3, None, 0), (3, None, 1), (4, "d", None), (4, "d", 0)], "comparison_id long, feature string, side int")
+    found = reports.shared_features(rows)
+    assert sorted(map(str, found.collect())) == sorted(map(str, [Row(comparison_id=1, feature="a"), Row(comparison_id=None, feature="c"), Row(comparison_id=3, feature=None)]))
+    assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_yolo_lines_are_split_once(spark):
+    lines = ["0 .5 .5 .1 .1", "  1\t.5 .5 .1 .1 9 ", "-1 .5 .5 .1 .1", "2 .5 .5 .1 .1", "0 1.5 .5 .1 .1", "0 .5 .5 0 .1", "0 .5 .5 .1", "0 .5 x .1 .1", "0.5 .5 .5 .1 .1", "", None]
+    found = annotations.yolo_defects(spark.createDataFrame(list(enumerate(lines)), "path long, value string").withColumn("line_no", F.lit(1)), 2)
+    want = {2: "negative-class", 3: "class-overflow", 4: "coordinates-out-of-range", 5: "degenerate-box", 6: "malformed", 7: "malformed", 8: "malformed", 9: "malformed"}
+    assert {r.path: r.defect for r in found.filter("path < 10").collect()} == want
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(") <= 2  # in the result and in the filter
