@@ -16,7 +16,7 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
         near = edges.select(F.col("b").alias("u"), F.col("a").alias("v"))
     least = near.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("low"))
     least = least.select("node", F.least("node", "low").alias("low"))
-    met = near.join(least, F.col("u") == F.col("node"))
+    met = near.join(least.hint("merge"), F.col("u") == F.col("node"))  # nodes grow with the input, so they are not broadcast
     moved = met.filter(F.col("v") > F.col("u")).select(F.col("low").alias("a"), F.col("v").alias("b")) if large else met.select("low", "v").union(least.select("low", F.col("node").alias("v"))).toDF("a", "b")
     return moved.filter("a < b").distinct()
 

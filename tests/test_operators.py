@@ -296,3 +296,15 @@ def test_neighbours_send_a_row_once_to_many_cells(spark):
     visits = cells.visits(first, 7)
     assert visits.columns == ["id", "cell"] and visits.count() > 20 * 900  # vectors are not copied for each cell
     assert cells.visits(first, 7, cells.shelves(300)).count() <= 6 * 900
+
+
+def test_near_copies_are_joined_without_broadcasts(spark):
+    rows = spark.createDataFrame([(i, (i // 3) << 40, f"s{i % 5}") for i in range(60)], "id long, fingerprint long, sha256 string")
+    samples = rows.select(F.col("id").alias("sample_id"), "sha256", F.lit("c").alias("contributor"))
+    near = duplicates.near_clusters(rows)
+    edges = spark.createDataFrame([(1, 2), (2, 3)], "a long, b long")
+    frames = [near, duplicates.near_links(rows), duplicates.near_pairs(rows), duplicates.near_edges(rows), duplicates.all_clusters(samples, near), duplicates.flooding(near, samples), duplicates.redundant(samples), graph._star(edges, True), graph._star(edges, False)]
+    for frame in frames:
+        frame.collect()
+        plan = frame._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "BroadcastExchange" not in plan
