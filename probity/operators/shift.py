@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from probity.operators.prefix import prefix_sums, quantiles
+from probity.operators.vectors import matrix
 from probity.storage import materialise
 
 
@@ -85,26 +86,53 @@ def mad_outliers(rows: DataFrame, key: str, row_id: str, value: str, cut: float
 
 
 PAIR = ["comparison_id", "one", "two"]
+LEAST_BLOCK, MOST_BLOCK, BLOCKS = 512, 32_768, 8  # rows of a block, and how many blocks there are between the two
+PRODUCTS = 1 << 21  # distances that a task holds at once
 
 
-def block_pairs(vectors: DataFrame, block: int) -> DataFrame:
+def block_pairs(vectors: DataFrame, block: int | None) -> DataFrame:
     """Rows (comparison_id, id, side, v) once for each pair of blocks that they are compared in.
 
     A pair is comparison_id, one and two; ``at`` is the row's own block, n the rows of side 0, total all.
+    Without ``block`` there are up to BLOCKS blocks until they have MOST_BLOCK rows, so up to some BLOCKS * MOST_BLOCK rows a
+    row is sent a bounded number of times, and beyond that once for every MOST_BLOCK rows.
     """
     n_rows = vectors.groupBy(F.col("comparison_id").alias("n_id")).agg(F.count("*").alias("total"), F.count_if(F.col("side") == 0).alias("n"))
-    placed = vectors.join(n_rows, F.col("comparison_id") == F.col("n_id")).withColumn("blocks", F.ceil(F.col("total") / block).cast("int")).withColumn("at", F.pmod(F.xxhash64("id", "side"), F.col("blocks")).cast("int"))
+    per = lambda rows: F.ceil(F.col("total") / rows)
+    blocks = per(block) if block else F.greatest(per(MOST_BLOCK), F.least(per(LEAST_BLOCK), F.lit(BLOCKS)))
+    placed = vectors.join(n_rows, F.col("comparison_id") == F.col("n_id")).withColumn("blocks", blocks.cast("int")).withColumn("at", F.pmod(F.xxhash64("id", "side"), F.col("blocks")).cast("int"))
     spread = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     return spread.select("comparison_id", "id", "side", "v", "n", "total", "at", F.least("at", "other").alias("one"), F.greatest("at", "other").alias("two"))
 
 
-def halves(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, bool]:
-    """The rows of both blocks, their squared distances and whether the blocks are one."""
-    x = np.stack(table.column("v").to_numpy(zero_copy_only=False)).astype(float)
+def halves(table: pa.Table) -> tuple[np.ndarray, np.ndarray, bool, Iterator[tuple[slice, np.ndarray]]]:
+    """The rows of both blocks, whether the blocks are one, and for slices of the left rows their squared distances to the right ones.
+
+    Rows go by id and side, so that every pass over the same pair of blocks finds the same bits.
+    """
     at, one, two = table.column("at").to_numpy(), table.column("one")[0].as_py(), table.column("two")[0].as_py()
-    left, right = np.flatnonzero(at == one), np.flatnonzero(at == two)
+    order = np.lexsort((table.column("side").to_numpy(), table.column("id").to_numpy()))
+    left, right = order[at[order] == one], order[at[order] == two]
+    x = matrix(table)
     a, b = x[left], x[right]
-    return left, right, np.maximum(0, (a * a).sum(1)[:, None] + (b * b).sum(1)[None] - 2 * a @ b.T) + 0.0, one == two
+
+    def distances() -> Iterator[tuple[slice, np.ndarray]]:
+        own, step = (b * b).sum(1)[None], max(1, PRODUCTS // max(1, len(b)))
+        for lo in range(0, len(a), step):
+            some = a[lo : lo + step]
+            yield slice(lo, lo + len(some)), np.maximum(0, (some * some).sum(1)[:, None] + own - 2 * some @ b.T) + 0.0
+
+    return left, right, one == two, distances()
+
+
+def counted_bins(bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct values of integers and how often they occur, by a count of all places between least and greatest where these are few."""
+    low, high = (int(bits.min()), int(bits.max())) if len(bits) else (0, 0)
+    if high - low > max(1 << 16, len(bits)):
+        return np.unique(bits, return_counts=True)
+    n = np.bincount(bits - low)
+    at = np.flatnonzero(n)
+    return at + low, n[at]
 
 
 def scales(tasks: DataFrame) -> DataFrame:
@@ -118,12 +146,19 @@ def scales(tasks: DataFrame) -> DataFrame:
 
     def counter(shift: int, before: int | None):
         def counts(table: pa.Table) -> pa.Table:
-            left, right, d2, same = halves(table)
-            bits = (d2[np.triu_indices(len(left), 1)] if same else d2.ravel()).view(np.int64)
-            if before is not None:
-                wanted = [table.column(c)[0].as_py() for c in ("p0", "p1")]
-                bits = bits[np.isin(bits >> before, wanted)]
-            value, n = np.unique(bits >> shift, return_counts=True)
+            _, right, same, distances = halves(table)
+            values, counts = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for rows, d2 in distances:
+                bits = (d2[np.arange(len(right)) > np.arange(rows.start, rows.stop)[:, None]] if same else d2.ravel()).view(np.int64)
+                if before is not None:
+                    top = bits >> before
+                    p0, p1 = (table.column(c)[0].as_py() for c in ("p0", "p1"))
+                    bits = bits[(top == p0) | (top == p1)]
+                value, n = counted_bins(bits >> shift)
+                values.append(value)
+                counts.append(n)
+            value, at = np.unique(np.concatenate(values), return_inverse=True)
+            n = np.bincount(at, weights=np.concatenate(counts), minlength=len(value)).astype(np.int64)
             parent = np.full(len(value), -1) if before is None else value >> (before - shift)
             return pa.table({"comparison_id": pa.array([table.column("comparison_id")[0].as_py()] * len(value), pa.int64()), "parent": pa.array(parent), "bin": pa.array(value), "c": pa.array(n)})
 
@@ -149,24 +184,34 @@ def scales(tasks: DataFrame) -> DataFrame:
     return middles.groupBy("g_id").agg((1.0 / F.greatest(F.avg("d2"), F.lit(1e-12))).alias("gamma"))
 
 
-def displacements(vectors: DataFrame, block: int = 512) -> DataFrame:
-    """comparison_id, id and deficit of every row of side 1: how far its mean kernel value to the baseline falls short of the baseline's own."""
+def displacements(vectors: DataFrame, block: int | None = None, scale: DataFrame | None = None) -> DataFrame:
+    """comparison_id, id and deficit of every row of side 1: how far its mean kernel value to the baseline falls short of the baseline's own.
+
+    ``scale``: g_id and gamma, if they are known already.
+    """
     tasks = block_pairs(vectors, block)
-    tasks = tasks.join(scales(tasks), F.col("comparison_id") == F.col("g_id")).drop("g_id")
+    tasks = tasks.join(scales(tasks) if scale is None else scale, F.col("comparison_id") == F.col("g_id")).drop("g_id")
 
     def sums(table: pa.Table) -> pa.Table:
-        left, right, d2, same = halves(table)
-        k = np.exp(-table.column("gamma")[0].as_py() * d2)
-        if same:
-            np.fill_diagonal(k, 0)
-        ids, side = table.column("id").to_numpy(), table.column("side").to_numpy()
-        base = [side[rows] == 0 for rows in (left, right)]
-        far = [np.flatnonzero(~b) for b in base]
-        out_id, out = [ids[left[far[0]]]], [k[far[0]][:, base[1]].sum(axis=1)]
+        left, right, same, distances = halves(table)
+        ids, side, gamma = table.column("id").to_numpy(), table.column("side").to_numpy(), table.column("gamma")[0].as_py()
+        base, far = side[right] == 0, np.flatnonzero(side[right] != 0)
+        out_id, out, beyond, own = [], [], np.zeros(len(far)), 0.0
+        for rows, d2 in distances:
+            k = np.exp(-gamma * d2)
+            if same:
+                k[np.arange(len(k)), np.arange(rows.start, rows.stop)] = 0
+            first = side[left[rows]] == 0
+            toward = k[:, base].sum(axis=1)
+            own += toward[first].sum() * (1 if same else 2)
+            out_id.append(ids[left[rows]][~first])
+            out.append(toward[~first])
+            if not same:
+                beyond += k[first][:, far].sum(axis=0)
         if not same:
-            out_id.append(ids[right[far[1]]])
-            out.append(k[base[0]][:, far[1]].sum(axis=0))
-        own = k[base[0]][:, base[1]].sum() * (1 if same else 2)
+            out_id.append(ids[right[far]])
+            out.append(beyond)
+        out_id, out = [np.zeros(0, np.int64), *out_id], [np.zeros(0), *out]
         names, values = np.concatenate(out_id), np.concatenate(out)
         return pa.table({"comparison_id": pa.array([table.column("comparison_id")[0].as_py()] * (len(names) + 1), pa.int64()), "id": pa.array([*names.tolist(), None], pa.int64()), "s": pa.array([*values.tolist(), own], pa.float64()), "n": pa.array([table.column("n")[0].as_py()] * (len(names) + 1), pa.int64())})
 
@@ -216,7 +261,7 @@ def leading_share(vectors: DataFrame) -> DataFrame:
     return summed.groupBy("comparison_id").applyInArrow(solve, "comparison_id long, explained double")
 
 
-def explained_by(vectors: DataFrame, whole: DataFrame, axes: list[int], block: int = 512) -> DataFrame:
+def explained_by(vectors: DataFrame, whole: DataFrame, axes: list[int], block: int | None = None) -> DataFrame:
     """comparison_id and explained: the part of MMD squared (``whole`` of ``mmd2``) that goes when the named ``axes`` (from 0) are left out."""
     rest = vectors.withColumn("v", F.filter("v", lambda x, i: ~i.isin(axes)))
     left = mmd2(rest, 0, block).select(F.col("comparison_id").alias("l_id"), F.col("mmd2").alias("left"))
@@ -224,10 +269,11 @@ def explained_by(vectors: DataFrame, whole: DataFrame, axes: list[int], block: i
     return whole.join(left, F.col("comparison_id") == F.col("l_id")).select("comparison_id", F.when(F.col("mmd2") > 1e-9, share).otherwise(0.0).alias("explained"))
 
 
-def shift_metrics(vectors: DataFrame, psi_by: DataFrame, trials: int = 200, block: int = 512, axes: list[int] | None = None) -> DataFrame:
+def shift_metrics(vectors: DataFrame, psi_by: DataFrame, trials: int = 200, block: int | None = None, axes: list[int] | None = None) -> DataFrame:
     """The columns that ``attribution`` reads, of every comparison. ``psi_by``: comparison_id, psi."""
     whole = materialise(mmd2(vectors, trials, block), "mmd")
-    away = materialise(displacements(vectors, block), "deficits")
+    scale = whole.select(F.col("comparison_id").alias("g_id"), "gamma")  # other comparisons have no row in the result
+    away = materialise(displacements(vectors, block, scale), "deficits")
     concentration = gini(away, "comparison_id", "deficit").withColumnRenamed("comparison_id", "c_id")
     mid = quantiles(away, ["comparison_id"], "deficit", {"mid": 0.5}).select(F.col("comparison_id").alias("m_id"), "mid")
     far = away.join(mid, F.col("comparison_id") == F.col("m_id")).select("comparison_id", (F.col("deficit") - F.col("mid")).alias("d"), F.abs(F.col("deficit") - F.col("mid")).alias("far"))
@@ -310,7 +356,7 @@ def trial_cuts(vectors: DataFrame, trials: int, rows: int = 2048) -> DataFrame:
     return met.groupBy(F.col("comparison_id").alias("c_id")).agg(F.array_sort(F.collect_list(F.struct("trial", "number")))["number"].alias("cuts"))
 
 
-def mmd2(vectors: DataFrame, trials: int = 200, block: int = 512) -> DataFrame:
+def mmd2(vectors: DataFrame, trials: int = 200, block: int | None = None) -> DataFrame:
     """comparison_id, n, m, gamma, mmd2 (unbiased, RBF) and p_value by relabelling.
 
     Columns: comparison_id, id, side, v (array of double). Rows go to blocks; every pair of blocks is a
@@ -331,14 +377,19 @@ def mmd2(vectors: DataFrame, trials: int = 200, block: int = 512) -> DataFrame:
         return np.column_stack([side == 0, trial_order(ids, side, trials) <= cut]).astype(float)
 
     def sums(table: pa.Table) -> pa.Table:
-        left, right, d2, same = halves(table)
-        k = np.exp(-table.column("gamma")[0].as_py() * d2)
-        if same:
-            np.fill_diagonal(k, 0)
-        a, b = labels(table, left), labels(table, right)
-        weight = 1 if same else 2
-        ka, kx = k @ b, k @ (1 - b)
-        xx, yy, xy = (a * ka).sum(0) * weight, ((1 - a) * kx).sum(0) * weight, ((a * kx).sum(0) + (0 if same else ((1 - a) * ka).sum(0)))
+        left, right, same, distances = halves(table)
+        gamma, a, b = table.column("gamma")[0].as_py(), labels(table, left), labels(table, right)
+        xx, yy, xy = np.zeros((3, trials + 1))
+        for rows, d2 in distances:
+            k = np.exp(-gamma * d2)
+            if same:
+                k[np.arange(len(k)), np.arange(rows.start, rows.stop)] = 0
+            ka = k @ b
+            kx = k.sum(axis=1)[:, None] - ka
+            xx += (a[rows] * ka).sum(0)
+            yy += ((1 - a[rows]) * kx).sum(0)
+            xy += (a[rows] * kx).sum(0) + (0 if same else ((1 - a[rows]) * ka).sum(0))
+        xx, yy = (v * (1 if same else 2) for v in (xx, yy))
         size = a.sum(0) if same else np.zeros(trials + 1)
         return pa.table({"comparison_id": pa.array([table.column("comparison_id")[0].as_py()] * (trials + 1), pa.int64()), "trial": pa.array(range(trials + 1), pa.int32()), "xx": pa.array(xx), "yy": pa.array(yy), "xy": pa.array(xy), "nx": pa.array(size), "all": pa.array(np.full(trials + 1, float(len(left) if same else 0)))})
 

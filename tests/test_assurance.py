@@ -251,3 +251,28 @@ def test_pairs_without_vectors_are_confirmed_by_difference_hash(spark):
     got = {(r.a, r.b): r.similarity for r in duplicates.confirmed_pairs(pairs, vectors).collect()}
     assert set(got) == {(1, 2), (1, 4), (4, 5)} and got[(1, 4)] == 1 - 4 / 64 and got[(1, 2)] == pytest.approx(1 / 1.01**0.5)
     assert {(r.a, r.b) for r in duplicates.confirmed_pairs(pairs, vectors.drop("dhash")).collect()} == {(1, 2)}
+
+
+def test_rows_are_sent_to_few_blocks_and_compared_in_slices(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    x = np.round(rng.normal(0, 1, (1300, 4)), 1)
+    x[:40] = x[0]
+    vectors = spark.createDataFrame([(1, i, int(i % 3 == 0), v.tolist()) for i, v in enumerate(x)], "comparison_id long, id long, side int, v array<double>")
+    sent = shift.block_pairs(vectors, None).groupBy("id", "side").count().agg(F.max("count")).first()[0]
+    assert sent == 3  # blocks of 512 rows at least
+    d2 = ((x[:, None] - x[None]) ** 2).sum(-1)
+    gamma = 1 / np.median(d2[np.triu_indices(len(x), 1)])
+    k = np.exp(-gamma * d2)
+    np.fill_diagonal(k, 0)
+    one = np.arange(1300) % 3 != 0
+    n, m = one.sum(), (~one).sum()
+    want = k[np.ix_(one, one)].sum() / (n * (n - 1)) + k[np.ix_(~one, ~one)].sum() / (m * (m - 1)) - 2 * k[np.ix_(one, ~one)].mean()
+    got = shift.mmd2(vectors, 5).first()
+    assert got.gamma == pytest.approx(gamma) and got.mmd2 == pytest.approx(want)
+    away = {r.id: r.deficit for r in shift.displacements(vectors).collect()}
+    own = k[np.ix_(one, one)].sum() / (n * (n - 1))
+    assert all(away[i] == pytest.approx(max(0, own - k[i, one].sum() / n)) for i in np.flatnonzero(~one))
+    monkeypatch.setattr(shift, "MOST_BLOCK", 100)
+    assert shift.block_pairs(vectors, None).groupBy("id", "side").count().agg(F.max("count")).first()[0] == 13
+    assert [x.tolist() for x in shift.counted_bins(np.array([5, 9, 5, 7]))] == [[5, 7, 9], [2, 1, 1]]
+    assert [x.tolist() for x in shift.counted_bins(np.array([5, 1 << 40, 5]))] == [[5, 1 << 40], [2, 1]]
