@@ -136,6 +136,14 @@ def test_shared_shingles_of_items(spark):
     assert sorted(map(tuple, duplicates.contaminated_items(docs, items).collect())) == [(1, "a", 4), (4, "a", 1)]
 
 
+def test_shingles_of_items_are_made_distinct_as_texts(spark):
+    docs = spark.createDataFrame([(1, " ".join(f"w{i}" for i in range(40)) + " " + " ".join(f"w{i}" for i in range(40)))], "doc_id long, text string")
+    found = duplicates.contaminated_items(docs, docs.withColumnRenamed("doc_id", "item_id"))
+    assert [tuple(r) for r in found.collect()] == [(1, 1, 40)]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "array_distinct(transform(" in plan and "struct(" not in plan  # equal structs are sought in pairs
+
+
 def test_features_of_both_sides_are_counted_before_they_meet(spark):
     rows = spark.createDataFrame([(1, "a", 0), (1, "a", 1), (1, "a", 1), (1, "b", 0), (2, "b", 1), (None, "c", 0), (None, "c", 1), (3, None, 0), (3, None, 1), (4, "d", None), (4, "d", 0)], "comparison_id long, feature string, side int")
     found = reports.shared_features(rows)
