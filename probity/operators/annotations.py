@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from probity.storage import materialise
+
+PART_ROWS = 1 << 20  # of one task, on average
+
 
 def coco_defects(images: DataFrame, categories: DataFrame, annotations: DataFrame, files: DataFrame | None = None) -> DataFrame:
     """annotation_id, image_id, defect and severity; an annotation may have several.
@@ -14,14 +18,19 @@ def coco_defects(images: DataFrame, categories: DataFrame, annotations: DataFram
     may reach one pixel beyond declared sides. Ids may be text: one that is
     no integer is a defect, and nothing refers to it. What targets no declared image is dangling and
     judged no further but for repeated ids. Declared images whose file is absent are named by image_id.
+
+    Rows are dealt to as many tasks as they need, and an annotation goes on as its id, image and the
+    defects it has as bits, so that a task's memory does not grow with the input.
     """
     whole = lambda c: F.col(c).cast("string").try_cast("long")
     odd = lambda c: F.col(c).isNotNull() & whole(c).isNull()
     sides = [F.max(c).alias(f"i_{c}") for c in ("width", "height") if c in images.columns]
-    declared = images.groupBy(whole("id").alias("i_id")).agg(*sides) if sides else images.select(whole("id").alias("i_id")).distinct()
-    known = annotations.join(declared, whole("image_id") == F.col("i_id"), "left").join(categories.select(whole("id").alias("c_id")).distinct(), whole("category_id") == F.col("c_id"), "left")
-    twice = annotations.groupBy(F.col("annotation_id").alias("t_id")).agg(F.count("*").alias("copies"))
-    known = known.join(twice, F.col("annotation_id") == F.col("t_id"), "left")
+    tasks = max(int(images.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-max(annotations.count(), images.count()) // PART_ROWS))
+    declared = images.withColumn("i_id", whole("id")).repartition(tasks, "i_id")
+    declared = declared.groupBy("i_id").agg(*sides) if sides else declared.select("i_id").distinct()
+    # written, so that its size is known before the join: a few categories would put all annotations in as few tasks
+    classes = materialise(categories.select(whole("id").alias("c_id")).distinct(), "categories")
+    known = annotations.withColumn("a_image", whole("image_id")).repartition(tasks, "a_image").join(declared.hint("merge"), F.col("a_image") == F.col("i_id"), "left").join(classes, whole("category_id") == F.col("c_id"), "left")
     outside = F.lit(False)
     for c in ("x", "y"):
         if c in annotations.columns:
@@ -30,19 +39,26 @@ def coco_defects(images: DataFrame, categories: DataFrame, annotations: DataFram
         beyond = (F.col("x") + F.col("w") > F.col("i_width") + 1) | (F.col("y") + F.col("h") > F.col("i_height") + 1)
         outside = outside | F.coalesce((F.col("i_width") > 0) & (F.col("i_height") > 0) & beyond, F.lit(False))
     box = F.coalesce((F.col("w") <= 0) | (F.col("h") <= 0) | outside, F.lit(True))
-    rule = lambda cond, name, severity: F.when(cond, F.struct(F.lit(name).alias("defect"), F.lit(severity).alias("severity")))
     there = F.col("i_id").isNotNull()
-    found = F.array_compact(F.array(
-        rule(~there, "dangling-annotation", "HIGH"), rule(there & odd("category_id"), "non-integer-id", "HIGH"), rule(there & ~odd("category_id") & F.col("category_id").isNotNull() & F.col("c_id").isNull(), "undeclared-category", "HIGH"),
-        rule(F.col("copies") > 1, "duplicate-annotation-id", "MEDIUM"), rule(there & box, "invalid-bbox", "MEDIUM"),
-    ))
-    out = known.select("annotation_id", F.col("image_id").cast("string").alias("image_id"), F.explode(found).alias("d")).select("annotation_id", "image_id", "d.*")
+    rules = [
+        (~there, "dangling-annotation", "HIGH"), (there & odd("category_id"), "non-integer-id", "HIGH"), (there & ~odd("category_id") & F.col("category_id").isNotNull() & F.col("c_id").isNull(), "undeclared-category", "HIGH"),
+        (F.lit(False), "duplicate-annotation-id", "MEDIUM"), (there & box, "invalid-bbox", "MEDIUM"),
+    ]
+    bits = F.lit(0)
+    for k, (cond, _, _) in enumerate(rules):
+        bits = bits.bitwiseOR(F.when(cond, 1 << k).otherwise(0))
+    judged = known.select("annotation_id", "image_id", bits.alias("bits")).repartition(tasks, "annotation_id")
+    twice = F.col("annotation_id").isNotNull() & (F.count("*").over(Window.partitionBy("annotation_id")) > 1)
+    judged = judged.withColumn("bits", F.col("bits").bitwiseOR(F.when(twice, 1 << 3).otherwise(0)))
+    found = F.array_compact(F.array(*[F.when(F.col("bits").bitwiseAND(1 << k) > 0, F.struct(F.lit(name).alias("defect"), F.lit(severity).alias("severity"))) for k, (_, name, severity) in enumerate(rules)]))
+    out = judged.select("annotation_id", F.col("image_id").cast("string").alias("image_id"), F.explode(found).alias("d")).select("annotation_id", "image_id", "d.*")
     nothing = F.lit(None).cast(annotations.schema["annotation_id"].dataType).alias("annotation_id")
     named = lambda rows, c, defect, severity: rows.select(nothing, c.cast("string").alias("image_id"), F.lit(defect).alias("defect"), F.lit(severity).alias("severity"))
     out = out.union(named(images.filter(odd("id")), F.col("id"), "non-integer-id", "HIGH")).union(named(categories.filter(odd("id")), F.lit(None), "non-integer-id", "HIGH"))
     if files is not None:
         base = F.element_at(F.split(F.translate("file_name", "\\", "/"), "/"), -1)
-        absent = images.filter(whole("id").isNotNull() & (F.col("file_name") != "")).join(files.select(F.col("name").alias("f_name")).distinct(), base == F.col("f_name"), "left_anti")
+        there = files.select(F.col("name").alias("f_name")).repartition(tasks, "f_name").distinct()
+        absent = images.filter(whole("id").isNotNull() & (F.col("file_name") != "")).withColumn("base", base).repartition(tasks, "base").join(there.hint("merge"), F.col("base") == F.col("f_name"), "left_anti")
         out = out.union(named(absent, F.col("id"), "missing-image", "MEDIUM"))
     return out
 

@@ -2,6 +2,7 @@ import datetime
 import glob
 import hashlib
 import os
+import re
 import struct
 import zlib
 
@@ -144,6 +145,19 @@ def test_shingles_of_items_are_made_distinct_as_texts(spark):
     assert "array_distinct(transform(" in plan and "struct(" not in plan  # equal structs are sought in pairs
 
 
+def test_annotations_are_dealt_to_as_many_tasks_as_they_need(spark, monkeypatch):
+    monkeypatch.setattr(annotations, "PART_ROWS", 10, raising=False)
+    images = spark.range(50).select("id", F.lit("a.png").alias("file_name"))
+    notes = spark.range(100).select((F.col("id") % 90).alias("annotation_id"), (F.col("id") % 60).alias("image_id"), F.lit(1).alias("category_id"), F.lit(2.0).alias("w"), F.lit(2.0).alias("h"))
+    odd = spark.createDataFrame([(None, 1, 1, 2.0, 2.0), (None, 1, 7, 2.0, 2.0)], notes.schema)
+    found = annotations.coco_defects(images, spark.createDataFrame([(1,)], "id long"), notes.union(odd), spark.createDataFrame([("a.png",)], "name string"))
+    got = sorted((r.annotation_id if r.annotation_id is not None else -1, r.defect) for r in found.collect())
+    want = [(i % 90, "dangling-annotation") for i in range(100) if i % 60 >= 50] + [(i % 90, "duplicate-annotation-id") for i in range(100) if i % 90 < 10] + [(-1, "undeclared-category")]
+    assert got == sorted(want)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"hashpartitioning\(annotation_id#\d+L?, 11\)", plan) and "BroadcastHashJoin [a_image" not in plan
+
+
 def test_features_of_both_sides_are_counted_before_they_meet(spark):
     rows = spark.createDataFrame([(1, "a", 0), (1, "a", 1), (1, "a", 1), (1, "b", 0), (2, "b", 1), (None, "c", 0), (None, "c", 1), (3, None, 0), (3, None, 1), (4, "d", None), (4, "d", 0)], "comparison_id long, feature string, side int")
     found = reports.shared_features(rows)
