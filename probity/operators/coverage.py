@@ -112,8 +112,11 @@ def assurance_reports(evidence: DataFrame, latest: DataFrame, findings: DataFram
     """
     pillar = lambda t, c: F.max(F.when(F.col("type") == t, F.col(c)))
     assets = latest.groupBy(F.col("owner_id").alias("a_owner")).agg(*[pillar(t, c).alias(f"{t.lower()}_{name}") for t in ("DATASET", "MODEL", "DISTRIBUTION") for c, name in (("sha256", "asset"), ("status", "status"))], *[F.round(pillar(t, "risk_score"), 4).alias(f"{t.lower()}_risk") for t in ("DATASET", "MODEL", "DISTRIBUTION")])
-    worst = F.array_join(F.transform(F.sort_array(F.collect_list(F.when(F.col("place") <= top, F.struct("place", "finding_id")))), lambda s: s["finding_id"]), ",")
-    f = findings.groupBy(F.col("owner_id").alias("f_owner")).agg(F.count("*").alias("n_findings"), *[F.count_if(F.col("severity") == s).alias(s.lower()) for s in ("CRITICAL", "HIGH", "MEDIUM")], worst.alias("top"))
+    counted = findings.groupBy(F.col("owner_id").alias("f_owner")).agg(F.count("*").alias("n_findings"), *[F.count_if(F.col("severity") == s).alias(s.lower()) for s in ("CRITICAL", "HIGH", "MEDIUM")])
+    # apart from the counts, so that a place which is a row number needs an owner's first ones of each task only
+    listed = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("place", "finding_id"))), lambda s: s["finding_id"]), ",")
+    worst = findings.filter(F.col("place") <= top).groupBy(F.col("owner_id").alias("t_owner")).agg(listed.alias("top"))
+    f = counted.join(worst, F.col("f_owner") == F.col("t_owner"), "left")
     bad = F.count_if(F.col("status").isin("TAMPERED", "FORGED", "REPLAYED"))
     r = records.groupBy(F.col("owner_id").alias("r_owner")).agg(F.count("*").alias("n_records"), bad.alias("compromised"))
     state = ledger.select(F.struct("*")).scalar()

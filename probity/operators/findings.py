@@ -35,8 +35,13 @@ def normalised(findings: DataFrame) -> DataFrame:
 
 def ranked(findings: DataFrame, key: str, n: int, ties: list[str]) -> DataFrame:
     """The ``n`` worst findings of each ``key``: by severity, then confidence, then ``ties``."""
+    return placed(findings, key, ties).filter(F.col("place") <= n)
+
+
+def placed(findings: DataFrame, key: str, ties: list[str]) -> DataFrame:
+    """``findings`` with place, the rank of ``ranked`` within their ``key``."""
     order = Window.partitionBy(key).orderBy(severity_rank(F.col("severity")), F.desc("confidence"), *ties)
-    return findings.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= n)
+    return findings.withColumn("place", F.row_number().over(order))
 
 
 def statuses(findings: DataFrame, key: str = "analysis_id") -> DataFrame:

@@ -203,7 +203,7 @@ def _(s, d):
  FROM de LEFT JOIN cp USING (owner_id) LEFT JOIN pl USING (owner_id) LEFT JOIN fs USING (owner_id) LEFT JOIN rs USING (owner_id)""")
 def _(s, d):
     latest = r.latest_per(view(s, d, "analyses"), ["owner_id", "type"], "created_at", "analysis_id")
-    worst = f.ranked(view(s, d, "findings").filter("owner_id is not null"), "owner_id", 1 << 40, ["finding_id"])
+    worst = f.placed(view(s, d, "findings").filter("owner_id is not null"), "owner_id", ["finding_id"])
     records = view(s, d, "records").select(F.concat(F.lit("owner"), (F.col("record_id") % 5).cast("string")).alias("owner_id"), "status")
     owners = view(s, d, "analyses").select(F.col("analysis_id").alias("o_id"), "owner_id")
     register = r.contributor_register(view(s, d, "submissions").join(owners, F.col("analysis_id") == F.col("o_id")), ("owner_id",))

@@ -158,6 +158,20 @@ def test_annotations_are_dealt_to_as_many_tasks_as_they_need(spark, monkeypatch)
     assert re.search(r"hashpartitioning\(annotation_id#\d+L?, 11\)", plan) and "BroadcastHashJoin [a_image" not in plan
 
 
+def test_places_of_findings_are_sought_among_the_first_of_each_task(spark):
+    evidence = spark.createDataFrame([("a", "ACCEPT", "", 1.0), ("b", "ACCEPT", "", 1.0)], "owner_id string, decision string, rules string, risk double")
+    latest = spark.createDataFrame([], "owner_id string, type string, sha256 string, status string, risk_score double")
+    rows = [("a", f"f{i:02}", "HIGH" if i % 2 else "LOW", 0.5) for i in range(40)] + [(None, "g", "HIGH", 0.5)]
+    placed = findings.placed(spark.createDataFrame(rows, "owner_id string, finding_id string, severity string, confidence double"), "owner_id", ["finding_id"])
+    register = spark.createDataFrame([], "owner_id string, key string, samples long, defects long, max_risk double, worst_drivers string")
+    ledger = spark.createDataFrame([(True, 0, 0, "")], "ledger_valid boolean, ledger_blocks long, ledger_signed long, ledger_head string")
+    found = coverage.assurance_reports(evidence, latest, placed, spark.createDataFrame([], "owner_id string, status string"), register, ledger)
+    got = {r.owner_id: (r.n_findings, r.high, r.medium, r.top) for r in found.collect()}
+    assert got == {"a": (40, 20, 0, ",".join(f"f{i:02}" for i in range(1, 30, 2))), "b": (0, 0, 0, "")}
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert re.search(r"WindowGroupLimit \[owner_id#\d+\], .*confidence", plan) and len(re.findall(r"Window \[row_number.*confidence", plan)) == 1
+
+
 def test_features_of_both_sides_are_counted_before_they_meet(spark):
     rows = spark.createDataFrame([(1, "a", 0), (1, "a", 1), (1, "a", 1), (1, "b", 0), (2, "b", 1), (None, "c", 0), (None, "c", 1), (3, None, 0), (3, None, 1), (4, "d", None), (4, "d", 0)], "comparison_id long, feature string, side int")
     found = reports.shared_features(rows)
