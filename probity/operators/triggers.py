@@ -36,6 +36,8 @@ MOST_SHARE = 0.6  # of a class that an overlay may hold
 OVERLAP = 0.5
 
 PART_IMAGES = 256  # of a class in one task
+MOST_IMAGES, OVERLAY_BLOCKS = 32_768, 8  # of a block of coarse residuals, and how many blocks there are until they hold that many
+PRODUCTS = 1 << 22  # made at once
 BLOCK_CLUSTERS = 16  # whose references are sent to all tasks at once
 KEY = ("label", "reference", "cell_y", "cell_x")
 KEY_TYPES = "label string, reference string, cell_y int, cell_x int"
@@ -332,7 +334,7 @@ def overlays(scan: Scan, stamped: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Clusters of images that share an overlay, and their members, likewise.
 
     Degrees are counted in products of blocks of a class, without pairs leaving a task; the work grows with the square of a
-    class. ``stamped``: members of stamps; an overlay whose images all belong to stamps of its reference is left out.
+    class. A row is sent to at most 2 * OVERLAY_BLOCKS pairs of blocks until a class has OVERLAY_BLOCKS * MOST_IMAGES images. ``stamped``: members of stamps; an overlay whose images all belong to stamps of its reference is left out.
     """
     shape, step = scan.shape, scan.coarse
 
@@ -345,7 +347,8 @@ def overlays(scan: Scan, stamped: DataFrame) -> tuple[DataFrame, DataFrame]:
     read = lambda t: np.stack([np.frombuffer(x.as_buffer(), dtype="<f4") for x in t.column("z")])
     rows = scan.residuals.select("id", "label", "reference", "residual").mapInArrow(flat, "id long, label string, reference string, z binary")
     rows = rows.join(scan.sizes, F.col("label") == F.col("n_label")).drop("n_label")
-    blocks = F.ceil(F.col("n") / PART_IMAGES)
+    per = lambda most: F.ceil(F.col("n") / most)
+    blocks = F.greatest(per(MOST_IMAGES), F.least(per(PART_IMAGES), F.lit(OVERLAY_BLOCKS)))
     rows = materialise(rows.withColumns({"blocks": blocks, "block": F.pmod(F.xxhash64("id"), blocks)}), "coarse")
     every = F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)
     left = rows.select("id", "label", "reference", "z", F.col("block").alias("a"), F.explode(every).alias("b"))
@@ -356,9 +359,14 @@ def overlays(scan: Scan, stamped: DataFrame) -> tuple[DataFrame, DataFrame]:
         schema = _table(kinds, [[]] * 4).schema
         if not one.num_rows or not two.num_rows:
             return pa.Table.from_batches([], schema=schema)
-        near = read(one) @ read(two).T >= OVERLAY_AGREEMENT
-        near &= one.column("id").to_numpy()[:, None] != two.column("other").to_numpy()[None]
-        return pa.Table.from_batches([_table(kinds, [*(one.column(c).combine_chunks() for c in ("id", "label", "reference")), near.sum(axis=1)])], schema=schema)
+        left, right, ids, others = read(one), read(two).T, one.column("id").to_numpy(), two.column("other").to_numpy()
+        step = max(1, PRODUCTS // len(others))
+        degree = np.zeros(len(ids), dtype=np.int64)
+        for lo in range(0, len(ids), step):
+            near = left[lo : lo + step] @ right >= OVERLAY_AGREEMENT
+            near &= ids[lo : lo + step, None] != others[None]
+            degree[lo : lo + step] = near.sum(axis=1)
+        return pa.Table.from_batches([_table(kinds, [*(one.column(c).combine_chunks() for c in ("id", "label", "reference")), degree])], schema=schema)
 
     degrees = left.groupBy("label", "reference", "a", "b").cogroup(right.groupBy("o_label", "o_reference", "o_a", "o_b")).applyInArrow(products, kinds).groupBy("label", "reference", "id").agg(F.sum("degree").alias("degree"))
     seeds = degrees.groupBy("label", "reference").agg(F.min(F.struct((-F.col("degree")).alias("less"), "id")).alias("seed")).filter(F.col("seed.less") <= -2).select(F.col("label").alias("s_label"), F.col("reference").alias("s_reference"), F.col("seed.id").alias("s_id"))

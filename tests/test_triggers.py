@@ -98,6 +98,19 @@ def test_one_class_alone_and_fused_candidates(spark):
     assert {r.id for r in found if r.method == "consensus"} >= set(range(100, 109)) and all(0.9 < r.confidence <= 0.97 for r in found if r.method == "consensus")
 
 
+def test_overlay_rows_go_to_few_blocks(spark, planted, monkeypatch):
+    pictures, _, members = planted
+    want = {(m.label, m.id) for m in members if m.cell_y == triggers.OVERLAY_CELL}
+    kept, write = {}, triggers.materialise
+    monkeypatch.setattr(triggers, "materialise", lambda df, name, *rest: kept.__setitem__(name, write(df, name, *rest)) or kept[name])
+    monkeypatch.setattr(triggers, "PART_IMAGES", 2)
+    monkeypatch.setattr(triggers, "PRODUCTS", 5, raising=False)
+    scan = triggers.Scan(frame(spark, pictures), 64, 64, 3, 12, 6, 4)
+    _, got = triggers.overlays(scan, spark.createDataFrame([], f"{', '.join('c_' + k for k in triggers.KEY_TYPES.split(', '))}, id long"))
+    assert {(m.c_label, m.id) for m in got.collect()} >= want and want
+    assert max(r.blocks for r in kept["coarse"].collect()) == 8  # a row was sent once for every two images of its class
+
+
 def test_poisson_tail():
     import math
 
