@@ -1,7 +1,8 @@
 """n-gram Jaccard join by PartEnum signatures, exact.
 
 Sets are banded by size so that two sets of similarity t or more lie in one band or in two that touch.
-A tag covers a band and the one below. Two such sets differ in D elements at most, D known from their
+A tag covers a band and the one below; two sets of one band meet under that band's tag alone, so what only
+sets of the band below share says nothing new, which the last bit of a signature tells. Two such sets differ in D elements at most, D known from their
 sizes. A hash cuts the feature domain into parts, each cut again into sub-parts: with fewer than k + 1
 differences allowed a part, D // (k + 1) + 1 + m parts leave at least m + 1 parts in which both sets
 differ in at most k sub-parts, and then all other sub-parts of it hold the same elements in both. A
@@ -64,7 +65,13 @@ def bands(similarity: Fraction, most: int = 1 << 40) -> tuple[np.ndarray, np.nda
 
 
 def signatures(rows: np.ndarray, hashes: np.ndarray, counts: np.ndarray, similarity: Fraction = SIMILARITY, slack: float = SLACK) -> tuple[np.ndarray, np.ndarray]:
-    """Row and 64-bit signature of every signature of the sets."""
+    """Row and 63-bit signature of every signature of the sets; the last bit is 0."""
+    row, sig = marked_signatures(rows, hashes, counts, similarity, slack)
+    return row, sig >> U(1) << U(1)
+
+
+def marked_signatures(rows: np.ndarray, hashes: np.ndarray, counts: np.ndarray, similarity: Fraction = SIMILARITY, slack: float = SLACK) -> tuple[np.ndarray, np.ndarray]:
+    """``signatures`` with the last bit set where the tag is of the band above the set's."""
     first, last = bands(similarity, max(1, int(counts.max(initial=1))) * 2)
     apart = 1 - similarity
     num, den = apart.numerator, apart.denominator
@@ -79,7 +86,7 @@ def signatures(rows: np.ndarray, hashes: np.ndarray, counts: np.ndarray, similar
             inside = own[rows]
             at = np.cumsum(own) - 1
             row, sig = _enumerated(at[rows[inside]], hashes[inside], tag[own], np.minimum(near, widest)[own], widest[own], k, n_sub, slack)
-            found.append((np.flatnonzero(own)[row], sig))
+            found.append((np.flatnonzero(own)[row], (sig >> U(1) << U(1)) | U(step)))
     return np.concatenate([row for row, _ in found]), np.concatenate([sig for _, sig in found])
 
 
@@ -158,18 +165,20 @@ def row_keys(docs: DataFrame) -> tuple[Column, Column]:
 
 
 def _stars(sig: np.ndarray, node: np.ndarray) -> np.ndarray:
-    """Distinct pairs (least node, other node) of the nodes that share a signature."""
+    """Distinct pairs (least node, other node) of the nodes that share a signature, unless all are of the band below its tag."""
     order = np.argsort(sig, kind="stable")
     sig, node = sig[order], node[order]
-    head = np.flatnonzero(np.concatenate(([True], sig[1:] != sig[:-1])))
-    lead = np.repeat(np.minimum.reduceat(node, head), np.diff(np.append(head, len(sig))))
-    other = lead != node
+    value = sig >> U(1)
+    head = np.flatnonzero(np.concatenate(([True], value[1:] != value[:-1])))
+    length = np.diff(np.append(head, len(sig)))
+    lead = np.repeat(np.minimum.reduceat(node, head), length)
+    other = (lead != node) & np.repeat(sig[head] & U(1) == 0, length)  # in order, so the first tells of all
     return np.unique(np.stack([lead[other], node[other]], axis=1), axis=0)
 
 
 def _by_part(sig: np.ndarray, at: np.ndarray, names: np.ndarray, n_parts: int) -> pa.RecordBatch:
     """Signatures, dealt by value: of each part the signatures, the sets that show them and their names."""
-    part = (sig % U(n_parts)).astype(np.int32)
+    part = ((sig >> U(1)) % U(n_parts)).astype(np.int32)
     order = np.argsort(part, kind="stable")
     part, sig, at = part[order], sig[order], at[order]
     head = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1])))
@@ -200,7 +209,7 @@ def candidate_stars(docs: DataFrame, words: int, similarity: Fraction, n_parts:
                         seen.add(x)
                 if len(seen) > 200_000:
                     seen.clear()
-                row, sig = signatures(rows, hashes, np.where(new, counts, 0), similarity)
+                row, sig = marked_signatures(rows, hashes, np.where(new, counts, 0), similarity)
                 sigs.append(sig)
                 places.append(row + sum(map(len, names)))
                 names.append(name)

@@ -67,6 +67,21 @@ def test_signatures_meet_for_every_near_pair():
             assert set(sig[row == 0].tolist()) & set(sig[row == 1].tolist())
 
 
+def test_sets_of_one_band_meet_under_one_tag():
+    rng = np.random.default_rng(5)
+    first, last = jaccard_join.bands(jaccard_join.SIMILARITY)
+    low, high = next((int(a), int(b)) for a, b in zip(first, last, strict=True) if a > 60)
+    base = rng.integers(1, 1 << 52, high + 3, dtype=np.uint64)
+    for sizes, alone in (((high, high - 1), True), ((high, high + 1), False)):  # of one band, and of two that touch
+        rows = np.repeat([0, 1], sizes)
+        row, sig = jaccard_join.marked_signatures(rows, np.concatenate([base[:n] for n in sizes]), np.array(sizes))
+        below = (sig & np.uint64(1)) == 1
+        assert jaccard_join._stars(sig, np.array([7, 9])[row]).tolist() == [[7, 9]]  # no link is lost
+        assert len(jaccard_join._stars(sig[below], np.array([7, 9])[row[below]])) == 0
+        shared = set((sig[(row == 0) & below] >> np.uint64(1)).tolist()) & set((sig[(row == 1) & below] >> np.uint64(1)).tolist())
+        assert bool(shared) == alone
+
+
 def test_decontamination_equals_brute_force(spark, texts):
     items = [(1, " ".join(words(60, 99))), (2, "One, TWO three!"), (3, None), (4, "--"), (2, "changed"), (None, " ".join(words(20, 12)[:20]))]
     benchmark = spark.createDataFrame([(i, t, "x") for i, t in items], "item_id long, text string, n_words string")
