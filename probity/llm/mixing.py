@@ -125,7 +125,8 @@ def draws(cut: DataFrame, most: int = MOST, seed: int = 20_261, block: int = BLO
     """One row a slot: src, slot, epoch, idx (the block drawn), shard.
 
     Slots are made from the blocks, each at the one document that holds its first word, so that a
-    source's slots are as spread as its documents.
+    source's slots are as spread as its documents. What joins slots or pieces says merge: Spark guesses their size by
+    that of the rows that they are cut from, and would send them through the driver.
     """
     first = cut.filter(F.col("start") <= F.col("idx") * block).select("src", "n_blocks", "n_slots", "n_shards", F.col("idx").alias("x"))
     slots = first.withColumn("epoch", F.explode(F.array(*[F.lit(e).cast("long") for e in range(most)]))).withColumn("slot", F.col("x") + F.col("epoch") * F.col("n_blocks"))
@@ -154,11 +155,11 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = MOST
     """
     rows, cut, sources = planned(sized(docs), weights, share, most, block, slots_per_shard)
     drawn = draws(cut, most, block=block).groupBy(F.col("src").alias("d_src"), F.col("idx").alias("d_idx")).agg(F.count("*").alias("times"), F.min_by("shard", "slot").alias("shard"))
-    met = cut.select("src", "start", "idx", "overlap").join(drawn, (F.col("src") == F.col("d_src")) & (F.col("idx") == F.col("d_idx")))
+    met = cut.select("src", "start", "idx", "overlap").join(drawn.hint("merge"), (F.col("src") == F.col("d_src")) & (F.col("idx") == F.col("d_idx")))
     taken = met.groupBy(F.col("src").alias("t_src"), F.col("start").alias("t_start")).agg(F.sum(F.col("times") * F.col("overlap")).alias("taken"), F.min_by("shard", "idx").alias("first_shard"))
     named = sources.select(F.col("src").alias("s_src"), "source_size", "target")
     # a document without words can start where another starts
-    out = rows.join(taken, (F.col("src") == F.col("t_src")) & (F.col("start") == F.col("t_start")) & (F.col("size") > 0), "left")
+    out = rows.join(taken.hint("merge"), (F.col("src") == F.col("t_src")) & (F.col("start") == F.col("t_start")) & (F.col("size") > 0), "left")
     return out.join(named, F.col("src") == F.col("s_src")).select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "first_shard")
 
 
@@ -181,7 +182,7 @@ def mixed_texts(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: in
     one = same.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times")))).drop("times")
     rows, cut, _ = planned(one, weights, share, most, block, slots_per_shard)
     drawn = draws(cut, most, block=block).select(F.col("src").alias("d_src"), F.col("idx").alias("d_idx"), "epoch", "shard")
-    met = cut.select(*ROW, "size", "src", "start", "idx", "overlap").join(drawn, (F.col("src") == F.col("d_src")) & (F.col("idx") == F.col("d_idx")))
+    met = cut.select(*ROW, "size", "src", "start", "idx", "overlap").join(drawn.hint("merge"), (F.col("src") == F.col("d_src")) & (F.col("idx") == F.col("d_idx")))
     at = F.greatest(F.lit(0), F.col("idx") * block - F.col("start"))
     name = [F.col(c).alias(f"m_{c}") for c in ROW]
     keys = [*name, "epoch", *([F.col("shard").alias("part")] if split else [])]
