@@ -88,21 +88,53 @@ def mad_outliers(rows: DataFrame, key: str, row_id: str, value: str, cut: float
 PAIR = ["comparison_id", "one", "two"]
 LEAST_BLOCK, MOST_BLOCK, BLOCKS = 512, 32_768, 8  # rows of a block, and how many blocks there are between the two
 PRODUCTS = 1 << 21  # distances that a task holds at once
+TILE_ROWS, TILE_COLUMNS = 128, 1_024  # of the products that a task makes at once
+PILOT = 4_096  # rows of a group whose pairs say where the median is
+ROUNDED = 1e-9  # of a distance, by which products may miss it
+MOST_PARTS = 1_024  # partitions that pairs of blocks are dealt to
+VALUED, LISTED = 1 << 14, 1 << 20  # pairs whose distance is made by itself at once, distances listed before they are counted
+DOUBT = 3e-4  # standard deviations of the trials within which single precision doesn't settle which of two is greater
+SHARED = 8  # most comparisons of the same rows that are summed together
+
+
+def block_counts(vectors: DataFrame, block: int | None) -> DataFrame:
+    """n_id, total rows and blocks of each comparison."""
+    n_rows = vectors.groupBy(F.col("comparison_id").alias("n_id")).agg(F.count("*").alias("total"))
+    per = lambda rows: F.ceil(F.col("total") / rows)
+    blocks = per(block) if block else F.greatest(per(MOST_BLOCK), F.least(per(LEAST_BLOCK), F.lit(BLOCKS)))
+    return n_rows.withColumn("blocks", blocks.cast("int"))
 
 
-def block_pairs(vectors: DataFrame, block: int | None) -> DataFrame:
-    """Rows (comparison_id, id, side, v) once for each pair of blocks that they are compared in.
+def block_pairs(vectors: DataFrame, block: int | None, *held: str) -> DataFrame:
+    """Rows (comparison_id, id, side, v and ``held``) once for each pair of blocks that they are compared in.
 
-    A pair is comparison_id, one and two; ``at`` is the row's own block, n the rows of side 0, total all.
+    A pair is comparison_id, one and two; ``at`` is the row's own block, total the rows of the comparison.
     Without ``block`` there are up to BLOCKS blocks until they have MOST_BLOCK rows, so up to some BLOCKS * MOST_BLOCK rows a
     row is sent a bounded number of times, and beyond that once for every MOST_BLOCK rows.
     """
-    n_rows = vectors.groupBy(F.col("comparison_id").alias("n_id")).agg(F.count("*").alias("total"), F.count_if(F.col("side") == 0).alias("n"))
-    per = lambda rows: F.ceil(F.col("total") / rows)
-    blocks = per(block) if block else F.greatest(per(MOST_BLOCK), F.least(per(LEAST_BLOCK), F.lit(BLOCKS)))
-    placed = vectors.join(n_rows, F.col("comparison_id") == F.col("n_id")).withColumn("blocks", blocks.cast("int")).withColumn("at", F.pmod(F.xxhash64("id", "side"), F.col("blocks")).cast("int"))
+    counts = F.broadcast(block_counts(vectors, block))  # a row a comparison
+    placed = vectors.join(counts, F.col("comparison_id") == F.col("n_id")).withColumn("at", F.pmod(F.xxhash64("id", "side"), F.col("blocks")).cast("int"))
     spread = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    return spread.select("comparison_id", "id", "side", "v", "n", "total", "at", F.least("at", "other").alias("one"), F.greatest("at", "other").alias("two"))
+    return spread.select("comparison_id", "id", "side", "v", "total", "at", F.least("at", "other").alias("one"), F.greatest("at", "other").alias("two"), *held)
+
+
+def dealt(tasks: DataFrame, counts: DataFrame):
+    """``tasks`` grouped by pair of blocks; pairs are dealt in turn to as many partitions as there are pairs, MOST_PARTS at most.
+
+    ``counts``: those of ``block_counts``. All pairs ask for much the same time, so dealing by a hash would leave some tasks several.
+    """
+    pairs = counts.agg(F.sum(F.col("blocks").cast("long") * (F.col("blocks") + 1) / 2)).first()[0]
+    parts = int(min(MOST_PARTS, max(1, pairs or 1)))
+    number = F.col("two").cast("long") * (F.col("two") + 1) / 2 + F.col("one")
+    part = F.pmod(F.xxhash64("comparison_id") % parts + number.cast("long"), F.lit(parts)).cast("int")
+    return tasks.withColumn("part", part).repartitionById(parts, "part").groupBy("part", *PAIR)
+
+
+def centred(table: pa.Table) -> np.ndarray:
+    """The vectors moved to medians of zero, which keeps distances and leaves products small."""
+    x = matrix(table)
+    mid = np.median(x, axis=0)
+    return x - np.where(np.isfinite(mid), mid, 0)
 
 
 def halves(table: pa.Table) -> tuple[np.ndarray, np.ndarray, bool, Iterator[tuple[slice, np.ndarray]]]:
@@ -113,18 +145,90 @@ def halves(table: pa.Table) -> tuple[np.ndarray, np.ndarray, bool, Iterator[tupl
     at, one, two = table.column("at").to_numpy(), table.column("one")[0].as_py(), table.column("two")[0].as_py()
     order = np.lexsort((table.column("side").to_numpy(), table.column("id").to_numpy()))
     left, right = order[at[order] == one], order[at[order] == two]
-    x = matrix(table)
+    x = centred(table)
     a, b = x[left], x[right]
+    error = (x.shape[1] + 8) * np.finfo(float).eps
 
     def distances() -> Iterator[tuple[slice, np.ndarray]]:
         own, step = (b * b).sum(1)[None], max(1, PRODUCTS // max(1, len(b)))
         for lo in range(0, len(a), step):
             some = a[lo : lo + step]
-            yield slice(lo, lo + len(some)), np.maximum(0, (some * some).sum(1)[:, None] + own - 2 * some @ b.T) + 0.0
+            both = (some * some).sum(1)[:, None] + own
+            d2 = both - 2 * some @ b.T
+            d2[d2 <= error * both] = 0.0
+            yield slice(lo, lo + len(some)), d2
 
     return left, right, one == two, distances()
 
 
+def facing(table: pa.Table) -> tuple[np.ndarray, np.ndarray, bool, np.ndarray]:
+    """The places of both blocks' rows, whether the blocks are one, and all vectors."""
+    at, one, two = table.column("at").to_numpy(), table.column("one")[0].as_py(), table.column("two")[0].as_py()
+    return np.flatnonzero(at == one), np.flatnonzero(at == two), one == two, centred(table)
+
+
+def factors(x: np.ndarray, y: np.ndarray, by: float = 1.0, kind=np.float64) -> tuple[np.ndarray, np.ndarray]:
+    """Two matrices whose product is ``by`` times the squared distances of x and y."""
+    left = np.column_stack([x, (x * x).sum(1), np.ones(len(x))]) * by
+    right = np.column_stack([-2 * y, np.ones(len(y)), (y * y).sum(1)])
+    return left.astype(kind), np.ascontiguousarray(right.T.astype(kind))
+
+
+def slices(n: int, step: int) -> list[slice]:
+    return [slice(lo, min(lo + step, n)) for lo in range(0, n, step)]
+
+
+def between(x: np.ndarray, y: np.ndarray, same: bool, lo: float, hi: float) -> tuple[int, np.ndarray, np.ndarray]:
+    """How many pairs of x and y have a squared distance below ``lo``, and the distinct ones from ``lo`` to ``hi`` with their counts.
+
+    Of one block (``same``) each pair counts once. Products in single precision, with a bound of their error, settle nearly
+    all pairs, products in double precision most of the others; what is within the bound of lo and hi is computed by itself.
+    """
+    below, values, counts, fresh = 0, [np.zeros(0)], [np.zeros(0, np.int64)], 0
+    norms = [np.sqrt((v * v).sum(1)) for v in (x, y)]
+    reach = sum(float(v[np.isfinite(v)].max(initial=0.0)) for v in norms)
+    precise = not 1e-15 < reach < 1e15  # too small or too large for single precision
+    levels = []
+    for kind in (np.float64,) if precise else (np.float32, np.float64):
+        error = (x.shape[1] + 8) * float(np.finfo(kind).eps) * reach * reach + float(np.finfo(kind).tiny)
+        first, last = np.nextafter(kind(lo - error), kind(-np.inf)), np.nextafter(kind(hi + error), kind(np.inf))
+        levels.append((*factors(x, y, kind=kind), first, last))
+
+    def near(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        return np.concatenate([((x[i[m]] - y[j[m]]) ** 2).sum(axis=1) for m in slices(len(i), VALUED)] or [np.zeros(0)])
+
+    for columns in slices(len(y), TILE_COLUMNS):
+        for rows in slices(len(x), TILE_ROWS):
+            if same and columns.stop <= rows.start:
+                continue
+            for level, (left, right, first, last) in enumerate(levels):
+                d2 = left[rows] @ right[:, columns]
+                if same and columns.start < rows.stop:
+                    d2[np.arange(columns.start, columns.stop) <= np.arange(rows.start, rows.stop)[:, None]] = np.inf
+                low = d2 < first
+                unsure = np.flatnonzero((d2 <= last) ^ low)
+                if len(unsure) <= d2.size >> 5 or level + 1 == len(levels):
+                    break
+            below += int(np.count_nonzero(low))
+            if not len(unsure):
+                continue
+            i, j = np.divmod(unsure, d2.shape[1])
+            value = near(i + rows.start, j + columns.start)
+            below += int(np.count_nonzero(value < lo))
+            values.append(value[(value >= lo) & (value <= hi)])
+            counts.append(np.ones(len(values[-1]), np.int64))
+            fresh += len(values[-1])
+            if fresh > LISTED:
+                values, counts, fresh = *counted_values(values, counts), 0
+    values, counts = counted_values(values, counts)
+    return below, values[0], counts[0]
+
+
+def counted_values(values: list[np.ndarray], counts: list[np.ndarray]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    distinct, at = np.unique(np.concatenate(values), return_inverse=True)
+    return [distinct], [np.bincount(at, weights=np.concatenate(counts), minlength=len(distinct)).astype(np.int64)]
+
+
 def counted_bins(bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct values of integers and how often they occur, by a count of all places between least and greatest where these are few."""
     low, high = (int(bits.min()), int(bits.max())) if len(bits) else (0, 0)
@@ -135,14 +239,16 @@ def counted_bins(bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at + low, n[at]
 
 
-def scales(tasks: DataFrame) -> DataFrame:
-    """g_id and gamma, 1 over the exact median squared distance of all pairs of a comparison.
+def ranked(tasks: DataFrame, pilot: bool = False) -> DataFrame:
+    """g_id, lo and hi: the two middle ones of the squared distances of all pairs in ``tasks`` of each comparison.
 
     Distances are counted by the leading bits of their floats, which are in order as integers; the bins
-    that hold the two middle ranks are then counted by more bits, and once more by all. Each count is
-    made in the tasks of block pairs and leaves them as one row a bin.
+    that hold the two ranks are then counted by more bits, and once more by all. Each count is
+    made in the tasks of block pairs and leaves them as one row a bin. With ``pilot``, where some pairs are not in ``tasks``,
+    the ranks are so far from the middle as to hold the middle ones of all pairs, short of a rare chance.
     """
-    state = tasks.select("comparison_id").distinct().select(F.col("comparison_id").alias("s_id"), F.explode(F.array(F.lit(0), F.lit(1))).alias("which"), F.lit(-1).cast("long").alias("parent"), F.lit(None).cast("long").alias("rank"))
+    state = tasks.groupBy(F.col("comparison_id").alias("s_id")).agg((F.max("two") > 0).alias("wide"))
+    state = state.select("s_id", "wide", F.explode(F.array(F.lit(0), F.lit(1))).alias("which"), F.lit(-1).cast("long").alias("parent"), F.lit(None).cast("long").alias("rank"))
 
     def counter(shift: int, before: int | None):
         def counts(table: pa.Table) -> pa.Table:
@@ -171,17 +277,208 @@ def scales(tasks: DataFrame) -> DataFrame:
         upto = Window.partitionBy("comparison_id", "b_parent").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)  # over the bins of one parent
         counted = materialise(counted.withColumn("lesser", F.coalesce(F.sum("c").over(upto), F.lit(0))).withColumn("pairs", F.sum("c").over(Window.partitionBy("comparison_id", "b_parent"))), "bins")
         met = counted.join(state, (F.col("comparison_id") == F.col("s_id")) & (F.col("b_parent") == F.col("parent")))
-        met = met.withColumn("want", F.coalesce("rank", F.floor((F.col("pairs") - 1 + F.col("which")) / 2)))
-        state = met.filter((F.col("lesser") <= F.col("want")) & (F.col("want") < F.col("lesser") + F.col("c"))).select("s_id", "which", F.col("bin").alias("parent"), (F.col("want") - F.col("lesser")).alias("rank"))
+        middle = F.floor((F.col("pairs") - 1 + F.col("which")) / 2)
+        apart = F.when(F.col("wide") & F.lit(pilot), F.ceil(3 * F.sqrt("pairs"))).otherwise(0) * (2 * F.col("which") - 1)
+        met = met.withColumn("want", F.coalesce("rank", F.greatest(F.lit(0), F.least(F.col("pairs") - 1, middle + apart))))
+        state = met.filter((F.col("lesser") <= F.col("want")) & (F.col("want") < F.col("lesser") + F.col("c"))).select("s_id", "wide", "which", F.col("bin").alias("parent"), (F.col("want") - F.col("lesser")).alias("rank"))
         state = materialise(state, "middles")
 
-    def gammas(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def distances(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             d2 = pa.array(batch.column("parent").to_numpy().view(np.float64))
             yield pa.RecordBatch.from_arrays([batch.column("s_id"), d2], names=["g_id", "d2"])
 
-    middles = state.select("s_id", "parent").mapInArrow(gammas, "g_id long, d2 double")
-    return middles.groupBy("g_id").agg((1.0 / F.greatest(F.avg("d2"), F.lit(1e-12))).alias("gamma"))
+    middles = state.select("s_id", "parent").mapInArrow(distances, "g_id long, d2 double")
+    return middles.groupBy("g_id").agg(F.min("d2").alias("lo"), F.max("d2").alias("hi"))
+
+
+def scales(vectors: DataFrame, block: int | None = None) -> DataFrame:
+    """g_id and gamma, 1 over the exact median squared distance of all pairs of a comparison.
+
+    Rows are first dealt to groups of some PILOT rows; the pairs inside groups give two distances between which the
+    median is. One pass over all pairs counts those below and lists those between, which are ranked. Should
+    the median not be between them after all, all pairs are counted by their bits.
+    """
+    counts = vectors.groupBy(F.col("comparison_id").alias("n_id")).agg(F.count("*").alias("total"))
+    groups = F.ceil(F.col("total") / PILOT).cast("int")
+    placed = vectors.join(F.broadcast(counts), F.col("comparison_id") == F.col("n_id")).withColumn("at", F.pmod(F.xxhash64("side", "id", F.lit(1)), groups).cast("int"))
+    bracket = materialise(ranked(placed.select("comparison_id", "id", "side", "v", "at", F.col("at").alias("one"), F.col("at").alias("two")), True), "bracket")
+    middle = lambda: (1.0 / F.greatest((F.col("lo") + F.col("hi")) / 2, F.lit(1e-12))).alias("gamma")
+    totals = materialise(counts.join(bracket, F.col("n_id") == F.col("g_id")), "totals")
+    small, large = totals.filter(F.col("total") <= PILOT).select("g_id", middle()), totals.filter(F.col("total") > PILOT)
+    large = large.withColumns({"lo": F.col("lo") - F.col("hi") * ROUNDED, "hi": F.col("hi") * (1 + ROUNDED)})
+    if not large.take(1):
+        return small
+
+    def listed(table: pa.Table) -> pa.Table:
+        left, right, same, x = facing(table)
+        below, value, c = between(x[left], x[right], same, table.column("lo")[0].as_py(), table.column("hi")[0].as_py())
+        name = table.column("comparison_id")[0].as_py()
+        return pa.table({"comparison_id": pa.array([name] * (len(value) + 1), pa.int64()), "d2": pa.array([None, *value.tolist()], pa.float64()), "c": pa.array([below, *c.tolist()], pa.int64())})
+
+    some = vectors.join(F.broadcast(large.select("g_id", "lo", "hi")), F.col("comparison_id") == F.col("g_id")).drop("g_id")
+    tasks = block_pairs(some, block, "lo", "hi").select(*PAIR, "at", "v", "lo", "hi")
+    found = materialise(dealt(tasks, block_counts(some, block)).applyInArrow(listed, "comparison_id long, d2 double, c long"), "listed")
+    below = found.filter("d2 is null").groupBy(F.col("comparison_id").alias("b_id")).agg(F.sum("c").alias("below"))
+    counted = found.filter("d2 is not null").groupBy("comparison_id", "d2").agg(F.sum("c").alias("c"))
+    sizes = below.join(large.select("g_id", F.expr("total * (total - 1) div 2").alias("pairs")), F.col("b_id") == F.col("g_id")).drop("g_id")
+    placed = prefix_sums(counted, ["comparison_id"], "d2", ["c"]).join(F.broadcast(sizes), F.col("comparison_id") == F.col("b_id"))
+
+    def ranked_at(which: int):
+        rank = F.floor((F.col("pairs") - 1 + which) / 2) - F.col("below")
+        return F.max(F.when((F.col("c_before") <= rank) & (rank < F.col("c_before") + F.col("c")), F.col("d2")))
+
+    exact = placed.groupBy(F.col("comparison_id").alias("g_id")).agg(ranked_at(0).alias("lo"), ranked_at(1).alias("hi")).filter("lo is not null and hi is not null")
+    exact = materialise(exact.select("g_id", middle()), "exact")
+    missed = large.select(F.col("g_id").alias("l_id")).join(exact, F.col("l_id") == F.col("g_id"), "left_anti")
+    if missed.take(1):
+        rest = vectors.join(F.broadcast(missed), F.col("comparison_id") == F.col("l_id"), "left_semi")
+        exact = exact.union(materialise(ranked(block_pairs(rest, block)).select("g_id", middle()), "counted"))
+    return small.union(exact)
+
+
+def labelled(vectors: DataFrame, trials: int) -> DataFrame:
+    """comparison_id, id, side, v and bits: whether the row is on side 0, truly and in each of ``trials``."""
+    rows = vectors.select(F.col("comparison_id").cast("long").alias("comparison_id"), F.col("id").cast("long").alias("id"), F.col("side").cast("int").alias("side"), "v")
+    none = rows.select(F.col("comparison_id").alias("c_id")).distinct().withColumn("cuts", F.array().cast("array<bigint>"))
+    cuts = materialise(trial_cuts(rows, trials) if trials else none, "cuts")
+
+    def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            side, of, bits = batch.column("side").to_numpy(), batch.column("comparison_id").to_numpy(), np.empty(batch.num_rows, object)
+            for name in np.unique(of):
+                own = np.flatnonzero(of == name)
+                cut = np.array(batch.column("cuts")[int(own[0])].as_py(), dtype=np.int64)
+                drawn = np.column_stack([side[own] == 0, trial_order(batch.column("id").to_numpy()[own], side[own], trials) <= cut])
+                bits[own] = [b.tobytes() for b in np.packbits(drawn, axis=1)]
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("comparison_id", "id", "side", "v")], pa.array(bits, pa.binary())], names=["comparison_id", "id", "side", "v", "bits"])
+
+    met = rows.join(F.broadcast(cuts), F.col("comparison_id") == F.col("c_id")).select("comparison_id", "id", "side", "v", "cuts")
+    return met.mapInArrow(label, "comparison_id long, id long, side int, v array<double>, bits binary")
+
+
+def pooled(rows: DataFrame) -> DataFrame:
+    """``rows`` of ``labelled`` with ``of``, their comparisons (comparison_id, bits) in order; comparisons of the same ids and vectors have one row for each.
+
+    comparison_id is that of the first of up to SHARED comparisons whose rows are the same, so that distances are made once for all of them.
+    """
+    exact = lambda *c: F.sum(F.xxhash64(*c).cast("decimal(20,0)"))
+    per = rows.groupBy(F.col("comparison_id").alias("p_id")).agg(F.count("*").alias("n"), F.count_distinct("id").alias("ids"), exact("id", "v").alias("one"), exact("v", "id", F.lit(1)).alias("two"))
+    alike = Window.partitionBy("n", "ids", "one", "two")
+    per = per.withColumn("shelf", F.floor((F.row_number().over(alike.orderBy("p_id")) - 1) / SHARED))
+    together = Window.partitionBy("n", "ids", "one", "two", "shelf")
+    per = materialise(per.withColumns({"pool": F.min("p_id").over(together), "members": F.count("*").over(together)}).filter("ids = n and members > 1").select("p_id", "pool"), "pools")
+    own = F.struct("comparison_id", "bits")
+    if not per.take(1):
+        return rows.select("comparison_id", "id", "side", "v", F.array(own).alias("of"))
+    met = rows.join(F.broadcast(per), F.col("comparison_id") == F.col("p_id"), "left")
+    alone = met.filter("pool is null").select("comparison_id", "id", "side", "v", F.array(own).alias("of"))
+    shared = met.filter("pool is not null").groupBy("pool", "id").agg(F.first("v").alias("v"), F.sort_array(F.collect_list(own)).alias("of"))
+    return alone.union(shared.select(F.col("pool").alias("comparison_id"), "id", F.lit(0).alias("side"), "v", "of"))
+
+
+SUMS = "comparison_id long, trial int, xx double, yy double, xy double, nx double, all double, gamma double, id long, s double"
+
+
+def kernel_sums(vectors: DataFrame, trials: int, block: int | None, rows: bool = False, scale: DataFrame | None = None, double: bool = False) -> DataFrame:
+    """What every pair of blocks adds to a comparison's kernel sums under the true labels (trial 0) and ``trials`` random ones.
+
+    xx, yy and xy are sums inside and between the sides, nx the rows of side 0, all those of both. With ``rows`` there is also a row
+    (trial null) with s, its sum of kernel values to side 0, for each id of side 1. ``scale``: g_id and gamma, if they are known already.
+    Of more than PILOT rows the random trials are summed in single precision, TILE_COLUMNS values at a time, unless ``double``;
+    kernel values, the true labels' sums and the sums of tiles are in double precision in any case.
+    """
+    pool = materialise(pooled(labelled(vectors, trials)), "pool")
+    scale = scales(pool.select("comparison_id", "id", "side", "v"), block) if scale is None else scale
+    scaled = pool.join(F.broadcast(materialise(scale, "scale")), F.col("comparison_id") == F.col("g_id")).drop("g_id")
+    tasks = block_pairs(scaled, block, "of", "gamma").drop("side")
+
+    def sums(table: pa.Table) -> pa.Table:
+        left, right, same, x = facing(table)
+        of = table.column("of").combine_chunks()
+        names, gamma, width = [c["comparison_id"] for c in of[0].as_py()], table.column("gamma")[0].as_py(), trials + 1
+        bits = np.frombuffer(b"".join(of.flatten().field("bits").to_pylist()), np.uint8).reshape(len(x), len(names), -1)
+        drawn = np.unpackbits(bits, axis=2, count=width).reshape(len(x), -1)
+        a, b, true = drawn[left], drawn[right], np.arange(len(names)) * width
+        one, two = factors(x[left], x[right], -gamma)
+        kind = np.float64 if double or table.column("total")[0].as_py() <= PILOT else np.float32
+        xx, ax, ka_sum = np.zeros((3, drawn.shape[1]))
+        room, rough = np.empty(TILE_ROWS * TILE_COLUMNS), np.empty(TILE_ROWS * TILE_COLUMNS, np.float32)
+        whole, to_left, to_right = np.zeros(drawn.shape[1]), np.zeros((len(left), len(names))), np.zeros((len(right), len(names)))
+        for columns in slices(len(right), TILE_COLUMNS):
+            of_right = np.column_stack([b[columns], np.ones(columns.stop - columns.start)]).astype(kind)
+            true_right = of_right[:, [*true, -1]].astype(float)
+            for at in slices(len(left), TILE_ROWS):
+                shape = at.stop - at.start, columns.stop - columns.start
+                k = np.matmul(one[at], two[:, columns], out=room[: shape[0] * shape[1]].reshape(shape))
+                np.minimum(k, 0, out=k)
+                np.exp(k, out=k)
+                if same:
+                    i = np.arange(max(at.start, columns.start), min(at.stop, columns.stop))
+                    k[i - at.start, i - columns.start] = 0
+                of_left = a[at].astype(float)
+                if kind is np.float64:
+                    ka = k @ of_right
+                    ka, kx = ka[:, :-1], np.repeat(ka[:, -1:], len(xx), axis=1)
+                else:
+                    fine = rough[: shape[0] * shape[1]].reshape(shape)
+                    np.copyto(fine, k, casting="same_kind")
+                    ka, exact = (fine @ of_right).astype(float), k @ true_right
+                    ka, kx = ka[:, :-1], np.repeat(ka[:, -1:], len(xx), axis=1)
+                    ka[:, true], kx[:, true] = exact[:, :-1], exact[:, -1:]
+                xx += np.einsum("ij,ij->j", of_left, ka)
+                ax += np.einsum("ij,ij->j", of_left, kx)
+                ka_sum += ka.sum(axis=0)
+                whole += kx.sum(axis=0)
+                if rows:
+                    to_left[at] += ka[:, true]
+                    if not same:
+                        to_right[columns] += k.T @ of_left[:, true]
+        yy, xy = whole - ax - ka_sum + xx, ax - xx + (0 if same else ka_sum - xx)
+        xx, yy = (v * (1 if same else 2) for v in (xx, yy))
+        size = a.sum(axis=0, dtype=np.int64).astype(float) if same else np.zeros(drawn.shape[1])
+        none = lambda n, kind: pa.nulls(n, kind)
+        out, n = [], len(xx)
+        out.append([pa.array(np.repeat(names, width), pa.int64()), pa.array(np.tile(np.arange(width, dtype=np.int32), len(names))), *map(pa.array, (xx, yy, xy, size, np.full(n, float(len(left) if same else 0)), np.full(n, gamma))), none(n, pa.int64()), none(n, pa.float64())])
+        ids = table.column("id").to_numpy() if rows else None
+        for place, sent, to, lab in ((left, True, to_left, a), (right, not same, to_right, b)) if rows else ():
+            for c, name in enumerate(names):
+                far = np.flatnonzero(lab[:, true[c]] == 0) if sent else np.zeros(0, np.int64)
+                n = len(far)
+                out.append([pa.array(np.full(n, name), pa.int64()), none(n, pa.int32()), *[none(n, pa.float64()) for _ in range(6)], pa.array(ids[place[far]], pa.int64()), pa.array(to[far, c])])
+        named = [f.split()[0] for f in SUMS.split(", ")]
+        return pa.concat_tables([pa.table(dict(zip(named, columns, strict=True))) for columns in out])
+
+    return dealt(tasks, block_counts(scaled, block)).applyInArrow(sums, SUMS)
+
+
+def settled(vectors: DataFrame, trials: int, block: int | None, rows: bool = False) -> DataFrame:
+    """``kernel_sums``, once more in double precision of the comparisons where a trial is too near to the true labels for single precision."""
+    sums = materialise(kernel_sums(vectors, trials, block, rows), "sums")
+    each = statistics(sums).filter(F.col("all") > PILOT)
+    drawn = each.filter("trial > 0").groupBy(F.col("comparison_id").alias("d_id")).agg(F.stddev("mmd2").alias("spread"))
+    true = each.filter("trial = 0").select(F.col("comparison_id").alias("t_id"), F.col("mmd2").alias("true"))
+    met = each.filter("trial > 0").join(true, F.col("comparison_id") == F.col("t_id")).join(drawn, F.col("comparison_id") == F.col("d_id"))
+    near = materialise(met.filter(F.abs(F.col("mmd2") - F.col("true")) <= DOUBT * F.col("spread")).select(F.col("comparison_id").alias("u_id")).distinct(), "unsure")
+    if not near.take(1):
+        return sums
+    scale = sums.filter("gamma is not null").join(F.broadcast(near), F.col("comparison_id") == F.col("u_id")).groupBy(F.col("comparison_id").alias("g_id")).agg(F.first("gamma").alias("gamma"))
+    again = kernel_sums(vectors.join(F.broadcast(near), F.col("comparison_id") == F.col("u_id"), "left_semi"), trials, block, rows, scale, True)
+    return sums.join(F.broadcast(near), F.col("comparison_id") == F.col("u_id"), "left_anti").union(materialise(again, "sums"))
+
+
+def trial_sums(sums: DataFrame) -> DataFrame:
+    per = sums.filter("trial is not null").groupBy("comparison_id", "trial").agg(*[F.sum(c).alias(c) for c in ("xx", "yy", "xy", "nx", "all")], F.first("gamma").alias("gamma"))
+    return per.withColumn("ny", F.col("all") - F.col("nx"))
+
+
+def deficits(sums: DataFrame) -> DataFrame:
+    """comparison_id, id and deficit of ``displacements``, of ``kernel_sums`` with rows."""
+    n = F.greatest(F.lit(1), F.col("nx") * (F.col("nx") - 1))
+    reference = trial_sums(sums).filter("trial = 0").select(F.col("comparison_id").alias("r_id"), (F.col("xx") / n).alias("reference"), "nx")
+    per = sums.filter("trial is null").groupBy("comparison_id", "id").agg(F.sum("s").alias("s"))
+    met = per.join(F.broadcast(reference), F.col("comparison_id") == F.col("r_id"))
+    return met.select("comparison_id", "id", F.greatest(F.lit(0.0), F.col("reference") - F.col("s") / F.col("nx")).alias("deficit"))
 
 
 def displacements(vectors: DataFrame, block: int | None = None, scale: DataFrame | None = None) -> DataFrame:
@@ -189,37 +486,7 @@ def displacements(vectors: DataFrame, block: int | None = None, scale: DataFrame
 
     ``scale``: g_id and gamma, if they are known already.
     """
-    tasks = block_pairs(vectors, block)
-    tasks = tasks.join(scales(tasks) if scale is None else scale, F.col("comparison_id") == F.col("g_id")).drop("g_id")
-
-    def sums(table: pa.Table) -> pa.Table:
-        left, right, same, distances = halves(table)
-        ids, side, gamma = table.column("id").to_numpy(), table.column("side").to_numpy(), table.column("gamma")[0].as_py()
-        base, far = side[right] == 0, np.flatnonzero(side[right] != 0)
-        out_id, out, beyond, own = [], [], np.zeros(len(far)), 0.0
-        for rows, d2 in distances:
-            k = np.exp(-gamma * d2)
-            if same:
-                k[np.arange(len(k)), np.arange(rows.start, rows.stop)] = 0
-            first = side[left[rows]] == 0
-            toward = k[:, base].sum(axis=1)
-            own += toward[first].sum() * (1 if same else 2)
-            out_id.append(ids[left[rows]][~first])
-            out.append(toward[~first])
-            if not same:
-                beyond += k[first][:, far].sum(axis=0)
-        if not same:
-            out_id.append(ids[right[far]])
-            out.append(beyond)
-        out_id, out = [np.zeros(0, np.int64), *out_id], [np.zeros(0), *out]
-        names, values = np.concatenate(out_id), np.concatenate(out)
-        return pa.table({"comparison_id": pa.array([table.column("comparison_id")[0].as_py()] * (len(names) + 1), pa.int64()), "id": pa.array([*names.tolist(), None], pa.int64()), "s": pa.array([*values.tolist(), own], pa.float64()), "n": pa.array([table.column("n")[0].as_py()] * (len(names) + 1), pa.int64())})
-
-    found = tasks.groupBy(*PAIR).applyInArrow(sums, "comparison_id long, id long, s double, n long")
-    per = materialise(found.groupBy("comparison_id", "id").agg(F.sum("s").alias("s"), F.first("n").alias("n")), "affinities")
-    reference = per.filter("id is null").select(F.col("comparison_id").alias("r_id"), (F.col("s") / F.greatest(F.lit(1), F.col("n") * (F.col("n") - 1))).alias("reference"))
-    met = per.filter("id is not null").join(reference, F.col("comparison_id") == F.col("r_id"))
-    return met.select("comparison_id", "id", F.greatest(F.lit(0.0), F.col("reference") - F.col("s") / F.col("n")).alias("deficit"))
+    return deficits(materialise(kernel_sums(vectors, 0, block, True, scale), "affinities"))
 
 
 def leading_share(vectors: DataFrame) -> DataFrame:
@@ -271,9 +538,9 @@ def explained_by(vectors: DataFrame, whole: DataFrame, axes: list[int], block: i
 
 def shift_metrics(vectors: DataFrame, psi_by: DataFrame, trials: int = 200, block: int | None = None, axes: list[int] | None = None) -> DataFrame:
     """The columns that ``attribution`` reads, of every comparison. ``psi_by``: comparison_id, psi."""
-    whole = materialise(mmd2(vectors, trials, block), "mmd")
-    scale = whole.select(F.col("comparison_id").alias("g_id"), "gamma")  # other comparisons have no row in the result
-    away = materialise(displacements(vectors, block, scale), "deficits")
+    sums = settled(vectors, trials, block, True)
+    whole = materialise(relabelled(sums), "mmd")
+    away = materialise(deficits(sums), "deficits")
     concentration = gini(away, "comparison_id", "deficit").withColumnRenamed("comparison_id", "c_id")
     mid = quantiles(away, ["comparison_id"], "deficit", {"mid": 0.5}).select(F.col("comparison_id").alias("m_id"), "mid")
     far = away.join(mid, F.col("comparison_id") == F.col("m_id")).select("comparison_id", (F.col("deficit") - F.col("mid")).alias("d"), F.abs(F.col("deficit") - F.col("mid")).alias("far"))
@@ -360,44 +627,23 @@ def mmd2(vectors: DataFrame, trials: int = 200, block: int | None = None) -> Dat
     """comparison_id, n, m, gamma, mmd2 (unbiased, RBF) and p_value by relabelling.
 
     Columns: comparison_id, id, side, v (array of double). Rows go to blocks; every pair of blocks is a
-    task that makes one kernel matrix and, by a matrix product, its sums under the true labels and all
+    task that makes one kernel matrix, tile by tile, and, by matrix products, its sums under the true labels and all
     ``trials`` random ones, each of which puts the n rows of least hash of (trial, id, side) on side 0. Each block
     pair is one task's work; only sums leave it. The kernel scale is 1 over the median squared
     distance of all pairs.
     """
-    tasks = block_pairs(vectors, block)
-    scale = scales(tasks)
-    none = vectors.select(F.col("comparison_id").alias("c_id")).distinct().withColumn("cuts", F.array().cast("array<bigint>"))
-    cuts = trial_cuts(vectors, trials) if trials else none
-
-    def labels(table: pa.Table, rows: np.ndarray) -> np.ndarray:
-        """Rows by trials; the first column is the true side 0."""
-        ids, side = table.column("id").to_numpy()[rows], table.column("side").to_numpy()[rows]
-        cut = np.array(table.column("cuts")[0].as_py(), dtype=np.int64)
-        return np.column_stack([side == 0, trial_order(ids, side, trials) <= cut]).astype(float)
+    return relabelled(settled(vectors, trials, block))
 
-    def sums(table: pa.Table) -> pa.Table:
-        left, right, same, distances = halves(table)
-        gamma, a, b = table.column("gamma")[0].as_py(), labels(table, left), labels(table, right)
-        xx, yy, xy = np.zeros((3, trials + 1))
-        for rows, d2 in distances:
-            k = np.exp(-gamma * d2)
-            if same:
-                k[np.arange(len(k)), np.arange(rows.start, rows.stop)] = 0
-            ka = k @ b
-            kx = k.sum(axis=1)[:, None] - ka
-            xx += (a[rows] * ka).sum(0)
-            yy += ((1 - a[rows]) * kx).sum(0)
-            xy += (a[rows] * kx).sum(0) + (0 if same else ((1 - a[rows]) * ka).sum(0))
-        xx, yy = (v * (1 if same else 2) for v in (xx, yy))
-        size = a.sum(0) if same else np.zeros(trials + 1)
-        return pa.table({"comparison_id": pa.array([table.column("comparison_id")[0].as_py()] * (trials + 1), pa.int64()), "trial": pa.array(range(trials + 1), pa.int32()), "xx": pa.array(xx), "yy": pa.array(yy), "xy": pa.array(xy), "nx": pa.array(size), "all": pa.array(np.full(trials + 1, float(len(left) if same else 0)))})
 
-    scaled = tasks.join(scale, F.col("comparison_id") == F.col("g_id")).join(cuts, F.col("comparison_id") == F.col("c_id")).drop("g_id", "c_id")
-    parts = scaled.groupBy(*PAIR).applyInArrow(sums, "comparison_id long, trial int, xx double, yy double, xy double, nx double, all double")
-    per = parts.groupBy("comparison_id", "trial").agg(*[F.sum(c).alias(c) for c in ("xx", "yy", "xy", "nx", "all")]).withColumn("ny", F.col("all") - F.col("nx"))
+def statistics(sums: DataFrame) -> DataFrame:
+    """mmd2 of every comparison and trial of ``kernel_sums``."""
     value = F.col("xx") / (F.col("nx") * (F.col("nx") - 1)) + F.col("yy") / (F.col("ny") * (F.col("ny") - 1)) - 2 * F.col("xy") / (F.col("nx") * F.col("ny"))
-    each = per.filter("nx > 1 and ny > 1").select("comparison_id", "trial", "nx", "ny", value.alias("mmd2"))
-    true = each.filter("trial = 0").select(F.col("comparison_id").alias("t_id"), F.col("mmd2").alias("true"), "nx", "ny")
-    met = each.join(true.drop("nx", "ny"), F.col("comparison_id") == F.col("t_id")).groupBy("comparison_id").agg((F.count_if((F.col("trial") > 0) & (F.col("mmd2") >= F.col("true"))) + 1).alias("above"), (F.count_if(F.col("trial") > 0) + 1).alias("of"))
-    return met.join(true, F.col("comparison_id") == F.col("t_id")).join(scale, F.col("comparison_id") == F.col("g_id")).select("comparison_id", F.col("nx").cast("long").alias("n"), F.col("ny").cast("long").alias("m"), "gamma", F.col("true").alias("mmd2"), (F.col("above") / F.col("of")).alias("p_value"))
+    return trial_sums(sums).filter("nx > 1 and ny > 1").select("comparison_id", "trial", "nx", "ny", "all", "gamma", value.alias("mmd2"))
+
+
+def relabelled(sums: DataFrame) -> DataFrame:
+    """The result of ``mmd2``, of ``kernel_sums``."""
+    each = materialise(statistics(sums), "trials")
+    true = each.filter("trial = 0").select(F.col("comparison_id").alias("t_id"), F.col("mmd2").alias("true"), "nx", "ny", "gamma")
+    met = each.select("comparison_id", "trial", "mmd2").join(true.select("t_id", "true"), F.col("comparison_id") == F.col("t_id")).groupBy("comparison_id").agg((F.count_if((F.col("trial") > 0) & (F.col("mmd2") >= F.col("true"))) + 1).alias("above"), (F.count_if(F.col("trial") > 0) + 1).alias("of"))
+    return met.join(true, F.col("comparison_id") == F.col("t_id")).select("comparison_id", F.col("nx").cast("long").alias("n"), F.col("ny").cast("long").alias("m"), "gamma", F.col("true").alias("mmd2"), (F.col("above") / F.col("of")).alias("p_value"))

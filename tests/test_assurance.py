@@ -276,3 +276,47 @@ def test_rows_are_sent_to_few_blocks_and_compared_in_slices(spark, monkeypatch):
     assert shift.block_pairs(vectors, None).groupBy("id", "side").count().agg(F.max("count")).first()[0] == 13
     assert [x.tolist() for x in shift.counted_bins(np.array([5, 9, 5, 7]))] == [[5, 7, 9], [2, 1, 1]]
     assert [x.tolist() for x in shift.counted_bins(np.array([5, 1 << 40, 5]))] == [[5, 1 << 40], [2, 1]]
+
+
+def test_median_between_two_distances_of_a_pilot(spark, monkeypatch):
+    rng = np.random.default_rng(21)
+    many = [rng.normal(0, 1, (700, 5)), np.round(rng.normal(0, 0.6, (500, 2))), np.repeat(rng.normal(1e6, 1, (4, 3)), 100, axis=0), rng.normal(0, 1e-20, (300, 4)), rng.normal(0, 1, (40, 5))]
+    many[0][0] *= 1e8
+    rows = [(c, i, i % 2, v.tolist()) for c, x in enumerate(many) for i, v in enumerate(x)]
+    frame = spark.createDataFrame(rows, "comparison_id long, id long, side int, v array<double>")
+    want = {c: 1 / max(1e-12, np.median(((x[:, None] - x[None]) ** 2).sum(-1)[np.triu_indices(len(x), 1)])) for c, x in enumerate(many)}
+    monkeypatch.setattr(shift, "PILOT", 60)
+    assert {r.g_id: r.gamma for r in shift.scales(frame, 150).collect()} == pytest.approx(want, rel=1e-12)
+    inner = shift.ranked
+    wrong = lambda tasks, pilot=False: inner(tasks, pilot).withColumn("lo", F.lit(1e30)).withColumn("hi", F.lit(1e30)) if pilot else inner(tasks)
+    monkeypatch.setattr(shift, "ranked", wrong)
+    some = frame.filter("comparison_id = 0")
+    assert shift.scales(some, 300).first().gamma == pytest.approx(want[0], rel=1e-6)
+    x, y = many[0][1:200], many[0][200:450]
+    d2 = ((x[:, None] - y[None]) ** 2).sum(-1)
+    lo, hi = np.quantile(d2, [0.4, 0.6])
+    below, value, c = shift.between(x, y, False, lo, hi)
+    assert below == (d2 < lo).sum() and c.sum() == ((d2 >= lo) & (d2 <= hi)).sum() and sorted(value) == value.tolist()
+
+
+def test_comparisons_of_the_same_rows_share_their_distances(spark, monkeypatch):
+    rng = np.random.default_rng(22)
+    x = rng.normal(0, 1, (260, 5))
+    sides = {1: lambda i: int(i < 90), 2: lambda i: i % 2, 3: lambda i: i % 3 == 0}
+    rows = [(c, i, int(s(i)), (x[i] + (c == 3) * (i == 7)).tolist()) for c, s in sides.items() for i in range(260)]
+    frame = spark.createDataFrame(rows, "comparison_id long, id long, side int, v array<double>")
+    assert sorted((r.comparison_id, len(r.of)) for r in shift.pooled(shift.labelled(frame, 20)).select("comparison_id", "of").distinct().collect())[::260] == [(1, 2), (3, 1)]
+    want = {2: shift.mmd2(frame.filter("comparison_id = 2"), 30, 100).first()}
+    away = {(r.comparison_id, r.id): r.deficit for r in shift.displacements(frame, 100).collect()}
+    d2 = ((x[:, None] - x[None]) ** 2).sum(-1)
+    k = np.exp(-want[2].gamma * d2)
+    np.fill_diagonal(k, 0)
+    base = np.arange(260) % 2 == 0
+    assert away[2, 5] == pytest.approx(max(0, k[np.ix_(base, base)].sum() / (130 * 129) - k[5, base].sum() / 130), abs=1e-12)
+    for pilot, doubt in ((50, 0), (50, 1e9)):  # in single precision; and again in double precision
+        monkeypatch.setattr(shift, "PILOT", pilot)
+        monkeypatch.setattr(shift, "DOUBT", doubt)
+        got = {r.comparison_id: r for r in shift.mmd2(frame, 30, 100).collect()}
+        assert set(got) == {1, 2, 3} and tuple(got[2]) == pytest.approx(tuple(want[2]), rel=1e-9)
+    plan = shift.dealt(shift.block_pairs(frame, 26), shift.block_counts(frame, 26)).count().withColumn("p", F.spark_partition_id())
+    assert plan.filter("comparison_id = 1").groupBy("p").count().agg(F.max("count")).first()[0] == 1  # a pair of blocks a partition
